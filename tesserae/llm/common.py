@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +52,23 @@ def crc_mod(key: str, n: int) -> Column:
 def unit_hash(*cols: Column, seed: int = 7) -> Column:
     """A number in [0, 1) from the columns, the same in every run."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11) / F.lit(float(1 << 53))
+
+
+def append(df: DataFrame, column: str, compute: Callable[[list], list], fields: list[tuple[str, str, pa.DataType]], keep: list[str] | None = None) -> DataFrame:
+    """df (all columns, or keep) with what compute makes of a batch of column's values: a list for each of fields (name, DDL, Arrow type)."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    small_batches(df.sparkSession)
+    keep = df.columns if keep is None else keep
+    kinds = dict(df.dtypes)
+    if taken := {f[0] for f in fields} & set(keep):
+        raise ValueError(f"columns exist already: {sorted(taken)}")
+    schema = pa.schema([pa.field(c, to_arrow_type(df.schema[c].dataType)) for c in keep] + [pa.field(n, t) for n, _, t in fields])
+    ddl = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"{n} {d}" for n, d, _ in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = compute(b.column(column).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(x, f[2]) for x, f in zip(made, fields, strict=True))], schema=schema)
+
+    return df.select(*dict.fromkeys([*keep, column])).mapInArrow(run, ddl)
