@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gif, mixing, quality, sharding, simhash, toxicity
+from . import balltree, bpe, gif, mixing, quality, quotes, sharding, simhash, toxicity, warc
 from .common import table
 
 
@@ -16,6 +16,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = quotes.link_quotes(table(spark, sf_dir, "conversations"))
+    return linked.select("conv_id", "turn", "role", F.sha2("clean", 256).alias("clean_sha256"), "quotes", "linked", "reply_to", "root_turn", "depth")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id"], digests=True)
@@ -29,6 +34,10 @@ def op5_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_near_dups(table(spark, sf_dir, "documents"))
 
@@ -37,14 +46,19 @@ def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.top_products(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
 def op10_shard_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_size(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_byte_bpe, op4_gif_media, op5_toxicity_nnpu, op7_simhash_near_dups, op8_quality_trees, op10_shard_by_size)}
+    ten = (op1_mix_sources, op2_quotation_links, op3_byte_bpe, op4_gif_media, op5_toxicity_nnpu, op6_warc_index, op7_simhash_near_dups, op8_quality_trees, op9_ball_tree_topk, op10_shard_by_size)
+    return {f.__name__: f for f in ten}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.MIX_SQL}
+    return {"op1_mix_sources": mixing.MIX_SQL, "op2_quotation_links": quotes.QUOTES_SQL, "op6_warc_index": warc.WARC_SQL, "op9_ball_tree_topk": balltree.TOP_SQL}
