@@ -46,30 +46,18 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit_nnpu(positive: list[set[str]], unlabelled: list[set[str]], prior: float) -> Model:
-    """The linear classifier that has the least non-negative risk; without positives, one that scores all alike."""
+def fit_nnpu(chosen: list[str], positive: list[list[int]], unlabelled: list[list[int]], prior: float) -> Model:
+    """The linear classifier that has the least non-negative risk; without positives or features, one that scores all alike.
+
+    positive and unlabelled: of each text, the places in chosen of the features that it has.
+    """
     prior = min(max(prior, 1e-3), 0.5)
-    counts: dict[str, list[int]] = {}
-    for k, group in enumerate((positive, unlabelled)):
-        for doc in group:
-            for f in doc:
-                counts.setdefault(f, [0, 0])[k] += 1
     n_p, n_u = max(1, len(positive)), max(1, len(unlabelled))
-    names = sorted(counts)
-    both = np.array([counts[f] for f in names], float).reshape(-1, 2)
-    p, u = both[:, 0] / n_p, both[:, 1] / n_u
-    pooled = both.sum(1) / (n_p + n_u)
-    z = (p - u) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n_p + 1 / n_u))
-    best = np.argsort(-z, kind="stable")[:FEATURES]
-    chosen = [names[i] for i in best if z[i] >= STANDARD_ERRORS]
-    index = {f: i for i, f in enumerate(chosen)}
-    if not chosen:
+    if not chosen or not positive:
         return Model({}, float(np.log(prior / (1 - prior))))
 
-    def flat(group: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        at = [(d, index[f]) for d, doc in enumerate(group) for f in doc if f in index]
-        a = np.array(at, np.int64).reshape(-1, 2)
-        return a[:, 0], a[:, 1]
+    def flat(group: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(group)), [len(doc) for doc in group]), np.array([f for doc in group for f in doc], np.int64)
 
     (dp, fp), (du, fu) = flat(positive), flat(unlabelled)
     w = np.zeros(len(chosen) + 1)
@@ -109,8 +97,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", positives:
     ids = materialize(p.unionByName(u), "toxicity-sample")  # at most positives + unlabelled rows
     texts = docs.where(inside).select(id_col, "text").join(F.broadcast(ids), id_col)
     found = append(texts, "text", lambda ts: [[sorted(features(t)) for t in ts]], [("found", "array<string>", pa.list_(pa.string()))], ["toxic"])
-    rows = [(r.toxic, set(r.found)) for r in found.toLocalIterator()]
-    return fit_nnpu([f for t, f in rows if t], [f for t, f in rows if not t], prior)
+    found = materialize(found, "toxicity-features")
+    chosen = choose(found)
+    index = {f: k for k, f in enumerate(chosen)}
+    rows = append(found, "found", lambda fs: [[[index[f] for f in own if f in index] for own in fs]], [("places", "array<int>", pa.list_(pa.int32()))], ["toxic"]).collect()
+    return fit_nnpu(chosen, [r.places for r in rows if r.toxic], [r.places for r in rows if not r.toxic], prior)
+
+
+def choose(found: DataFrame) -> list[str]:
+    """The features that are STANDARD_ERRORS more common in toxic texts, at most FEATURES. found: toxic (1 or 0), found, a row for each sampled text."""
+    n = {r.toxic: float(r["count"]) for r in found.groupBy("toxic").count().collect()}
+    n_p, n_u = n.get(1, 0.0), n.get(0, 0.0)
+    if not n_p or not n_u:
+        return []
+    counts = found.select("toxic", F.explode("found").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("u"))
+    pooled = (F.col("p") + F.col("u")) / (n_p + n_u)
+    z = (F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / n_p + 1 / n_u))
+    best = counts.select("feature", z.alias("z")).where(F.col("z") >= STANDARD_ERRORS).orderBy(F.desc("z"), "feature").limit(FEATURES)
+    return [r.feature for r in best.collect()]
 
 
 def with_score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
