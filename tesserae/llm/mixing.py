@@ -75,6 +75,24 @@ def thresholds(slim: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", "whole", (F.col("prefix") + nearer).alias("below"))
 
 
+def source_plan(slim: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """s (the source), source_size, target, whole, below of each source of slim (source, size, number)."""
+    per_source = materialize(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights), "mix-targets")
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    budgets = per_source.select("source", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("budget"))
+    cut = thresholds(slim, budgets).withColumnRenamed("source", "s")
+    return per_source.join(cut, _same("source", "s")).select("s", "source_size", "target", "whole", "below")
+
+
+def _slim(docs: DataFrame, id_col: str) -> DataFrame:
+    return materialize(docs.select(F.col(id_col).alias("id"), "source", word_count("text").alias("size"), number(id_col, "text").alias("number")), "mix-slim")
+
+
+def times() -> Column:
+    """How often the mix takes a row of number, whole and below."""
+    return F.col("whole") + F.when(F.col("number") < F.col("below"), 1).otherwise(0)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """id_col, source, size, source_size, target, taken of every row of docs (id_col, text, source).
 
@@ -82,14 +100,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", share: float = 1.5, most: float
     A null source is a source like any other, the last; null and empty texts have size 0 and take 0; rows that agree in
     id and text are taken alike; an empty table gives an empty one. Other columns are not read.
     """
-    slim = materialize(docs.select(F.col(id_col).alias("id"), "source", word_count("text").alias("size"), number(id_col, "text").alias("number")), "mix-slim")
-    per_source = materialize(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights), "mix-targets")
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    budgets = per_source.select("source", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("budget"))
-    cut = thresholds(slim, budgets).withColumnRenamed("source", "s")
-    per_source = per_source.join(cut, _same("source", "s")).select("s", "source_size", "target", "whole", "below")
-    taken = F.col("size") * (F.col("whole") + F.when(F.col("number") < F.col("below"), 1).otherwise(0))
-    return slim.join(per_source, _same("source", "s")).select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.alias("taken"))
+    slim = _slim(docs, id_col)
+    joined = slim.join(source_plan(slim, share, most, weights), _same("source", "s"))
+    return joined.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("size") * times()).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """The rows of docs that the mix takes, each as often as it takes it, with the columns of docs; rows without words are not taken."""
+    plan = source_plan(_slim(docs, id_col), share, most, weights)
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("of"), word_count("text").alias("size"), number(id_col, "text").alias("number"))
+    taken = held.where("size > 0").join(plan, _same("of", "s")).select("row", times().cast("int").alias("n"))
+    return taken.where("n > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("n")))).select("row.*")
 
 
 #: DuckDB: exact running sums instead of histograms.

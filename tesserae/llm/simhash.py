@@ -214,8 +214,19 @@ def near_copies(docs: DataFrame, id_col: str, words: int = 5, similarity: float
     best = pairs.groupBy(F.col("a.component_id").alias("u"), F.col("b.component_id").alias("v")).agg(F.min(F.struct(F.expr(far).alias("d"), F.col("a.rep").alias("x"), F.col("b.rep").alias("y"))).alias("p"))
     best = materialize(best.select("u", "v", "p.x", "p.y"), "near-pairs")
     small_batches(docs.sparkSession)
-    left = docs.select(F.col(id_col).alias("x"), F.col("text").alias("text_a"))
-    right = docs.select(F.col(id_col).alias("y"), F.col("text").alias("text_b"))
+    needed = best.select(F.explode(F.array("x", "y")).alias(id_col)).distinct()
+    texts = materialize(docs.select(id_col, "text").join(needed, id_col, "left_semi"), "near-texts")
+    left = texts.select(F.col(id_col).alias("x"), F.col("text").alias("text_a"))
+    right = texts.select(F.col(id_col).alias("y"), F.col("text").alias("text_b"))
     links = best.join(left, "x").join(right, "y").select("u", "v", "text_a", "text_b").mapInArrow(_verify(words, similarity), "u long, v long")
     merged = components(links, "near-links").withColumnsRenamed({"node": "component_id", "component": "merged"})
     return first.join(merged, "component_id", "left").select(id_col, F.coalesce("merged", "component_id").alias("group"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs with the smallest id of their group of near copies, with all columns; null ids sort last, equal ids by place in the input."""
+    row = "tesserae_row"
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "near-docs")
+    groups = near_copies(numbered, row, words, similarity).join(numbered.select(row, F.col(id_col).alias("id")), row)
+    kept = groups.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", row)).alias("k")).select(f"k.{row}")
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)
