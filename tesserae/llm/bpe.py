@@ -21,7 +21,9 @@ from pyspark.sql import DataFrame
 from .common import small_batches
 
 #: Words that a Python worker remembers before it starts anew; longer words than LONG bytes are not remembered.
-REMEMBERED, LONG = 400_000, 64
+REMEMBERED, LONG = 800_000, 64
+#: Characters of text that are encoded together at least, if there are so many.
+TOGETHER = 8 << 20
 NONE = 1 << 30
 
 
@@ -36,75 +38,97 @@ class Tokenizer:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.pairs: dict[int, int] = {}
+        self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.split = regex.compile(pattern).findall
 
-    def pair(self, a: int, b: int) -> int:
-        """The rank of two adjacent tokens' merge, NONE if they don't merge."""
-        key = a << 20 | b
-        r = self.pairs.get(key)
-        if r is None:
-            if len(self.pairs) > 4 * REMEMBERED:
-                self.pairs.clear()
-            r = self.pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b], NONE)
-        return r
-
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """The token ids of each word, none of which is empty or a token itself."""
-        token: list[int] = []
-        word: list[int] = []
-        for k, w in enumerate(words):
-            token += [self.ranks[w[i : i + 1]] for i in range(len(w))]
-            word += [k] * len(w)
-        n = len(token)
-        after = [i + 1 if i + 1 < n and word[i + 1] == word[i] else -1 for i in range(n)]
-        before = [i - 1 if i and word[i - 1] == word[i] else -1 for i in range(n)]
-        rank = [self.pair(token[i], token[after[i]]) if after[i] >= 0 else NONE for i in range(n)]
-        places: dict[int, list[int]] = {}  # inverted index: a pair has the rank of what it merges to
-        for i, r in enumerate(rank):
-            if r < NONE:
-                places.setdefault(r, []).append(i)
-        queue = list(places)
-        heapq.heapify(queue)
-        alive = bytearray(b"\x01") * n
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each two adjacent tokens' merge, NONE where they don't merge."""
+        keys, places = np.unique(left.astype(np.int64) << 20 | right, return_inverse=True)
+        found = []
+        if len(self.pairs) > 4 * REMEMBERED:
+            self.pairs.clear()
+        for key in keys.tolist():
+            r = self.pairs.get(key)
+            if r is None:
+                r = self.pairs[key] = self.ranks.get(self.tokens[key >> 20] + self.tokens[key & 0xFFFFF], NONE)
+            found.append(r)
+        return np.array(found, np.int64)[places]
+
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """The token ids of each word as bytes; no word is empty."""
+        if not words:
+            return []
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        n = len(flat)
+        token, word = self.bytes[flat], np.repeat(np.arange(len(words)), sizes)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ends = np.cumsum(sizes)
+        after[ends - 1] = -1
+        before[ends - sizes] = -1
+        rank = np.full(n, NONE)
+        inner = np.flatnonzero(after >= 0)
+        rank[inner] = self.pair_ranks(token[inner], token[inner + 1])
+        places: dict[int, list[np.ndarray]] = {}  # inverted index; a pair has the rank of what it merges to
+        queue: list[int] = []
+
+        def enter(at: np.ndarray, ranks: np.ndarray) -> None:
+            good = ranks < NONE
+            at, ranks = at[good], ranks[good]
+            order = np.argsort(ranks, kind="stable")
+            at, ranks = at[order], ranks[order]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            for r, part in zip(ranks[np.concatenate([[0], cuts])].tolist() if len(ranks) else (), np.split(at, cuts), strict=False):
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(queue, r)
+                places[r].append(part)
+
+        enter(inner, rank[inner])
         while queue:
             r = heapq.heappop(queue)
-            waiting: set[int] = set()  # words in which a merge has made a pair of lower rank: it comes first there
-            later: list[int] = []
-            for i in sorted(places.pop(r, ())):
-                if not alive[i] or rank[i] != r:
-                    continue
-                if word[i] in waiting:
-                    later.append(i)
-                    continue
-                j = after[i]
-                alive[j] = 0
-                token[i] = r
-                after[i] = k = after[j]
-                h = before[i]
-                if k >= 0:
-                    before[k] = i
-                for p, q in ((i, k), (h, i)):
-                    if p < 0:
-                        continue
-                    new = rank[p] = self.pair(token[p], token[q]) if q >= 0 else NONE
-                    if new == r:  # the same pair again, to the left or right of the merge
-                        later.append(p)
-                        waiting.add(word[i])
-                    elif new < NONE:
-                        if new < r:
-                            waiting.add(word[i])
-                        if new not in places:
-                            places[new] = []
-                            heapq.heappush(queue, new)
-                        places[new].append(p)
-            if later:
-                places[r] = later
-                heapq.heappush(queue, r)
-        out: list[list[int]] = [[] for _ in words]
-        for i in range(n):
-            if alive[i]:
-                out[word[i]].append(token[i])
-        return out
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[rank[at] == r]
+            if len(at) > 1:
+                # Of overlapping places of one pair, the first, third, ... are merged.
+                starts = np.concatenate([[True], after[at[:-1]] != at[1:]])
+                turn = np.arange(len(at)) - np.flatnonzero(starts)[np.cumsum(starts) - 1]
+                at = at[turn % 2 == 0]
+            if not len(at):
+                continue
+            second = after[at]
+            left, right = before[at], after[second]
+            # A pair of lower rank that a merge makes comes first in its word; there, the other places wait.
+            merged = np.full(len(at), r)
+            left_token = np.where(left >= 0, token[left], -1)
+            if len(at) > 1:
+                left_token[1:][left[1:] == second[:-1]] = r
+            first_new = np.full(len(at), NONE)
+            for has, a, b in ((left >= 0, left_token, merged), (right >= 0, merged, token[right])):
+                if has.any():
+                    first_new[has] = np.minimum(first_new[has], self.pair_ranks(a[has], b[has]))
+            if len(at) > 1 and (first_new < r).any():
+                own = word[at]
+                early = np.isin(own, own[first_new < r])
+                wait = early & np.concatenate([[False], own[1:] == own[:-1]])
+                if wait.any():
+                    enter(at[wait], merged[wait])
+                    at, second = at[~wait], second[~wait]
+                    right = after[second]
+            token[at] = r
+            after[at] = right
+            before[right[right >= 0]] = at[right >= 0]
+            token[second], rank[second] = -1, NONE
+            rank[at] = NONE
+            left = before[at]
+            touched = np.unique(np.concatenate([at[right >= 0], left[left >= 0]]))
+            if len(touched):
+                rank[touched] = new = self.pair_ranks(token[touched], token[after[touched]])
+                enter(touched, new)
+        alive = token >= 0
+        ids = token[alive].astype("<u4").tobytes()
+        stops = 4 * np.cumsum(np.bincount(word[alive], minlength=len(words)))
+        return [ids[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
@@ -121,8 +145,7 @@ class Tokenizer:
                 todo.append(w)
             else:
                 own[w] = r.to_bytes(4, "little")
-        for w, ids in zip(todo, self.replay([w.encode() for w in todo]), strict=True):
-            own[w] = np.array(ids, "<u4").tobytes()
+        own.update(zip(todo, self.replay([w.encode() for w in todo]), strict=True))
         known = self.words
         known.update((w, x) for w, x in own.items() if len(w) <= LONG)
         if any(len(w) > LONG for w in own):
@@ -138,11 +161,29 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
     return Tokenizer(path, pattern)
 
 
+def _together(own: Tokenizer, batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str], list[bytes]]]:
+    """Batches with their texts and ids; several are encoded at once."""
+    held: list[tuple[pa.RecordBatch, list[str]]] = []
+    size = 0
+
+    def done() -> Iterator[tuple[pa.RecordBatch, list[str], list[bytes]]]:
+        ids = iter(own.encode([t for _, texts in held for t in texts]))
+        for b, texts in held:
+            yield b, texts, [next(ids) for _ in texts]
+
+    for b in batches:
+        held.append((b, texts := [t or "" for t in b.column(column).to_pylist()]))
+        size += sum(map(len, texts))
+        if size >= TOGETHER:
+            yield from done()
+            held, size = [], 0
+    yield from done()
+
+
 def _encoded(path: str, pattern: str, names: list[str], fields: pa.Schema, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path, pattern)
-        for b in batches:
-            ids = own.encode([t or "" for t in b.column(column).to_pylist()])
+        for b, texts, ids in _together(own, batches, column):
             back = [own.decode(x) for x in ids]
             cols = [*(b.column(c) for c in names), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(back, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, schema=fields)
