@@ -56,10 +56,16 @@ def gradient(values: Column, step: float) -> Column:
 
 def first_crossing(contributions: Column) -> Column:
     """(index, positive, negative): the first level where the running sum is above zero; the positive parts from there on and the negative parts below; index -1 and zeros if there is none."""
-    cum = running_sum(contributions)
-    at = F.coalesce(F.array_min(F.filter(F.transform(cum, lambda c, i: F.when(c > 0, i)), lambda i: i.isNotNull())), F.lit(-1))
-    total = lambda keep: F.aggregate(F.zip_with(contributions, F.sequence(F.lit(0), F.size(contributions) - 1), lambda v, i: F.when(keep(v, i), v).otherwise(F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
-    return F.struct(at.alias("index"), total(lambda v, i: (at >= 0) & (i >= at) & (v > 0)).alias("positive"), total(lambda v, i: (at >= 0) & (i < at) & (v < 0)).alias("negative"))
+    kind = "struct<i: int, cum: double, index: int, positive: double, negative: double>"
+
+    def step(s: Column, v: Column) -> Column:
+        cum = s["cum"] + v
+        at = F.when((s["index"] < 0) & (cum > 0), s["i"]).otherwise(s["index"])
+        return F.struct((s["i"] + 1).alias("i"), cum.alias("cum"), at.alias("index"), F.when((at >= 0) & (v > 0), s["positive"] + v).otherwise(s["positive"]).alias("positive"), F.when((at < 0) & (v < 0), s["negative"] + v).otherwise(s["negative"]).alias("negative"))
+
+    start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("cum"), F.lit(-1).alias("index"), F.lit(0.0).alias("positive"), F.lit(0.0).alias("negative")).cast(kind)
+    none = F.lit(0.0)
+    return F.aggregate(contributions, start, step, lambda s: F.struct(s["index"].alias("index"), F.when(s["index"] >= 0, s["positive"]).otherwise(none).alias("positive"), F.when(s["index"] >= 0, s["negative"]).otherwise(none).alias("negative")))
 
 
 def quantile_bin(dist: Column, q: float) -> Column:

@@ -96,15 +96,13 @@ def directional(rows: DataFrame, field: str, u: str, v: str, radius: float, ny:
     r = F.lit(radius)
     sides = {"ahead": (r * dv, r * du), "behind": (-r * dv, -r * du), "left": (r * du, -r * dv), "right": (-r * du, r * dv)}
     clamp = lambda c, n: F.greatest(F.lit(0.0), F.least(F.lit(float(n - 1)), c))
-    corners = []
-    for name, (dy, dx) in sides.items():
-        y, x = clamp(F.col("iy") + dy, ny), clamp(F.col("ix") + dx, nx)
-        y0, x0 = F.floor(y), F.floor(x)
-        for ky in (0, 1):
-            for kx in (0, 1):
-                weight = (y - y0 if ky else 1 - (y - y0)) * (x - x0 if kx else 1 - (x - x0))
-                corners.append(F.struct(F.lit(name).alias("side"), F.least(y0 + ky, F.lit(ny - 1)).cast("int").alias("sy"), F.least(x0 + kx, F.lit(nx - 1)).cast("int").alias("sx"), weight.alias("weight")))
-    asked = rows.select(*keys, "iy", "ix", F.explode(F.array(*corners)).alias("c")).select(*keys, "iy", "ix", "c.*")
+    places = F.array(*(F.struct(F.lit(name).alias("side"), clamp(F.col("iy") + dy, ny).alias("y"), clamp(F.col("ix") + dx, nx).alias("x")) for name, (dy, dx) in sides.items()))
+    samples = rows.select(*keys, "iy", "ix", F.explode(places).alias("p")).select(*keys, "iy", "ix", "p.*")
+    samples = samples.withColumns({"y0": F.floor("y"), "x0": F.floor("x"), "fy": F.col("y") - F.floor("y"), "fx": F.col("x") - F.floor("x")})
+    corner = F.explode(F.array(*(F.struct(F.lit(ky).alias("ky"), F.lit(kx).alias("kx")) for ky in (0, 1) for kx in (0, 1)))).alias("k")
+    part = lambda k, f: F.when(F.col(k) == 1, F.col(f)).otherwise(1 - F.col(f))
+    asked = samples.select(*keys, "iy", "ix", "side", "y0", "x0", "fy", "fx", corner)
+    asked = asked.select(*keys, "iy", "ix", "side", F.least(F.col("y0") + F.col("k.ky"), F.lit(ny - 1)).cast("int").alias("sy"), F.least(F.col("x0") + F.col("k.kx"), F.lit(nx - 1)).cast("int").alias("sx"), (part("k.ky", "fy") * part("k.kx", "fx")).alias("weight"))
     source = rows.select(*keys, F.col("iy").alias("sy"), F.col("ix").alias("sx"), F.col(field).alias("__f"))
     hit = asked.join(source, [*keys, "sy", "sx"])
     one = lambda s: F.when(F.count(F.when((F.col("side") == s) & F.col("__f").isNotNull(), 1)) == 4, F.sum(F.when(F.col("side") == s, F.col("weight") * F.col("__f")))).alias(s)
