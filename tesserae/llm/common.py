@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch to Python holds at most, so that a batch of long texts stays small.
 ARROW_ROWS = 256
+#: Files of an intermediate table for each core, at most.
+FILES_PER_CORE = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +38,14 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts the lineage, and outlives executors."""
+def materialize(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: cuts the lineage, and outlives executors.
+
+    It has at most FILES_PER_CORE files for each core, or files: tables of many tiny files cost a process each on some file systems.
+    """
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    df.coalesce(files or FILES_PER_CORE * spark.sparkContext.defaultParallelism).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

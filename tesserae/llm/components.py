@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
+#: Edges of an intermediate file.
+EDGES_A_FILE = 200_000
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -33,8 +37,9 @@ def components(edges: DataFrame, label: str = "components", max_rounds: int = 60
     """
     edges = materialize(edges.where("u <> v").select("u", "v").distinct(), label)
     before = _digest(edges)
+    files = -(-before[0] // EDGES_A_FILE) or 1
     for _ in range(max_rounds if before[0] else 0):
-        edges = materialize(_small_star(_large_star(edges)), label)
+        edges = materialize(_small_star(_large_star(edges)), label, files)
         now = _digest(edges)
         if now == before:
             break

@@ -176,8 +176,9 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", block_lines: int =
     rows = rows.select(key("url").alias("key"), "page_id", "url", "payload", "digest", refers_to.alias("refers_to"))
     files = max(12, -(-total // file_bytes))
     folder = shared_path(spark, "warc")
+    # Each task names its files by its number, so tasks must not be merged on the way to the directory.
     sorted_rows = rows.repartitionByRange(files, "key", "page_id", "digest").sortWithinPartitions("key", "page_id", "digest")
-    return Archive(folder, materialize(sorted_rows.mapInArrow(_writer(folder, block_lines), DIRECTORY_DDL), "warc-directory"))
+    return Archive(folder, materialize(sorted_rows.mapInArrow(_writer(folder, block_lines), DIRECTORY_DDL), "warc-directory", 1 << 20))
 
 
 def _read_block(fs: pafs.FileSystem, root: str, entry: dict) -> list[tuple[str, dict]]:
