@@ -90,11 +90,11 @@ def _log_odds(p: Column) -> Column:
 
 def calibrate(rows: DataFrame, kind: str, p: str = "p", label: str = "y", weight: str = "w") -> Calibration:
     """Fitted on weighted validation rows, whose base rate is then right."""
+    if kind not in ("isotonic", "logistic"):
+        raise ValueError(f"no calibration {kind}")
     r = rows.select(F.col(p).alias("p"), F.col(label).cast("double").alias("label"), F.col(weight).cast("double").alias("w"))
     if kind == "isotonic":
         return Calibration(kind, IsotonicRegression(featuresCol="p", labelCol="label", weightCol="w").fit(r).setFeaturesCol("__x"))
-    if kind != "logistic":
-        raise ValueError(f"no calibration {kind}")
     x = VectorAssembler(inputCols=["x"], outputCol="features").transform(r.withColumn("x", _log_odds(F.col("p"))))
     return Calibration(kind, LogisticRegression(weightCol="w", labelCol="label").fit(x))
 

@@ -121,8 +121,13 @@ def ppf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.gaussian(dense, ["v"], SIGMA_PPF, edge="zero").select("iy", "ix", F.round("v", 6).alias("v"))
 
 
-PLEVELS = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lit(1000.0) - 10 * i)
-ZLEVELS = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lit(100.0) * i)
+def pressures():
+    """Pressures of the 64 levels; made when asked for, as expressions need a session."""
+    return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lit(1000.0) - 10 * i)
+
+
+def heights():
+    return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lit(100.0) * i)
 
 
 def bracket_sql(coord: str, target: str) -> str:
@@ -138,13 +143,13 @@ LEVELS_SQL = ", lv AS (SELECT vec_id, i, v[i + 1] AS v FROM v_columns, range(64)
 @query(LEVELS_SQL + " SELECT a.vec_id, " + ", ".join(f"round({x}.z, 6) + 0.0 AS p{p}" for x, p in zip("abc", (925, 850, 300), strict=True)) + " FROM " + " JOIN ".join(f"{bracket_sql('-ln(1000 - 10 * i)', f'-ln({p})')} {x}" + (" USING (vec_id)" if x != "a" else "") for x, p in zip("abc", (925, 850, 300), strict=True)), ["v_columns"])
 def interp_logp(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = views.columns(spark, sf_dir)
-    return v.select("vec_id", *((F.round(columns.interpolate_logp(PLEVELS, F.col("v"), F.lit(float(p))), 6) + F.lit(0.0)).alias(f"p{p}") for p in (925, 850, 300)))
+    return v.select("vec_id", *((F.round(columns.interpolate_logp(pressures(), F.col("v"), F.lit(float(p))), 6) + F.lit(0.0)).alias(f"p{p}") for p in (925, 850, 300)))
 
 
 @query(LEVELS_SQL + " SELECT a.vec_id, " + ", ".join(f"round({x}.z, 6) + 0.0 AS z{z}" for x, z in zip("abc", (250, 1525, 9000), strict=True)) + " FROM " + " JOIN ".join(f"{bracket_sql('100 * i', str(z))} {x}" + (" USING (vec_id)" if x != "a" else "") for x, z in zip("abc", (250, 1525, 9000), strict=True)), ["v_columns"])
 def interp_height(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = views.columns(spark, sf_dir)
-    return v.select("vec_id", *((F.round(columns.interpolate(ZLEVELS, F.col("v"), F.lit(float(z))), 6) + F.lit(0.0)).alias(f"z{z}") for z in (250, 1525, 9000)))
+    return v.select("vec_id", *((F.round(columns.interpolate(heights(), F.col("v"), F.lit(float(z))), 6) + F.lit(0.0)).alias(f"z{z}") for z in (250, 1525, 9000)))
 
 
 @query(LEVELS_SQL + ", m AS (SELECT vec_id, i, v, max(v) OVER (PARTITION BY vec_id ORDER BY i) AS m FROM lv) SELECT vec_id, round(sum(m), 6) + 0.0 AS total, round(max(m) FILTER (i = 10), 6) + 0.0 AS at10 FROM m GROUP BY 1", ["v_columns"])
