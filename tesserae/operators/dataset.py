@@ -52,3 +52,12 @@ def size_marginal(sizes: DataFrame, size: str) -> DataFrame:
     counts = known.groupBy(bins.size_bin(F.col(size)).alias("bin")).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     return counts.join(F.broadcast(total)).select("bin", "n", (F.col("n") / F.col("total")).alias("share"))
+
+
+def weighted_resample(rows: DataFrame, weight: str, key: Column, n: float, seed: int = 0) -> DataFrame:
+    """A bootstrap of about n rows, drawn in proportion to weight: a row comes as often as its expected number, rounded up or down by its hash."""
+    total = rows.agg(F.sum(weight).alias("total"))
+    expected = F.col(weight) * F.lit(float(n)) / F.col("total")
+    times = F.floor(expected) + F.when(hashed_share(key, seed) < expected - F.floor(expected), 1).otherwise(0)
+    drawn = rows.join(F.broadcast(total)).withColumn("__n", times.cast("int")).where("__n > 0").drop("total")
+    return drawn.withColumn("__n", F.explode(F.array_repeat(F.lit(0), F.col("__n")))).drop("__n")

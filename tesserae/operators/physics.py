@@ -124,3 +124,27 @@ def expanded(field_grids: DataFrame, field: str, motions: dict[str, tuple[str, s
             d = grid.directional(moved, mean, u, v, C.cells(r), ny, nx, keys)
             out = out.join(d.select(*keys, "iy", "ix", *(F.col(g).alias(f"{mean}_{name}_{g}") for g in GRADIENTS)), [*keys, "iy", "ix"], "left")
     return out
+
+
+#: Fixed names of the fire sample's fields.
+FIRE_MOTIONS = ("none", "mean_wind")
+FIRE_SURFACE = (*SURFACE_SCALARS[:13], "refc", "refd", "uh03", "uh25")
+FIRE_STATIC = ("elev", "slope", "elev_gradx", "elev_grady", "aspect_sin", "aspect_cos", "tri", "tpi", "slope_std", "elev_std", "lu_forest", "lu_shrub", "lu_grass", "lu_crop", "lu_urban", "lu_water", "popdens", "popdens_log")
+
+
+def fire_catalogue() -> list[str]:
+    """All feature names of a fire sample, sorted: the same families with two frames of motion, one of which stands still."""
+    storm = raw_names()
+    layers = [n for n, _, _ in C.SR_LAYERS]
+    relative = {m: [f"{m}_{a}_{k}" for a in layers for k in ("srh", "swv", "swfrac", "srw_u", "srw_v", "srw_spd")] for m in FIRE_MOTIONS}
+    hodographs = {m: [f"{m}_{c}{h:g}" for h in C.HODOGRAPH_HEIGHTS for c in "uv"] for m in FIRE_MOTIONS}
+    state = [f"sfc_{k}" for k in ("t2m", "td2m", "u10", "v10", "wspd10", "tdspread2m")]
+    raw = [f"motion_{m}_{c}" for m in FIRE_MOTIONS for c in ("u", "v", "spd")] + storm["thermo"] + storm["kinematic"] + storm["profile"] + storm["height"] + storm["level"] + [*FIRE_SURFACE, *FIRE_STATIC] + state
+    raw += [n for m in FIRE_MOTIONS for n in (*relative[m], *hodographs[m], f"sfc_u_{m}_rot", f"sfc_v_{m}_rot")]
+    base = storm["thermo"] + ["pwat"] + storm["kinematic"] + ["soilw", "tsoil", "lcdc", "mcdc", "hcdc", "tcdc", "sfc_t2m", "sfc_td2m", "sfc_tdspread2m", "sfc_wspd10", "refc", "refd", "uh03", "uh25"]
+    first = base + [n for n in storm["level"] if not n.startswith("tdspread")] + [*FIRE_STATIC]
+    own = {m: [n for n in relative[m] if n.endswith(("_srh", "_srw_spd", "_swfrac", "_swv"))] + hodographs[m] for m in FIRE_MOTIONS}
+    out = [*raw]
+    for names, moves in [(first, FIRE_MOTIONS), *((n, (m,)) for m, n in own.items())]:
+        out += [f"{n}_mean{r:g}{s}" for n in names for r in C.RADII_MI for s in ("", *(f"_{m}_{g}" for m in moves for g in GRADIENTS))]
+    return sorted(out)

@@ -192,3 +192,24 @@ def outlook_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     o = views.reports(spark, sf_dir).select("event_id", F.when(i % 2 == 0, "DAY1").otherwise("DAY2").alias("category"), (i % 7).alias("threshold"), F.col("time").alias("issue"), (F.col("time") + F.make_dt_interval(hours=(6 + i % 30).cast("int"))).alias("expire"))
     return events.outlook_at(o, F.lit("2024-01-10 12:00:00").cast("timestamp_ntz")).select("event_id", "category", "threshold")
+
+
+MATRIX_SQL = """, h AS (SELECT date_trunc('hour', time) AS valid FROM v_reports GROUP BY 1 HAVING count(*) >= 12),
+s AS (SELECT valid, f::INT AS fxx, valid - to_hours(f::INT) AS run FROM h, (VALUES (6), (18)) t(f)),
+w AS (SELECT DISTINCT valid, (event_id % 24)::INT AS iy, ((event_id * 7) % 32)::INT AS ix FROM v_reports JOIN h ON time BETWEEN valid - INTERVAL 30 MINUTE AND valid + INTERVAL 30 MINUTE),
+r AS (SELECT s.valid, fxx, run, g.iy, g.ix, round(g.v, 6) AS v, (w.iy IS NOT NULL)::INT AS flag FROM s, v_grid g LEFT JOIN w ON w.valid = s.valid AND w.iy = g.iy AND w.ix = g.ix),
+k AS (SELECT *, ((epoch(valid)::BIGINT // 3600 * 75749 + iy * 359 + ix + fxx * 31) * 7919 + 104729) % 1000003 / 1000003::DOUBLE AS z FROM r)
+SELECT valid, fxx, run, iy, ix, v, flag, CASE WHEN flag = 1 THEN 1.0::DOUBLE ELSE 1 / 0.05::DOUBLE END AS weight, CASE isodow(valid) WHEN 6 THEN 'validation' WHEN 7 THEN 'test' ELSE 'train' END AS split FROM k WHERE flag = 1 OR z < 0.05::DOUBLE"""
+
+
+@query(MATRIX_SQL, ["v_reports", "v_grid"])
+def training_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jobs
+
+    r = views.reports(spark, sf_dir)
+    samples = jobs.plan_samples(r, [6, 18], 12)
+    i = F.col("event_id")
+    labels = jobs.label_flags(r, ((i % 24).cast("int"), (i * 7 % 32).cast("int")))
+    hours = samples.select("valid").distinct()
+    features = hours.crossJoin(F.broadcast(views.grid(spark, sf_dir).select("iy", "ix", F.round("v", 6).alias("v"))))  # a grid of 768 cells
+    return jobs.build_matrix(samples, features, labels, ["flag"], 0.05).select("valid", "fxx", "run", "iy", "ix", "v", "flag", "weight", "split")

@@ -177,6 +177,7 @@ def test_wet_bulb_inverts_theta_e():
 def test_feature_catalogue():
     raw = physics.raw_names()
     assert sum(map(len, raw.values())) == 440 and len(physics.catalogue()) == len({*physics.catalogue()}) == 6560
+    assert len(physics.fire_catalogue()) == len({*physics.fire_catalogue()}) == 2573
 
 
 def test_column_features_of_incomplete_rows(spark):
@@ -280,3 +281,43 @@ def test_stream_resume(spark, tmp_path):
     write(batch, 0)
     write(batch, 1)
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_stream_deduplication_and_active_intervals(spark, tmp_path):
+    from tesserae.streaming import streams
+
+    t = lambda x: f"timestamp'2024-01-01 {x}:00'"
+    spark.sql(f"SELECT * FROM VALUES (1, {t('10:00')}), (1, {t('11:00')}), (2, {t('12:00')}) v(key, ts)").coalesce(1).write.parquet(str(tmp_path / "r"))
+    spark.sql(f"SELECT * FROM VALUES (1, {t('09:00')}, {t('10:30')}), (2, {t('13:00')}, {t('14:00')}) v(key, start, end)").coalesce(1).write.parquet(str(tmp_path / "f"))
+    stream = lambda n: spark.readStream.schema(spark.read.parquet(str(tmp_path / n)).schema).parquet(str(tmp_path / n))
+    once = streams.run_to_table(streams.deduplicated(stream("r"), ["key"]), "once", "append")
+    assert sorted(r.key for r in once.collect()) == [1, 2]
+    pairs = streams.active(stream("f"), stream("r")).select("r.key", "r.ts")
+    assert [(r.key, r.ts.hour) for r in streams.run_to_table(pairs, "active", "append").collect()] == [(1, 10)]
+
+
+def test_resample_and_member_state(spark):
+    rows = spark.range(2000).withColumn("w", F.when(F.col("id") < 1000, 3.0).otherwise(1.0))
+    got = dataset.weighted_resample(rows, "w", F.col("id"), 1000)
+    heavy = got.where("id < 1000").count()
+    assert got.columns == ["id", "w"] and got.count() == pytest.approx(1000, rel=0.1) and heavy == pytest.approx(750, rel=0.1)
+    from tesserae.plans import jobs
+
+    raw = spark.createDataFrame([(0, 1, y, x, float(x), float("nan") if x == 4 else float(y)) for y in range(5) for x in range(5)], "run int, fxx int, iy int, ix int, t2m double, refc double")
+    r = jobs.member_state(raw, ["t2m", "gone"], ["refc"]).first()
+    assert (r.iy, r.ix, r.t2m, r.refc) == (0, 0, 2.0, 4.0)
+
+
+def test_jobs_end_to_end(spark, tmp_path):
+    from tesserae import cli
+    from tesserae.plans import jobs
+    from tesserae.plans.catalogue import QUERIES
+
+    m = QUERIES["training_matrix"](spark, "/root/testdata/sf0.01").withColumn("key", F.xxhash64("valid", "iy", "ix", "fxx")).fillna(0.0)
+    m = m.withColumn("split", F.when(F.col("key") % 3 == 0, "validation").otherwise("train"))
+    bands = jobs.train(m, ["v", "iy", "ix"], "flag", pooled=True, maxIter=2, calibrator="logistic")
+    p = jobs.predict(bands, m.select("fxx", "iy", "ix", "v").limit(50), ["v", "iy", "ix"], "tor")
+    assert p.count() == 50 and p.where("p < 0 OR p > 1").count() == 0
+    cached = p.withColumn("fxx", F.lit(6)).limit(3)
+    assert jobs.predict(bands, m, ["v"], "tor", cached, [6]).count() == 3
+    assert cli.parser().parse_args(["train", "--matrix", "a", "--cells", "b", "--out", "c", "--features", "v"]).fmax == 36
