@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,9 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_scratch: list[list[str]] = []
+
+
 def materialize(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts the lineage, and outlives executors.
 
@@ -46,7 +50,39 @@ def materialize(df: DataFrame, label: str, files: int | None = None) -> DataFram
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.coalesce(files or FILES_PER_CORE * spark.sparkContext.defaultParallelism).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.tesserae_path = path
+    return out
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a table of the shared folder, whatever file system that is on."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables materialized inside are removed at the end, but for those passed to what this yields: nothing that is returned may need the others."""
+    paths: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.tesserae_path)
+        return df
+
+    _scratch.append(paths)
+    try:
+        yield keep
+    finally:
+        _scratch.pop()
+        for p in paths:
+            if p not in kept:
+                discard(spark, p)
+        if _scratch:
+            _scratch[-1].extend(kept)
 
 
 def crc_mod(key: str, n: int) -> Column:

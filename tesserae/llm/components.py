@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scratch
 
 
 #: Edges of an intermediate file.
@@ -35,16 +35,18 @@ def components(edges: DataFrame, label: str = "components", max_rounds: int = 60
     Loops and repeated edges are ignored, null ends too. No edge gives no row. Each round is written
     to the shared folder, so that the plan stays short and a lost executor costs one round.
     """
-    edges = materialize(edges.where("u <> v").select("u", "v").distinct(), label)
-    before = _digest(edges)
-    files = -(-before[0] // EDGES_A_FILE) or 1
-    for _ in range(max_rounds if before[0] else 0):
-        edges = materialize(_small_star(_large_star(edges)), label, files)
-        now = _digest(edges)
-        if now == before:
-            break
-        before = now
-    else:
-        if before[0]:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    with scratch(edges.sparkSession) as keep:
+        edges = materialize(edges.where("u <> v").select("u", "v").distinct(), label)
+        before = _digest(edges)
+        files = -(-before[0] // EDGES_A_FILE) or 1
+        for _ in range(max_rounds if before[0] else 0):
+            edges = materialize(_small_star(_large_star(edges)), label, files)
+            now = _digest(edges)
+            if now == before:
+                break
+            before = now
+        else:
+            if before[0]:
+                raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        keep(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

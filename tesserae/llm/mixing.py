@@ -81,7 +81,8 @@ def source_plan(slim: DataFrame, share: float = 1.5, most: float = 2.0, weights:
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     budgets = per_source.select("source", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("budget"))
     cut = thresholds(slim, budgets).withColumnRenamed("source", "s")
-    return per_source.join(cut, _same("source", "s")).select("s", "source_size", "target", "whole", "below")
+    # A table of its own: its size is then known, and texts need no shuffle to meet it if it is small.
+    return materialize(per_source.join(cut, _same("source", "s")).select("s", "source_size", "target", "whole", "below"), "mix-plan", 1)
 
 
 def _slim(docs: DataFrame, id_col: str) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, scratch, small_batches
 from .components import components
 
 #: Position i (1 to 31) of the Hamming code is column i of its check matrix; mask j holds the positions with bit j.
@@ -195,38 +195,65 @@ def _verify(words: int, least: float):
     return run
 
 
-def near_copies(docs: DataFrame, id_col: str, words: int = 5, similarity: float = 0.8, sketch_bits: int = 44) -> DataFrame:
+#: Of the homes at an anchor, those with the smallest id of each of so many salts stand for the others in near_copies.
+SALTS = 2
+#: A candidate's checking word, 64 bits of another SimHash, differs in at most so many bits.
+CHECK_BITS = 14
+
+
+def sketch_candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs u < v of rows of nodes (id, s0 to s3) that may be near copies, at most SALTS for each node and anchor.
+
+    Homes are summed up per anchor to the smallest ids before nodes meet them, so a large group of near copies gives each
+    member a few links to its smallest members, not one to every other.
+    """
+    words = [f"s{k}" for k in range(len(MIX))]
+    key = (F.shiftleft(F.col("t").cast("long"), 32) + F.col("anchor")).alias("key")
+    # A half of word t / 2 is checked by the next word.
+    check = F.element_at(F.array(*words), (F.shiftright("t", 1) + 1) % len(words) + 1).alias("word")
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")
+    first = homes(nodes, words).select(key, salt, F.struct("id", check).alias("h")).groupBy("key", "salt").agg(F.min("h").alias("h"))
+    first = first.select("key", F.col("h.id").alias("u"), F.col("h.word").alias("word_u"))
+    own = probes(nodes, words).select(key.alias("key_v"), F.col("id").alias("v"), check.alias("word_v"))
+    return first.join(own, F.expr(f"key = key_v AND u < v AND {distance('word_u', 'word_v')} <= {CHECK_BITS}")).select("u", "v").distinct()
+
+
+def near_copies(docs: DataFrame, id_col: str, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """id_col (unique, not null, long) and group: the smallest id of the near copies of each row of docs (id_col, text).
 
-    Documents are linked if their fingerprints over shingles of so many words differ in 3 bits at
-    most, or if the Jaccard similarity of their shingle sets is at least similarity. Candidates of the
-    latter come from four SimHashes of the word set (8 halves, each through its anchors) that differ in
-    at most sketch_bits of 256; of two groups already linked, only the closest candidate pair is
-    verified on its whole texts, so that a large group of near copies is not expanded into pairs.
+    Rows are linked if their fingerprints over shingles of so many words differ in 3 bits at most; the groups that this
+    makes are linked by their smallest rows, if the Jaccard similarity of the two rows' shingle sets is at least similarity, verified
+    on the whole texts. Candidates of the latter come from four SimHashes of the word set (sketch_candidates).
     """
-    prints = materialize(with_fingerprints(docs, [id_col], words, sketch=True), "near-prints")
-    first = materialize(fingerprint_components(prints.select(id_col, "fp"), id_col).select(id_col, "component_id"), "near-first")
-    nodes = prints.join(first, id_col).groupBy("component_id", "sig").agg(F.min(id_col).alias("rep"))
-    nodes = materialize(nodes.select("component_id", "rep", *(F.col("sig")[k].alias(f"s{k}") for k in range(len(MIX)))), "near-nodes")
-    sigs = [f"s{k}" for k in range(len(MIX))]
-    far = " + ".join(distance(f"a.{s}", f"b.{s}") for s in sigs)
-    pairs = anchor_pairs(nodes, sigs, f"a.component_id < b.component_id AND {far} <= {sketch_bits}", False)
-    best = pairs.groupBy(F.col("a.component_id").alias("u"), F.col("b.component_id").alias("v")).agg(F.min(F.struct(F.expr(far).alias("d"), F.col("a.rep").alias("x"), F.col("b.rep").alias("y"))).alias("p"))
-    best = materialize(best.select("u", "v", "p.x", "p.y"), "near-pairs")
-    small_batches(docs.sparkSession)
-    needed = best.select(F.explode(F.array("x", "y")).alias(id_col)).distinct()
-    texts = materialize(docs.select(id_col, "text").join(needed, id_col, "left_semi"), "near-texts")
-    left = texts.select(F.col(id_col).alias("x"), F.col("text").alias("text_a"))
-    right = texts.select(F.col(id_col).alias("y"), F.col("text").alias("text_b"))
-    links = best.join(left, "x").join(right, "y").select("u", "v", "text_a", "text_b").mapInArrow(_verify(words, similarity), "u long, v long")
-    merged = components(links, "near-links").withColumnsRenamed({"node": "component_id", "component": "merged"})
-    return first.join(merged, "component_id", "left").select(id_col, F.coalesce("merged", "component_id").alias("group"))
+    spark = docs.sparkSession
+    with scratch(spark) as keep:
+        prints = materialize(with_fingerprints(docs, [id_col], words, sketch=True), "near-prints")
+        first = materialize(fingerprint_components(prints.select(id_col, "fp"), id_col).select(id_col, "component_id"), "near-first")
+        leaders = first.where(F.col(id_col) == F.col("component_id")).select(id_col)
+        nodes = prints.join(leaders, id_col).select(F.col(id_col).alias("id"), *(F.col("sig")[k].alias(f"s{k}") for k in range(len(MIX))))
+        pairs = materialize(sketch_candidates(materialize(nodes, "near-nodes")), "near-pairs")
+        needed = pairs.select(F.explode(F.array("u", "v")).alias(id_col)).distinct()
+        small_batches(spark)
+        # Joins with texts are the same at every size: neither side's size is bounded.
+        texts = materialize(docs.select(id_col, "text").join(needed.hint("merge"), id_col, "left_semi"), "near-texts")
+        left = texts.select(F.col(id_col).alias("u"), F.col("text").alias("text_a"))
+        right = texts.select(F.col(id_col).alias("v"), F.col("text").alias("text_b"))
+        links = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "text_a", "text_b").mapInArrow(_verify(words, similarity), "u long, v long")
+        merged = components(links, "near-links").withColumnsRenamed({"node": "component_id", "component": "merged"})
+        return keep(materialize(first.join(merged, "component_id", "left").select(id_col, F.coalesce("merged", "component_id").alias("group")), "near-groups"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs with the smallest id of their group of near copies, with all columns; null ids sort last, equal ids by place in the input."""
+    """The rows of docs with the smallest id of their group of near copies, with all columns.
+
+    If ids repeat or are null, rows are numbered in a copy of docs first; null ids then sort last, equal ids by place in the input.
+    """
+    n, ids = docs.agg(F.count("*"), F.countDistinct(id_col)).first()
+    if n == ids and dict(docs.dtypes)[id_col] == "bigint":
+        groups = near_copies(docs, id_col, words, similarity)
+        return docs.join(groups.where(F.col(id_col) == F.col("group")).select(id_col).hint("merge"), id_col, "left_semi").select(*docs.columns)
     row = "tesserae_row"
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "near-docs")
     groups = near_copies(numbered, row, words, similarity).join(numbered.select(row, F.col(id_col).alias("id")), row)
     kept = groups.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", row)).alias("k")).select(f"k.{row}")
-    return numbered.join(kept, row, "left_semi").select(*docs.columns)
+    return numbered.join(kept.hint("merge"), row, "left_semi").select(*docs.columns)
