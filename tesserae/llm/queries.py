@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.MIX_SQL, "op2_quotation_links": quotes.QUOTES_SQL, "op6_warc_index": warc.WARC_SQL, "op9_ball_tree_topk": balltree.TOP_SQL}
+    return {"op1_mix_sources": mixing.MIX_SQL, "op2_quotation_links": quotes.QUOTES_SQL, "op6_warc_index": warc.WARC_SQL, "op9_ball_tree_topk": balltree.TOP_SQL, "op10_shard_by_size": sharding.SHARD_SQL}

@@ -132,12 +132,16 @@ def shard_by_size(docs: DataFrame, id_col: str = "doc_id", shards: int = 8, rang
     return placed.join(F.broadcast(first), "shard").select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("place") - F.col("first")).alias("slot"))
 
 
-#: DuckDB: one running sum over all rows.
+#: DuckDB: one running sum over all rows; CRC-32 byte by byte, with a table made by its rule.
 SHARD_SQL = """
-WITH d AS (
-  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, coalesce(text, '') AS text, ('0x' || md5(coalesce(text, ''))[1:15])::BIGINT AS k FROM documents),
+WITH t AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b) ORDER BY b) AS crc FROM (SELECT b::BIGINT AS b FROM range(256) r(b))),
+d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, ('0x' || md5(coalesce(text, ''))[1:15])::BIGINT AS k,
+         xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT), lambda c, b: xor(c // 256, crc[xor(c % 256, b) + 1]), 4294967295::BIGINT)) AS text_crc32
+  FROM documents, t),
 p AS (
   SELECT *, sum(size) OVER (ORDER BY k, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size AS start, row_number() OVER (ORDER BY k, doc_id NULLS FIRST) - 1 AS place, sum(size) OVER () AS total FROM d),
 s AS (SELECT *, (start * 8 // total)::INT AS shard FROM p)
-SELECT doc_id, size, 'bytes' AS law, shard, (place - min(place) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard FROM s
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (place - min(place) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard FROM s
 """
