@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, crc_mod, materialize
+from .common import append, crc_mod, materialize, scratch
 
 #: At most so many labelled rows are fitted, the first by a hash of the id.
 LABELLED = 24000
@@ -117,9 +117,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled:
     """
     inside = F.col(id_col).isNotNull() & (crc_mod(id_col, 5) != 0)
     known = labels.where(inside & F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").alias("quality"))
-    known = materialize(known.orderBy(F.xxhash64(F.lit(8), F.col(id_col)), id_col).limit(labelled), "quality-sample")  # at most labelled rows
-    texts = docs.where(inside).select(id_col, "text").join(F.broadcast(known), id_col)
-    rows = append(texts, "text", _measure, [("x", "array<double>", pa.list_(pa.float64()))], [id_col, "quality"]).toPandas().sort_values(id_col, kind="stable")
+    with scratch(docs.sparkSession):
+        known = materialize(known.orderBy(F.xxhash64(F.lit(8), F.col(id_col)), id_col).limit(labelled), "quality-sample")  # at most labelled rows
+        texts = docs.where(inside).select(id_col, "text").join(F.broadcast(known), id_col)
+        rows = append(texts, "text", _measure, [("x", "array<double>", pa.list_(pa.float64()))], [id_col, "quality"]).toPandas().sort_values(id_col, kind="stable")
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(STATISTICS))
     return fit_forest(x, rows["quality"].to_numpy(float))
 
