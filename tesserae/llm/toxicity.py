@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, crc_mod, materialize
+from .common import append, crc_mod, materialize, scratch
 
 #: At most so many confirmed toxic rows and unlabelled rows are fitted, the first by a hash of the id.
 POSITIVES, UNLABELLED = 4000, 12000
@@ -23,6 +23,8 @@ STARTS = (4, 5, 6)
 #: A feature is kept if it is so many standard errors more common in toxic texts; at most so many are.
 STANDARD_ERRORS, FEATURES = 5.0, 20000
 STEPS, RATE, DECAY = 400, 0.05, 1e-4
+#: The prior is taken so much higher than its estimate: a prior that is too low makes rare toxic words look clean.
+MARGIN = 1.2
 
 _words = re.compile(r"[^\W\d_]+").findall
 
@@ -51,7 +53,7 @@ def fit_nnpu(chosen: list[str], positive: list[list[int]], unlabelled: list[list
 
     positive and unlabelled: of each text, the places in chosen of the features that it has.
     """
-    prior = min(max(prior, 1e-3), 0.5)
+    prior = min(max(MARGIN * prior, 1e-3), 0.5)
     n_p, n_u = max(1, len(positive)), max(1, len(unlabelled))
     if not chosen or not positive:
         return Model({}, float(np.log(prior / (1 - prior))))
@@ -61,6 +63,7 @@ def fit_nnpu(chosen: list[str], positive: list[list[int]], unlabelled: list[list
 
     (dp, fp), (du, fu) = flat(positive), flat(unlabelled)
     w = np.zeros(len(chosen) + 1)
+    w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
 
     def scores(d: np.ndarray, f: np.ndarray, n: int) -> np.ndarray:
@@ -72,10 +75,11 @@ def fit_nnpu(chosen: list[str], positive: list[list[int]], unlabelled: list[list
     for step in range(1, STEPS + 1):
         zp, zu = scores(dp, fp, len(positive)), scores(du, fu, len(unlabelled))
         sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        # Logistic losses: -log s as toxic, -log(1 - s) as clean; their derivatives are s - 1 and s.
-        as_clean = np.mean(np.logaddexp(0, zu)) - prior * np.mean(np.logaddexp(0, zp))
-        g_clean = back(su / n_u, du, fu) - prior * back(sp / n_p, dp, fp)
-        grad = prior * back((sp - 1) / n_p, dp, fp) + g_clean if as_clean >= 0 else -g_clean
+        # Losses: -log s of what should be toxic; s itself of what should be clean, which is bounded, so that sure positives
+        # can't make the corrected part negative. Their derivatives are s - 1 and s * (1 - s).
+        as_clean = su.mean() - prior * sp.mean()
+        g_clean = back(su * (1 - su) / n_u, du, fu) - prior * back(sp * (1 - sp) / n_p, dp, fp)
+        grad = prior * back((sp - 1) / n_p, dp, fp) + (g_clean if as_clean >= 0 else -g_clean)
         grad += DECAY * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -91,17 +95,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", positives:
     inside = F.col(id_col).isNotNull() & (crc_mod(id_col, 4) != 2)
     known = labels.where(inside & F.col("toxic").isNotNull()).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg("toxic")).first()[0] or 0.0
-    by_hash = F.xxhash64(F.lit(5), F.col(id_col)), F.col(id_col)
-    p = known.where("toxic = 1").orderBy(*by_hash).limit(positives).select(id_col, F.lit(1).alias("toxic"))
-    u = docs.where(inside).select(id_col).distinct().orderBy(*by_hash).limit(unlabelled).select(id_col, F.lit(0).alias("toxic"))
-    ids = materialize(p.unionByName(u), "toxicity-sample")  # at most positives + unlabelled rows
-    texts = docs.where(inside).select(id_col, "text").join(F.broadcast(ids), id_col)
-    found = append(texts, "text", lambda ts: [[sorted(features(t)) for t in ts]], [("found", "array<string>", pa.list_(pa.string()))], ["toxic"])
-    found = materialize(found, "toxicity-features")
-    chosen = choose(found)
-    index = {f: k for k, f in enumerate(chosen)}
-    rows = append(found, "found", lambda fs: [[[index[f] for f in own if f in index] for own in fs]], [("places", "array<int>", pa.list_(pa.int32()))], ["toxic"]).collect()
-    return fit_nnpu(chosen, [r.places for r in rows if r.toxic], [r.places for r in rows if not r.toxic], prior)
+    with scratch(docs.sparkSession):
+        by_hash = F.xxhash64(F.lit(5), F.col(id_col)), F.col(id_col)
+        p = known.where("toxic = 1").orderBy(*by_hash).limit(positives).select(id_col, F.lit(1).alias("toxic"))
+        u = docs.where(inside).select(id_col).distinct().orderBy(*by_hash).limit(unlabelled).select(id_col, F.lit(0).alias("toxic"))
+        ids = materialize(p.unionByName(u), "toxicity-sample")  # at most positives + unlabelled rows
+        texts = docs.where(inside).select(id_col, "text").join(F.broadcast(ids), id_col)
+        found = append(texts, "text", lambda ts: [[sorted(features(t)) for t in ts]], [("found", "array<string>", pa.list_(pa.string()))], ["toxic"])
+        found = materialize(found, "toxicity-features")
+        chosen = choose(found)
+        index = {f: k for k, f in enumerate(chosen)}
+        rows = append(found, "found", lambda fs: [[[index[f] for f in own if f in index] for own in fs]], [("places", "array<int>", pa.list_(pa.int32()))], ["toxic"]).collect()
+        return fit_nnpu(chosen, [r.places for r in rows if r.toxic], [r.places for r in rows if not r.toxic], prior)
 
 
 def choose(found: DataFrame) -> list[str]:
