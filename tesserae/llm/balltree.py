@@ -213,13 +213,15 @@ def top_products(vectors: DataFrame, is_query: str, id_col: str = "vec_id", vect
         both = own.join(each, ["g", "dim"])
         return both.repartition(max(1, min(2 * shards, 4096)), "g").sortWithinPartitions("g", "dim").mapInArrow(_searched(k), FOUND)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    rows_before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row is a shard and a block
     pilot = materialize(_best(meet(0, 1, asked.withColumn("kth", F.lit(None).cast("binary"))), k), "ball-pilot")
     sizes = asked.select("block", "dim", (F.octet_length("q_ids") / 8).cast("int").alias("n"))
     every = pilot
     if shards > 1:
         rest = materialize(meet(1, shards, asked.join(_kth(pilot, k, sizes), ["block", "dim"], "left")), "ball-rest")
         every = _best(pilot.drop("rank").unionByName(rest), k)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_before)
     return every.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
