@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import small_batches, spread
 
 #: Words that a Python worker remembers before it starts anew; longer words than LONG bytes are not remembered.
 REMEMBERED, LONG = 800_000, 64
@@ -221,4 +221,4 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, keep: list[str], colu
     fields = pa.schema(base + [pa.field(n, kind[0]) for n in last])
     ddl = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["n_tokens long"] + [f"{n} {kind[1]}" for n in last])
     run = (_digested if digests else _encoded)(path, pattern, keep, fields, column)
-    return docs.select(*dict.fromkeys([*keep, column])).mapInArrow(run, ddl)
+    return spread(docs.select(*dict.fromkeys([*keep, column]))).mapInArrow(run, ddl)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch to Python holds at most, so that a batch of long texts stays small.
 ARROW_ROWS = 256
+#: Bytes for each core below which a table may be dealt out to all cores.
+SMALL_PART = 16 << 20
 #: Files of an intermediate table for each core, at most.
 FILES_PER_CORE = 8
 
@@ -95,6 +97,14 @@ def unit_hash(*cols: Column, seed: int = 7) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11) / F.lit(float(1 << 53))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it is so small that it lies in fewer files than there are cores; else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    # From the plan's statistics alone: nothing runs.
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_PART and len(df.inputFiles()) < cores else df
+
+
 def append(df: DataFrame, column: str, compute: Callable[[list], list], fields: list[tuple[str, str, pa.DataType]], keep: list[str] | None = None) -> DataFrame:
     """df (all columns, or keep) with what compute makes of a batch of column's values: a list for each of fields (name, DDL, Arrow type)."""
     from pyspark.sql.pandas.types import to_arrow_type
@@ -112,4 +122,4 @@ def append(df: DataFrame, column: str, compute: Callable[[list], list], fields:
             made = compute(b.column(column).to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(x, f[2]) for x, f in zip(made, fields, strict=True))], schema=schema)
 
-    return df.select(*dict.fromkeys([*keep, column])).mapInArrow(run, ddl)
+    return spread(df.select(*dict.fromkeys([*keep, column]))).mapInArrow(run, ddl)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import small_batches, spread
 
 #: Codes have at most so many bits.
 MAX_BITS = 12
@@ -347,7 +347,7 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
             cols = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), STORED, strict=True)] if rows else [pa.array([], f.type) for f in STORED]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], schema=schema)
 
-    return docs.select(id_col, "text").mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return spread(docs.select(id_col, "text")).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 STORED = [pa.field("n_bytes", pa.int64()), pa.field("payload_bytes", pa.int64()), pa.field("payload_sha256", pa.string()), pa.field("tail_crc32", pa.int64()), pa.field("media_bytes", pa.int64()), pa.field("media_sha256", pa.string()), pa.field("feature", pa.string())]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, spread
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights by rank of the source, repeating.
@@ -86,6 +86,7 @@ def source_plan(slim: DataFrame, share: float = 1.5, most: float = 2.0, weights:
 
 
 def _slim(docs: DataFrame, id_col: str) -> DataFrame:
+    docs = spread(docs.select(id_col, "source", "text"))
     return materialize(docs.select(F.col(id_col).alias("id"), "source", word_count("text").alias("size"), number(id_col, "text").alias("number")), "mix-slim")
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, crc_mod, materialize, scratch
+from .common import append, crc_mod, materialize, scratch, spread
 
 #: At most so many labelled rows are fitted, the first by a hash of the id.
 LABELLED = 24000
@@ -115,6 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled:
 
     Null ids, null labels and labels without a document are left out; an id with several labels has the least of them.
     """
+    docs = spread(docs.select(id_col, "text"))
     inside = F.col(id_col).isNotNull() & (crc_mod(id_col, 5) != 0)
     known = labels.where(inside & F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").alias("quality"))
     with scratch(docs.sparkSession):

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, small_batches
+from .common import materialize, scratch, small_batches, spread
 from .components import components
 
 #: Position i (1 to 31) of the Hamming code is column i of its check matrix; mask j holds the positions with bit j.
@@ -90,7 +90,7 @@ def with_fingerprints(docs: DataFrame, id_cols: list[str], words: int = 3, sketc
 
     fields = [pa.field(c, to_arrow_type(docs.schema[c].dataType)) for c in id_cols] + [pa.field("fp", pa.int64())] + [pa.field("sig", pa.list_(pa.int64()))] * sketch
     ddl = ", ".join([*(f"`{c}` {kinds[c]}" for c in id_cols), "fp long"] + ["sig array<long>"] * sketch)
-    return docs.select(*id_cols, "text").mapInArrow(_fingerprints(words, id_cols, pa.schema(fields), sketch), ddl)
+    return spread(docs.select(*id_cols, "text")).mapInArrow(_fingerprints(words, id_cols, pa.schema(fields), sketch), ddl)
 
 
 def _syndrome(v: Column) -> Column:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, crc_mod, materialize, scratch
+from .common import append, crc_mod, materialize, scratch, spread
 
 #: At most so many confirmed toxic rows and unlabelled rows are fitted, the first by a hash of the id.
 POSITIVES, UNLABELLED = 4000, 12000
@@ -92,6 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", positives:
     Of labels (id_col, toxic), only rows with toxic = 1 say anything of a text; all rows give the class prior. Null ids,
     null labels and labels without a document are left out; an id that is toxic in any row is toxic.
     """
+    docs = spread(docs.select(id_col, "text"))
     inside = F.col(id_col).isNotNull() & (crc_mod(id_col, 4) != 2)
     known = labels.where(inside & F.col("toxic").isNotNull()).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg("toxic")).first()[0] or 0.0
