@@ -12,11 +12,13 @@ one of which two fingerprints within 3 bits must share.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +30,6 @@ CHECKS = [sum(1 << (i - 1) for i in range(1, 32) if i >> j & 1) for j in range(5
 LOW31 = (1 << 31) - 1
 #: Homes of one anchor from which it is split further.
 HOT_ANCHOR = 4000
-#: Odd factors that turn one shingle hash into further independent ones (splitmix constants).
-MIX = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93]
 CHUNK = 1 << 15
 
 
@@ -57,40 +57,37 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(_majority(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in s), np.uint64, len(s))[:, None]), "big")
 
 
-def signature(text: str | None) -> list[int]:
-    """Four SimHashes of the set of words, as signed numbers; for candidates of a shingle similarity."""
-    w = sorted(set((text or "").encode("utf-8", "surrogatepass").lower().split())) or [b""]
-    h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in w), np.uint64, len(w))
-    mixed = []
-    for k in MIX:
-        y = (h ^ (h >> np.uint64(31))) * np.uint64(k)
-        y = (y ^ (y >> np.uint64(29))) * np.uint64(MIX[1])
-        mixed.append(y ^ (y >> np.uint64(32)))
-    return np.frombuffer(_majority(np.stack(mixed, 1)), ">u8").astype(np.uint64).view(np.int64).tolist()
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingles' XXH64 (seed 42), ascending."""
+    s = shingles(text, words)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in s), np.uint64, len(s)))
 
 
-def _fingerprints(words: int, id_cols: list[str], schema: pa.Schema, sketch: bool):
+def _fingerprints(words: int, id_cols: list[str], schema: pa.Schema, sets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text")
-            fp = np.fromiter((fingerprint(t.as_py(), words) for t in texts), np.uint64, len(b)).view(np.int64)
-            cols = [b.column(c) for c in id_cols] + [pa.array(fp)]
-            if sketch:
-                cols.append(pa.array([signature(t.as_py()) for t in texts], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+            fps, same = [], []
+            for t in b.column("text"):
+                s = shingles(t.as_py(), words)
+                h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in s), np.uint64, len(s))
+                fps.append(int.from_bytes(_majority(h[:, None]), "big") if s else 0)
+                if sets:
+                    same.append(xxhash.xxh3_128_digest(np.unique(h).tobytes()))
+            cols = [b.column(c) for c in id_cols] + [pa.array(np.array(fps, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(same, pa.binary())] * sets, schema=schema)
 
     return run
 
 
-def with_fingerprints(docs: DataFrame, id_cols: list[str], words: int = 3, sketch: bool = False) -> DataFrame:
-    """id_cols, fp long (the 64 bits as a signed number) and, if asked for, sig array<long>, of each row of docs (text)."""
+def with_fingerprints(docs: DataFrame, id_cols: list[str], words: int = 3, sets: bool = False) -> DataFrame:
+    """id_cols, fp long (the 64 bits as a signed number) and, if asked for, same binary (128 bits of the shingle set), of each row of docs (text)."""
     small_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
     from pyspark.sql.pandas.types import to_arrow_type
 
-    fields = [pa.field(c, to_arrow_type(docs.schema[c].dataType)) for c in id_cols] + [pa.field("fp", pa.int64())] + [pa.field("sig", pa.list_(pa.int64()))] * sketch
-    ddl = ", ".join([*(f"`{c}` {kinds[c]}" for c in id_cols), "fp long"] + ["sig array<long>"] * sketch)
-    return spread(docs.select(*id_cols, "text")).mapInArrow(_fingerprints(words, id_cols, pa.schema(fields), sketch), ddl)
+    fields = [pa.field(c, to_arrow_type(docs.schema[c].dataType)) for c in id_cols] + [pa.field("fp", pa.int64())] + [pa.field("same", pa.binary())] * sets
+    ddl = ", ".join([*(f"`{c}` {kinds[c]}" for c in id_cols), "fp long"] + ["same binary"] * sets)
+    return spread(docs.select(*id_cols, "text")).mapInArrow(_fingerprints(words, id_cols, pa.schema(fields), sets), ddl)
 
 
 def _syndrome(v: Column) -> Column:
@@ -195,52 +192,126 @@ def _verify(words: int, least: float):
     return run
 
 
-#: Of the homes at an anchor, those with the smallest id of each of so many salts stand for the others in near_copies.
-SALTS = 2
-#: A candidate's checking word, 64 bits of another SimHash, differs in at most so many bits.
-CHECK_BITS = 14
+#: Rows whose shingles are counted, so that frequent ones come last in every row's order; shingles that are told apart so.
+COUNTED, FREQUENT = 16_000, 100_000
+#: Rows of the counted ones from which a shingle is frequent.
+OFTEN = 4
 
 
-def sketch_candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs u < v of rows of nodes (id, s0 to s3) that may be near copies, at most SALTS for each node and anchor.
+def frequent_shingles(docs: DataFrame, words: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of the shingles that are frequent in a bounded part of docs (text; rows in all).
 
-    Homes are summed up per anchor to the smallest ids before nodes meet them, so a large group of near copies gives each
-    member a few links to its smallest members, not one to every other.
+    They set the order of the shingles alone: any order finds the same pairs, this one with fewer candidates.
     """
-    words = [f"s{k}" for k in range(len(MIX))]
-    key = (F.shiftleft(F.col("t").cast("long"), 32) + F.col("anchor")).alias("key")
-    # A half of word t / 2 is checked by the next word.
-    check = F.element_at(F.array(*words), (F.shiftright("t", 1) + 1) % len(words) + 1).alias("word")
-    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")
-    first = homes(nodes, words).select(key, salt, F.struct("id", check).alias("h")).groupBy("key", "salt").agg(F.min("h").alias("h"))
-    first = first.select("key", F.col("h.id").alias("u"), F.col("h.word").alias("word_u"))
-    own = probes(nodes, words).select(key.alias("key_v"), F.col("id").alias("v"), check.alias("word_v"))
-    return first.join(own, F.expr(f"key = key_v AND u < v AND {distance('word_u', 'word_v')} <= {CHECK_BITS}")).select("u", "v").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [shingle_set(t.as_py(), words) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64))], ["key"])
+
+    part = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < (COUNTED << 20) // max(rows, 1))
+    often = part.mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= OFTEN)
+    top = often.orderBy(F.desc("count"), "key").limit(FREQUENT).toPandas()
+    keys, counts = top["key"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def _prefixes(words: int, least: float, frequent: Broadcast, id_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = frequent.value
+        for b in batches:
+            sizes, keys = [], []
+            for t in b.column("text"):
+                h = shingle_set(t.as_py(), words)
+                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+                often = np.where(known[at] == h, counts[at], 0) if len(known) else np.zeros(len(h), np.int64)
+                first = len(h) - max(1, math.ceil(least * len(h) - 1e-9)) + 1 if len(h) else 0
+                sizes.append(len(h))
+                keys.append(h[np.argsort(often, kind="stable")[:first]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "keys"])
+
+    return run
+
+
+def prefix_rows(docs: DataFrame, id_col: str, words: int, least: float, nodes: DataFrame) -> DataFrame:
+    """key, id, n, pos: the first shingles, in one order for all, of each row of docs that is in nodes (id); n is the size of its set.
+
+    Two sets with a similarity of least or more have their first common shingle in both prefixes.
+    """
+    small_batches(docs.sparkSession)
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words, docs.count()))
+    sets = spread(docs.select(id_col, "text")).mapInArrow(_prefixes(words, least, frequent, id_col), "id long, n int, keys array<long>")
+    return materialize(sets, "near-prefixes").join(nodes, "id").select("id", "n", F.posexplode("keys").alias("pos", "key"))
+
+
+def _may_be(least: float, n: str, m: str, rest: str, other: str) -> str:
+    """SQL: sets of n and m shingles, of which rest and other follow from a first common one on, can have the similarity."""
+    return f"least({rest}, {other}) >= {least / (1 + least)!r}D * ({n} + {m}) - 1e-6D"
+
+
+def hub_pairs(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key others have too, and candidates u, v of each with the hub of its key: the row where the key comes first.
+
+    Hubs link a large group in few pairs; cross_pairs has all the others.
+    """
+    hubs = rows.groupBy("key").agg(F.min(F.struct("pos", "id", "n")).alias("hub"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    shared = materialize(rows.join(hubs, "key"), "near-shared")
+    found = shared.where(f"id <> hub.id AND {_may_be(least, 'n', 'hub.n', 'n - pos', 'hub.n - hub.pos')}")
+    return shared.drop("hub"), found.select(F.least("id", "hub.id").alias("u"), F.greatest("id", "hub.id").alias("v")).distinct()
+
+
+def cross_pairs(shared: DataFrame, component: DataFrame, least: float) -> DataFrame:
+    """All candidates u < v whose ends are in different components (node, component; others are their own)."""
+    live = shared.join(component.withColumnsRenamed({"node": "id"}), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    live = materialize(live.withColumn("rest", F.expr("n - pos")), "near-live")
+    # Components meet before their members do, so that a large one isn't compared with itself.
+    parts = live.groupBy("key", "component").agg(F.min("n").alias("n"), F.max("rest").alias("rest"))
+    a, b = parts.alias("a"), parts.alias("b")
+    met = a.join(b, F.expr(f"a.key = b.key AND a.component < b.component AND {_may_be(least, 'a.n', 'b.n', 'a.rest', 'b.rest')}")).select("a.key", F.col("a.component").alias("one"), F.col("b.component").alias("other"))
+    side = lambda c, x: live.select("key", F.col("component").alias(c), *(F.col(k).alias(f"{x}_{k}") for k in ("id", "n", "rest")))
+    pairs = met.join(side("one", "x"), ["key", "one"]).join(side("other", "y"), ["key", "other"]).where(_may_be(least, "x_n", "y_n", "x_rest", "y_rest"))
+    return pairs.select(F.least("x_id", "y_id").alias("u"), F.greatest("x_id", "y_id").alias("v")).distinct()
+
+
+def _linked(docs: DataFrame, id_col: str, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of pairs (u, v) whose texts' shingle sets have the similarity."""
+    needed = pairs.select(F.explode(F.array("u", "v")).alias(id_col)).distinct()
+    small_batches(docs.sparkSession)
+    # Joins with texts are the same at every size: neither side's size is bounded.
+    texts = materialize(docs.select(id_col, "text").join(needed.hint("merge"), id_col, "left_semi"), "near-texts")
+    left = texts.select(F.col(id_col).alias("u"), F.col("text").alias("text_a"))
+    right = texts.select(F.col(id_col).alias("v"), F.col("text").alias("text_b"))
+    links = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "text_a", "text_b").mapInArrow(_verify(words, similarity), "u long, v long")
+    return materialize(links, "near-found")
 
 
 def near_copies(docs: DataFrame, id_col: str, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """id_col (unique, not null, long) and group: the smallest id of the near copies of each row of docs (id_col, text).
 
-    Rows are linked if their fingerprints over shingles of so many words differ in 3 bits at most; the groups that this
-    makes are linked by their smallest rows, if the Jaccard similarity of the two rows' shingle sets is at least similarity, verified
-    on the whole texts. Candidates of the latter come from four SimHashes of the word set (sketch_candidates).
+    Rows are linked if their fingerprints over shingles of so many words differ in 3 bits at most, or if the Jaccard
+    similarity of their shingle sets is at least similarity (above 0), verified on the whole texts. Candidates of the latter are all pairs of
+    the smallest rows of 3-bit groups that prefixes of the sets allow (prefix and positional filter): no link is lost. Only pairs
+    whose ends are in one group already are not verified.
     """
     spark = docs.sparkSession
     with scratch(spark) as keep:
-        prints = materialize(with_fingerprints(docs, [id_col], words, sketch=True), "near-prints")
+        prints = materialize(with_fingerprints(docs, [id_col], words, sets=True), "near-prints")
         first = materialize(fingerprint_components(prints.select(id_col, "fp"), id_col).select(id_col, "component_id"), "near-first")
+        # Equal sets are one node.
         leaders = first.where(F.col(id_col) == F.col("component_id")).select(id_col)
-        nodes = prints.join(leaders, id_col).select(F.col(id_col).alias("id"), *(F.col("sig")[k].alias(f"s{k}") for k in range(len(MIX))))
-        pairs = materialize(sketch_candidates(materialize(nodes, "near-nodes")), "near-pairs")
-        needed = pairs.select(F.explode(F.array("u", "v")).alias(id_col)).distinct()
-        small_batches(spark)
-        # Joins with texts are the same at every size: neither side's size is bounded.
-        texts = materialize(docs.select(id_col, "text").join(needed.hint("merge"), id_col, "left_semi"), "near-texts")
-        left = texts.select(F.col(id_col).alias("u"), F.col("text").alias("text_a"))
-        right = texts.select(F.col(id_col).alias("v"), F.col("text").alias("text_b"))
-        links = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "text_a", "text_b").mapInArrow(_verify(words, similarity), "u long, v long")
-        merged = components(links, "near-links").withColumnsRenamed({"node": "component_id", "component": "merged"})
-        return keep(materialize(first.join(merged, "component_id", "left").select(id_col, F.coalesce("merged", "component_id").alias("group")), "near-groups"))
+        nodes = materialize(prints.join(leaders, id_col).groupBy("same").agg(F.min(id_col).alias("id")), "near-nodes")
+        known = first.select(F.col(id_col).alias("u"), F.col("component_id").alias("v")).unionByName(prints.join(nodes, "same").select(F.col(id_col).alias("u"), F.col("id").alias("v")))
+        known = materialize(known.where("u <> v"), "near-known")
+        shared, pairs = hub_pairs(prefix_rows(docs, id_col, words, similarity, nodes.select("id")), similarity)
+        one = first.select(F.col(id_col).alias("u"), F.col("component_id").alias("cu"))
+        other = first.select(F.col(id_col).alias("v"), F.col("component_id").alias("cv"))
+        pairs = materialize(pairs.join(one, "u").join(other, "v").where("cu <> cv").select("u", "v"), "near-pairs")
+        known = known.unionByName(_linked(docs, id_col, pairs, words, similarity))
+        joined = components(known, "near-links")
+        rest = materialize(cross_pairs(shared, joined, similarity).join(pairs, ["u", "v"], "left_anti"), "near-rest")
+        merged = components(known.unionByName(_linked(docs, id_col, rest, words, similarity)), "near-links").withColumnsRenamed({"node": id_col, "component": "merged"})
+        return keep(materialize(first.join(merged, id_col, "left").select(id_col, F.coalesce("merged", id_col).alias("group")), "near-groups"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -191,6 +191,36 @@ def test_one_of_each_near_copy(spark):
     assert simhash.one_of_each(df.limit(0)).count() == 0
 
 
+def plain_groups(texts, least=0.8):
+    """Groups by every pair's fingerprints and shingle sets."""
+    sets, prints = [set(simhash.shingles(t, 5)) for t in texts], [simhash.fingerprint(t, 5) for t in texts]
+    group = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            both = len(sets[i] & sets[j])
+            if group[i] != group[j] and ((prints[i] ^ prints[j]).bit_count() <= 3 or both >= least * (len(sets[i]) + len(sets[j]) - both)):
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    return group
+
+
+def near_groups(spark, texts):
+    got = simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id").collect()
+    return [r.group for r in sorted(got, key=lambda r: r.doc_id)]
+
+
+def test_near_copies_within_a_family(spark):
+    """Members have the same words in orders of their own, so they are below 0.8 to each other; each has one near copy."""
+    rng = random.Random(11)
+    words, texts = ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(200)], []
+    for _ in range(40):
+        member = rng.sample(words, 200)
+        texts += [" ".join(member), " ".join(member[:190] + member[:189:-1])]
+    rng.shuffle(texts)
+    want = plain_groups(texts)
+    assert len(set(want)) == 40 and near_groups(spark, texts) == want
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
 
