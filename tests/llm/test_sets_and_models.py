@@ -221,6 +221,17 @@ def test_near_copies_within_a_family(spark):
     assert len(set(want)) == 40 and near_groups(spark, texts) == want
 
 
+def test_near_copies_appended_and_cut(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    texts = []
+    for k in range(120):
+        n, more = [(220, 35), (200, 45), (1000, 200), (10, 1)][k % 4]
+        w = [word() for _ in range(n + more)]
+        texts += [" ".join(w[:n]), " ".join(w)][:: 1 if k % 8 < 4 else -1]
+    assert near_groups(spark, texts) == [i - i % 2 for i in range(len(texts))]
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
 
