@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, scratch, small_batches, spread
@@ -242,7 +242,7 @@ def prefix_rows(docs: DataFrame, id_col: str, words: int, least: float, nodes: D
     small_batches(docs.sparkSession)
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words, docs.count()))
     sets = spread(docs.select(id_col, "text")).mapInArrow(_prefixes(words, least, frequent, id_col), "id long, n int, keys array<long>")
-    return materialize(sets, "near-prefixes").join(nodes, "id").select("id", "n", F.posexplode("keys").alias("pos", "key"))
+    return sets.join(nodes, "id").select("id", "n", F.posexplode("keys").alias("pos", "key"))
 
 
 def _may_be(least: float, n: str, m: str, rest: str, other: str) -> str:
@@ -255,8 +255,9 @@ def hub_pairs(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
 
     Hubs link a large group in few pairs; cross_pairs has all the others.
     """
-    hubs = rows.groupBy("key").agg(F.min(F.struct("pos", "id", "n")).alias("hub"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    shared = materialize(rows.join(hubs, "key"), "near-shared")
+    by_place = Window.partitionBy("key").orderBy("pos", "id")
+    met = rows.withColumn("hub", F.first(F.struct("pos", "id", "n")).over(by_place.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("id").over(by_place))
+    shared = materialize(met.where("id <> hub.id OR next IS NOT NULL").drop("next"), "near-shared")
     found = shared.where(f"id <> hub.id AND {_may_be(least, 'n', 'hub.n', 'n - pos', 'hub.n - hub.pos')}")
     return shared.drop("hub"), found.select(F.least("id", "hub.id").alias("u"), F.greatest("id", "hub.id").alias("v")).distinct()
 
@@ -291,7 +292,7 @@ def near_copies(docs: DataFrame, id_col: str, words: int = 5, similarity: float
 
     Rows are linked if their fingerprints over shingles of so many words differ in 3 bits at most, or if the Jaccard
     similarity of their shingle sets is at least similarity (above 0), verified on the whole texts. Candidates of the latter are all pairs of
-    the smallest rows of 3-bit groups that prefixes of the sets allow (prefix and positional filter): no link is lost. Only pairs
+    distinct sets that prefixes of the sets allow (prefix and positional filter): no link is lost. Only pairs
     whose ends are in one group already are not verified.
     """
     spark = docs.sparkSession
@@ -299,8 +300,7 @@ def near_copies(docs: DataFrame, id_col: str, words: int = 5, similarity: float
         prints = materialize(with_fingerprints(docs, [id_col], words, sets=True), "near-prints")
         first = materialize(fingerprint_components(prints.select(id_col, "fp"), id_col).select(id_col, "component_id"), "near-first")
         # Equal sets are one node.
-        leaders = first.where(F.col(id_col) == F.col("component_id")).select(id_col)
-        nodes = materialize(prints.join(leaders, id_col).groupBy("same").agg(F.min(id_col).alias("id")), "near-nodes")
+        nodes = materialize(prints.groupBy("same").agg(F.min(id_col).alias("id")), "near-nodes")
         known = first.select(F.col(id_col).alias("u"), F.col("component_id").alias("v")).unionByName(prints.join(nodes, "same").select(F.col(id_col).alias("u"), F.col("id").alias("v")))
         known = materialize(known.where("u <> v"), "near-known")
         shared, pairs = hub_pairs(prefix_rows(docs, id_col, words, similarity, nodes.select("id")), similarity)

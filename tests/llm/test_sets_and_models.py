@@ -232,6 +232,34 @@ def test_near_copies_appended_and_cut(spark):
     assert near_groups(spark, texts) == [i - i % 2 for i in range(len(texts))]
 
 
+def test_near_copies_of_any_member(spark):
+    """x0 and x1 have fingerprints within 3 bits; y is at 0.8 to x1 but below to x0."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    texts, triples = [], 0
+    while triples < 12:
+        x0 = [word() for _ in range(400)]
+        x1 = list(x0)
+        x1[200] = word()
+        prints = [simhash.fingerprint(" ".join(x), 5) for x in (x0, x1)]
+        if (prints[0] ^ prints[1]).bit_count() > 3:
+            continue
+        y = list(x1)
+        for place in range(2, 2 + 8 * 9, 8):
+            y[place] = word()
+        sets = [set(simhash.shingles(" ".join(x), 5)) for x in (x0, x1, y)]
+        while len(sets[1] & sets[2]) >= 0.8 * len(sets[1] | sets[2]):
+            last, place = y, next(p for p in range(398, 0, -1) if y[p] == x1[p] and p != 200)
+            y = [*y[:place], word(), *y[place + 1 :]]
+            sets[2] = set(simhash.shingles(" ".join(y), 5))
+        sets[2] = set(simhash.shingles(" ".join(last), 5))
+        if len(sets[0] & sets[2]) < 0.8 * len(sets[0] | sets[2]):
+            texts += [" ".join(x) for x in (x0, x1, last)]
+            triples += 1
+    want = plain_groups(texts)
+    assert want == [i - i % 3 for i in range(len(texts))] and near_groups(spark, texts) == want
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
 
