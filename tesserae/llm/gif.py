@@ -17,6 +17,8 @@ from .common import small_batches, spread
 
 #: Codes have at most so many bits.
 MAX_BITS = 12
+#: Codes of a full table that are read ahead at once.
+GO_ON = 1 << 14
 #: Payload frames: samples in a row, and rows of a frame at most.
 WIDTH, ROWS = 64, 1024
 #: Bins of a colour histogram for each channel.
@@ -136,9 +138,11 @@ def lzw_decode(stream: bytes, depth: int, wanted: int) -> bytes:
                 have += len(word)
                 prev = word
         if not len(stop) and fits == len(widths):
-            # A full table that is never cleared: the codes go on with the same table.
-            at = int(at + ends[-1])
-            have += _go_on(data, at, total, table, prev, out, clear)
+            # A full table that isn't cleared: the codes go on with the same table, to a clear code if one comes later.
+            at, more, cleared = _go_on(data, int(at + ends[-1]), total, table, out, clear, wanted - have)
+            have += more
+            if cleared:
+                continue
             break
         if not len(stop) or codes[last] == clear + 1:
             break
@@ -148,17 +152,24 @@ def lzw_decode(stream: bytes, depth: int, wanted: int) -> bytes:
     return b"".join(out)[:wanted]
 
 
-def _go_on(data: np.ndarray, at: int, total: int, table: list[bytes], prev: bytes, out: list[bytes], clear: int) -> int:
-    starts = np.arange(at, total - MAX_BITS + 1, MAX_BITS)
-    byte = starts >> 3
-    codes = ((data[byte] | data[byte + 1] << 8 | data[byte + 2] << 16) >> (starts & 7).astype(np.uint32)) & 0xFFF
-    stop = np.flatnonzero((codes == clear) | (codes == clear + 1))
-    if len(stop) and codes[stop[0]] == clear:
-        raise GifError("a clear code so late is not supported")
-    run = codes[: stop[0] if len(stop) else None].tolist()
-    words = [table[c] for c in run]
-    out += words
-    return sum(map(len, words))
+def _go_on(data: np.ndarray, at: int, total: int, table: list[bytes], out: list[bytes], clear: int, wanted: int) -> tuple[int, int, bool]:
+    """Decodes codes of a full table up to a clear or end code, or to wanted samples: the next bit place, the number of samples, whether a clear code came."""
+    have = 0
+    while have < wanted:
+        starts = np.arange(at, min(total - MAX_BITS + 1, at + GO_ON * MAX_BITS), MAX_BITS)
+        byte = starts >> 3
+        codes = ((data[byte] | data[byte + 1] << 8 | data[byte + 2] << 16) >> (starts & 7).astype(np.uint32)) & 0xFFF
+        stop = np.flatnonzero((codes == clear) | (codes == clear + 1))
+        last = int(stop[0]) if len(stop) else len(codes)
+        words = [table[c] for c in codes[:last].tolist()]
+        out += words
+        have += sum(map(len, words))
+        if len(stop):
+            return at + (last + 1) * MAX_BITS, have, int(codes[last]) == clear
+        if not len(codes):
+            break
+        at += len(codes) * MAX_BITS
+    return at, have, False
 
 
 def _blocks(data: bytes) -> bytes:

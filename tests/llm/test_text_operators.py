@@ -111,6 +111,40 @@ def plain_gif_codes(samples, depth):
     return bytes(int(bits[i : i + 8][::-1], 2) for i in range(0, len(bits), 8))
 
 
+def late_gif_codes(samples, depth, after):
+    """A code stream that clears its table once it has written so many more codes than fill it."""
+    full = 4096 - (1 << depth)
+    codes, width, table, w = [(1 << depth, depth + 1)], depth + 1, {(i,): i for i in range(1 << depth)}, ()
+    size, since = (1 << depth) + 2, 0
+    for s in samples:
+        if (*w, s) in table:
+            w = (*w, s)
+            continue
+        codes.append((table[w], width))
+        since += 1
+        if size < 4096:
+            table[(*w, s)] = size
+            size += 1
+            if size > 1 << width and width < 12:
+                width += 1
+        w = (s,)
+        if since == full + after:
+            codes.append((1 << depth, width))
+            table, width, size, since = {(i,): i for i in range(1 << depth)}, depth + 1, (1 << depth) + 2, 0
+    codes.append((table[w], width))
+    if size == 1 << width and width < 12:
+        width += 1
+    bits = "".join(f"{c:0{n}b}"[::-1] for c, n in [*codes, ((1 << depth) + 1, width)])
+    return bytes(int(bits[i : i + 8][::-1], 2) for i in range(0, len(bits), 8))
+
+
+@pytest.mark.parametrize("after", [2, 3, 500, 20_000])
+def test_gif_stream_cleared_late(after):
+    rng = random.Random(after)
+    s = [rng.randrange(256) for _ in range(60_000)]
+    assert gif.lzw_decode(late_gif_codes(s, 8, after), 8, len(s)) == bytes(s)
+
+
 def test_gif_streams_of_another_writer():
     rng = random.Random(9)
     for n in (1, 50, 300, 20_000):
