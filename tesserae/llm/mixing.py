@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, spread
+from .common import materialize, scratch, spread
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights by rank of the source, repeating.
@@ -52,65 +52,97 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def thresholds(slim: DataFrame, budgets: DataFrame) -> DataFrame:
-    """budgets (source, whole, budget) with below: rows of the source whose number is smaller are taken once more than whole.
-
-    slim: source, size, number. budget words of the source, less than all, are wanted; the threshold's own
-    hash value is included if that comes nearer to the budget.
-    """
-    state = budgets.select("source", "whole", F.col("budget").alias("left"), F.lit(0).cast("long").alias("prefix"))
+def _edge(slim: DataFrame, budgets: DataFrame, digits: str) -> DataFrame:
+    """budgets (source, whole, left) with at: the value of slim's column digits at which left words of the source run out, left: what is left
+    of them there, words and n: the words and rows of that value. LEVELS histograms, of which each refines one bucket of the one before."""
+    state = budgets.select("source", "whole", "left", F.lit(0).cast("long").alias("at"))
     for level in range(LEVELS):
         rest = DIGIT_BITS * (LEVELS - 1 - level)
-        s = state.select(F.col("source").alias("s"), "left", "prefix")
-        rows = slim.join(s, _same("source", "s")).where(F.shiftright("number", rest + DIGIT_BITS) == F.col("prefix"))
-        hist = rows.groupBy("s", F.shiftright("number", rest).alias("bucket")).agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+        s = state.select(F.col("source").alias("s"), "left", "at")
+        rows = slim.join(s, _same("source", "s")).where(F.shiftright(digits, rest + DIGIT_BITS) == F.col("at"))
+        hist = rows.groupBy("s", F.shiftright(digits, rest).alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.first("left").alias("left"))
         w = Window.partitionBy("s").orderBy("bucket")
         run = hist.withColumn("through", F.sum("words").over(w)).withColumn("last", F.max("bucket").over(Window.partitionBy("s")))
         # The bucket in which the budget runs out; the last one, if rounding leaves none.
-        edge = run.where((F.col("through") > F.col("left")) | (F.col("bucket") == F.col("last"))).groupBy("s").agg(F.min(F.struct("bucket", "through", "words", "left")).alias("e"))
-        edge = edge.select("s", F.col("e.bucket").alias("prefix_"), (F.col("e.left") - (F.col("e.through") - F.col("e.words"))).alias("left_"), F.col("e.words").alias("words_"))
-        state = state.select("source", "whole").join(edge, _same("source", "s"), "left").select("source", "whole", F.coalesce("left_", F.lit(0.0)).alias("left"), F.coalesce("prefix_", F.lit(0)).alias("prefix"), F.coalesce("words_", F.lit(0)).alias("words"))
-        state = materialize(state, "mix-level")
+        edge = run.where((F.col("through") > F.col("left")) | (F.col("bucket") == F.col("last"))).groupBy("s").agg(F.min(F.struct("bucket", "through", "words", "n", "left")).alias("e"))
+        edge = edge.select("s", F.col("e.bucket").alias("at_"), (F.col("e.left") - (F.col("e.through") - F.col("e.words"))).alias("left_"), F.col("e.words").alias("words_"), F.col("e.n").alias("n_"))
+        found = state.select("source", "whole").join(edge, _same("source", "s"), "left")
+        state = materialize(found.select("source", "whole", F.coalesce("left_", F.lit(0.0)).alias("left"), F.coalesce("at_", F.lit(0)).alias("at"), F.coalesce("words_", F.lit(0)).alias("words"), F.coalesce("n_", F.lit(0)).alias("n")), "mix-level")
+    return state
+
+
+def thresholds(slim: DataFrame, budgets: DataFrame) -> DataFrame:
+    """budgets (source, whole, budget) with below and tie_below: rows of the source whose number is smaller than below, or is below and whose
+    tie is smaller than tie_below, are taken once more than whole.
+
+    slim: source, size, number, tie. budget words of the source, less than all, are wanted; the last row is included if that
+    comes nearer to the budget. Rows that repeat have one number: only where such rows stand at the threshold, they are told apart by tie.
+    """
+    state = _edge(slim, budgets.select("source", "whole", F.col("budget").alias("left")), "number")
     nearer = F.when((F.col("words") > 0) & (2 * F.col("left") >= F.col("words")), 1).otherwise(0)
-    return state.select("source", "whole", (F.col("prefix") + nearer).alias("below"))
+    if (state.agg(F.max("n")).first()[0] or 0) < 2:
+        return state.select("source", "whole", (F.col("at") + nearer).alias("below"), F.lit(0).cast("long").alias("tie_below"))
+    edge = state.select(F.col("source").alias("s"), F.col("at").alias("below"))
+    tied = slim.join(edge, _same("source", "s")).where("number = below").select("source", "size", "tie")
+    ties = _edge(tied, state.select("source", "whole", "left"), "tie").select("source", "whole", (F.col("at") + nearer).alias("tie_below"))
+    return ties.join(edge, _same("source", "s")).select("source", "whole", "below", "tie_below")
 
 
 def source_plan(slim: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """s (the source), source_size, target, whole, below of each source of slim (source, size, number)."""
+    """s (the source), source_size, target, whole, below, tie_below of each source of slim (source, size, number, tie)."""
     per_source = materialize(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights), "mix-targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     budgets = per_source.select("source", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("budget"))
     cut = thresholds(slim, budgets).withColumnRenamed("source", "s")
     # A table of its own: its size is then known, and texts need no shuffle to meet it if it is small.
-    return materialize(per_source.join(cut, _same("source", "s")).select("s", "source_size", "target", "whole", "below"), "mix-plan", 1)
+    return materialize(per_source.join(cut, _same("source", "s")).select("s", "source_size", "target", "whole", "below", "tie_below"), "mix-plan", 1)
+
+
+def _tie() -> Column:
+    """A 36-bit number of a row's place in the input; of use once it is written to a table."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(11), F.monotonically_increasing_id()), 64 - LEVELS * DIGIT_BITS)
 
 
 def _slim(docs: DataFrame, id_col: str) -> DataFrame:
     docs = spread(docs.select(id_col, "source", "text"))
-    return materialize(docs.select(F.col(id_col).alias("id"), "source", word_count("text").alias("size"), number(id_col, "text").alias("number")), "mix-slim")
+    return materialize(docs.select(F.col(id_col).alias("id"), "source", word_count("text").alias("size"), number(id_col, "text").alias("number"), _tie().alias("tie")), "mix-slim")
 
 
 def times() -> Column:
-    """How often the mix takes a row of number, whole and below."""
-    return F.col("whole") + F.when(F.col("number") < F.col("below"), 1).otherwise(0)
+    """How often the mix takes a row of number, tie, whole, below and tie_below."""
+    inside = (F.col("number") < F.col("below")) | (F.col("number") == F.col("below")) & (F.col("tie") < F.col("tie_below"))
+    return F.col("whole") + F.when(inside, 1).otherwise(0)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """id_col, source, size, source_size, target, taken of every row of docs (id_col, text, source).
 
     taken: words that the mix takes of the row, which is its size times 0, 1 or 2 (up to most).
-    A null source is a source like any other, the last; null and empty texts have size 0 and take 0; rows that agree in
-    id and text are taken alike; an empty table gives an empty one. Other columns are not read.
+    A null source is a source like any other, the last; null and empty texts have size 0 and take 0, very long ones are counted whole; of rows that
+    agree in id and text, as many are taken as the budget asks for, and reruns agree in their number; an empty table gives an empty one.
+    Other columns are not read.
     """
-    slim = _slim(docs, id_col)
-    joined = slim.join(source_plan(slim, share, most, weights), _same("source", "s"))
+    with scratch(docs.sparkSession) as keep:
+        slim = keep(_slim(docs, id_col))
+        joined = slim.join(keep(source_plan(slim, share, most, weights)), _same("source", "s"))
     return joined.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("size") * times()).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """The rows of docs that the mix takes, each as often as it takes it, with the columns of docs; rows without words are not taken."""
-    plan = source_plan(_slim(docs, id_col), share, most, weights)
-    held = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("of"), word_count("text").alias("size"), number(id_col, "text").alias("number"))
+    """The rows of docs that the mix takes, each as often as it takes it, with the columns of docs, whatever they are called; rows without words are not taken.
+
+    Null, empty, repeated rows and empty tables: as mix.
+    """
+    with scratch(docs.sparkSession) as keep:
+        plan = source_plan(_slim(docs, id_col), share, most, weights)
+        held = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("of"), word_count("text").alias("size"), number(id_col, "text").alias("number"), F.lit(0).cast("long").alias("tie"))
+        if plan.where("tie_below > 0").limit(1).count():
+            # Rows that repeat stand at a threshold: their ties need a copy of the rows that keeps its order.
+            copy = keep(materialize(docs.select(F.struct(*docs.columns).alias("row"), _tie().alias("tie")), "mix-rows"))
+            inner = copy.select(*(F.col("row").getField(c).alias(n) for c, n in ((id_col, "id"), ("source", "of"), ("text", "text"))), "row", "tie")
+            held = inner.select("row", "of", word_count("text").alias("size"), number("id", "text").alias("number"), "tie")
+            plan = source_plan(held.select(F.col("of").alias("source"), "size", "number", "tie"), share, most, weights)
+        keep(plan)
     taken = held.where("size > 0").join(plan, _same("of", "s")).select("row", times().cast("int").alias("n"))
     return taken.where("n > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("n")))).select("row.*")
 
