@@ -2,7 +2,9 @@
 
 Records are written in the order of their reversed-host URL keys, one gzip member each. The index
 lines of an archive stand in the same order in compressed blocks; a sparse directory has the first key of each
-block. A lookup searches the directory, reads one block's range, and then the record's range.
+block. A lookup finds the files whose range of keys holds its key, binary-searches the file's part of the directory, reads the
+block's range, and then the record's range. Many lookups go to the files together, each file's in the order of their keys, so
+that a block is read once however many keys of it are asked for.
 """
 
 from __future__ import annotations
@@ -14,18 +16,19 @@ import zlib
 from collections.abc import Iterator
 from contextlib import closing
 from dataclasses import dataclass
-from urllib.parse import urlsplit
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_path, small_batches
+from .common import materialize, scratch, shared_path, slices
 
-#: Lines of an index block; payloads from this size on are stored once; bytes of payload that an archive file aims at.
-BLOCK_LINES, REVISIT_BYTES, FILE_BYTES = 500, 1000, 64 << 20
+#: Lines of an index block; payloads from this size on are stored once; bytes of payload that an archive file aims at, and files at most:
+#: larger archives have larger files. Characters of a file's first and last key by which lookups find it.
+BLOCK_LINES, REVISIT_BYTES, FILE_BYTES, FILES, ROUTE_CHARS = 500, 1000, 64 << 20, 1 << 15, 256
 DATE = "1970-01-01T00:00:00Z"
 DIRECTORY_DDL = "first_key string, last_key string, index_file string, offset long, length long, lines int, archive_file string"
 PORTS = {"http": 80, "https": 443}
@@ -58,17 +61,35 @@ def _inflated(data: bytes) -> bytes:
     return zlib.decompress(data, 31)
 
 
+#: What a URI may hold as it is; all else is written as percent-encoded UTF-8.
+URI_SAFE = "%/:=&?~#+!$,;'@()*[]"
+
+
 def record(url: str | None, page_id: int | None, payload: bytes, digest: str, refers_to: int | None, number: str) -> bytes:
-    """A response record, or a revisit of refers_to, whose HTTP header keeps the length of the payload that isn't stored again."""
+    """A response record, or a revisit of refers_to, whose HTTP header keeps the length of the payload that isn't stored again.
+
+    A response is named by its page and digest, so that revisits can refer to it; responses that agree in both share the name. A URL that
+    is no URI as it stands is percent-encoded, and kept beside it; a null URL has none.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if refers_to is not None else 'response'}", f"WARC-Record-ID: <urn:page:{number}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {json.dumps(url)}", f"WARC-Payload-Digest: sha1:{digest}"]
-    if page_id is not None:
-        head.append(f"X-Page-ID: {page_id}")
+    name = lambda page, more="": f"<urn:page:{'' if page is None else page}:{digest}{more}>"
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if refers_to is not None else 'response'}", f"WARC-Record-ID: {name(page_id, f':{number}' if refers_to is not None else '')}", f"WARC-Date: {DATE}"]
+    if url is not None:
+        uri = quote(url.encode("utf-8", "surrogatepass"), safe=URI_SAFE)
+        head.append(f"WARC-Target-URI: {uri}")
+        if uri != url:
+            head.append(f"X-Target-As-Given: {json.dumps(url)}")
+    head.append(f"WARC-Payload-Digest: sha1:{digest}")
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def _page_of(name: str) -> int | None:
+    page = name.strip("<>").split(":")[2]
+    return int(page) if page else None
 
 
 @dataclass
@@ -95,12 +116,12 @@ def parse(data: bytes) -> Capture:
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(dict(x.split(b": ", 1) for x in http.split(b"\r\n")[1:])[b"Content-Length"])
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    number = lambda k: int(fields[k]) if k in fields else None
+    url = json.loads(fields["X-Target-As-Given"]) if "X-Target-As-Given" in fields else fields.get("WARC-Target-URI")
     revisit = fields["WARC-Type"] == "revisit"
     if not revisit:
         if len(payload) != size or hashlib.sha1(payload).hexdigest() != digest:
             raise ValueError(f"record {fields['WARC-Record-ID']} is damaged")
-    return Capture(number("X-Page-ID"), json.loads(fields["WARC-Target-URI"]), fields["WARC-Type"], number("X-Refers-To-Page"), None if revisit else payload, size, digest)
+    return Capture(_page_of(fields["WARC-Record-ID"]), url, fields["WARC-Type"], _page_of(fields["WARC-Refers-To"]) if revisit else None, None if revisit else payload, size, digest)
 
 
 def _writer(folder: str, block_lines: int):
@@ -109,8 +130,8 @@ def _writer(folder: str, block_lines: int):
         part, attempt = task.partitionId(), task.taskAttemptId()
         fs, root = open_store(folder)
         fs.create_dir(root)
-        archive, index = f"part-{part:05d}.warc.gz", f"part-{part:05d}.cdx.gz"
-        own = {n: f"{root}/{n}.{attempt}.tmp" for n in (archive, index)}
+        # Named by attempt: what a lost one left behind is in no directory, and nothing is ever moved or written over.
+        archive, index = f"part-{part:05d}-{attempt}.warc.gz", f"part-{part:05d}-{attempt}.cdx.gz"
         lines: list[tuple[str, str]] = []
         directory: list[dict] = []
         at, index_at, seen = 0, 0, 0
@@ -119,15 +140,16 @@ def _writer(folder: str, block_lines: int):
             nonlocal index_at
             if lines:
                 packed = _member("".join(f"{k} {rest}\n" for k, rest in lines).encode("utf-8", "surrogatepass"))
-                directory.append({"first_key": lines[0][0], "last_key": lines[-1][0], "index_file": index, "offset": index_at, "length": len(packed), "lines": len(lines), "archive_file": archive})
+                directory.append({"first_key": json.loads(lines[0][0]), "last_key": json.loads(lines[-1][0]), "index_file": index, "offset": index_at, "length": len(packed), "lines": len(lines), "archive_file": archive})
                 out.write(packed)
                 index_at += len(packed)
                 lines.clear()
 
+        batches = slices(batches)
         first = next(batches, None)
         if first is None:
             return
-        with closing(fs.open_output_stream(own[archive])) as out, closing(fs.open_output_stream(own[index])) as cdx:
+        with closing(fs.open_output_stream(f"{root}/{archive}", compression=None)) as out, closing(fs.open_output_stream(f"{root}/{index}", compression=None)) as cdx:
             batch: pa.RecordBatch | None = first
             while batch is not None:
                 for row in zip(*(batch.column(c).to_pylist() for c in ("key", "page_id", "url", "payload", "digest", "refers_to")), strict=True):
@@ -141,8 +163,6 @@ def _writer(folder: str, block_lines: int):
                         end_block(cdx)
                 batch = next(batches, None)
             end_block(cdx)
-        for name, path in own.items():  # the whole file at once, by whichever attempt: they write the same
-            fs.move(path, f"{root}/{name}")
         yield pa.RecordBatch.from_pylist(directory, pa.schema([("first_key", pa.string()), ("last_key", pa.string()), ("index_file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("lines", pa.int32()), ("archive_file", pa.string())]))
 
     return run
@@ -161,10 +181,9 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", block_lines: int =
 
     Of the rows with one payload of at least REVISIT_BYTES, those with the largest id are responses and the others revisits; rows
     whose id is null revisit them too, and are responses where no row has an id. Null html is an empty payload, a null
-    url has the empty key. Repeated rows are written each; an empty table gives an empty directory.
+    url has the empty key. Repeated rows are written each; html of any length is one record; an empty table gives an empty directory. Other columns are not read.
     """
     spark = pages.sparkSession
-    small_batches(spark)
     key = F.udf(url_key, "string", useArrow=True)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
@@ -174,7 +193,7 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", block_lines: int =
     rows = rows.join(materialize(shared, "warc-shared"), "digest", "left")
     refers_to = F.when(F.col("page_id").eqNullSafe(F.col("top")), None).otherwise(F.col("top"))
     rows = rows.select(key("url").alias("key"), "page_id", "url", "payload", "digest", refers_to.alias("refers_to"))
-    files = max(12, -(-total // file_bytes))
+    files = min(FILES, max(12, -(-total // file_bytes)))
     folder = shared_path(spark, "warc")
     # Each task names its files by its number, so tasks must not be merged on the way to the directory.
     sorted_rows = rows.repartitionByRange(files, "key", "page_id", "digest").sortWithinPartitions("key", "page_id", "digest")
@@ -191,27 +210,77 @@ def _read_block(fs: pafs.FileSystem, root: str, entry: dict) -> list[tuple[str,
     return out
 
 
-def _reader(folder: str):
-    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+
+
+def _looked_up(folder: str):
+    """The captures of the keys that are asked of each index file; its part of the directory stands before them, and they are in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_store(folder)
-        for b in batches:
-            for entry in b.to_pylist():
-                found = []
-                with fs.open_input_file(f"{root}/{entry['archive_file']}") as f:
-                    for _, line in _read_block(fs, root, entry):
-                        c = parse(_inflated(f.read_at(line["length"], line["offset"])))
-                        found.append((c.page_id, c.payload_bytes, c.digest, c.record_type, c.refers_to))
-                yield pa.RecordBatch.from_arrays([pa.array(x, k.type) for x, k in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+        file, entries, firsts, block, keys, lines, source = None, [], [], -1, [], [], None
+        try:
+            for b in slices(batches):
+                found: list[tuple] = []
+                for row in b.to_pylist():
+                    if row["index_file"] != file:
+                        file, entries, firsts, block = row["index_file"], [], [], -1
+                        if source is not None:
+                            source.close()
+                            source = None
+                    if row["kind"] == 0:
+                        entries.append(row)
+                        firsts.append(row["key"])
+                        continue
+                    at = max(0, bisect.bisect_left(firsts, row["key"]) - 1)
+                    while at < len(entries) and firsts[at] <= row["key"]:
+                        if at != block:
+                            block, (keys, lines) = at, tuple(zip(*_read_block(fs, root, entries[at]), strict=True))
+                        for line in lines[bisect.bisect_left(keys, row["key"]) : bisect.bisect_right(keys, row["key"])]:
+                            if source is None:
+                                source = fs.open_input_file(f"{root}/{entries[at]['archive_file']}")
+                            c = parse(_inflated(source.read_at(line["length"], line["offset"])))
+                            found.append((c.page_id, c.payload_bytes, c.digest, c.record_type, c.refers_to))
+                        at += 1
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k.type) for x, k in zip(zip(*found, strict=True), READ, strict=True)], schema=READ)
+        finally:
+            if source is not None:
+                source.close()
 
     return run
 
 
-def read_archive(archive: Archive) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, read through the index, block by block."""
-    blocks = archive.directory.repartition(max(archive.directory.sparkSession.sparkContext.defaultParallelism, archive.directory.rdd.getNumPartitions()), "index_file", "offset")
-    return blocks.mapInArrow(_reader(archive.folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+def _routed(files: Broadcast):
+    """Keys of the URLs asked for, once a batch, and the files that may hold them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high, names = files.value
+        for b in slices(batches):
+            found = []
+            for key in {url_key(u) for u in b.column(0).to_pylist()}:
+                start = key[:ROUTE_CHARS]
+                found += [(names[i], key) for i in range(bisect.bisect_left(high, start), bisect.bisect_right(low, start))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in range(2)], ["index_file", "key"])
+
+    return run
+
+
+def captures(archive: Archive, urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every capture of the URL keys of urls (url_col).
+
+    A key is looked up once, however often it is asked for; one without a capture gives no row; a null url asks for the captures of null.
+    """
+    spark = urls.sparkSession
+    entries = archive.directory.select("index_file", F.lit(0).alias("kind"), F.col("first_key").alias("key"), "offset", "length", "archive_file")
+    # FILES rows at most, of bounded length; keys stand in the order of files.
+    held = archive.directory.groupBy("index_file").agg(F.substring(F.min("first_key"), 1, ROUTE_CHARS).alias("low"), F.substring(F.max("last_key"), 1, ROUTE_CHARS).alias("high"))
+    files = sorted((r.low, r.high, r.index_file) for r in held.collect())
+    route = spark.sparkContext.broadcast(tuple(map(list, zip(*files, strict=True))) or ([], [], []))
+    lookups = urls.select(url_col).mapInArrow(_routed(route), "index_file string, key string").distinct()
+    lookups = lookups.select("index_file", F.lit(1).alias("kind"), "key", F.lit(None).cast("long").alias("offset"), F.lit(None).cast("long").alias("length"), F.lit(None).cast("string").alias("archive_file"))
+    together = entries.unionByName(lookups).repartition(max(12, len(files)), "index_file").sortWithinPartitions("index_file", "kind", "key", "offset")
+    return together.mapInArrow(_looked_up(archive.folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 class Index:
@@ -220,8 +289,8 @@ class Index:
     def __init__(self, archive: Archive):
         self.fs, self.root = open_store(archive.folder)
         rows = [r.asDict() for r in archive.directory.toLocalIterator()]
-        self.blocks = sorted(rows, key=lambda r: (json.loads(r["first_key"]), r["index_file"], r["offset"]))
-        self.first = [json.loads(r["first_key"]) for r in self.blocks]
+        self.blocks = sorted(rows, key=lambda r: (r["first_key"], r["index_file"], r["offset"]))
+        self.first = [r["first_key"] for r in self.blocks]
 
     def find(self, url: str | None) -> list[Capture]:
         """The captures of a URL's key: binary search in the directory, then ranges of blocks and records."""
@@ -239,8 +308,11 @@ class Index:
 
 
 def archived_pages(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """Every page written to archives and read back; the columns of read_archive, the id as id_col."""
-    return read_archive(write_archive(pages, id_col)).withColumnRenamed("page_id", id_col)
+    """Every page written to archives, and every capture of the pages' URLs looked up and read back; the columns of captures, the id as id_col."""
+    with scratch(pages.sparkSession) as keep:
+        archive = write_archive(pages, id_col)
+        keep(archive.directory)
+    return captures(archive, pages).withColumnRenamed("page_id", id_col)
 
 
 #: DuckDB: what the records must say.
