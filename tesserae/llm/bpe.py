@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import small_batches, spread
+from .common import slices, spread
 
 #: Words that a Python worker remembers before it starts anew; longer words than LONG bytes are not remembered.
 REMEMBERED, LONG = 800_000, 64
@@ -171,7 +171,7 @@ def _together(own: Tokenizer, batches: Iterator[pa.RecordBatch], column: str) ->
         for b, texts in held:
             yield b, texts, [next(ids) for _ in texts]
 
-    for b in batches:
+    for b in slices(batches):
         held.append((b, texts := [t or "" for t in b.column(column).to_pylist()]))
         size += sum(map(len, texts))
         if size >= TOGETHER:
@@ -214,7 +214,6 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, keep: list[str], colu
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    small_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
     base = [pa.field(c, to_arrow_type(docs.schema[c].dataType)) for c in keep] + [pa.field("n_tokens", pa.int64())]
     last, kind = (("ids_sha256", "decoded_sha256"), (pa.string(), "string")) if digests else (("ids", "decoded"), (pa.binary(), "binary"))

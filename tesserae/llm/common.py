@@ -6,12 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch to Python holds at most, so that a batch of long texts stays small.
+#: Rows that are worked on at once. Spark bounds the bytes of a batch (spark.sql.execution.arrow.maxBytesPerBatch).
 ARROW_ROWS = 256
 #: Bytes for each core below which a table may be dealt out to all cores.
 SMALL_PART = 16 << 20
@@ -23,15 +24,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker holds of a column of texts at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of ARROW_ROWS rows: bounds what a Python worker makes of a column of texts at once."""
+    for b in batches:
+        for at in range(0, len(b), ARROW_ROWS):
+            yield b.slice(at, ARROW_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary one if all runs in one process on one machine, as in tests; on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tesserae-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -41,7 +49,8 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-_scratch: list[list[str]] = []
+#: Of each scratch() around the running code, outermost first, the tables made in it; threads have their own.
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 def materialize(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
@@ -52,8 +61,8 @@ def materialize(df: DataFrame, label: str, files: int | None = None) -> DataFram
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.coalesce(files or FILES_PER_CORE * spark.sparkContext.defaultParallelism).write.parquet(path)
-    if _scratch:
-        _scratch[-1].append(path)
+    if around := _scratch.get():
+        around[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.tesserae_path = path
     return out
@@ -75,16 +84,25 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.add(df.tesserae_path)
         return df
 
-    _scratch.append(paths)
+    around = _scratch.get()
+    token = _scratch.set((*around, paths))
     try:
         yield keep
     finally:
-        _scratch.pop()
+        _scratch.reset(token)
         for p in paths:
             if p not in kept:
                 discard(spark, p)
-        if _scratch:
-            _scratch[-1].extend(kept)
+        if around:
+            around[-1].extend(kept)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name, with as many underscores as it takes to be none of columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def crc_mod(key: str, n: int) -> Column:
@@ -109,7 +127,6 @@ def append(df: DataFrame, column: str, compute: Callable[[list], list], fields:
     """df (all columns, or keep) with what compute makes of a batch of column's values: a list for each of fields (name, DDL, Arrow type)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    small_batches(df.sparkSession)
     keep = df.columns if keep is None else keep
     kinds = dict(df.dtypes)
     if taken := {f[0] for f in fields} & set(keep):
@@ -118,7 +135,7 @@ def append(df: DataFrame, column: str, compute: Callable[[list], list], fields:
     ddl = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"{n} {d}" for n, d, _ in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             made = compute(b.column(column).to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(x, f[2]) for x, f in zip(made, fields, strict=True))], schema=schema)
 

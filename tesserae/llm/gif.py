@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches, spread
+from .common import slices, spread
 
 #: Codes have at most so many bits.
 MAX_BITS = 12
@@ -287,7 +287,6 @@ def decode_column(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    small_batches(df.sparkSession)
     kind = to_arrow_type(df.schema[id_col].dataType)
     schema = pa.schema([pa.field(id_col, kind), ("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("rgba", pa.binary()), ("histogram", pa.list_(pa.int64())), ("error", pa.string())])
 
@@ -303,7 +302,7 @@ def decode_column(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
             start += f.delay_ms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for key, media in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for row in rows(key, media) if media is not None else ():
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True))], schema=schema)
@@ -344,11 +343,10 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    small_batches(docs.sparkSession)
     schema = pa.schema([pa.field(id_col, to_arrow_type(docs.schema[id_col].dataType)), *STORED])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for text in b.column(1):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")

@@ -113,14 +113,15 @@ def _measure(texts: list) -> list:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled: int = LABELLED) -> Forest:
     """A forest from labelled rows whose crc32(id as text) mod 5 is not 0.
 
-    Null ids, null labels and labels without a document are left out; an id with several labels has the least of them.
+    Null ids, null labels and labels without a document are left out; an id with several labels has the least of them. Of documents
+    with one id, the least text is fitted, so that the sample is bounded however often an id repeats.
     """
     docs = spread(docs.select(id_col, "text"))
     inside = F.col(id_col).isNotNull() & (crc_mod(id_col, 5) != 0)
     known = labels.where(inside & F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").alias("quality"))
     with scratch(docs.sparkSession):
         known = materialize(known.orderBy(F.xxhash64(F.lit(8), F.col(id_col)), id_col).limit(labelled), "quality-sample")  # at most labelled rows
-        texts = docs.where(inside).select(id_col, "text").join(F.broadcast(known), id_col)
+        texts = docs.where(inside).join(F.broadcast(known), id_col).groupBy(id_col, "quality").agg(F.min("text").alias("text"))
         rows = append(texts, "text", _measure, [("x", "array<double>", pa.list_(pa.float64()))], [id_col, "quality"]).toPandas().sort_values(id_col, kind="stable")
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(STATISTICS))
     return fit_forest(x, rows["quality"].to_numpy(float))

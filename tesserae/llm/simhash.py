@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, small_batches, spread
+from .common import materialize, scratch, slices, spread
 from .components import components
 
 #: Position i (1 to 31) of the Hamming code is column i of its check matrix; mask j holds the positions with bit j.
@@ -57,15 +57,9 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(_majority(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in s), np.uint64, len(s))[:, None]), "big")
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """The distinct shingles' XXH64 (seed 42), ascending."""
-    s = shingles(text, words)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in s), np.uint64, len(s)))
-
-
 def _fingerprints(words: int, id_cols: list[str], schema: pa.Schema, sets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps, same = [], []
             for t in b.column("text"):
                 s = shingles(t.as_py(), words)
@@ -81,7 +75,6 @@ def _fingerprints(words: int, id_cols: list[str], schema: pa.Schema, sets: bool)
 
 def with_fingerprints(docs: DataFrame, id_cols: list[str], words: int = 3, sets: bool = False) -> DataFrame:
     """id_cols, fp long (the 64 bits as a signed number) and, if asked for, same binary (128 bits of the shingle set), of each row of docs (text)."""
-    small_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -159,13 +152,18 @@ def fingerprint_components(prints: DataFrame, id_col: str, max_bits: int = 3, ho
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("two 32-bit halves cover at most 3 differing bits")
+    with scratch(prints.sparkSession) as keep:
+        return prints.join(keep(materialize(_named(prints, id_col, max_bits, hot_anchor), "simhash-named")), "fp")
+
+
+def _named(prints: DataFrame, id_col: str, max_bits: int, hot_anchor: int) -> DataFrame:
+    """fp and component_id of each fingerprint."""
     nodes = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("rep")), "simhash-nodes")
     pairs = anchor_pairs(nodes.select("fp"), ["fp"], f"a.fp < b.fp AND {distance('a.fp', 'b.fp')} <= {max_bits}", True, hot_anchor)
     found = components(pairs.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")), "simhash-links").withColumnRenamed("node", "fp")
     grouped = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = grouped.join(least, "component").select("fp", "component_id")
-    return prints.join(named, "fp")
+    return grouped.join(least, "component").select("fp", "component_id")
 
 
 def simhash_near_dups(docs: DataFrame, id_col: str = "doc_id", words: int = 3, max_bits: int = 3) -> DataFrame:
@@ -180,7 +178,7 @@ def simhash_near_dups(docs: DataFrame, id_col: str = "doc_id", words: int = 3, m
 
 def _verify(words: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ok = []
             for x, y in zip(b.column("text_a"), b.column("text_b"), strict=True):
                 p, q = set(shingles(x.as_py(), words)), set(shingles(y.as_py(), words))
@@ -192,43 +190,108 @@ def _verify(words: int, least: float):
     return run
 
 
-#: Rows whose shingles are counted, so that frequent ones come last in every row's order; shingles that are told apart so.
-COUNTED, FREQUENT = 16_000, 100_000
-#: Rows of the counted ones from which a shingle is frequent.
-OFTEN = 4
+class _WordHashes(dict):
+    """XXH64 of words, remembered up to a bound."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return h
 
-def frequent_shingles(docs: DataFrame, words: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, and counts of the shingles that are frequent in a bounded part of docs (text; rows in all).
 
-    They set the order of the shingles alone: any order finds the same pairs, this one with fewer candidates.
-    """
+_word_hashes = _WordHashes()
+
+
+def shingle_keys(text: str | None, words: int) -> np.ndarray:
+    """Distinct 64-bit keys, ascending, of the shingles: equal shingles have equal keys, made of their words' hashes."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    h = np.fromiter(map(_word_hashes.__getitem__, w), np.uint64, len(w))
+    k = np.full(max(len(h) - words + 1, min(len(h), 1)), len(h) if len(h) < words else words, np.uint64)
+    for i in range(min(words, len(h))):
+        k = (k ^ h[i : i + len(k)]) * np.uint64(0x9E3779B97F4A7C15)
+        k ^= k >> np.uint64(29)
+    return np.unique(k)
+
+
+#: Slots into which the shingles of all texts are counted, and parts of them; shingles that are counted together before they are sent.
+SLOTS, SLOT_PARTS, COUNTED_AT_ONCE = 1 << 27, 1024, 1 << 20
+#: A slot is frequent from so many texts on, and four times what the average slot of its part has.
+OFTEN = 8
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(37)).astype(np.uint32)
 
+
+def _slot_counts(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = [shingle_set(t.as_py(), words) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64))], ["key"])
+        held, n, size = [], 0, SLOTS // SLOT_PARTS
+
+        def sent() -> pa.RecordBatch:
+            slots, counts = np.unique(np.concatenate(held), return_counts=True)
+            cut = np.searchsorted(slots, np.arange(SLOT_PARTS + 1, dtype=np.int64) * size)
+            full = [i for i in range(SLOT_PARTS) if cut[i] < cut[i + 1]]
+            blob = lambda x: pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), blob(slots % size), blob(counts.astype(np.uint32))], ["part", "slots", "counts"])
+
+        for b in slices(batches):
+            for t in b.column("text"):
+                held.append(_slot(shingle_keys(t.as_py(), words)))
+                n += len(held[-1])
+                if n >= COUNTED_AT_ONCE:
+                    yield sent()
+                    held, n = [], 0
+        if n:
+            yield sent()
+
+    return run
+
 
-    part = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < (COUNTED << 20) // max(rows, 1))
-    often = part.mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= OFTEN)
-    top = often.orderBy(F.desc("count"), "key").limit(FREQUENT).toPandas()
-    keys, counts = top["key"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    return keys[order], counts[order]
+def _frequent_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums up one part after another: its rows stand together."""
+    held, own = -1, np.zeros(SLOTS // SLOT_PARTS, np.uint32)
+
+    def found() -> pa.RecordBatch:
+        bits = np.packbits(own >= OFTEN + 4 * own.mean()).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), pa.array([bits], pa.binary())], ["part", "bits"])
+
+    for b in batches:
+        for part, slots, n in zip(b.column("part").to_pylist(), b.column("slots"), b.column("counts"), strict=True):
+            if part != held:
+                if held >= 0:
+                    yield found()
+                held = part
+                own[:] = 0
+            own[np.frombuffer(slots.as_buffer(), np.uint32)] += np.frombuffer(n.as_buffer(), np.uint32)
+    if held >= 0:
+        yield found()
+
+
+def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """A bit for each slot of shingles: is it in many texts of docs (text)? Counted over all texts; a fixed 16 MB.
+
+    The bits set the order of the shingles alone: any order finds the same pairs, this one with fewer candidates.
+    """
+    counted = spread(docs.select("text")).mapInArrow(_slot_counts(words), "part int, slots binary, counts binary")
+    out = np.zeros((SLOT_PARTS, SLOTS // SLOT_PARTS // 8), np.uint8)
+    for r in counted.repartition("part").sortWithinPartitions("part").mapInArrow(_frequent_slots, "part int, bits binary").collect():
+        out[r.part] = np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
 
 
 def _prefixes(words: int, least: float, frequent: Broadcast, id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = frequent.value
-        for b in batches:
+        bits = frequent.value
+        for b in slices(batches):
             sizes, keys = [], []
             for t in b.column("text"):
-                h = shingle_set(t.as_py(), words)
-                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-                often = np.where(known[at] == h, counts[at], 0) if len(known) else np.zeros(len(h), np.int64)
-                first = len(h) - max(1, math.ceil(least * len(h) - 1e-9)) + 1 if len(h) else 0
-                sizes.append(len(h))
-                keys.append(h[np.argsort(often, kind="stable")[:first]].view(np.int64))
+                k = shingle_keys(t.as_py(), words)
+                slot = _slot(k)
+                often = bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1
+                first = len(k) - max(1, math.ceil(least * len(k) - 1e-9)) + 1 if len(k) else 0
+                sizes.append(len(k))
+                keys.append(k[np.argsort(often, kind="stable")[:first]].view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "keys"])
 
     return run
@@ -239,8 +302,7 @@ def prefix_rows(docs: DataFrame, id_col: str, words: int, least: float, nodes: D
 
     Two sets with a similarity of least or more have their first common shingle in both prefixes.
     """
-    small_batches(docs.sparkSession)
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words, docs.count()))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
     sets = spread(docs.select(id_col, "text")).mapInArrow(_prefixes(words, least, frequent, id_col), "id long, n int, keys array<long>")
     return sets.join(nodes, "id").select("id", "n", F.posexplode("keys").alias("pos", "key"))
 
@@ -278,7 +340,6 @@ def cross_pairs(shared: DataFrame, component: DataFrame, least: float) -> DataFr
 def _linked(docs: DataFrame, id_col: str, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of pairs (u, v) whose texts' shingle sets have the similarity."""
     needed = pairs.select(F.explode(F.array("u", "v")).alias(id_col)).distinct()
-    small_batches(docs.sparkSession)
     # Joins with texts are the same at every size: neither side's size is bounded.
     texts = materialize(docs.select(id_col, "text").join(needed.hint("merge"), id_col, "left_semi"), "near-texts")
     left = texts.select(F.col(id_col).alias("u"), F.col("text").alias("text_a"))
@@ -318,13 +379,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", words: int = 5, similar
     """The rows of docs with the smallest id of their group of near copies, with all columns.
 
     If ids repeat or are null, rows are numbered in a copy of docs first; null ids then sort last, equal ids by place in the input.
+    Null, empty and wordless texts are copies of one another. Texts of any length are compared whole. Columns other than id_col and text may have any name;
+    an empty table gives an empty one.
     """
     n, ids = docs.agg(F.count("*"), F.countDistinct(id_col)).first()
     if n == ids and dict(docs.dtypes)[id_col] == "bigint":
         groups = near_copies(docs, id_col, words, similarity)
         return docs.join(groups.where(F.col(id_col) == F.col("group")).select(id_col).hint("merge"), id_col, "left_semi").select(*docs.columns)
-    row = "tesserae_row"
-    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "near-docs")
-    groups = near_copies(numbered, row, words, similarity).join(numbered.select(row, F.col(id_col).alias("id")), row)
-    kept = groups.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", row)).alias("k")).select(f"k.{row}")
-    return numbered.join(kept.hint("merge"), row, "left_semi").select(*docs.columns)
+    # The row is one column beside its number, whatever its columns are called.
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("n"), F.struct(*docs.columns).alias("row")), "near-docs")
+    ids = F.col("row").getField(id_col)
+    groups = near_copies(numbered.select("n", F.col("row").getField("text").alias("text")), "n", words, similarity).join(numbered.select("n", ids.alias("id")), "n")
+    kept = groups.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "n")).alias("k")).select("k.n")
+    return numbered.join(kept.hint("merge"), "n", "left_semi").select("row.*")

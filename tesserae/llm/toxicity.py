@@ -90,7 +90,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", positives:
     """A model from rows whose crc32(id as text) mod 4 is not 2.
 
     Of labels (id_col, toxic), only rows with toxic = 1 say anything of a text; all rows give the class prior. Null ids,
-    null labels and labels without a document are left out; an id that is toxic in any row is toxic.
+    null labels and labels without a document are left out; an id that is toxic in any row is toxic. Of documents with one id, the
+    least text is fitted, so that the sample is bounded however often an id repeats.
     """
     docs = spread(docs.select(id_col, "text"))
     inside = F.col(id_col).isNotNull() & (crc_mod(id_col, 4) != 2)
@@ -101,13 +102,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", positives:
         p = known.where("toxic = 1").orderBy(*by_hash).limit(positives).select(id_col, F.lit(1).alias("toxic"))
         u = docs.where(inside).select(id_col).distinct().orderBy(*by_hash).limit(unlabelled).select(id_col, F.lit(0).alias("toxic"))
         ids = materialize(p.unionByName(u), "toxicity-sample")  # at most positives + unlabelled rows
-        texts = docs.where(inside).select(id_col, "text").join(F.broadcast(ids), id_col)
+        texts = docs.where(inside).join(F.broadcast(ids), id_col).groupBy(id_col, "toxic").agg(F.min("text").alias("text"))
         found = append(texts, "text", lambda ts: [[sorted(features(t)) for t in ts]], [("found", "array<string>", pa.list_(pa.string()))], ["toxic"])
         found = materialize(found, "toxicity-features")
         chosen = choose(found)
         index = {f: k for k, f in enumerate(chosen)}
         rows = append(found, "found", lambda fs: [[[index[f] for f in own if f in index] for own in fs]], [("places", "array<int>", pa.list_(pa.int32()))], ["toxic"]).collect()
-        return fit_nnpu(chosen, [r.places for r in rows if r.toxic], [r.places for r in rows if not r.toxic], prior)
+        return fit_nnpu(chosen, sorted(r.places for r in rows if r.toxic), sorted(r.places for r in rows if not r.toxic), prior)
 
 
 def choose(found: DataFrame) -> list[str]:

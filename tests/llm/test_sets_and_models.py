@@ -1,6 +1,9 @@
 """Mixing, sharding, near-duplicates, search and classifiers against plain versions and held-out rows."""
 
+import glob
+import os
 import random
+import shutil
 
 import duckdb
 import numpy as np
@@ -56,6 +59,17 @@ def test_mixed_rows_repeat(spark):
     assert words == mixing.mix(df).agg(F.sum("taken")).first()[0]
 
 
+def test_mix_splits_hot_repeated_rows(spark):
+    rows = [(1, "w " * 100, "en", "a", 1)] * 400 + [(2, "w " * 144, "en", "a", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(df).toPandas()
+    assert got.target[0] == 60_216 and abs(got.taken.sum() - 60_216) <= 144
+    assert sorted(got.taken) == sorted(mixing.mix(df.repartition(7)).toPandas().taken)
+    back = mixing.mixed_rows(df.withColumnsRenamed({"lang": "tie", "n_chars": "number"}))
+    assert back.columns == ["doc_id", "text", "tie", "source", "number"]
+    assert back.select(mixing.word_count("text").alias("n")).agg(F.sum("n")).first()[0] == got.taken.sum()
+
+
 def place(df, **kw):
     return sharding.shard_by_size(df, **kw).toPandas()
 
@@ -287,20 +301,46 @@ def test_search_of_odd_rows(spark):
     assert balltree.top_products(vectors(spark, rows).limit(0), "vec_id % 50 = 0").count() == 0
 
 
-@pytest.mark.parametrize("scale", [10, 1 << 25])
+@pytest.mark.parametrize("scale", [10, 1 << 25, 1 << 26, 1 << 29])
 def test_tree_search_is_exact(scale):
     rng = np.random.default_rng(scale)
     rows = rng.integers(-scale, scale, (700, 8))
     rows[300:400] = rows[0]
+    rows[400:430] = -rows[1]
     ids = np.arange(700)
     tree = balltree.build(ids, rows, 16)
-    q, i, s = balltree.search(tree, ids[:40], rows[:40].astype(float), np.full(40, balltree.LOWEST), 5)
+    q, i, s = balltree.search(tree, ids[:40], rows[:40], np.full(40, balltree.LOWEST), 5)
     for k in range(40):
         exact = rows[k].astype(object) @ rows.astype(object).T
         best = sorted((-int(exact[j]), j) for j in ids if j != k)[:5]
         assert sorted(zip(-s[q == k], i[q == k], strict=True)) == best
 
 
+def test_search_refuses_what_64_bits_cannot_hold(spark):
+    assert balltree._products(np.array([[1 << 40, 3]]), np.array([[1 << 22, -1]])).tolist() == [[(1 << 62) - 3]]
+    with pytest.raises(OverflowError):
+        balltree._products(np.array([[1 << 40, 0]]), np.array([[1 << 23, 0]]))
+    with pytest.raises(Exception, match="64 bits"):
+        balltree.top_products(vectors(spark, [(0, [1e38, 1.0], 0), (1, [1.0, 1.0], 0)]), "vec_id % 50 = 0").count()
+
+
+def test_search_prunes_shards_by_their_balls(spark, monkeypatch):
+    monkeypatch.setattr(balltree, "SHARD_ROWS", 50)
+    rng = np.random.default_rng(8)
+    centres = 40 * np.eye(12)
+    rows = [(i, (centres[i % 12] + rng.normal(0, 0.2, 12)).tolist(), 0) for i in range(1200)]
+    met = []
+    kept = balltree.materialize
+    monkeypatch.setattr(balltree, "materialize", lambda df, label: (out := kept(df, label), met.append(out) if label == "ball-met" else None)[0])
+    monkeypatch.setattr(balltree, "scratch", lambda spark: __import__("contextlib").nullcontext(lambda df: df))
+    got = balltree.top_products(vectors(spark, rows), "vec_id % 50 = 0").toPandas()
+    v = np.floor(256 * np.array([r[1] for r in rows], np.float32).astype(float)).astype(int)
+    want = [(q, k + 1, i, -s) for q in range(0, 1200, 50) for k, (s, i) in enumerate(sorted((-int(v[q] @ v[i]), i) for i in range(1200) if i != q)[:5])]
+    same(got, pd.DataFrame(want, columns=["query_id", "rank", "vec_id", "score"]))
+    pairs = sum(m.agg(F.coalesce(F.sum(F.octet_length("places") / 8), F.lit(0))).first()[0] for m in met)
+    assert pairs < 24 * 24 / 2  # of 24 queries and some 24 shards or more
+
+
 def held_out(got, labels, name):
     pdf = got.join(labels, "doc_id").toPandas()
     return pdf[pdf.held_out], pdf[~pdf.held_out]
@@ -356,6 +396,37 @@ def test_flat_trees_as_recursion():
     assert np.allclose(plain, f.score(x[:20]))
 
 
+def test_pipeline_stages_of_odd_rows(spark):
+    import corpus_pipeline as cp
+
+    rows = [(None, None, None, None, None), (1, "", "en", None, 0), (1, "", "en", None, 0), (2, " \t", None, "s", 2), (3, "kind words of a clean text " * 4000, "en", "s", 9)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(7) for c in ("toxic_score", "Quality_Score", "n", "row", "id", "number", "group", "fp", "size", "of")})
+    for name, stage in cp.STAGES:
+        got = stage(spark, docs, SF)
+        if name.startswith("byte"):
+            assert got.count() == 5 and got.where("NOT exact").count() == 0
+        else:
+            assert got.columns == docs.columns and got.where("doc_id = 3 AND n = 7").count() > 0
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert sorted(r.doc_id for r in cp.drop_near_copies(spark, docs, SF).select("doc_id").collect()) == [1, 3]
+
+
+def test_settings_and_scratch_stay_as_they_were(spark):
+    def listed():
+        return {os.path.basename(p).rpartition("-")[0] for p in glob.glob(f"{common.shared_dir(spark)}/*")}
+
+    for p in glob.glob(f"{common.shared_dir(spark)}/*"):
+        shutil.rmtree(p)
+    before = {r.key: r.value for r in spark.sql("SET").collect()}
+    for name, run in queries.queries().items():
+        run(spark, SF).write.format("noop").mode("overwrite").save()
+        # Only what the result itself reads is left.
+        assert len(listed()) <= 3, (name, listed())
+        for p in glob.glob(f"{common.shared_dir(spark)}/*"):
+            shutil.rmtree(p)
+    assert {r.key: r.value for r in spark.sql("SET").collect()} == before
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 

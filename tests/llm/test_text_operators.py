@@ -241,6 +241,40 @@ def test_archive_says_what_sql_says(spark):
     assert warc.archived_pages(df.limit(0)).count() == 0
 
 
+def test_lookups_read_only_the_blocks_they_need(spark):
+    rows = [(i, f"http://h{i % 7}.example/{'same' if i % 3 == 0 else i}\n{i % 2}", f"page {i} " * (200 if i % 5 else 1), "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, kind string")
+    archive = warc.write_archive(df, block_lines=4, file_bytes=20_000)
+    wanted = df.where("page_id % 10 = 3 OR page_id = 0")
+    got = warc.captures(archive, wanted.unionByName(wanted)).toPandas()
+    keys = {warc.url_key(r[1]) for r in rows if r[0] % 10 == 3 or r[0] == 0}
+    assert sorted(got.page_id) == [i for i, u, _, _ in rows if warc.url_key(u) in keys]
+    assert sorted(warc.captures(archive, df).toPandas().page_id) == list(range(300))
+    # The directory leads to few blocks: count those that a task reads.
+    one = archive.directory.groupBy("index_file").count().first()
+    entries = [r.asDict() | {"kind": 0, "key": r.first_key} for r in archive.directory.where(F.col("index_file") == one.index_file).orderBy("first_key", "offset").collect()]
+    read = []
+    kept = warc._read_block
+    warc._read_block = lambda *a: read.append(a[2]["offset"]) or kept(*a)
+    try:
+        import pyarrow as pa
+
+        ask = entries + [{"index_file": one.index_file, "kind": 1, "key": k, "offset": None, "length": None, "archive_file": None} for k in (entries[0]["first_key"], entries[-1]["last_key"])]
+        list(warc._looked_up(archive.folder)(iter([pa.RecordBatch.from_pylist([{k: x[k] for k in ("index_file", "kind", "key", "offset", "length", "archive_file")} for x in ask])])))
+    finally:
+        warc._read_block = kept
+    assert 2 <= len(read) <= 6 and (len(entries) < 6 or len(read) < len(entries))
+
+
+def test_records_use_standard_fields():
+    digest = hashlib.sha1(b"x").hexdigest()
+    data = warc.record('http://a/é "b"\r\nX: y', 7, b"x", digest, 9, "3-1")
+    assert b"\r\nWARC-Target-URI: http://a/%C3%A9%20%22b%22%0D%0AX:%20y\r\n" in data and f"\r\nWARC-Refers-To: <urn:page:9:{digest}>\r\n".encode() in data
+    back = warc.parse(data)
+    assert (back.page_id, back.url, back.refers_to, back.payload) == (7, 'http://a/é "b"\r\nX: y', 9, None)
+    assert b"WARC-Target-URI" not in warc.record(None, None, b"x", digest, None, "0-0") and warc.parse(warc.record(None, None, b"x", digest, None, "0-0")).page_id is None
+
+
 def test_index_finds_captures(spark):
     df = spark.createDataFrame(page_rows(), "page_id long, url string, html string")
     index = warc.Index(warc.write_archive(df, block_lines=2))
