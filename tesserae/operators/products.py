@@ -40,7 +40,7 @@ def combined(preds: DataFrame) -> DataFrame:
 
 def weighted_distribution(preds: DataFrame, keys: list[str], n: int, dist: str = "dist", weight: str = "p") -> DataFrame:
     """keys, bin, share: the distributions' mean weighted by probability, summing to 1; all in one pass of partial sums."""
-    sums = preds.groupBy(*keys).agg(*(F.sum(F.col(dist)[i] * F.col(weight)).alias(f"__{i}") for i in range(n)))
+    sums = preds.groupBy(*keys).agg(*(F.sum(F.get(F.col(dist), F.lit(i)) * F.col(weight)).alias(f"__{i}") for i in range(n)))
     total = sum((F.coalesce(f"__{i}", F.lit(0.0)) for i in range(n)), F.lit(0.0))
     each = F.array(*(F.struct(F.lit(i).alias("bin"), F.when(total > 0, F.coalesce(f"__{i}", F.lit(0.0)) / total).alias("share")) for i in range(n)))
     return sums.select(*keys, F.explode(each).alias("e")).select(*keys, "e.*")

@@ -76,9 +76,9 @@ def band_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products.ensemble(scored, ["hazard", "iy", "ix"], BANDS).select("hazard", "iy", "ix", F.round("p", 6).alias("p"))
 
 
-@query(", s AS (SELECT hazard, i::INT AS bin, sum(dist[i + 1] * p) AS s FROM v_preds, range(5) r(i) WHERE hazard <> 'hail' GROUP BY 1, 2) SELECT hazard, bin, round(s / sum(s) OVER (PARTITION BY hazard), 6) AS share FROM s", ["v_preds"])
+@query(", s AS (SELECT hazard, i::INT AS bin, sum(coalesce(dist[i + 1], 0) * p) AS s FROM v_preds, range(5) r(i) GROUP BY 1, 2) SELECT hazard, bin, round(s / sum(s) OVER (PARTITION BY hazard), 6) AS share FROM s", ["v_preds"])
 def weighted_mean_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = views.predictions(spark, sf_dir).where("hazard <> 'hail'")
+    p = views.predictions(spark, sf_dir)
     return products.weighted_distribution(p, ["hazard"], 5).select("hazard", "bin", F.round("share", 6).alias("share"))
 
 
@@ -147,10 +147,10 @@ def report_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select(F.col("hour").cast("long").alias("hour"), "hazard", "n")
 
 
-@query(f"SELECT fxx, bin, n FROM (SELECT (1 + event_id % 48)::INT AS fxx, hazard, {bin_sql()} AS bin FROM v_reports), LATERAL (SELECT 1 AS n) z WHERE hazard = 'hail' AND bin >= 0 AND fxx BETWEEN 1 AND 24 QUALIFY count(*) OVER () >= 50", ["v_reports"])
+@query(f"SELECT fxx, hazard, bin, n FROM (SELECT (1 + event_id % 48)::INT AS fxx, hazard, {bin_sql()} AS bin FROM v_reports), LATERAL (SELECT 1 AS n) z WHERE bin >= 0 QUALIFY count(*) OVER () >= 50", ["v_reports"])
 def sized_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = events.with_severity(views.reports(spark, sf_dir)).where("hazard = 'hail'").select((1 + F.col("event_id") % 48).cast("int").alias("fxx"), "bin", F.lit(1).alias("flag"))
-    return dataset.sized_positives(r.where(F.col("fxx").between(1, 24)), "flag", "bin").select("fxx", "bin", F.lit(1).alias("n"))
+    r = events.with_severity(views.reports(spark, sf_dir)).select((1 + F.col("event_id") % 48).cast("int").alias("fxx"), "hazard", "bin", F.lit(1).alias("flag"))
+    return dataset.sized_positives(r, "flag", "bin").select("fxx", "hazard", "bin", F.lit(1).alias("n"))
 
 
 @query("SELECT DISTINCT 'f' || a || '_' || (a + 5) AS band FROM (SELECT (1 + l_orderkey % 30 - 1) // 6 * 6 + 1 AS a FROM lineitem WHERE isodow(l_shipdate) < 6)")
@@ -161,17 +161,17 @@ def populated_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.populated_bands(l)
 
 
-@query(f"SELECT hazard, iy, ix, round(CASE WHEN p >= level THEN p ELSE 0 END, 6) AS p, CASE WHEN p >= level THEN {CIG_SQL} ELSE -1 END AS cig FROM (SELECT *, {cases('hazard', {h: repr(C.PROB_LEVELS[h][0]) + '::DOUBLE' for h in C.HAZARDS})} AS level FROM {SEVERITY_SQL}) WHERE fxx = 3", ["v_preds"])
+@query(f"SELECT fxx, hazard, iy, ix, round(CASE WHEN p >= level THEN p ELSE 0 END, 6) AS p, CASE WHEN p >= level THEN {CIG_SQL} ELSE -1 END AS cig FROM (SELECT *, {cases('hazard', {h: repr(C.PROB_LEVELS[h][0]) + '::DOUBLE' for h in C.HAZARDS})} AS level FROM {SEVERITY_SQL})", ["v_preds"])
 def threat_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = products.with_cig(views.predictions(spark, sf_dir).where("fxx = 3"))
+    p = products.with_cig(views.predictions(spark, sf_dir))
     mask = lambda v, none: bins.by_hazard(F.col("hazard"), {h: bins.threat_mask(h, F.col("p"), v, none) for h in C.HAZARDS})
-    return p.select("hazard", "iy", "ix", F.round(mask(F.col("p"), 0.0), 6).alias("p"), mask(F.col("cig"), -1).cast("int").alias("cig"))
+    return p.select("fxx", "hazard", "iy", "ix", F.round(mask(F.col("p"), 0.0), 6).alias("p"), mask(F.col("cig"), -1).cast("int").alias("cig"))
 
 
-@query(", b AS (SELECT hazard, iy, ix, i::INT AS bin, dist[i + 1] AS s FROM v_preds, range(3) r(i) WHERE fxx = 5) SELECT k.hazard, k.iy, k.ix, j::INT AS bin, coalesce(s, 0) AS share FROM (SELECT DISTINCT hazard, iy, ix FROM b) k CROSS JOIN range(5) r(j) LEFT JOIN b ON b.hazard = k.hazard AND b.iy = k.iy AND b.ix = k.ix AND b.bin = j", ["v_preds"])
+@query(", b AS (SELECT fxx, hazard, iy, ix, i::INT AS bin, dist[i + 1] AS s FROM v_preds, range(3) r(i)) SELECT k.fxx, k.hazard, k.iy, k.ix, j::INT AS bin, coalesce(s, 0) AS share FROM (SELECT DISTINCT fxx, hazard, iy, ix FROM b) k CROSS JOIN range(5) r(j) LEFT JOIN b ON b.fxx = k.fxx AND b.hazard = k.hazard AND b.iy = k.iy AND b.ix = k.ix AND b.bin = j", ["v_preds"])
 def class_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = views.predictions(spark, sf_dir).where("fxx = 5").select("hazard", "iy", "ix", F.posexplode(F.slice("dist", 1, 3)).alias("bin", "share"))
-    return products.aligned_bins(known, ["hazard", "iy", "ix"], 5)
+    known = views.predictions(spark, sf_dir).select("fxx", "hazard", "iy", "ix", F.posexplode(F.slice("dist", 1, 3)).alias("bin", "share"))
+    return products.aligned_bins(known, ["fxx", "hazard", "iy", "ix"], 5)
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE isodow(o_orderdate) = 6 AND o_orderdate >= TIMESTAMP '1998-01-01'")
