@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,14 @@ def _names() -> list[str]:
     return [*soundings.column_features(levels, fields, surface, 1000.0)]
 
 
+def _values(column: pa.Array, at: np.ndarray, depth: int) -> np.ndarray:
+    """Rows at of a column as numbers (n,), or of a column of lists (n, depth)."""
+    taken = column.take(pa.array(at))
+    if not pa.types.is_list(taken.type):
+        return taken.to_numpy(zero_copy_only=False).astype(float)
+    return taken.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), depth)
+
+
 def column_features(columns: DataFrame, keys: list[str], scene: str, levels: str = "level") -> DataFrame:
     """keys and the features of each row's column. columns: scene, level and FIELDS (arrays, pressure falling), SURFACE (numbers).
 
@@ -54,10 +63,10 @@ def column_features(columns: DataFrame, keys: list[str], scene: str, levels: str
                 sound &= get[c].is_valid().to_numpy(zero_copy_only=False)
             out = {k: np.full(n, np.nan, np.float32) for k in names}
             highest = get["highest"].to_numpy(zero_copy_only=False)
-            depth = np.array([len(x) if x is not None else -1 for x in get[levels].to_pylist()]) if n else np.zeros(0)
+            depth = pc.fill_null(pc.list_value_length(get[levels]), -1).to_numpy()
             for top, k in {(t, d) for t, d, s in zip(highest, depth, sound, strict=True) if s}:
                 at = np.flatnonzero(sound & (highest == top) & (depth == k))
-                stack = lambda c, at=at: np.array([get[c][int(i)].as_py() for i in at], float)
+                stack = lambda c, at=at, k=k: _values(get[c], at, int(k))
                 made = soundings.column_features(stack(levels), {f: stack(f) for f in FIELDS}, {s: stack(s) for s in SURFACE}, float(top))
                 for name, v in made.items():
                     out[name][at] = v

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..operators import models, physics, verify
+from ..operators import features, models, physics, verify
 from ..sources import views
 from ..sources.tables import table
 from .outlooks import EDGES
@@ -40,7 +40,7 @@ def calibrate_isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def reliability_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.reliability_bootstrap(views.scores(spark, sf_dir), EDGES)
+    return verify.reliability_bootstrap(views.scores(spark, sf_dir), EDGES, "doc_id")
 
 
 @query()
@@ -85,6 +85,19 @@ def sounding_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return physics.column_features(soundings(spark, sf_dir), ["vec_id"], "scene")
 
 
+SCENE_NY, SCENE_NX = 12, 16
+
+
+@query()
+def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every column of air as a cell of a scene of 12 x 16 cells, with all features of the catalogue."""
+    n = SCENE_NY * SCENE_NX
+    cell = lambda c: c.cast("int")
+    s = soundings(spark, sf_dir).drop("scene").withColumns({"scene": F.floor(F.col("vec_id") / n), "iy": cell(F.floor(F.col("vec_id") % n / SCENE_NX)), "ix": cell(F.col("vec_id") % SCENE_NX)})
+    s = s.withColumns({"lat": F.lit(35.0) + F.col("iy") * F.lit(0.1), "pwat": F.col("td2m") - F.lit(270.0), "elev": F.col("zsfc")})
+    return features.scene_features(s, "scene", SCENE_NY, SCENE_NX)
+
+
 @query()
 def spatial_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = views.grid(spark, sf_dir).where("u2 IS NOT NULL")
