@@ -5,8 +5,11 @@ from __future__ import annotations
 import argparse
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from .functions import times
+from .operators import features, models, products
 from .plans import jobs
 from .session import session
 from .sources import sinks, tables
@@ -23,15 +26,23 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--min-reports", type=int, default=1)
     b.add_argument("--neg-keep", type=float, default=0.025)
     b.add_argument("--resume", action="store_true")
-    a = sub.add_parser("augment-data", help="add columns to a matrix in place")
-    for n in ("matrix", "columns", "out"):
+    b.add_argument("--start", help="first valid hour, as YYYY-MM-DD[ HH:MM]")
+    b.add_argument("--end", help="hour before which valid hours end")
+    b.add_argument("--temporal", default="", help="features of which the hours before and after are added")
+    a = sub.add_parser("augment-data", help="add columns to a matrix, in place unless --out is given")
+    for n in ("matrix", "columns"):
         a.add_argument(f"--{n}", required=True)
-    r = sub.add_parser("augment-labels", help="recompute labels")
-    for n in ("matrix", "labels", "out"):
+    a.add_argument("--out")
+    r = sub.add_parser("augment-labels", help="recompute labels, in place unless --out is given")
+    for n in ("matrix", "labels"):
         r.add_argument(f"--{n}", required=True)
-    t = sub.add_parser("train", help="fit the bands, predict cells, write probabilities")
-    for n in ("matrix", "cells", "out", "features"):
+    r.add_argument("--out")
+    t = sub.add_parser("train", help="fit the bands, save them, and predict cells if any are given")
+    for n in ("matrix", "features"):
         t.add_argument(f"--{n}", required=True)
+    t.add_argument("--models", help="folder for the models, their manifest and their metrics")
+    t.add_argument("--cells")
+    t.add_argument("--out")
     t.add_argument("--flag", default="flag")
     t.add_argument("--hazard", default="tor")
     t.add_argument("--bags", type=int, default=1)
@@ -39,30 +50,98 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--trees", type=int, default=40)
     t.add_argument("--depth", type=int, default=5)
     t.add_argument("--calibrator", choices=("isotonic", "logistic"), default="isotonic")
+    t.add_argument("--cap", type=int, help="training rows at most")
+    t.add_argument("--val-cap", type=int, help="validation rows at most")
     t.add_argument("--fmax", type=int, default=36)
+    q = sub.add_parser("predict", help="probabilities of cells by saved models")
+    for n in ("models", "cells", "out"):
+        q.add_argument(f"--{n}", required=True)
+    q.add_argument("--fmax", type=int, default=36)
+    q.add_argument("--no-cache", action="store_true", help="compute anew what --out holds already")
+    w = sub.add_parser("products", help="hourly, day-maximum and combined products of predictions")
+    for n in ("predictions", "out"):
+        w.add_argument(f"--{n}", required=True)
+    f = sub.add_parser("build-fire-data", help="training matrix of fires from runs, features and fires")
+    for n in ("runs", "features", "fires", "out"):
+        f.add_argument(f"--{n}", required=True)
+    f.add_argument("--min-fires", type=int, default=1)
+    f.add_argument("--neg-keep", type=float, default=0.02)
+    f.add_argument("--fmax", type=int, default=24)
+    st = sub.add_parser("build-static", help="terrain fields of the grid from elevations (iy, ix, elev)")
+    for n in ("elevation", "out"):
+        st.add_argument(f"--{n}", required=True)
     return p
 
 
+def build_data(args: argparse.Namespace, read) -> None:
+    done = read(args.out).select("run", "fxx").distinct() if args.resume else None
+    samples = jobs.plan_samples(read(args.reports), [int(x) for x in args.bands.split(",")], args.min_reports, done)
+    for bound, op in ((args.start, ">="), (args.end, "<")):
+        if bound:
+            samples = samples.where(F.expr(f"valid {op} TIMESTAMP_NTZ '{bound}'"))
+    state = read(args.features)
+    rows = jobs.build_matrix(samples, state, read(args.labels), args.flags.split(","), args.neg_keep)
+    if args.temporal:
+        rows = jobs.with_temporal(rows, state, args.temporal.split(","))
+    sinks.append_parts(rows.withColumn("valid_date", F.to_date("valid")), args.out)
+
+
+def train(args: argparse.Namespace, read) -> None:
+    names = args.features.split(",")
+    matrix = read(args.matrix)
+    caps = {s: n for s, n in (("train", args.cap), ("validation", args.val_cap)) if n}
+    if caps:
+        rest = matrix.where(~F.col("split").isin(*caps))
+        matrix = tables.capped_splits(matrix, ["key"], caps).unionByName(rest)
+    bands = jobs.train(matrix, names, args.flag, args.bags, args.pooled, maxIter=args.trees, maxDepth=args.depth, calibrator=args.calibrator)
+    if args.models:
+        models.save_bands(bands, names, args.models, hazard=args.hazard, flag=args.flag, pooled=args.pooled)
+        checked = matrix.withColumn("band", F.lit("pooled") if args.pooled else times.lead_band(F.col("fxx")))
+        sinks.append_metrics(matrix.sparkSession, f"{args.models}/metrics", models.metrics(bands, checked, names, args.flag))
+    if args.cells and args.out:
+        sinks.overwrite(jobs.predict(bands, read(args.cells).where(F.col("fxx") <= args.fmax), names, args.hazard), args.out)
+    print(json.dumps({"bands": sorted(bands), "features": names}))
+
+
+def predict(args: argparse.Namespace, read) -> None:
+    bands, about = models.load_bands(args.models)
+    cells = read(args.cells).where(F.col("fxx") <= args.fmax)
+    lacking = [f for f in about["features"] if f not in cells.columns]
+    if lacking:
+        raise SystemExit(f"cells lack features of the models: {', '.join(lacking)}")
+    hours = sorted(r.fxx for r in cells.select("fxx").distinct().collect())
+    if not args.no_cache:
+        try:
+            if products.covered(read(args.out).where(F.col("hazard") == about["hazard"]), hours):
+                return
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    sinks.overwrite(jobs.predict(bands, cells, about["features"], about["hazard"]), args.out)
+
+
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = session("tesserae")
     read = lambda path: tables.dataset(spark, path)
     keys = ["valid", "iy", "ix"]
     if args.job == "build-data":
-        done = read(args.out).select("run", "fxx").distinct() if args.resume else None
-        samples = jobs.plan_samples(read(args.reports), [int(x) for x in args.bands.split(",")], args.min_reports, done)
-        rows = jobs.build_matrix(samples, read(args.features), read(args.labels), args.flags.split(","), args.neg_keep)
-        sinks.append_parts(rows.withColumn("valid_date", F.to_date("valid")), args.out)
+        build_data(args, read)
     elif args.job == "augment-data":
-        sinks.overwrite(sinks.augmented(read(args.matrix), read(args.columns), keys), args.out)
+        sinks.overwrite(sinks.augmented(read(args.matrix), read(args.columns), keys), args.out or args.matrix)
     elif args.job == "augment-labels":
-        sinks.overwrite(sinks.relabelled(read(args.matrix), read(args.labels), keys), args.out)
+        sinks.overwrite(sinks.relabelled(read(args.matrix), read(args.labels), keys), args.out or args.matrix)
+    elif args.job == "train":
+        train(args, read)
+    elif args.job == "predict":
+        predict(args, read)
+    elif args.job == "products":
+        jobs.render(read(args.predictions), args.out)
+    elif args.job == "build-fire-data":
+        rows = jobs.build_fire_matrix(read(args.runs), read(args.features), read(args.fires), args.neg_keep, list(range(1, args.fmax + 1)), args.min_fires)
+        sinks.append_parts(rows.withColumn("valid_date", F.to_date("valid")), args.out)
     else:
-        features = args.features.split(",")
-        bands = jobs.train(read(args.matrix), features, args.flag, args.bags, args.pooled, maxIter=args.trees, maxDepth=args.depth, calibrator=args.calibrator)
-        p = jobs.predict(bands, read(args.cells).where(F.col("fxx") <= args.fmax), features, args.hazard)
-        sinks.overwrite(p, args.out)
-        print(json.dumps({"bands": sorted(bands), "features": features}))
+        sinks.overwrite(features.terrain(read(args.elevation)), args.out)
 
 
 if __name__ == "__main__":

@@ -10,7 +10,7 @@ from ..functions import bins, geo
 
 
 def normalize(reports: DataFrame, hazards: dict[str, str] | None = None, wind_in_mph: bool = False) -> DataFrame:
-    """Known hazards by their short name; wind without a number goes; mph turned to knots if so given; ratings below 0 are -1; in order of time."""
+    """Known hazards by their short name; wind without a number goes; mph turned to knots if so given; ratings below 0 are -1."""
     r = reports
     if hazards:
         names = F.create_map(*(F.lit(x) for kv in hazards.items() for x in kv))
@@ -22,6 +22,25 @@ def normalize(reports: DataFrame, hazards: dict[str, str] | None = None, wind_in
     return r.withColumn("ef", F.when((F.col("hazard") == "tor") & (F.col("ef") >= 0), F.col("ef")).otherwise(-1))
 
 
+def in_time_order(reports: DataFrame) -> DataFrame:
+    """Reports sorted by time over all partitions; ties by place and hazard."""
+    return reports.orderBy("time", "lat", "lon", "hazard")
+
+
+def merged(*sources: DataFrame, unknown_wind: float | None = None) -> DataFrame:
+    """Reports of several sources, of equal ones (time, place, hazard) that of the first source; wind of the value that stands for unknown has none."""
+    out = None
+    for i, s in enumerate(sources):
+        s = s.withColumn("__from", F.lit(i))
+        out = s if out is None else out.unionByName(s, allowMissingColumns=True)
+    if unknown_wind is not None:
+        known = ~((F.col("hazard") == "wind") & (F.col("magnitude") == unknown_wind))
+        out = out.withColumn("magnitude", F.when(known, F.col("magnitude")))
+    cols = [c for c in out.columns if c != "__from"]
+    best = out.groupBy("time", "lat", "lon", "hazard").agg(F.min_by(F.struct(*cols), "__from").alias("r"))
+    return best.select("r.*")
+
+
 def with_severity(reports: DataFrame) -> DataFrame:
     """severe, significant, bin and pib of each report."""
     h, m = F.col("hazard"), F.col("magnitude")

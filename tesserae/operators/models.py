@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import dataset, verify
@@ -107,6 +108,49 @@ class Band:
     calibration: Calibration | None = None
 
 
+def save_bands(bands: dict[str, Band], features: list[str], path: str, **about) -> None:
+    """A folder for each band with its bags and calibration, and a manifest: bands, features in order and what else is said."""
+    spark = SparkSession.getActiveSession()
+    listed = {}
+    for name, band in bands.items():
+        for k, m in enumerate(band.bags):
+            m.write().overwrite().save(f"{path}/{name}/bag-{k}")
+        if band.calibration:
+            band.calibration.model.write().overwrite().save(f"{path}/{name}/calibration")
+        listed[name] = {"bags": len(band.bags), "calibration": band.calibration and band.calibration.kind}
+    manifest = json.dumps({"bands": listed, "features": features} | about)
+    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+
+
+def load_bands(path: str) -> tuple[dict[str, Band], dict]:
+    """What save_bands wrote: the bands and the manifest."""
+    about = json.loads(SparkSession.getActiveSession().read.text(f"{path}/manifest").first()[0])
+    bands = {}
+    for name, b in about["bands"].items():
+        kind = b["calibration"]
+        fitted = None
+        if kind == "isotonic":
+            fitted = Calibration(kind, IsotonicRegressionModel.load(f"{path}/{name}/calibration").setFeaturesCol("__x"))
+        elif kind:
+            fitted = Calibration(kind, LogisticRegressionModel.load(f"{path}/{name}/calibration"))
+        bands[name] = Band([GBTClassificationModel.load(f"{path}/{name}/bag-{k}") for k in range(b["bags"])], fitted)
+    return bands, about
+
+
+def metrics(bands: dict[str, Band], rows: DataFrame, features: list[str], label: str) -> list[tuple[str, str, str, float]]:
+    """(band, split, name, value) for rows, auc and ap of the validation and test rows; rows has band."""
+    out = []
+    for name, band in bands.items():
+        own = rows.where((F.col("band") == name) & (F.col("split") != "train"))
+        p = mean_of_bags(band, own, features)
+        if band.calibration:
+            p = band.calibration.apply(p, "p", "__cal").drop("p").withColumnRenamed("__cal", "p")
+        counts = {r.split: r["count"] for r in own.groupBy("split").count().collect()}
+        for r in verify.exact_auc(p, "p", label, "weight", ["split"]).collect():
+            out += [(name, r.split, k, float(v)) for k, v in (("rows", counts[r.split]), ("auc", r.auc), ("ap", r.ap)) if v is not None]
+    return out
+
+
 def train_band(rows: DataFrame, features: list[str], label: str, bags: int = 1, learner: str = "gbt", calibrator: str | None = "isotonic", key: str = "key", **params) -> Band:
     """rows: split, weight, key, features, label. Each bag has all positives and its own negatives; the bags' mean is calibrated on validation rows."""
     train_rows = dataset.bag(rows.where("split = 'train'"), F.col(label) == 1, F.col(key), bags)

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of scores that are summed up apart.
+RANGES = 256
+
+
 def dense_low_edges(n: int = 10, split: float = 0.1) -> list[float]:
     """Probability edges, half of them below split."""
     return np.unique(np.concatenate([np.linspace(0, split, n // 2 + 1), np.linspace(split, 1, n - n // 2 + 1)])).tolist()
@@ -25,7 +29,7 @@ def reliability(rows: DataFrame, edges: list[float], p: str = "p", y: str = "y",
     return b.where("weight > 0").select("bin", (F.col("sp") / F.col("weight")).alias("mean_p"), (F.col("sy") / F.col("weight")).alias("mean_y"), "weight")
 
 
-def reliability_bootstrap(rows: DataFrame, edges: list[float], times: int = 300, least_positive: int = 1, seed: int = 0, low: float = 0.05, high: float = 0.95) -> DataFrame:
+def reliability_bootstrap(rows: DataFrame, edges: list[float], key: str, times: int = 300, least_positive: int = 1, seed: int = 0, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """reliability() with a percentile band of mean_y from so many Poisson bootstraps.
 
     Each row has its own Poisson counts from its key's hash, so sums of counts combine before the shuffle and no bin is gathered.
@@ -40,7 +44,7 @@ def reliability_bootstrap(rows: DataFrame, edges: list[float], times: int = 300,
                 d = draws[f.index.get_indexer(part.index)] * part["w"].to_numpy()[:, None]
                 yield pd.DataFrame({"bin": [b], "sy": [(d * part["y"].to_numpy()[:, None]).sum(0).tolist()], "sw": [d.sum(0).tolist()], "p": [float((part["p"] * part["w"]).sum())], "y": [float((part["y"] * part["w"]).sum())], "weight": [float(part["w"].sum())], "positives": [int(part["y"].sum())]})
 
-    partial = rows.select(F.xxhash64("doc_id").alias("key"), edges_bin.alias("bin"), "p", F.col("y").cast("double"), F.col("w").cast("double")).mapInPandas(sums, "bin int, sy array<double>, sw array<double>, p double, y double, weight double, positives long")
+    partial = rows.select(F.xxhash64(key).alias("key"), edges_bin.alias("bin"), "p", F.col("y").cast("double"), F.col("w").cast("double")).mapInPandas(sums, "bin int, sy array<double>, sw array<double>, p double, y double, weight double, positives long")
     each = partial.select("bin", "p", "y", "weight", "positives", F.posexplode(F.arrays_zip("sy", "sw")).alias("draw", "s"))
     mean = each.groupBy("bin", "draw").agg(F.sum("s.sy").alias("sy"), F.sum("s.sw").alias("sw"), F.sum("p").alias("p"), F.sum("y").alias("y"), F.sum("weight").alias("weight"), F.sum("positives").alias("positives"))
     rate = F.when(F.col("sw") > 0, F.col("sy") / F.col("sw"))
@@ -65,9 +69,17 @@ def exact_auc(rows: DataFrame, p: str = "p", y: str = "y", w: str | None = None,
     keys = keys or []
     weight = F.lit(1.0) if w is None else F.col(w).cast("double")
     steps = rows.groupBy(*keys, p).agg(F.sum(F.when(F.col(y) == 1, weight).otherwise(F.lit(0.0))).alias("pos"), F.sum(F.when(F.col(y) == 0, weight).otherwise(F.lit(0.0))).alias("neg"))
-    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    up = by.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    s = steps.select(*keys, "pos", "neg", F.sum("pos").over(up).alias("tp"), F.sum("neg").over(up).alias("fp"))
+    # Scores are summed up within ranges of about as many rows; the sums before a range are those of at most RANGES rows of a key.
+    cuts = rows.agg(F.percentile_approx(p, [k / RANGES for k in range(1, RANGES)], 10_000).alias("c")).first()["c"] or []
+    held = steps.withColumn("__r", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: F.col(p) >= c)) if cuts else F.lit(0))
+    up = Window.partitionBy(*keys, "__r").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
+    above = Window.partitionBy(*keys).orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = held.groupBy(*keys, "__r").agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
+    before = ranges.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__r").alias("__of"), F.coalesce(F.sum("__p").over(above), F.lit(0.0)).alias("__tp"), F.coalesce(F.sum("__n").over(above), F.lit(0.0)).alias("__fp"))
+    same = F.col("__r") == F.col("__of")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    s = held.join(before, same).select(*keys, "pos", "neg", (F.col("__tp") + F.sum("pos").over(up)).alias("tp"), (F.col("__fp") + F.sum("neg").over(up)).alias("fp"))
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
     ap = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
     totals = s.groupBy(*keys).agg(area.alias("a"), ap.alias("b"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))

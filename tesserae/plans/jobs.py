@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ def build_matrix(samples: DataFrame, features: DataFrame, labels: DataFrame, fla
     """Training rows: samples x cells of features (valid, iy, ix, ...), labels (valid, iy, ix, flags...), split, weight.
 
     All cells with any flag are kept, of the others the share keep with weight 1 / keep. Labels join before the sampling, and
-    a cell without a label has 0. Each join is on (valid, iy, ix), so one partitioning serves all.
+    a cell without a label has 0. Each join is on (valid, iy, ix), so one partitioning serves all. key is a number of the row.
     """
     keys = ["valid", *CELL]
     rows = samples.join(features, "valid").join(labels.select(*keys, *flags), keys, "left").fillna(0, flags)
@@ -39,7 +41,56 @@ def build_matrix(samples: DataFrame, features: DataFrame, labels: DataFrame, fla
     for f in flags:
         positive = positive | (F.col(f) == 1)
     key = (F.unix_seconds(F.col("valid").cast("timestamp")) / 3600).cast("bigint") * 75749 + F.col("iy") * 359 + F.col("ix") + F.col("fxx") * 31
-    return dataset.subsample(rows, positive, key, keep, seed).withColumn("split", times.split(F.col("valid")))
+    return dataset.subsample(rows.withColumn("key", key), positive, F.col("key"), keep, seed).withColumn("split", times.split(F.col("valid")))
+
+
+def build_hindcast(hours: DataFrame, features: DataFrame, labels: DataFrame, flags: list[str], keep: float, seed: int = 0) -> DataFrame:
+    """Training rows of hours (valid) from the state of that very hour: no lead time (fxx 0) and no limit on what had been issued."""
+    samples = hours.select("valid").distinct().withColumns({"fxx": F.lit(0), "run": F.col("valid")})
+    return build_matrix(samples, features, labels, flags, keep, seed).drop("fxx", "run")
+
+
+def build_fire_matrix(runs: DataFrame, features: DataFrame, fires: DataFrame, keep: float = 0.02, leads: list[int] | None = None, least_fires: int = 1, seed: int = 0) -> DataFrame:
+    """Training rows of runs (run) at each lead time where so many fires are active: cells with an active fire (fires: irwin, start, end, iy, ix) are all
+    kept. One run is one state, so features are (run, fxx, iy, ix, ...)."""
+    pairs = runs.select("run").distinct().withColumn("fxx", F.explode(F.array(*map(F.lit, leads or range(1, 25)))))
+    pairs = pairs.withColumn("valid", F.col("run") + F.make_dt_interval(hours=F.col("fxx")))
+    days = F.sequence(F.date_trunc("DAY", "start"), F.date_trunc("DAY", "end"), F.expr("INTERVAL 1 DAY"))
+    active = fires.withColumn("day", F.explode(days)).join(pairs.withColumn("day", F.date_trunc("DAY", "valid")), "day").where("valid BETWEEN start AND end")
+    busy = active.groupBy("run", "fxx", "valid").agg(F.countDistinct("irwin").alias("n")).where(F.col("n") >= least_fires).drop("n")
+    labels = active.select("run", "fxx", *CELL).distinct().withColumn("flag", F.lit(1))
+    rows = features.join(busy, ["run", "fxx"]).join(labels, ["run", "fxx", *CELL], "left").fillna(0, ["flag"])
+    key = (F.unix_seconds(F.col("valid").cast("timestamp")) / 3600).cast("bigint") * 75749 + F.col("iy") * 359 + F.col("ix") + F.col("fxx") * 31
+    return dataset.subsample(rows.withColumn("key", key), F.col("flag") == 1, F.col("key"), keep, seed).withColumn("split", times.split(F.col("valid")))
+
+
+def with_static(rows: DataFrame, static: DataFrame | None, names: list[str], fill: float | None = None) -> DataFrame:
+    """rows with the static fields (iy, ix, names): a left join; without a table, or for names that it lacks, nulls or the fill, and a warning."""
+    lacking = [n for n in names if static is None or n not in static.columns]
+    if lacking:
+        logging.getLogger(__name__).warning("static fields are missing: %s", ", ".join(lacking))
+    out = rows if static is None else rows.join(static.select(*CELL, *(n for n in names if n not in lacking)), CELL, "left")
+    out = out.withColumns({n: F.lit(None).cast("double") for n in lacking})
+    return out if fill is None else out.fillna(fill, names)
+
+
+def with_temporal(matrix: DataFrame, hours: DataFrame, values: list[str], keys: list[str] | None = None) -> DataFrame:
+    """matrix with values of the hours before and after (hours: valid, iy, ix, values) as <v>_before and <v>_after; null where there is no such hour."""
+    keys = keys or ["valid", *CELL]
+    out = matrix
+    for name, shift in (("before", "INTERVAL 1 HOUR"), ("after", "INTERVAL -1 HOUR")):
+        moved = hours.select((F.col("valid") + F.expr(shift)).alias("valid"), *CELL, *(F.col(v).alias(f"{v}_{name}") for v in values))
+        out = out.join(moved, keys, "left")
+    return out
+
+
+def render(predictions: DataFrame, path: str, run: str = "run") -> None:
+    """The products of runs as tables beside one another: hourly (with all that is derived), day maxima and the combined category."""
+    sinks.overwrite(sinks.prediction_rows(predictions, run), f"{path}/hourly", run)
+    best = products.with_cig(predictions).groupBy(run, "hazard", *CELL).agg(F.max("p").alias("p"), F.max("cig").alias("cig"))
+    day = products.with_category(best)
+    sinks.overwrite(day, f"{path}/day", run)
+    sinks.overwrite(day.groupBy(run, *CELL).agg(F.max("category").alias("category")), f"{path}/combined", run)
 
 
 def train(matrix: DataFrame, features: list[str], flag: str, bags: int = 1, pooled: bool = False, **params) -> dict[str, models.Band]:

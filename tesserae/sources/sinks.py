@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns
+
 
 def append_parts(rows: DataFrame, path: str, by: str = "valid_date") -> None:
     """Appends to a dataset partitioned by a date column; a failed task leaves nothing behind."""
@@ -31,11 +34,69 @@ def relabelled(rows: DataFrame, labels: DataFrame, keys: list[str], default: int
 
 
 def overwrite(rows: DataFrame, path: str, by: str | None = None) -> None:
-    """Replaces just the partitions that rows have (by), or all."""
-    w = rows.write.mode("overwrite")
-    if by:
-        w = w.option("partitionOverwriteMode", "dynamic").partitionBy(by)
-    w.parquet(path)
+    """Replaces just the partitions that rows have (by), or all; rows may be read from path itself.
+
+    They are written beside it and counted first, then the folders change places by renaming: until that, path is as it was. A run that
+    dies between two renames leaves the old rows in a folder that ends in .old, which the next call puts back.
+    """
+    spark = rows.sparkSession
+    fs = _Folders(spark, path)
+    fs.put_back(path)
+    new = f"{path.rstrip('/')}.{uuid.uuid4().hex}.new"
+    observed = Observation()
+    written = rows.observe(observed, F.count(F.lit(1)).alias("n")).write
+    (written.partitionBy(by) if by else written).parquet(new)
+    if (there := spark.read.schema(rows.schema).parquet(new).count()) != observed.get["n"]:
+        raise RuntimeError(f"{new} has {there} rows of {observed.get['n']}; {path} is unchanged")
+    if not by:
+        fs.swap(new, path)
+    else:
+        for name in fs.partitions(new):
+            fs.swap(f"{new}/{name}", f"{path.rstrip('/')}/{name}")
+        fs.remove(new)
+    spark.catalog.refreshByPath(path)
+
+
+class _Folders:
+    """Renaming in whatever file system a path is on."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.at = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _rename(self, a: str, b: str) -> None:
+        if not self.fs.rename(self.at(a), self.at(b)):
+            raise OSError(f"{a} could not be renamed to {b}")
+
+    def swap(self, new: str, path: str) -> None:
+        old = f"{path.rstrip('/')}.old"
+        if self.fs.exists(self.at(path)):
+            self._rename(path, old)
+        else:
+            self.fs.mkdirs(self.at(path).getParent())
+        self._rename(new, path)
+        self.remove(old)
+
+    def put_back(self, path: str) -> None:
+        """What a swap that died has left: of the folder, and of folders in it."""
+        pairs = [path.rstrip("/")]
+        if self.fs.exists(self.at(path)):
+            pairs += [f"{path.rstrip('/')}/{n}"[:-4] for n in self._names(path) if n.endswith(".old")]
+        for p in pairs:
+            if self.fs.exists(self.at(f"{p}.old")):
+                if self.fs.exists(self.at(p)):
+                    self.remove(f"{p}.old")
+                else:
+                    self._rename(f"{p}.old", p)
+
+    def _names(self, path: str) -> list[str]:
+        return [x.getPath().getName() for x in self.fs.listStatus(self.at(path))]
+
+    def partitions(self, path: str) -> list[str]:
+        return [n for n in self._names(path) if "=" in n]
+
+    def remove(self, path: str) -> None:
+        self.fs.delete(self.at(path), True)
 
 
 def contract(df: DataFrame, features: list[str]) -> str:
@@ -49,6 +110,17 @@ def aligned(df: DataFrame, features: list[str]) -> DataFrame:
     return df.select(*(F.col(f) if f in df.columns else F.lit(float("nan")).alias(f) for f in features))
 
 
-def prediction_rows(predictions: DataFrame) -> DataFrame:
-    """Predictions with what is derived from them, ready to be partitioned by run: fxx, iy, ix, hazard, p, dist, pib."""
-    return predictions.repartition("run").sortWithinPartitions("hazard", "fxx", "iy", "ix")
+def prediction_rows(predictions: DataFrame, run: str = "run") -> DataFrame:
+    """Predictions (run, fxx, iy, ix, hazard, p, dist) with what is derived from them, ready to be partitioned by run: cig, category, modal bin.
+
+    A run's rows are dealt to tasks by lead time, hazard and rows of the grid, so that none holds a whole run.
+    """
+    from ..operators import products
+
+    derived = products.with_category(products.with_cig(predictions)).withColumn("modal_bin", columns.modal_bin(F.col("dist")))
+    return derived.repartition(run, "fxx", "hazard", F.floor(F.col("iy") / 32)).sortWithinPartitions(run, "hazard", "fxx", "iy", "ix")
+
+
+def append_metrics(spark: SparkSession, path: str, metrics: list[tuple[str, str, str, float]]) -> None:
+    """Appends rows (model, split, name, value) to the metrics table at path."""
+    spark.createDataFrame(metrics, "model string, split string, name string, value double").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(path)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -34,13 +35,34 @@ def feature_columns(df: DataFrame, not_features: set[str]) -> list[str]:
     return [c for c in df.columns if c not in not_features]
 
 
+def _first_by_hash(rows: DataFrame, key: list[str], caps: dict[str, int], seed: int) -> DataFrame:
+    """Of each split in caps at most so many rows, the first by a seeded hash of the key: counts by the hash's high bits find the
+    bucket in which a cap is reached, and only that bucket's rows are sorted."""
+    h = F.xxhash64(F.lit(seed), *key)
+    bucket = F.shiftright(h, 48)
+    by = Window.partitionBy("split").orderBy("bucket")
+    counts = rows.groupBy("split", bucket.alias("bucket")).count().withColumn("before", F.sum("count").over(by) - F.col("count"))  # at most 2 ** 16 rows of a split
+    cap = F.element_at(F.create_map(*(F.lit(x) for k, n in caps.items() for x in (k, n))), F.col("split"))
+    edges = {r.split: (r.bucket, cap_left) for r in counts.where(F.col("before") < cap).groupBy("split").agg(F.max(F.struct("bucket", "before")).alias("e")).select("split", "e.*").collect() if (cap_left := caps[r.split] - r.before) > 0}
+    out = rows.where("false")
+    for split, (edge, left) in edges.items():
+        own = rows.where(F.col("split") == split)
+        out = out.unionByName(own.where(bucket < edge)).unionByName(own.where(bucket == edge).orderBy(h, *key).limit(left))
+    return out
+
+
 def capped_split(df: DataFrame, split: str, key: list[str], cap: int | None = None, seed: int = 0, bag: int = 0, bags: int = 1, positive: Column | None = None) -> DataFrame:
     """Rows of a split; of the negatives those of one of bags disjoint folds; then at most cap rows, the first by a seeded hash of the key."""
     rows = df.where(F.col("split") == split)
     if bags > 1:
         fold = F.pmod(F.xxhash64(F.lit("fold"), *key), F.lit(bags)) == bag
         rows = rows.where(fold if positive is None else positive | fold)
-    return rows if cap is None else rows.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(cap)
+    return rows if cap is None else _first_by_hash(rows, key, {split: cap}, seed)
+
+
+def capped_splits(df: DataFrame, key: list[str], caps: dict[str, int], seed: int = 0) -> DataFrame:
+    """Rows of several splits, training and validation say, each to its own cap, from one count of both."""
+    return _first_by_hash(df.where(F.col("split").isin(*caps)), key, caps, seed)
 
 
 def final_days(reports: DataFrame, as_of: Column, grace_hours: int = 12) -> DataFrame:
@@ -99,40 +121,72 @@ PAGE = 2000
 PASSING = ("timed out", "temporarily", "connection reset", "503", "429")
 
 
-class _Page(InputPartition):
-    def __init__(self, offset: int):
+class _Pages(InputPartition):
+    """Pages from offset on, every step-th; just one if last."""
+
+    def __init__(self, offset: int, step: int, last: bool):
         super().__init__(offset)
-        self.offset = offset
+        self.offset, self.step, self.last = offset, step, last
 
 
 class PagedReader(DataSourceReader):
-    """Reads offset pages of a feed. Options: path (a file URL or path with '{offset}' and '{count}'), total, page, tries."""
+    """Reads offset pages of a feed. Options: path (a file URL or path with '{offset}' and '{count}'), page (rows of a page), total, lanes, tries.
+
+    With total, a partition for each page. Without, each of so many lanes reads its share of the pages until one is short and doesn't say that
+    there is more. A page is a JSON list of records, or a GeoJSON object: its features' properties, the geometry as JSON text in
+    the column geometry, and exceededTransferLimit for more. A page that is missing, or longer than asked for, is an error.
+    """
 
     def __init__(self, schema: StructType, options: dict):
         self.schema, self.options = schema, options
+        self.page = int(options.get("page", PAGE))
 
     def partitions(self) -> list[InputPartition]:
-        total, page = int(self.options.get("total", "0")), int(self.options.get("page", PAGE))
-        return [_Page(k) for k in range(0, max(total, 1), page)]
+        if "total" in self.options:
+            return [_Pages(k, self.page, True) for k in range(0, max(int(self.options["total"]), 1), self.page)]
+        lanes = int(self.options.get("lanes", "1"))
+        return [_Pages(k * self.page, lanes * self.page, False) for k in range(lanes)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        page = int(self.options.get("page", PAGE))
-        rows = with_retry(lambda: fetch(self.options["path"].format(offset=partition.offset, count=page)), int(self.options.get("tries", "5")))
-        for r in rows[:page]:
-            yield tuple(r.get(f.name) for f in self.schema.fields)
+        offset = partition.offset
+        while True:
+            where = self.options["path"].format(offset=offset, count=self.page)
+            rows, more = records(with_retry(lambda: fetch(where), int(self.options.get("tries", "5"))))  # noqa: B023
+            if len(rows) > self.page:
+                raise ValueError(f"{where} has {len(rows)} rows; {self.page} were asked for")
+            for r in rows:
+                yield tuple(r.get(f.name) for f in self.schema.fields)
+            if partition.last or not more and len(rows) < self.page:
+                return
+            offset += partition.step
+
+
+def records(page: list | dict) -> tuple[list[dict], bool]:
+    """The records of a JSON page, and whether it says that there are more."""
+    if isinstance(page, list):
+        return page, False
+    if "error" in page:
+        raise ValueError(f"the feed answers with an error: {page['error']}")
+    rows = [{**(f.get("properties") or {}), "geometry": json.dumps(f["geometry"]) if f.get("geometry") else None} for f in page["features"]]
+    return rows, bool(page.get("exceededTransferLimit") or (page.get("properties") or {}).get("exceededTransferLimit"))
+
+
+def fetch(url: str) -> list | dict:
+    """A JSON page."""
+    from urllib.request import urlopen
 
+    with urlopen(url if "://" in url else f"file://{url}", timeout=60) as f:
+        return json.load(f)
+
+
+def date_literal(day: str) -> str:
+    """A day as a remote filter takes it."""
+    return f"DATE '{day}'"
 
-def fetch(url: str) -> list[dict]:
-    """The list of records that a JSON page holds; a missing page is empty."""
-    from urllib.request import urlopen
 
-    try:
-        with urlopen(url if "://" in url else f"file://{url}", timeout=60) as f:
-            return json.load(f)
-    except OSError as e:
-        if "No such file" in str(e):
-            return []
-        raise
+def timestamp_literal(moment: datetime) -> str:
+    """A UTC time as a remote filter takes it."""
+    return f"TIMESTAMP '{moment:%Y-%m-%d %H:%M:%S}'"
 
 
 def with_retry(call: Callable[[], list], tries: int, wait: float = 1.5) -> list:

@@ -321,3 +321,166 @@ def test_jobs_end_to_end(spark, tmp_path):
     cached = p.withColumn("fxx", F.lit(6)).limit(3)
     assert jobs.predict(bands, m, ["v"], "tor", cached, [6]).count() == 3
     assert cli.parser().parse_args(["train", "--matrix", "a", "--cells", "b", "--out", "c", "--features", "v"]).fmax == 36
+
+
+def test_feature_rows_as_the_table_operators(spark):
+    from tesserae import constants as C
+    from tesserae.operators import features
+    from tesserae.plans import models as plans
+
+    from tesserae.plans.catalogue import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    rows = QUERIES["feature_rows"](spark, sf).where("scene = 0")
+    names = ["tmp_d0", "elev_mean50", "sbcape_mean25_right_forward", "mb250_absvort", "diffdiv_250_850", "bnd_def10", "bnd_t2m_gradmag", "sbcape", "elev", "motion_mean_u"]
+    catalogue = physics.catalogue()
+    names = [n for n in names if n in catalogue]
+    own = next(n for n in catalogue if n.startswith("sbcape_mean100_") and n.endswith("_leftward"))
+    motion = own.removeprefix("sbcape_mean100_").removesuffix("_leftward")
+    got = features.named(rows, [*names, own, "sbcape_mean100", f"motion_{motion}_u", f"motion_{motion}_v"], ["iy", "ix"]).toPandas().astype(float).sort_values(["iy", "ix"])
+    assert len(got) == 192 and all(len(r.features) == len(catalogue) for r in rows.limit(3).collect())
+    # Means and gradients as the operators on rows make them.
+    cells = spark.createDataFrame(got[["iy", "ix", "sbcape", f"motion_{motion}_u", f"motion_{motion}_v"]].astype({"iy": int, "ix": int}))
+    want = physics.expanded(cells, "sbcape", {motion: (f"motion_{motion}_u", f"motion_{motion}_v")}, plans.SCENE_NY, plans.SCENE_NX).toPandas().sort_values(["iy", "ix"])
+    assert got["sbcape_mean100"].to_numpy() == pytest.approx(want["sbcape_mean100"].to_numpy(), rel=1e-5)
+    assert got[own].to_numpy() == pytest.approx(want[own].to_numpy(), rel=1e-3, abs=1e-2 * np.abs(want["sbcape_mean100"]).max() / 100)
+    # Boundaries and kinematics by the definition.
+    s = plans.soundings(spark, sf).where("vec_id < 192").orderBy("vec_id").toPandas()
+    t2m = s.t2m.to_numpy().reshape(12, 16)
+    gy, gx = np.gradient(t2m, C.DX)
+    assert got["bnd_t2m_gradmag"].to_numpy().reshape(12, 16) == pytest.approx(1e5 * np.hypot(gx, gy), abs=5e-4)  # features are single floats
+    assert got["elev"].to_numpy() == pytest.approx(s.zsfc.to_numpy(), rel=1e-6)
+
+
+def test_only_wanted_cells_leave(spark):
+    from tesserae.operators import features
+    from tesserae.plans import models as plans
+
+    s = plans.soundings(spark, "/root/testdata/sf0.001").where("vec_id < 64").drop("scene").withColumns({"scene": F.lit("a"), "iy": (F.col("vec_id") / 8).cast("int"), "ix": (F.col("vec_id") % 8).cast("int"), "lat": F.lit(40.0)})
+    got = features.scene_features(s, "scene", 8, 8, wanted=F.col("vec_id") % 16 == 3).collect()
+    assert sorted((r.iy, r.ix) for r in got) == [(0, 3), (2, 3), (4, 3), (6, 3)]
+    assert features.scene_features(s.limit(0), "scene", 8, 8).count() == 0
+
+
+def test_terrain_of_a_plane(spark):
+    from tesserae.operators import features
+
+    got = features.terrain(spark.createDataFrame([(y, x, 3.0 * x + 4.0 * y) for y in range(6) for x in range(7)], "iy int, ix int, elev double"), step=1.0, radius=1.0).toPandas()
+    assert set(got.columns) == {"iy", "ix", *physics.TERRAIN}
+    assert got.slope.to_numpy() == pytest.approx(5.0) and got.slope_std.to_numpy() == pytest.approx(0.0, abs=1e-6)
+    assert got[(got.iy == 2) & (got.ix == 2)].tpi.iloc[0] == pytest.approx(0.0, abs=1e-9)
+
+
+def test_paged_source_without_a_total(spark, tmp_path):
+    for k in (0, 2, 4):
+        rows = [{"a": k + i, "b": "x"} for i in range(min(2, 5 - k))]
+        (tmp_path / f"page-{k}.json").write_text(json.dumps(rows))
+        (tmp_path / f"geo-{k}.json").write_text(json.dumps({"features": [{"properties": r, "geometry": {"x": 1}} for r in rows], "exceededTransferLimit": k < 4}))
+    (tmp_path / "page-6.json").write_text("[]")
+    spark.dataSource.register(tables.PagedSource)
+    read = lambda name, **kw: spark.read.format("paged").schema("a long, b string, geometry string").options(path=str(tmp_path / f"{name}-{{offset}}.json"), page="2", **kw).load()
+    assert sorted(r.a for r in read("page").collect()) == [0, 1, 2, 3, 4]
+    assert sorted(r.a for r in read("page", lanes="2").collect()) == [0, 1, 2, 3, 4]
+    geo = read("geo").collect()
+    assert sorted(r.a for r in geo) == [0, 1, 2, 3, 4] and json.loads(geo[0].geometry) == {"x": 1}
+    for broken in ("[", None, '{"error": "busy"}', json.dumps([{"a": 1}] * 3)):
+        (tmp_path / "page-2.json").unlink(missing_ok=True)
+        if broken is not None:
+            (tmp_path / "page-2.json").write_text(broken)
+        with pytest.raises(Exception, match="page-2|Expecting value|No such file|busy"):
+            read("page").collect()
+
+
+def test_overwrite_of_what_is_read(spark, tmp_path):
+    path = str(tmp_path / "m")
+    spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "k int, d string, x double").write.partitionBy("d").parquet(path)
+    sinks.overwrite(sinks.augmented(spark.read.parquet(path), spark.createDataFrame([(1, 5.0)], "k int, y double"), ["k"]), path)
+    assert sorted((r.k, r.y) for r in spark.read.parquet(path).collect()) == [(1, 5.0), (2, None)]
+    sinks.overwrite(spark.read.parquet(path).where("k = 1").withColumn("x", F.lit(9.0)), path)
+    assert [(r.k, r.x) for r in spark.read.parquet(path).collect()] == [(1, 9.0)]
+    # A run that died between the renames: the old rows come back.
+    (tmp_path / "m").rename(tmp_path / "m.old")
+    sinks.overwrite(spark.createDataFrame([(7, "b", 0.0, 0.0)], "k int, d string, x double, y double"), path)
+    assert [r.k for r in spark.read.parquet(path).collect()] == [7] and not (tmp_path / "m.old").exists()
+
+
+def test_commands_from_build_to_predict(spark, tmp_path):
+    from tesserae import cli
+
+    at = lambda n: str(tmp_path / n)
+    r = views.reports(spark, "/root/testdata/sf0.01")
+    r.write.parquet(at("reports"))
+    grid_cells = views.grid(spark, "/root/testdata/sf0.01").select("iy", "ix", F.round("v", 6).alias("v")).na.fill(0.0)
+    hours = r.select(F.date_trunc("HOUR", "time").cast("timestamp_ntz").alias("valid")).groupBy("valid").count().where("count >= 12").select("valid").where("weekday(valid) IN (0, 5, 6)")
+    hours.crossJoin(grid_cells).write.parquet(at("features"))
+    i = F.col("event_id")
+    from tesserae.plans import jobs
+
+    jobs.label_flags(r, ((i % 24).cast("int"), (i * 7 % 32).cast("int"))).write.parquet(at("labels"))
+    cli.main(["build-data", "--reports", at("reports"), "--features", at("features"), "--labels", at("labels"), "--out", at("matrix"), "--bands", "6", "--min-reports", "12", "--neg-keep", "0.05", "--temporal", "v"])
+    m = spark.read.parquet(at("matrix"))
+    n = m.count()
+    assert {"key", "v_before", "v_after", "split"} <= set(m.columns) and {x.split for x in m.select("split").distinct().collect()} >= {"train", "validation"}
+    m.select("valid", "iy", "ix").distinct().withColumn("extra", F.col("iy") * 1.0).write.parquet(at("extra"))
+    cli.main(["augment-data", "--matrix", at("matrix"), "--columns", at("extra")])
+    assert spark.read.parquet(at("matrix")).where("extra = iy").count() == n
+    cli.main(["augment-labels", "--matrix", at("matrix"), "--labels", at("labels")])
+    cli.main(["train", "--matrix", at("matrix"), "--features", "v,extra", "--models", at("models"), "--trees", "2", "--depth", "2", "--cap", "4000", "--val-cap", "4000"])
+    assert {x.name for x in spark.read.parquet(at("models/metrics")).collect()} == {"rows", "auc", "ap"}
+    grid_cells.withColumns({"fxx": F.lit(6), "extra": F.col("iy") * 1.0}).write.parquet(at("cells"))
+    cli.main(["predict", "--models", at("models"), "--cells", at("cells"), "--out", at("p")])
+    p = spark.read.parquet(at("p"))
+    assert p.count() == grid_cells.count() and p.where("p IS NULL OR p < 0 OR p > 1 OR hazard <> 'tor'").count() == 0
+    p.withColumns({"run": F.lit("2024-01-01 00"), "dist": F.array(*[F.lit(0.2)] * 5)}).write.parquet(at("full"))
+    cli.main(["products", "--predictions", at("full"), "--out", at("products")])
+    assert spark.read.parquet(at("products/combined")).count() == grid_cells.count() and "modal_bin" in spark.read.parquet(at("products/hourly")).columns
+
+
+def test_hindcast_and_fire_matrices(spark):
+    from tesserae.plans import jobs
+
+    hour = "TIMESTAMP_NTZ '2024-01-06 10:00:00'"
+    cells = spark.range(20).select(F.expr(hour).alias("valid"), (F.col("id") / 5).cast("int").alias("iy"), (F.col("id") % 5).cast("int").alias("ix"), F.lit(1.0).alias("v"))
+    labels = spark.createDataFrame([(1, 2, 1)], "iy int, ix int, flag int").withColumn("valid", F.expr(hour))
+    got = jobs.build_hindcast(cells.select("valid"), cells, labels, ["flag"], 1.0).toPandas()
+    assert len(got) == 20 and got.flag.sum() == 1 and "fxx" not in got and set(got.split) == {"validation"}
+    runs = cells.select((F.col("valid") - F.expr("INTERVAL 3 HOURS")).alias("run")).distinct()
+    state = cells.drop("valid").crossJoin(runs).withColumn("fxx", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    fires = spark.sql("SELECT 'a' AS irwin, TIMESTAMP_NTZ '2024-01-05 09:30:00' AS start, TIMESTAMP_NTZ '2024-01-06 09:30:00' AS end, 3 AS iy, 4 AS ix")
+    got = jobs.build_fire_matrix(runs, state, fires, 1.0, [1, 2, 3, 4]).toPandas()
+    assert set(got.fxx) == {1, 2} and got.flag.sum() == 2 and len(got) == 40
+
+
+def test_static_fields_that_lack(spark, caplog):
+    from tesserae.plans import jobs
+
+    rows = spark.createDataFrame([(0, 0), (0, 1)], "iy int, ix int")
+    static = spark.createDataFrame([(0, 0, 7.0)], "iy int, ix int, elev double")
+    assert sorted(r.elev for r in jobs.with_static(rows, static, ["elev", "popdens"], 0.0).collect()) == [0.0, 7.0]
+    assert "popdens" in caplog.text and jobs.with_static(rows, None, ["elev"]).first().elev is None
+
+
+def test_reports_merge_and_order(spark):
+    a = spark.createDataFrame([("t2", 1.0, 2.0, "hail", 5.0), ("t1", 1.0, 2.0, "wind", -999.0)], "time string, lat double, lon double, hazard string, magnitude double")
+    b = spark.createDataFrame([("t2", 1.0, 2.0, "hail", 9.0), ("t0", 1.0, 2.0, "hail", 1.0)], a.schema)
+    got = events.in_time_order(events.merged(a, b, unknown_wind=-999.0)).collect()
+    assert [(r.time, r.magnitude) for r in got] == [("t0", 1.0), ("t1", None), ("t2", 5.0)]
+
+
+def test_caps_take_the_first_by_hash(spark):
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 4 == 0, "validation").otherwise("train").alias("split"))
+    got = tables.capped_splits(rows, ["id"], {"train": 1234, "validation": 99_999}, seed=3)
+    train = {r.id for r in got.where("split = 'train'").collect()}
+    first = {r.id for r in rows.where("split = 'train'").orderBy(F.xxhash64(F.lit(3), "id")).limit(1234).collect()}
+    assert train == first and got.where("split = 'validation'").count() == 1250
+
+
+def test_auc_with_ties_weights_and_keys(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"k": rng.integers(0, 3, 4000), "p": np.round(rng.random(4000), 2), "w": rng.integers(1, 4, 4000).astype(float)})
+    pdf["y"] = (rng.random(4000) < pdf.p).astype(int)
+    got = {r.k: r for r in verify.exact_auc(spark.createDataFrame(pdf), "p", "y", "w", ["k"]).collect()}
+    for k, part in pdf.groupby("k"):
+        a, b = part[part.y == 1], part[part.y == 0]
+        better = (a.p.to_numpy()[:, None] > b.p.to_numpy()) + 0.5 * (a.p.to_numpy()[:, None] == b.p.to_numpy())
+        assert got[k].auc == pytest.approx((better * a.w.to_numpy()[:, None] * b.w.to_numpy()).sum() / (a.w.sum() * b.w.sum()))
