@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that are worked on at once. Spark bounds the bytes of a batch (spark.sql.execution.arrow.maxBytesPerBatch).
+#: Rows of a batch to Python and of what is worked on at once. Spark bounds the bytes of a batch (spark.sql.execution.arrow.maxBytesPerBatch).
 ARROW_ROWS = 256
+ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Bytes for each core below which a table may be dealt out to all cores.
 SMALL_PART = 16 << 20
 #: Files of an intermediate table for each core, at most.
@@ -24,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of ARROW_ROWS rows for this session, unless it has a setting of its own: results are lazy, so the setting has to last as long as they do."""
+    if spark.conf.get(ROWS_SETTING) == "10000":  # Spark's default
+        spark.conf.set(ROWS_SETTING, str(ARROW_ROWS))
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of ARROW_ROWS rows: bounds what a Python worker makes of a column of texts at once."""
     for b in batches:
@@ -116,7 +123,8 @@ def unit_hash(*cols: Column, seed: int = 7) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, if it is so small that it lies in fewer files than there are cores; else as it is, without a shuffle."""
+    """df for a Python worker: over all cores, if it is so small that it lies in fewer files than there are cores; else as it is, without a shuffle."""
+    small_batches(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     # From the plan's statistics alone: nothing runs.
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, spread
+from .common import slices, small_batches, spread
 
 #: Codes have at most so many bits.
 MAX_BITS = 12
@@ -307,6 +307,7 @@ def decode_column(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
                 for row in rows(key, media) if media is not None else ():
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True))], schema=schema)
 
+    small_batches(df.sparkSession)
     return df.select(id_col, media_col).mapInArrow(run, f"`{id_col}` {dict(df.dtypes)[id_col]}, {FRAMES_DDL}")
 
 

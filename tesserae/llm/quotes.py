@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, slices, small_batches
 
 MARKS = re.compile(r"[ \t]*(?:>[ \t]*)+")
 SPACE = re.compile(r"[ \t\r\f\v]+")
@@ -63,6 +63,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     link; a null text counts as empty; rows that repeat a turn are kept, and the links of all of them hold for each: the latest
     turn counts. An empty table gives an empty one.
     """
+    small_batches(messages.sparkSession)
     ddl = "conv_id long, turn long, role string, clean string, own array<string>, quoted array<struct<level: int, hash: string>>"
     rows = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     parsed = materialize(rows.mapInArrow(_parsed, ddl), "quotes-parsed")

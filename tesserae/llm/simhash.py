@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, slices, spread
+from .common import materialize, scratch, slices, small_batches, spread
 from .components import components
 
 #: Position i (1 to 31) of the Hamming code is column i of its check matrix; mask j holds the positions with bit j.
@@ -194,7 +194,7 @@ class _WordHashes(dict):
     """XXH64 of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 18:
+        if len(self) >= 1 << 16:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word, 42)
         return h
@@ -215,7 +215,7 @@ def shingle_keys(text: str | None, words: int) -> np.ndarray:
 
 
 #: Slots into which the shingles of all texts are counted, and parts of them; shingles that are counted together before they are sent.
-SLOTS, SLOT_PARTS, COUNTED_AT_ONCE = 1 << 27, 1024, 1 << 20
+SLOTS, SLOT_PARTS, COUNTED_AT_ONCE = 1 << 27, 2048, 1 << 20
 #: A slot is frequent from so many texts on, and four times what the average slot of its part has.
 OFTEN = 8
 
@@ -233,7 +233,8 @@ def _slot_counts(words: int):
             cut = np.searchsorted(slots, np.arange(SLOT_PARTS + 1, dtype=np.int64) * size)
             full = [i for i in range(SLOT_PARTS) if cut[i] < cut[i + 1]]
             blob = lambda x: pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), blob(slots % size), blob(counts.astype(np.uint32))], ["part", "slots", "counts"])
+            # Counts of one sending are as good as 255 from there on: such slots are frequent anyway.
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), blob((slots % size).astype(np.uint16)), blob(np.minimum(counts, 255).astype(np.uint8))], ["part", "slots", "counts"])
 
         for b in slices(batches):
             for t in b.column("text"):
@@ -263,7 +264,7 @@ def _frequent_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     yield found()
                 held = part
                 own[:] = 0
-            own[np.frombuffer(slots.as_buffer(), np.uint32)] += np.frombuffer(n.as_buffer(), np.uint32)
+            own[np.frombuffer(slots.as_buffer(), np.uint16)] += np.frombuffer(n.as_buffer(), np.uint8)
     if held >= 0:
         yield found()
 
@@ -339,6 +340,7 @@ def cross_pairs(shared: DataFrame, component: DataFrame, least: float) -> DataFr
 
 def _linked(docs: DataFrame, id_col: str, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of pairs (u, v) whose texts' shingle sets have the similarity."""
+    small_batches(docs.sparkSession)
     needed = pairs.select(F.explode(F.array("u", "v")).alias(id_col)).distinct()
     # Joins with texts are the same at every size: neither side's size is bounded.
     texts = materialize(docs.select(id_col, "text").join(needed.hint("merge"), id_col, "left_semi"), "near-texts")

@@ -24,7 +24,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, shared_path, slices
+from .common import materialize, scratch, shared_path, slices, small_batches
 
 #: Lines of an index block; payloads from this size on are stored once; bytes of payload that an archive file aims at, and files at most:
 #: larger archives have larger files. Characters of a file's first and last key by which lookups find it.
@@ -184,6 +184,7 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", block_lines: int =
     url has the empty key. Repeated rows are written each; html of any length is one record; an empty table gives an empty directory. Other columns are not read.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     key = F.udf(url_key, "string", useArrow=True)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))

@@ -417,6 +417,7 @@ def test_settings_and_scratch_stay_as_they_were(spark):
 
     for p in glob.glob(f"{common.shared_dir(spark)}/*"):
         shutil.rmtree(p)
+    common.small_batches(spark)  # the one setting that is made
     before = {r.key: r.value for r in spark.sql("SET").collect()}
     for name, run in queries.queries().items():
         run(spark, SF).write.format("noop").mode("overwrite").save()
