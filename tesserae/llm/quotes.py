@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, small_batches
+from .common import discard, materialize, slices, small_batches
 
 MARKS = re.compile(r"[ \t]*(?:>[ \t]*)+")
 SPACE = re.compile(r"[ \t\r\f\v]+")
@@ -61,7 +61,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     its lowest level of quotation found; one that quotes nothing found has no reply_to and begins a thread (root_turn: its turn, depth 0).
     Reply order is that of (root_turn, turn): a message follows what it replies to. Null ids or turns take part in no
     link; a null text counts as empty; rows that repeat a turn are kept, and the links of all of them hold for each: the latest
-    turn counts. An empty table gives an empty one.
+    turn counts. Messages of any length are parsed whole; other columns are not read, so their names cannot clash.
+    An empty table gives an empty one.
     """
     small_batches(messages.sparkSession)
     ddl = "conv_id long, turn long, role string, clean string, own array<string>, quoted array<struct<level: int, hash: string>>"
@@ -76,7 +77,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     roots = materialize(links.select("conv_id", "turn", F.col("reply_to").alias("root"), F.lit(1).alias("depth")), "quotes-roots")
     for _ in range(ROUNDS if links.limit(1).count() else 0):
         up = roots.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        roots = materialize(roots.join(up, ["conv_id", "root"], "left").select("conv_id", "turn", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "quotes-roots")
+        shorter, roots = roots, materialize(roots.join(up, ["conv_id", "root"], "left").select("conv_id", "turn", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "quotes-roots")
+        discard(messages.sparkSession, shorter.tesserae_path)
         if not roots.join(roots.select("conv_id", F.col("turn").alias("root")), ["conv_id", "root"], "left_semi").limit(1).count():
             break
     out = parsed.join(links, ["conv_id", "turn"], "left").join(roots, ["conv_id", "turn"], "left")
@@ -84,6 +86,19 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     return out.select("conv_id", "turn", "role", "clean", F.size("quoted").alias("quotes"), linked.alias("linked"), "reply_to", F.coalesce("root", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
+
+def conversations(messages: DataFrame) -> DataFrame:
+    """conv_id, root_turn, turn, reply_to, depth, role, text (without quotes) of every row of messages, sorted in reply order.
+
+    The rows of a conversation stand together, its threads (root_turn) one after another, and a message follows what it
+    replies to. A range sort spreads a conversation of any length over tasks, so none is gathered into one row; null ids,
+    turns, roles come last, repeated rows side by side. Null texts are empty, other columns are not read.
+    """
+    linked = link_quotes(messages).withColumnRenamed("clean", "text")
+    order = [F.asc_nulls_last(c) for c in ("conv_id", "root_turn", "turn", "role", "text")]
+    return linked.select("conv_id", "root_turn", "turn", "reply_to", "depth", "role", "text").orderBy(*order)
+
+
 #: DuckDB: the same by lines, islands and a recursive walk.
 QUOTES_SQL = r"""
 WITH RECURSIVE m AS (

@@ -396,6 +396,62 @@ def test_flat_trees_as_recursion():
     assert np.allclose(plain, f.score(x[:20]))
 
 
+
+def test_nnpu_as_a_plain_estimator(monkeypatch):
+    monkeypatch.setattr(toxicity, "STEPS", 60)
+    rng = np.random.default_rng(4)
+    xp, xu = (rng.random((n, 6)) < share for n, share in ((30, 0.6), (90, 0.2)))
+    places = lambda x: [np.flatnonzero(r).tolist() for r in x]
+    model = toxicity.fit_nnpu(list("abcdef"), places(xp), places(xu), 0.4)
+
+    prior, w = 0.4 * toxicity.MARGIN, np.zeros(7)
+    w[-1] = np.log(prior / (1 - prior))
+    ones = lambda x: np.c_[x, np.ones(len(x))]
+    sigmoid = lambda x, v: 1 / (1 + np.exp(-ones(x) @ v))
+    clean = lambda v: sigmoid(xu, v).mean() - prior * sigmoid(xp, v).mean()
+    m, q, signs = np.zeros(7), np.zeros(7), set()
+    for step in range(1, 61):
+        sign = 1 if clean(w) >= 0 else -1
+        signs.add(sign)
+        risk = lambda v, sign=sign: -prior * np.log(sigmoid(xp, v)).mean() + sign * clean(v) + toxicity.DECAY / 2 * (v[:-1] ** 2).sum()
+        slope = np.array([(risk(w + d) - risk(w - d)) / 2e-6 for d in np.eye(7) * 1e-6])
+        m, q = 0.9 * m + 0.1 * slope, 0.999 * q + 0.001 * slope**2
+        w = w - toxicity.RATE * m / (1 - 0.9**step) / (np.sqrt(q / (1 - 0.999**step)) + 1e-8)
+    assert signs == {1, -1}
+    assert np.allclose([*model.weights.values(), model.bias], w, atol=1e-5)
+
+
+def test_splits_as_an_exhaustive_search(monkeypatch):
+    monkeypatch.setattr(quality, "TREES", 2)
+    rng = np.random.default_rng(6)
+    x = np.c_[rng.normal(size=(400, 3)), rng.integers(0, 4, 400)]
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(0, 0.3, 400) > 0).astype(float)
+    edges = [np.unique(np.quantile(c, np.linspace(0, 1, quality.BINS + 1)[1:-1])) for c in x.T]
+    term = lambda g, h, rows: g[rows].sum() ** 2 / (h[rows].sum() + quality.L2)
+
+    def grow(rows, g, h, depth):
+        """Adds a subtree's leaf values to z."""
+        best = (1e-9, rows, rows[:0])
+        for j in range(x.shape[1]) if depth < quality.DEPTH else ():
+            for e in edges[j]:
+                right = x[rows, j] > e
+                a, b = rows[~right], rows[right]
+                if min(h[a].sum(), h[b].sum()) >= quality.LEAST:
+                    best = max(best, (term(g, h, a) + term(g, h, b) - term(g, h, rows), a, b), key=lambda t: t[0])
+        if depth == quality.DEPTH:
+            z[rows] -= quality.RATE * g[rows].sum() / (h[rows].sum() + quality.L2)
+            return
+        for part in best[1:]:
+            if len(part):
+                grow(part, g, h, depth + 1)
+
+    z = np.full(400, np.log(y.mean() / (1 - y.mean())))
+    for _ in range(2):
+        s = 1 / (1 + np.exp(-z))
+        grow(np.arange(400), s - y, s * (1 - s), 0)
+    assert np.allclose(quality.fit_forest(x, y).score(x), 1 / (1 + np.exp(-z)))
+
+
 def test_pipeline_stages_of_odd_rows(spark):
     import corpus_pipeline as cp
 
