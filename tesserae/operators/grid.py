@@ -89,7 +89,7 @@ def unit(u: Column, v: Column) -> tuple[Column, Column]:
 def directional(rows: DataFrame, field: str, u: str, v: str, radius: float, ny: int, nx: int, keys: list[str] | None = None) -> DataFrame:
     """keys, iy, ix, forward, leftward, straddling: differences of bilinear samples ahead, behind, left and right of a cell's motion, radius cells away.
 
-    Samples beyond the edge take the edge's value; one that touches a null is null. The 16 corners of a cell meet the grid in one equi-join.
+    Samples beyond the edge take the edge's value; one that touches a null is null. A cell without a motion has no row. The 16 corners of a cell meet the grid in one equi-join.
     """
     keys = keys or []
     du, dv = unit(F.col(u), F.col(v))
@@ -97,7 +97,8 @@ def directional(rows: DataFrame, field: str, u: str, v: str, radius: float, ny:
     sides = {"ahead": (r * dv, r * du), "behind": (-r * dv, -r * du), "left": (r * du, -r * dv), "right": (-r * du, r * dv)}
     clamp = lambda c, n: F.greatest(F.lit(0.0), F.least(F.lit(float(n - 1)), c))
     places = F.array(*(F.struct(F.lit(name).alias("side"), clamp(F.col("iy") + dy, ny).alias("y"), clamp(F.col("ix") + dx, nx).alias("x")) for name, (dy, dx) in sides.items()))
-    samples = rows.select(*keys, "iy", "ix", F.explode(places).alias("p")).select(*keys, "iy", "ix", "p.*")
+    # greatest and least pass over nulls: without a motion they would name a place.
+    samples = rows.where(F.col(u).isNotNull() & F.col(v).isNotNull()).select(*keys, "iy", "ix", F.explode(places).alias("p")).select(*keys, "iy", "ix", "p.*")
     samples = samples.withColumns({"y0": F.floor("y"), "x0": F.floor("x"), "fy": F.col("y") - F.floor("y"), "fx": F.col("x") - F.floor("x")})
     corner = F.explode(F.array(*(F.struct(F.lit(ky).alias("ky"), F.lit(kx).alias("kx")) for ky in (0, 1) for kx in (0, 1)))).alias("k")
     part = lambda k, f: F.when(F.col(k) == 1, F.col(f)).otherwise(1 - F.col(f))

@@ -100,5 +100,5 @@ def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def spatial_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = views.grid(spark, sf_dir).where("u2 IS NOT NULL")
-    return physics.expanded(g, "v", {"own": ("u2", "v2")}, views.NY, views.NX)
+    """On the dense grid, which the neighbourhood needs; cells without a motion have means and no gradients."""
+    return physics.expanded(views.grid(spark, sf_dir), "v", {"own": ("u2", "v2")}, views.NY, views.NX)
