@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balltree, bpe, gif, mixing, quality, quotes, sharding, simhash, toxicity, warc
+from . import audit, balltree, bpe, gif, mixing, quality, quotes, resample, sharding, simhash, toxicity, warc
 from .common import table
 
 
@@ -55,10 +55,19 @@ def op10_shard_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = resample.importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return ranks.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ten = (op1_mix_sources, op2_quotation_links, op3_byte_bpe, op4_gif_media, op5_toxicity_nnpu, op6_warc_index, op7_simhash_near_dups, op8_quality_trees, op9_ball_tree_topk, op10_shard_by_size)
-    return {f.__name__: f for f in ten}
+    numbered = (op1_mix_sources, op2_quotation_links, op3_byte_bpe, op4_gif_media, op5_toxicity_nnpu, op6_warc_index, op7_simhash_near_dups, op8_quality_trees, op9_ball_tree_topk, op10_shard_by_size, op11_importance_resampling, op13_filter_audit)
+    return {f.__name__: f for f in numbered}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.MIX_SQL, "op2_quotation_links": quotes.QUOTES_SQL, "op6_warc_index": warc.WARC_SQL, "op9_ball_tree_topk": balltree.TOP_SQL, "op10_shard_by_size": sharding.SHARD_SQL}
+    return {"op1_mix_sources": mixing.MIX_SQL, "op2_quotation_links": quotes.QUOTES_SQL, "op6_warc_index": warc.WARC_SQL, "op9_ball_tree_topk": balltree.TOP_SQL, "op10_shard_by_size": sharding.SHARD_SQL, "op11_importance_resampling": resample.RESAMPLE_SQL, "op13_filter_audit": audit.AUDIT_SQL}
