@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, balltree, bpe, gif, mixing, quality, quotes, resample, sharding, simhash, toxicity, warc
+from . import audit, balltree, bpe, gif, jaccard, mixing, quality, quotes, resample, sharding, simhash, toxicity, warc
 from .common import table
 
 
@@ -60,12 +60,16 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    numbered = (op1_mix_sources, op2_quotation_links, op3_byte_bpe, op4_gif_media, op5_toxicity_nnpu, op6_warc_index, op7_simhash_near_dups, op8_quality_trees, op9_ball_tree_topk, op10_shard_by_size, op11_importance_resampling, op13_filter_audit)
+    numbered = (op1_mix_sources, op2_quotation_links, op3_byte_bpe, op4_gif_media, op5_toxicity_nnpu, op6_warc_index, op7_simhash_near_dups, op8_quality_trees, op9_ball_tree_topk, op10_shard_by_size, op11_importance_resampling, op12_jaccard_join, op13_filter_audit)
     return {f.__name__: f for f in numbered}
 
 
