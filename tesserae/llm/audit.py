@@ -23,6 +23,8 @@ UPPER, MARKS = bytes(range(65, 91)), b"#$%&*|"
 CONTINUED = bytes(range(0x80, 0xC0))
 #: Bytes of texts that a task holds before its chains are sent on.
 HELD = 24 << 20
+#: Bytes of texts that a partition of fingerprints gets on average, at most.
+ROUTED = 32 << 20
 #: What rows without an id are dealt out by.
 NO_ID = 4096
 
@@ -131,8 +133,9 @@ def failure_masks(docs: DataFrame, id_col: str = "doc_id", part_col: str = "sour
     A row fails E if a smaller id has the same text. Equal fingerprints only bring texts together, the texts themselves decide. Copies meet
     within their input partition first, so that a text with very many copies reaches its partition once for each input partition, not for each copy.
     """
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(-(-size // ROUTED), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col), F.col("text"), F.coalesce(F.col(part_col).cast("string"), F.lit(""))).rdd.map(tuple)
-    n = max(rows.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return rows.mapPartitions(_first_chains(fingerprint, held)).repartitionAndSortWithinPartitions(n, lambda k: k).mapPartitions(_last_chains)
 
 
