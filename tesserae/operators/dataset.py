@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions import bins, times
 
-MODULUS = 1_000_003
+#: Room for lead times and for the rows and columns of a grid in row_key.
+LEADS, SIDE = 1000, 4096
 
 
 def hashed_share(key: Column, seed: int = 0) -> Column:
-    """A number in [0, 1) from an integer key, by arithmetic that any engine can redo."""
-    return F.pmod(key * F.lit(7919) + F.lit(104_729 + seed), F.lit(MODULUS)) / F.lit(float(MODULUS))
+    """A number in [0, 1) from a key as text: the first 52 bits of its MD5, which any engine can redo. Keys that differ have numbers that are as good as independent."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def row_key(valid: Column, fxx: Column, iy: Column, ix: Column) -> Column:
+    """A number for each row of a matrix that no other row has: hour, lead time, and place on a grid of up to SIDE x SIDE cells."""
+    hour = F.floor(F.unix_seconds(valid.cast("timestamp")) / 3600).cast("bigint")
+    return ((hour * LEADS + fxx) * SIDE + iy) * SIDE + ix
 
 
 def subsample(rows: DataFrame, positive: Column, key: Column, keep: float, seed: int = 0) -> DataFrame:
@@ -21,9 +29,11 @@ def subsample(rows: DataFrame, positive: Column, key: Column, keep: float, seed:
     return chosen.withColumn("weight", F.when(positive, F.lit(1.0)).otherwise(F.lit(1.0 / keep)))
 
 
-def bag(rows: DataFrame, positive: Column, key: Column, bags: int) -> DataFrame:
-    """A row for each positive and bag, and each negative in just one: bag, and weight times bags for negatives."""
-    own = F.when(positive, F.sequence(F.lit(0), F.lit(bags - 1))).otherwise(F.array(F.pmod(key, F.lit(bags)).cast("int")))
+def bag(rows: DataFrame, positive: Column, key: Column, bags: int, seed: int = 1) -> DataFrame:
+    """A row for each positive and bag, and each negative in just one: bag, and weight times bags for negatives. The seed is another than that of
+    subsample, or what that has kept would all be in one bag."""
+    fold = F.floor(hashed_share(key, seed) * bags).cast("int")
+    own = F.when(positive, F.sequence(F.lit(0), F.lit(bags - 1))).otherwise(F.array(fold))
     out = rows.withColumn("bag", F.explode(own))
     return out.withColumn("weight", F.when(positive, F.col("weight")).otherwise(F.col("weight") * bags))
 
@@ -39,11 +49,16 @@ def populated_bands(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("split") == "train").select(times.lead_band(F.col("fxx")).alias("band")).distinct()
 
 
-def sized_positives(rows: DataFrame, flag: str, bin_: str, least_rows: int = 50, least_classes: int = 2) -> DataFrame:
-    """Positives with a known bin, or none at all if these are fewer than so many rows or classes."""
+def sized_positives(rows: DataFrame, flag: str, bin_: str, least_rows: int = 50, least_classes: int = 2, keys: list[str] | None = None) -> DataFrame:
+    """Positives with a known bin; of each value of keys (hazard, band), or of all, none at all where these are fewer than so many rows or classes."""
     known = rows.where((F.col(flag) == 1) & (F.col(bin_) >= 0))
-    enough = known.agg(F.count("*").alias("n"), F.countDistinct(bin_).alias("k")).where((F.col("n") >= least_rows) & (F.col("k") >= least_classes))
-    return known.join(F.broadcast(enough.select(F.lit(1).alias("__ok"))), how="left_semi")
+    enough = known.groupBy(*(F.col(k).alias(f"__{k}") for k in keys or [])).agg(F.count("*").alias("__n"), F.countDistinct(bin_).alias("__c")).where((F.col("__n") >= least_rows) & (F.col("__c") >= least_classes))
+    if not keys:
+        return known.join(F.broadcast(enough), how="left_semi")  # one row
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return known.join(enough, same, "left_semi")
 
 
 def size_marginal(sizes: DataFrame, size: str) -> DataFrame:

@@ -40,7 +40,7 @@ def build_matrix(samples: DataFrame, features: DataFrame, labels: DataFrame, fla
     positive = F.lit(False)
     for f in flags:
         positive = positive | (F.col(f) == 1)
-    key = (F.unix_seconds(F.col("valid").cast("timestamp")) / 3600).cast("bigint") * 75749 + F.col("iy") * 359 + F.col("ix") + F.col("fxx") * 31
+    key = dataset.row_key(F.col("valid"), F.col("fxx"), F.col("iy"), F.col("ix"))
     return dataset.subsample(rows.withColumn("key", key), positive, F.col("key"), keep, seed).withColumn("split", times.split(F.col("valid")))
 
 
@@ -60,7 +60,7 @@ def build_fire_matrix(runs: DataFrame, features: DataFrame, fires: DataFrame, ke
     busy = active.groupBy("run", "fxx", "valid").agg(F.countDistinct("irwin").alias("n")).where(F.col("n") >= least_fires).drop("n")
     labels = active.select("run", "fxx", *CELL).distinct().withColumn("flag", F.lit(1))
     rows = features.join(busy, ["run", "fxx"]).join(labels, ["run", "fxx", *CELL], "left").fillna(0, ["flag"])
-    key = (F.unix_seconds(F.col("valid").cast("timestamp")) / 3600).cast("bigint") * 75749 + F.col("iy") * 359 + F.col("ix") + F.col("fxx") * 31
+    key = dataset.row_key(F.col("valid"), F.col("fxx"), F.col("iy"), F.col("ix"))
     return dataset.subsample(rows.withColumn("key", key), F.col("flag") == 1, F.col("key"), keep, seed).withColumn("split", times.split(F.col("valid")))
 
 

@@ -67,6 +67,11 @@ def combined_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products.combined(views.predictions(spark, sf_dir))
 
 
+def share_sql(key: str, seed: int = 0) -> str:
+    """hashed_share in SQL."""
+    return f"('0x' || md5('{seed}:' || ({key}))[1:13])::BIGINT / 4503599627370496::DOUBLE"
+
+
 BANDS = {"b0": (0.9, 0.1), "b1": (1.1, -0.05), "b2": (1.0, 0.0)}
 
 
@@ -82,18 +87,18 @@ def weighted_mean_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products.weighted_distribution(p, ["hazard"], 5).select("hazard", "bin", F.round("share", 6).alias("share"))
 
 
-@query("SELECT l_returnflag = 'R' AS positive, count(*) AS n, round(sum(w), 4) AS weight FROM (SELECT l_returnflag, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 1 / 0.025::DOUBLE END AS w FROM lineitem WHERE l_returnflag = 'R' OR ((l_orderkey * 31 + l_partkey) * 7919 + 104729) % 1000003 / 1000003::DOUBLE < 0.025::DOUBLE) GROUP BY 1")
+@query(f"SELECT l_returnflag = 'R' AS positive, count(*) AS n, round(sum(w), 4) AS weight FROM (SELECT l_returnflag, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 1 / 0.025::DOUBLE END AS w FROM lineitem WHERE l_returnflag = 'R' OR {share_sql('l_orderkey * 8 + l_linenumber')} < 0.025::DOUBLE) GROUP BY 1")
 def subsample_reweight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")  # noqa: E741
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")  # noqa: E741
     positive = F.col("l_returnflag") == "R"
-    s = dataset.subsample(l, positive, F.col("l_orderkey") * 31 + F.col("l_partkey"), 0.025)
+    s = dataset.subsample(l, positive, F.col("l_orderkey") * 8 + F.col("l_linenumber"), 0.025)
     return s.groupBy(positive.alias("positive")).agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
-@query("SELECT bag::INT AS bag, pos, count(*) AS n, sum(CASE WHEN pos THEN 1.0 ELSE 4.0 END)::DOUBLE AS weight FROM (SELECT l_returnflag = 'R' AS pos, l_partkey % 4 AS own FROM lineitem), range(4) b(bag) WHERE pos OR own = bag GROUP BY 1, 2")
+@query(f"SELECT bag::INT AS bag, pos, count(*) AS n, sum(CASE WHEN pos THEN 1.0 ELSE 4.0 END)::DOUBLE AS weight FROM (SELECT l_returnflag = 'R' AS pos, floor({share_sql('l_orderkey * 8 + l_linenumber', 1)} * 4)::INT AS own FROM lineitem), range(4) b(bag) WHERE pos OR own = bag GROUP BY 1, 2")
 def bag_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_returnflag") == "R").alias("pos"), F.lit(1.0).alias("weight"))  # noqa: E741
-    return dataset.bag(l, F.col("pos"), F.col("l_partkey"), 4).groupBy("bag", "pos").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    l = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("key"), (F.col("l_returnflag") == "R").alias("pos"), F.lit(1.0).alias("weight"))  # noqa: E741
+    return dataset.bag(l, F.col("pos"), F.col("key"), 4).groupBy("bag", "pos").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
 
 
 EDGES = [0.0, 0.02, 0.04, 0.06, 0.08, 0.1, 0.28, 0.46, 0.64, 0.82, 1.0]
@@ -147,10 +152,10 @@ def report_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select(F.col("hour").cast("long").alias("hour"), "hazard", "n")
 
 
-@query(f"SELECT fxx, hazard, bin, n FROM (SELECT (1 + event_id % 48)::INT AS fxx, hazard, {bin_sql()} AS bin FROM v_reports), LATERAL (SELECT 1 AS n) z WHERE bin >= 0 QUALIFY count(*) OVER () >= 50", ["v_reports"])
+@query(f"SELECT fxx, hazard, bin, n FROM (SELECT (1 + event_id % 48)::INT AS fxx, hazard, {bin_sql()} AS bin FROM v_reports), LATERAL (SELECT 1 AS n) z WHERE bin >= 0 QUALIFY count(*) OVER (PARTITION BY hazard) >= 50 AND min(bin) OVER (PARTITION BY hazard) < max(bin) OVER (PARTITION BY hazard)", ["v_reports"])
 def sized_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = events.with_severity(views.reports(spark, sf_dir)).select((1 + F.col("event_id") % 48).cast("int").alias("fxx"), "hazard", "bin", F.lit(1).alias("flag"))
-    return dataset.sized_positives(r, "flag", "bin").select("fxx", "hazard", "bin", F.lit(1).alias("n"))
+    return dataset.sized_positives(r, "flag", "bin", keys=["hazard"]).select("fxx", "hazard", "bin", F.lit(1).alias("n"))
 
 
 @query("SELECT DISTINCT 'f' || a || '_' || (a + 5) AS band FROM (SELECT (1 + l_orderkey % 30 - 1) // 6 * 6 + 1 AS a FROM lineitem WHERE isodow(l_shipdate) < 6)")
@@ -198,7 +203,7 @@ MATRIX_SQL = """, h AS (SELECT date_trunc('hour', time) AS valid FROM v_reports
 s AS (SELECT valid, f::INT AS fxx, valid - to_hours(f::INT) AS run FROM h, (VALUES (6), (18)) t(f)),
 w AS (SELECT DISTINCT valid, (event_id % 24)::INT AS iy, ((event_id * 7) % 32)::INT AS ix FROM v_reports JOIN h ON time BETWEEN valid - INTERVAL 30 MINUTE AND valid + INTERVAL 30 MINUTE),
 r AS (SELECT s.valid, fxx, run, g.iy, g.ix, round(g.v, 6) AS v, (w.iy IS NOT NULL)::INT AS flag FROM s, v_grid g LEFT JOIN w ON w.valid = s.valid AND w.iy = g.iy AND w.ix = g.ix),
-k AS (SELECT *, ((epoch(valid)::BIGINT // 3600 * 75749 + iy * 359 + ix + fxx * 31) * 7919 + 104729) % 1000003 / 1000003::DOUBLE AS z FROM r)
+k AS (SELECT *, """ + share_sql("((epoch(valid)::BIGINT // 3600 * 1000 + fxx) * 4096 + iy) * 4096 + ix") + """ AS z FROM r)
 SELECT valid, fxx, run, iy, ix, v, flag, CASE WHEN flag = 1 THEN 1.0::DOUBLE ELSE 1 / 0.05::DOUBLE END AS weight, CASE isodow(valid) WHEN 6 THEN 'validation' WHEN 7 THEN 'test' ELSE 'train' END AS split FROM k WHERE flag = 1 OR z < 0.05::DOUBLE"""
 
 

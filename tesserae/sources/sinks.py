@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,17 @@ from pyspark.sql import functions as F
 from ..functions import columns
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; without that setting a temporary folder, if all runs on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tesserae-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def append_parts(rows: DataFrame, path: str, by: str = "valid_date") -> None:
     """Appends to a dataset partitioned by a date column; a failed task leaves nothing behind."""
     rows.write.mode("append").partitionBy(by).parquet(path)
@@ -33,26 +46,33 @@ def relabelled(rows: DataFrame, labels: DataFrame, keys: list[str], default: int
     return augmented(rows, labels, keys).fillna(dict.fromkeys(new, default))
 
 
-def overwrite(rows: DataFrame, path: str, by: str | None = None) -> None:
-    """Replaces just the partitions that rows have (by), or all; rows may be read from path itself.
+def overwrite(rows: DataFrame, path: str, by: str | list[str] | None = None, cleared: list[dict[str, str]] | None = None) -> None:
+    """Replaces just the partitions that rows have (by: one column or several, nested), or all; rows may be read from path itself.
 
     They are written beside it and counted first, then the folders change places by renaming: until that, path is as it was. A run that
-    dies between two renames leaves the old rows in a folder that ends in .old, which the next call puts back.
+    dies between two renames leaves the old rows in a folder that ends in .old, which the next call puts back. cleared names partitions (values by column)
+    that rows may have left: those which rows don't have go.
     """
     spark = rows.sparkSession
+    by = [by] if isinstance(by, str) else by or []
     fs = _Folders(spark, path)
-    fs.put_back(path)
+    fs.put_back(path, len(by))
     new = f"{path.rstrip('/')}.{uuid.uuid4().hex}.new"
     observed = Observation()
     written = rows.observe(observed, F.count(F.lit(1)).alias("n")).write
-    (written.partitionBy(by) if by else written).parquet(new)
+    (written.partitionBy(*by) if by else written).parquet(new)
     if (there := spark.read.schema(rows.schema).parquet(new).count()) != observed.get["n"]:
         raise RuntimeError(f"{new} has {there} rows of {observed.get['n']}; {path} is unchanged")
     if not by:
         fs.swap(new, path)
     else:
-        for name in fs.partitions(new):
+        made = fs.partitions(new, len(by))
+        for name in made:
             fs.swap(f"{new}/{name}", f"{path.rstrip('/')}/{name}")
+        for name in fs.partitions(path, len(by)) if cleared else []:
+            values = dict(unquote(x).split("=", 1) for x in name.split("/"))
+            if name not in made and values in cleared:
+                fs.remove(f"{path.rstrip('/')}/{name}")
         fs.remove(new)
     spark.catalog.refreshByPath(path)
 
@@ -77,23 +97,32 @@ class _Folders:
         self._rename(new, path)
         self.remove(old)
 
-    def put_back(self, path: str) -> None:
-        """What a swap that died has left: of the folder, and of folders in it."""
-        pairs = [path.rstrip("/")]
-        if self.fs.exists(self.at(path)):
-            pairs += [f"{path.rstrip('/')}/{n}"[:-4] for n in self._names(path) if n.endswith(".old")]
-        for p in pairs:
-            if self.fs.exists(self.at(f"{p}.old")):
-                if self.fs.exists(self.at(p)):
-                    self.remove(f"{p}.old")
-                else:
-                    self._rename(f"{p}.old", p)
+    def put_back(self, path: str, depth: int = 1) -> None:
+        """What a swap that died has left: of the folder, and of partitions in it."""
+        base = path.rstrip("/")
+        if self.fs.exists(self.at(base)):
+            level = [base]
+            for _ in range(depth):
+                level = [f"{at}/{n}" for at in level for n in self._names(at) if "=" in n]
+                for p in [x[:-4] for x in level if x.endswith(".old")]:
+                    self._put_back(p)
+                level = [x for x in level if not x.endswith(".old")]
+        self._put_back(base)
+
+    def _put_back(self, p: str) -> None:
+        if self.fs.exists(self.at(f"{p}.old")):
+            if self.fs.exists(self.at(p)):
+                self.remove(f"{p}.old")
+            else:
+                self._rename(f"{p}.old", p)
 
     def _names(self, path: str) -> list[str]:
         return [x.getPath().getName() for x in self.fs.listStatus(self.at(path))]
 
-    def partitions(self, path: str) -> list[str]:
-        return [n for n in self._names(path) if "=" in n]
+    def partitions(self, path: str, depth: int = 1) -> list[str]:
+        """Names of the partition folders, nested ones joined by slashes."""
+        found = [n for n in self._names(path) if "=" in n]
+        return found if depth == 1 else [f"{n}/{x}" for n in found for x in self.partitions(f"{path}/{n}", depth - 1)]
 
     def remove(self, path: str) -> None:
         self.fs.delete(self.at(path), True)

@@ -1,4 +1,8 @@
-"""Structured Streaming over reports: hourly counts, centred windows, sessions, deduplication, resumable sinks."""
+"""Structured Streaming over reports: hourly counts, centred windows, sessions, deduplication, last versions; sinks that resume and replace.
+
+Results are tables in files: closed windows are appended by Spark's own file sink, windows and reports that still change
+are put into a table partitioned by day, of which a batch replaces just the days it touches.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import sinks
+
 GRACE = "12 hours"
 
 
@@ -65,8 +71,64 @@ def resume_writer(path: str, keys: list[str]) -> Callable[[DataFrame, int], None
     return write
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """All that is available now, as a table in memory; for tests and small results."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def last_versions(stream: DataFrame, keys: list[str], version: str, grace: str = GRACE) -> DataFrame:
+    """day, keys and the other columns of each key's last version, for reports (ts, keys, version) that come in any order and more than once.
+
+    A day takes replacements until the grace after its end has passed by the watermark; what comes later is dropped, and the day's state with it. In update mode
+    only keys that have changed come out. A null version comes before all others.
+    """
+    rest = [c for c in stream.columns if c not in (*keys, version)]
+    own = F.max(F.struct(version, *rest)).alias("last")
+    w = stream.withWatermark("ts", grace).groupBy(F.window("ts", "1 day"), *keys).agg(own)
+    return w.select(F.to_date("window.start").alias("day"), *keys, f"last.{version}", *(f"last.{c}" for c in rest))
+
+
+def newest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """One row of each key: that with the greatest version; partial sums before the shuffle."""
+    rest = [c for c in rows.columns if c not in (*keys, version)]
+    last = rows.groupBy(*keys).agg(F.max(F.struct(version, *rest)).alias("last"))
+    return last.select(*(F.col("last").getField(c).alias(c) if c in (version, *rest) else F.col(c) for c in rows.columns))
+
+
+def upsert_writer(path: str, keys: list[str], version: str, by: str = "day", reach: int | None = None) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: a table at path, partitioned by a date, that has of each key the row with the greatest version of all batches.
+
+    A batch replaces the days that it has rows for, and those from which one of its keys moves away; other days aren't read, but for their keys, and of these only days
+    within reach of the batch's own, if that is given. Days change places by renaming, so a reader sees a day before or after a batch, and a batch that is run again
+    changes nothing.
+    """
+
+    def write(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        fresh = newest(batch, keys, version).persist()
+        try:
+            days = fresh.agg(F.min(by).alias("a"), F.max(by).alias("b")).first()
+            if days.a is None:
+                return
+            try:
+                old = spark.read.schema(fresh.schema).parquet(path)
+            except Exception as e:
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+                sinks.overwrite(fresh.repartition(by), path, by)
+                return
+            near = old if reach is None else old.where(F.col(by).between(F.date_sub(F.lit(days.a), reach), F.date_add(F.lit(days.b), reach)))
+            left = near.join(fresh.select(*keys), keys, "left_semi").select(by)
+            touched = [r[0] for r in fresh.select(by).union(left).distinct().collect()]  # days
+            both = old.where(F.col(by).isin(touched)).unionByName(fresh)
+            sinks.overwrite(newest(both, keys, version).repartition(by), path, by, [{by: str(d)} for d in touched])
+        finally:
+            fresh.unpersist()
+
+    return write
+
+
+def drain(stream: DataFrame, path: str, state: str, write: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+    """Runs a stream over all that is available now, from where its checkpoint (state) ended, and gives the table at path.
+
+    Without write, rows that are final are appended by the file sink; with it, rows that have changed go to write, batch by batch.
+    """
+    out = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
+    q = out.outputMode("append").format("parquet").start(path) if write is None else out.outputMode("update").foreachBatch(write).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.parquet(path)

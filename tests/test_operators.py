@@ -290,10 +290,11 @@ def test_stream_deduplication_and_active_intervals(spark, tmp_path):
     spark.sql(f"SELECT * FROM VALUES (1, {t('10:00')}), (1, {t('11:00')}), (2, {t('12:00')}) v(key, ts)").coalesce(1).write.parquet(str(tmp_path / "r"))
     spark.sql(f"SELECT * FROM VALUES (1, {t('09:00')}, {t('10:30')}), (2, {t('13:00')}, {t('14:00')}) v(key, start, end)").coalesce(1).write.parquet(str(tmp_path / "f"))
     stream = lambda n: spark.readStream.schema(spark.read.parquet(str(tmp_path / n)).schema).parquet(str(tmp_path / n))
-    once = streams.run_to_table(streams.deduplicated(stream("r"), ["key"]), "once", "append")
+    table = lambda s, n: streams.drain(s, str(tmp_path / n), str(tmp_path / f"{n}-state"))
+    once = table(streams.deduplicated(stream("r"), ["key"]), "once")
     assert sorted(r.key for r in once.collect()) == [1, 2]
     pairs = streams.active(stream("f"), stream("r")).select("r.key", "r.ts")
-    assert [(r.key, r.ts.hour) for r in streams.run_to_table(pairs, "active", "append").collect()] == [(1, 10)]
+    assert [(r.key, r.ts.hour) for r in table(pairs, "active").collect()] == [(1, 10)]
 
 
 def test_resample_and_member_state(spark):
