@@ -15,46 +15,111 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, scratch, slices, spread
 from .components import components
-from .simhash import _slot, frequent_shingles, shingle_keys
-
-#: Odd factors of the min-hashes by which leaders are found, one round each.
-MIXES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
+from .resample import words_of
+from .slots import bit_of, slot_bits
+
+#: All but ASCII white space is in words.
+IN_WORD = np.ones(256, bool)
+IN_WORD[[32, *range(9, 14)]] = False
+#: Bytes of a word up to which words are hashed all at once.
+SHORT = 64
+ODD, PRIME = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
+#: Parts of the range of keys whose smallest key is a min-hash: few for finding leaders (one round each), more for comparing sketches.
+QUARTERS, SKETCH = 4, 16
+#: Of a sketch, so many must agree before sets are compared: fewer are hardly ever those of similar sets, and missing some costs time alone.
+AGREE = 9
 #: Bits of the table that says which rows' sets are needed.
 ROW_BITS = 27
 #: Positions of a frequent key's list are cut into so many blocks over the length of a prefix.
 PLACES = 4
+#: A key is frequent if it is in so many texts and four times what the average slot has.
+OFTEN = 8
 NEAR = 1e-9
 
 
-def _digests(words: int, schema: pa.Schema, id_col: str):
-    import xxhash
+def word_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64 bits of each word: one byte place a step for all short words at once; long words by XXH64."""
+    h = np.full(len(start), 0xCBF29CE484222325, np.uint64)
+    order = np.argsort(-size, kind="stable")
+    at, n = start[order], size[order]
+    first = int(np.searchsorted(-n, -SHORT, "left"))
+    own = h[order]
+    for i in range(first):
+        own[i] = xxhash.xxh64_intdigest(data[at[i] : at[i] + n[i]].tobytes(), 42)
+    live = len(n)
+    for k in range(SHORT):
+        live = first + int(np.searchsorted(-n[first:live], -k, "left"))
+        if live == first:
+            break
+        own[first:live] = (own[first:live] ^ data[at[first:live] + k]) * PRIME
+    h[order] = own
+    h = (h ^ (h >> np.uint64(32))) * ODD
+    return h ^ (h >> np.uint64(29))
+
+
+def _joined(parts: list[np.ndarray], tag: int) -> np.ndarray:
+    k = np.full(len(parts[0]), tag, np.uint64)
+    for h in parts:
+        k = (k ^ h) * ODD
+        k ^= k >> np.uint64(29)
+    return k
+
+
+def batch_keys(column: pa.Array, words: int) -> list[np.ndarray]:
+    """Of each text, the distinct 64-bit keys of its shingles, ascending: equal shingles have equal keys. Fewer words: one key of the whole sequence; none: no key."""
+    w = words_of(column, IN_WORD)
+    h = word_hashes(w.data, w.start, w.size)
+    counts = np.bincount(w.of, minlength=w.texts) if len(w.of) else np.zeros(w.texts, np.int64)
+    n = len(h) - words + 1
+    if n > 0:
+        whole = w.of[:n] == w.of[words - 1 :]
+        keys = _joined([h[i : i + n] for i in range(words)], words)[whole]
+        ends = np.cumsum(np.bincount(w.of[:n][whole], minlength=w.texts))
+    else:
+        keys, ends = np.zeros(0, np.uint64), np.zeros(w.texts, np.int64)
+    last, out = np.cumsum(counts), []
+    for t in range(w.texts):
+        if counts[t] >= words:
+            out.append(np.unique(keys[ends[t - 1] if t else 0 : ends[t]]))
+        elif counts[t]:
+            out.append(_joined([h[i : i + 1] for i in range(last[t] - counts[t], last[t])], int(counts[t])))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
+
+
+def _lows(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The smallest key of each part of the range of keys, or the part's end where it has none."""
+    ends = (np.arange(1, parts + 1, dtype=np.uint64) << np.uint64(64 - parts.bit_length() + 1)) - np.uint64(1)
+    at = np.searchsorted(keys, np.concatenate([[np.uint64(0)], ends[:-1] + np.uint64(1)]))
+    return np.minimum(np.append(keys, ~np.uint64(0))[at], ends)
 
+
+def _digests(words: int, schema: pa.Schema, id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            n, same, least = [], [], []
-            for t in b.column("text"):
-                k = shingle_keys(t.as_py(), words)
-                n.append(len(k))
-                same.append(xxhash.xxh3_128_digest(k.tobytes()))
-                mixed = [k * m for m in MIXES]
-                least.append([int((x ^ x >> np.uint64(32)).min()) >> 1 for x in mixed] if len(k) else [])
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(n, pa.int32()), pa.array(same, pa.binary()), pa.array(least, pa.list_(pa.int64()))], schema=schema)
+            sets = batch_keys(b.column("text"), words)
+            same = [xxhash.xxh3_128_digest(k.tobytes()) for k in sets]
+            least = [(_lows(k, QUARTERS) >> np.uint64(1)).astype(np.int64) for k in sets]
+            sketch = [((_lows(k, SKETCH) * ODD) >> np.uint64(56)).astype(np.int8) for k in sets]
+            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([len(k) for k in sets], pa.int32()), pa.array(same, pa.binary()), pa.array(least, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int8()))], schema=schema)
 
     return run
 
 
 def set_digests(docs: DataFrame, id_col: str, words: int) -> DataFrame:
-    """id_col, n (distinct shingles), same (128 bits of the set), least (its min-hashes) of each row of docs (id_col, text)."""
+    """id_col, n (distinct shingles), same (128 bits of the set), least (min-hashes), sketch (bytes of more of them) of each row of docs (id_col, text)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    schema = pa.schema([(id_col, to_arrow_type(docs.schema[id_col].dataType)), ("n", pa.int32()), ("same", pa.binary()), ("least", pa.list_(pa.int64()))])
-    return spread(docs.select(id_col, "text")).mapInArrow(_digests(words, schema, id_col), f"`{id_col}` {dict(docs.dtypes)[id_col]}, n int, same binary, least array<long>")
+    schema = pa.schema([(id_col, to_arrow_type(docs.schema[id_col].dataType)), ("n", pa.int32()), ("same", pa.binary()), ("least", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int8()))])
+    return spread(docs.select(id_col, "text")).mapInArrow(_digests(words, schema, id_col), f"`{id_col}` {dict(docs.dtypes)[id_col]}, n int, same binary, least array<long>, sketch array<byte>")
 
 
 def _row_slot(id_col: str) -> Column:
@@ -72,14 +137,12 @@ def _marks(nodes: DataFrame) -> np.ndarray:
 
 
 def _needed(words: int, marks: Broadcast):
-    import xxhash
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = marks.value
         for b in slices(batches):
             slot = b.column("slot").to_numpy()
             wanted = b.column("text").filter(pa.array((bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)))
-            keys = [shingle_keys(t.as_py(), words) for t in wanted]
+            keys = batch_keys(wanted, words)
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(k.tobytes()) for k in keys], pa.binary()), pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64()))], ["same", "keys"])
 
     return run
@@ -93,38 +156,43 @@ def sets_of(docs: DataFrame, id_col: str, nodes: DataFrame, words: int) -> DataF
     return materialize(one.join(nodes.select("node", "same"), "same").select("node", "keys"), "jaccard-sets")
 
 
-def followers(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """leader, node, n_leader, n, minus, plus: sets linked to the leader that they follow; no leader follows. minus is what a follower lacks, plus what it has besides.
+def may_follow(nodes: DataFrame, percent: int) -> DataFrame:
+    """leader, node, n_leader, n: whom a node may follow, by sizes and sketches alone; no leader follows.
 
-    One round for each min-hash: of the nodes with it, that with the most followers leads (then the smallest), those without followers whose similarity is proven leave. Nothing
+    One round for each min-hash: of the nodes with it, that with the most followers leads (then the smallest); those without followers whose sketch agrees leave. Nothing
     depends on who is found here but how much is left to join.
     """
-    live, found = nodes.select("node", "n", "least").withColumn("led", F.lit(0).cast("long")), None
-    for k in range(len(MIXES)):
-        keyed = live.select("node", "n", "led", F.col("least")[k].alias("m"))
-        lead = keyed.groupBy("m").agg(F.min(F.struct((-F.col("led")).alias("first"), "node", "n")).alias("lead"), F.count("*").alias("together"))
-        lead = lead.where("together > 1").select("m", F.col("lead.node").alias("leader"), F.col("lead.n").alias("n_leader"))
-        pairs = keyed.join(lead, "m").where(f"led = 0 AND node <> leader AND 100L * least(n, n_leader) >= {percent}L * greatest(n, n_leader)").select("leader", "node", "n_leader", "n")
-        both = pairs.join(sets.withColumnRenamed("keys", "own"), "node").join(sets.withColumnsRenamed({"node": "leader", "keys": "its"}), "leader")
-        apart = both.select("leader", "node", "n_leader", "n", F.array_except("its", "own").alias("minus"), F.array_except("own", "its").alias("plus"))
-        apart = materialize(apart.where(f"100L * (n_leader - size(minus)) >= {percent}L * (n + size(minus))"), "jaccard-followers")
-        found = apart if found is None else found.unionByName(apart)
-        live = live.join(apart.select("node"), "node", "left_anti").join(apart.groupBy(F.col("leader").alias("node")).agg(F.count("*").alias("more")), "node", "left")
+    live, found = nodes.select("node", "n", "least", "sketch").withColumn("led", F.lit(0).cast("long")), None
+    for k in range(QUARTERS):
+        keyed = live.select("node", "n", "led", "sketch", F.col("least")[k].alias("m"))
+        lead = keyed.groupBy("m").agg(F.min(F.struct((-F.col("led")).alias("first"), "node", "n", "sketch")).alias("lead"), F.count("*").alias("together"))
+        lead = lead.where("together > 1").select("m", F.col("lead.node").alias("leader"), F.col("lead.n").alias("n_leader"), F.col("lead.sketch").alias("its"))
+        alike = "aggregate(zip_with(sketch, its, (x, y) -> CAST(x = y AS INT)), 0, (s, v) -> s + v)"
+        pairs = keyed.join(lead, "m").where(f"led = 0 AND node <> leader AND 100L * least(n, n_leader) >= {percent}L * greatest(n, n_leader) AND {alike} >= {AGREE}")
+        pairs = materialize(pairs.select("leader", "node", "n_leader", "n"), "jaccard-may-follow")
+        found = pairs if found is None else found.unionByName(pairs)
+        live = live.join(pairs.select("node"), "node", "left_anti").join(pairs.groupBy(F.col("leader").alias("node")).agg(F.count("*").alias("more")), "node", "left")
         live = live.withColumn("led", F.col("led") + F.coalesce("more", F.lit(0))).drop("more")
     return found
 
 
-def _prefixes(words: int, percent: int, frequent: Broadcast):
-    import xxhash
+def followers(docs: DataFrame, id_col: str, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """leader, node, n_leader, n, minus, plus: sets whose similarity to the leader that they follow is proven. minus is what a follower lacks, plus what it has besides."""
+    pairs = may_follow(nodes, percent)
+    needed = pairs.select(F.explode(F.array("leader", "node")).alias("node")).distinct()
+    sets = sets_of(docs, id_col, nodes.join(needed, "node", "left_semi"), words)
+    both = pairs.join(sets.withColumnRenamed("keys", "own"), "node").join(sets.withColumnsRenamed({"node": "leader", "keys": "its"}), "leader")
+    apart = both.select("leader", "node", "n_leader", "n", F.array_except("its", "own").alias("minus"), F.array_except("own", "its").alias("plus"))
+    return materialize(apart.where(f"100L * (n_leader - size(minus)) >= {percent}L * (n + size(minus))"), "jaccard-followers")
+
 
+def _prefixes(words: int, percent: int, frequent: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = frequent.value
         for b in slices(batches):
             same, rare, keys = [], [], []
-            for t in b.column("text"):
-                k = shingle_keys(t.as_py(), words)
-                slot = _slot(k)
-                often = (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+            for k in batch_keys(b.column("text"), words):
+                often = bit_of(bits, k)
                 first = len(k) - -(-percent * len(k) // 100) + 1 if len(k) else 0
                 same.append(xxhash.xxh3_128_digest(k.tobytes()))
                 rare.append(int((~often).sum()))
@@ -134,12 +202,25 @@ def _prefixes(words: int, percent: int, frequent: Broadcast):
     return run
 
 
+def _shared(bits: Broadcast):
+    """Entries of a row's keys that another row may have too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index("key")
+            yield b.filter(pa.array(bit_of(bits.value, b.column(at).to_numpy().view(np.uint64))))
+
+    return run
+
+
 def postings(docs: DataFrame, nodes: DataFrame, follow: DataFrame, words: int, percent: int) -> DataFrame:
     """key, node, grp, n, pos, slack, own, often: the index. grp is the leader's node or the own one; own is false for what a follower adds.
 
     Keys stand in one order for all sets, frequent ones last. slack is a leader's radius, the largest distance of a follower.
     """
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    texts = lambda b: (k for piece in slices([b]) for k in batch_keys(piece.column("text"), words))
+    frequent = broadcast(slot_bits(spread(docs.select("text")), texts, lambda n: n >= OFTEN + 4 * n.mean()))
     made = spread(docs.select("text")).mapInArrow(_prefixes(words, percent, frequent), "same binary, rare int, keys array<long>")
     made = made.groupBy("same").agg(F.first("rare").alias("rare"), F.first("keys").alias("keys")).join(nodes.select("node", "n", "same"), "same").drop("same")
     made = materialize(made.join(follow.select("node", "leader"), "node", "left"), "jaccard-prefixes")
@@ -148,7 +229,10 @@ def postings(docs: DataFrame, nodes: DataFrame, follow: DataFrame, words: int, p
     theirs = made.where("leader IS NULL").join(radius.select("node"), "node", "left_semi").select(F.col("node").alias("leader"), F.col("keys").alias("led"))
     added = made.where("leader IS NOT NULL").join(theirs, "leader").withColumn("key", F.explode(F.array_except("keys", "led")))
     added = added.select("node", F.col("leader").alias("grp"), "n", "rare", F.lit(0.0).alias("slack"), F.lit(False).alias("own"), (F.array_position("keys", F.col("key")) - 1).cast("int").alias("pos"), "key")
-    return materialize(lead.unionByName(added).withColumn("often", F.expr("pos >= rare")).drop("rare"), "jaccard-index")
+    index = lead.unionByName(added).withColumn("often", F.expr("pos >= rare")).drop("rare")
+    # Most keys of prefixes are in one set alone: they meet nobody and are left out.
+    shared = broadcast(slot_bits(index.select("key"), lambda b: iter([b.column("key").to_numpy().view(np.uint64)]), lambda n: n >= 2))
+    return materialize(index.mapInArrow(_shared(shared), index.schema), "jaccard-index")
 
 
 def _least_overlap(t: str, a: str, b: str) -> str:
@@ -234,15 +318,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", words: int = 3,
 
 def _named(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """same, component_id of each set that isn't empty."""
-    nodes = rows.where("n > 0").groupBy("same").agg(F.first("n").alias("n"), F.min("id").alias("rep"), F.first("least").alias("least"))
+    nodes = rows.where("n > 0").groupBy("same").agg(F.first("n").alias("n"), F.min("id").alias("rep"), F.first("least").alias("least"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
     # Smaller sets are linked to no other set than their own.
     large = nodes.where(f"{100 - percent}L * n >= {percent}L")
-    hashes = large.select("node", F.posexplode("least").alias("k", "m"))
-    together = hashes.groupBy("k", "m").count().where("count > 1").select("k", "m")
-    near = materialize(hashes.join(together, ["k", "m"]).select("node").distinct(), "jaccard-near")
-    near = materialize(large.join(near, "node", "left_semi"), "jaccard-near")
-    follow = materialize(followers(near, sets_of(docs, "id", near, words), percent), "jaccard-follow")
+    follow = followers(docs, "id", large, words, percent)
     index = postings(docs, large, follow, words, percent)
     pairs = materialize(candidates(index, percent), "jaccard-pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()

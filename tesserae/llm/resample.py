@@ -45,8 +45,8 @@ class Words:
     texts: int
 
 
-def words_of(column: pa.Array) -> Words:
-    """Of an Arrow column of strings; a null counts as empty."""
+def words_of(column: pa.Array, in_word: np.ndarray = IN_WORD) -> Words:
+    """Of an Arrow column of strings; a null counts as empty. in_word: which bytes of the text in lower case are in words."""
     if column.null_count:
         column = pc.fill_null(column, "")
     wide = pa.types.is_large_string(column.type)
@@ -55,7 +55,7 @@ def words_of(column: pa.Array) -> Words:
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
     at = at - at[0]
     low = LOWER[raw]
-    inside = IN_WORD[low]
+    inside = in_word[low]
     # A text's end cuts a word too: nothing stands between two texts in the buffer.
     cut = np.zeros(len(low) + 1, bool)
     cut[at] = True

@@ -175,6 +175,17 @@ def test_jaccard_other_settings_and_odd_rows(spark):
     assert components_of(spark, []) == []
 
 
+def test_batch_keys_are_those_of_the_shingles():
+    texts = [None, "", "a", "A b", "a b c", "x" * 200 + " y z", "é ü\u00a0ö c d", "a b c a b c", "one\ttwo\nthree four", "y z " + "x" * 200, "X" * 63 + " " + "y" * 64 + " q r", "x" * 200 + " Y Z", "z"]
+    for words in (1, 2, 3, 5):
+        column = pa.array(["before", *texts]).slice(1)
+        keys = jaccard.batch_keys(column, words)
+        sets = [shingle_set(t, words) for t in texts]
+        assert [len(k) for k in keys] == [len(s) for s in sets] and all((np.diff(k.astype(object)) > 0).all() for k in keys)
+        for (p, a), (q, b) in itertools.combinations(zip(sets, keys, strict=True), 2):
+            assert len(p & q) == len(np.intersect1d(a, b))
+
+
 def test_jaccard_one_large_group_stays_small(spark):
     """Near copies of one text: followers add nothing to the index but what is their own, so that pairs stay few."""
     rng = random.Random(4)
@@ -186,8 +197,8 @@ def test_jaccard_one_large_group_stays_small(spark):
         docs.append((d, " ".join(w)))
     df = spark.createDataFrame(docs, "id long, text string")
     rows = jaccard.set_digests(df, "id", 3)
-    nodes = rows.selectExpr("id AS node", "same", "n", "id AS rep", "least")
-    follow = jaccard.followers(nodes, jaccard.sets_of(df, "id", nodes, 3), 90)
+    nodes = rows.selectExpr("id AS node", "same", "n", "id AS rep", "least", "sketch")
+    follow = jaccard.followers(df, "id", nodes, 3, 90)
     assert follow.count() > 850
     assert jaccard.candidates(jaccard.postings(df, nodes, follow, 3, 90), 90).count() < 5000
     assert components_of(spark, docs) == [(d, 298, 0) for d, _ in sorted(docs, key=str)]
