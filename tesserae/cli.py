@@ -5,11 +5,10 @@ from __future__ import annotations
 import argparse
 import json
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from .functions import times
-from .operators import features, models, products
+from .operators import features, models
 from .plans import jobs
 from .session import session
 from .sources import sinks, tables
@@ -47,6 +46,11 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--hazard", default="tor")
     t.add_argument("--bags", type=int, default=1)
     t.add_argument("--pooled", action="store_true")
+    t.add_argument("--dist", help="column of the intensity class (below 0: unknown): fits the model of its distribution too")
+    t.add_argument("--pib", help="column of the peak-intensity class, likewise")
+    t.add_argument("--learner", choices=sorted(models.LEARNERS), default="gbt")
+    t.add_argument("--leaves", type=int, default=31, help="leaves of a tree that grows best leaf first")
+    t.add_argument("--l2", type=float, default=1.0)
     t.add_argument("--trees", type=int, default=40)
     t.add_argument("--depth", type=int, default=5)
     t.add_argument("--calibrator", choices=("isotonic", "logistic"), default="isotonic")
@@ -93,13 +97,17 @@ def train(args: argparse.Namespace, read) -> None:
     if caps:
         rest = matrix.where(~F.col("split").isin(*caps))
         matrix = tables.capped_splits(matrix, ["key"], caps).unionByName(rest)
-    bands = jobs.train(matrix, names, args.flag, args.bags, args.pooled, maxIter=args.trees, maxDepth=args.depth, calibrator=args.calibrator)
+    grown = {"rounds": args.trees, "leaves": args.leaves, "l2": args.l2}
+    params = grown if args.learner == "leafwise" else {"maxIter": args.trees, "maxDepth": args.depth}
+    sizes = jobs.classes_of(args.hazard)
+    asked = {k: (c, sizes[k]) for k, c in (("dist", args.dist), ("pib", args.pib)) if c and k in sizes}
+    bands = jobs.train(matrix, names, args.flag, args.bags, args.pooled, learner=args.learner, calibrator=args.calibrator, conditional=asked, conditional_settings=grown, **params)
     if args.models:
         models.save_bands(bands, names, args.models, hazard=args.hazard, flag=args.flag, pooled=args.pooled)
         checked = matrix.withColumn("band", F.lit("pooled") if args.pooled else times.lead_band(F.col("fxx")))
         sinks.append_metrics(matrix.sparkSession, f"{args.models}/metrics", models.metrics(bands, checked, names, args.flag))
     if args.cells and args.out:
-        sinks.overwrite(jobs.predict(bands, read(args.cells).where(F.col("fxx") <= args.fmax), names, args.hazard), args.out)
+        jobs.store(jobs.predict(bands, read(args.cells).where(F.col("fxx") <= args.fmax), names, args.hazard), args.out)
     print(json.dumps({"bands": sorted(bands), "features": names}))
 
 
@@ -109,15 +117,13 @@ def predict(args: argparse.Namespace, read) -> None:
     lacking = [f for f in about["features"] if f not in cells.columns]
     if lacking:
         raise SystemExit(f"cells lack features of the models: {', '.join(lacking)}")
-    hours = sorted(r.fxx for r in cells.select("fxx").distinct().collect())
+    make = lambda rows: jobs.predict(bands, rows, about["features"], about["hazard"])
     if not args.no_cache:
-        try:
-            if products.covered(read(args.out).where(F.col("hazard") == about["hazard"]), hours):
-                return
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-    sinks.overwrite(jobs.predict(bands, cells, about["features"], about["hazard"]), args.out)
+        have = jobs.stored(cells.sparkSession, args.out, make(cells))
+        cells = jobs.lacking(jobs.with_run(cells), have, about["hazard"])
+        if cells.isEmpty():
+            return
+    jobs.store(make(cells), args.out)
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -1,4 +1,4 @@
-"""Models on Spark ML: boosted trees by hazard and band, bags, calibration, ensembles, importance, partial dependence."""
+"""Models by hazard and band: boosted trees of Spark ML or of trees.py, bags, calibration, ensembles, importance, partial dependence."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import dataset, verify
+from . import dataset, trees, verify
 
 #: Defaults of the trees: rounds, depth, step, bins, shares of rows and columns, least rows of a leaf.
 PARAMS = {"maxIter": 40, "maxDepth": 5, "stepSize": 0.1, "maxBins": 64, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "minInstancesPerNode": 20, "seed": 7}
@@ -34,39 +34,28 @@ def gbt(rows: DataFrame, features: list[str], label: str, weight: str | None = N
     return est.fit(assembled(rows.withColumn("__y", F.col(label).cast("double")), features))
 
 
+def leafwise(rows: DataFrame, features: list[str], label: str, weight: str | None = None, **settings) -> trees.Boosted:
+    """A weighted binary classifier whose trees grow best leaf first, with L2."""
+    return trees.fit(rows, features, label, 1, weight, **settings)
+
+
 #: Learners by name; a new one is added here.
-LEARNERS: dict[str, Callable[..., Model]] = {"gbt": gbt}
+LEARNERS: dict[str, Callable[..., Model | trees.Boosted]] = {"gbt": gbt, "leafwise": leafwise}
 
 
-def scored(model: Model, rows: DataFrame, features: list[str], name: str = "p") -> DataFrame:
+def scored(model: Model | trees.Boosted, rows: DataFrame, features: list[str], name: str = "p") -> DataFrame:
     """rows with the probability of class 1."""
+    if isinstance(model, trees.Boosted):
+        return model.scored(rows, name)
     out = model.transform(assembled(rows, features))
     return out.select(*rows.columns, vector_to_array("probability")[1].alias(name))
 
 
-@dataclass
-class OneVersusRest:
-    """A binary classifier for each class; shares are their scores divided by their sum, and 0 for classes not seen."""
-
-    classes: int
-    models: dict[int, Model] = field(default_factory=dict)
-
-    def scored(self, rows: DataFrame, features: list[str], name: str = "dist") -> DataFrame:
-        out = rows
-        for k, m in self.models.items():
-            out = scored(m, out, features, f"__c{k}")
-        raw = F.array(*(F.col(f"__c{k}") if k in self.models else F.lit(0.0) for k in range(self.classes)))
-        total = F.aggregate(raw, F.lit(0.0), lambda s, v: s + v)
-        return out.select(*rows.columns, F.transform(raw, lambda v: F.when(total > 0, v / total).otherwise(v)).alias(name))
-
-
-def multiclass(rows: DataFrame, features: list[str], label: str, classes: int, flag: str = "flag", weight: str | None = None, **params) -> OneVersusRest | None:
-    """Fits positives with a known class, or nothing where these are too few or of one class."""
+def multiclass(rows: DataFrame, features: list[str], label: str, classes: int, flag: str = "flag", weight: str | None = None, **settings) -> trees.Boosted | None:
+    """Softmax trees on positives with a known class, or nothing where these are too few or of one class."""
     known = dataset.sized_positives(rows, flag, label)
-    seen = [r[0] for r in known.select(label).distinct().collect()]  # at most as many as there are classes
-    if not seen:
-        return None
-    return OneVersusRest(classes, {int(k): gbt(known.withColumn("__k", (F.col(label) == k).cast("double")), features, "__k", weight, **params) for k in sorted(seen)})
+    model = trees.fit(known, features, label, classes, weight, **settings)
+    return model if len(model.seen) > 1 else None
 
 
 @dataclass
@@ -102,10 +91,11 @@ def calibrate(rows: DataFrame, kind: str, p: str = "p", label: str = "y", weight
 
 @dataclass
 class Band:
-    """The models of a lead band: one for each bag, and their calibration."""
+    """The models of a lead band: one for each bag, their calibration, and softmax models of what a positive is like, by name (intensity, pib)."""
 
-    bags: list[Model]
+    bags: list[Model | trees.Boosted]
     calibration: Calibration | None = None
+    conditional: dict[str, trees.Boosted] = field(default_factory=dict)
 
 
 def save_bands(bands: dict[str, Band], features: list[str], path: str, **about) -> None:
@@ -114,10 +104,16 @@ def save_bands(bands: dict[str, Band], features: list[str], path: str, **about)
     listed = {}
     for name, band in bands.items():
         for k, m in enumerate(band.bags):
-            m.write().overwrite().save(f"{path}/{name}/bag-{k}")
+            if isinstance(m, trees.Boosted):
+                m.save(f"{path}/{name}/bag-{k}")
+            else:
+                m.write().overwrite().save(f"{path}/{name}/bag-{k}")
+        for k, m in band.conditional.items():
+            m.save(f"{path}/{name}/{k}")
         if band.calibration:
             band.calibration.model.write().overwrite().save(f"{path}/{name}/calibration")
-        listed[name] = {"bags": len(band.bags), "calibration": band.calibration and band.calibration.kind}
+        kinds = ["leafwise" if isinstance(m, trees.Boosted) else "gbt" for m in band.bags]
+        listed[name] = {"bags": kinds, "calibration": band.calibration and band.calibration.kind, "conditional": sorted(band.conditional)}
     manifest = json.dumps({"bands": listed, "features": features} | about)
     spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
@@ -133,7 +129,9 @@ def load_bands(path: str) -> tuple[dict[str, Band], dict]:
             fitted = Calibration(kind, IsotonicRegressionModel.load(f"{path}/{name}/calibration").setFeaturesCol("__x"))
         elif kind:
             fitted = Calibration(kind, LogisticRegressionModel.load(f"{path}/{name}/calibration"))
-        bands[name] = Band([GBTClassificationModel.load(f"{path}/{name}/bag-{k}") for k in range(b["bags"])], fitted)
+        load = {"gbt": GBTClassificationModel.load, "leafwise": trees.Boosted.load}
+        bags = [load[learner](f"{path}/{name}/bag-{k}") for k, learner in enumerate(b["bags"])]
+        bands[name] = Band(bags, fitted, {k: trees.Boosted.load(f"{path}/{name}/{k}") for k in b["conditional"]})
     return bands, about
 
 
@@ -151,13 +149,20 @@ def metrics(bands: dict[str, Band], rows: DataFrame, features: list[str], label:
     return out
 
 
-def train_band(rows: DataFrame, features: list[str], label: str, bags: int = 1, learner: str = "gbt", calibrator: str | None = "isotonic", key: str = "key", **params) -> Band:
-    """rows: split, weight, key, features, label. Each bag has all positives and its own negatives; the bags' mean is calibrated on validation rows."""
+def train_band(rows: DataFrame, features: list[str], label: str, bags: int = 1, learner: str = "gbt", calibrator: str | None = "isotonic", key: str = "key", conditional: dict[str, tuple[str, int]] | None = None, conditional_settings: dict | None = None, **params) -> Band:
+    """rows: split, weight, key, features, label. Each bag has all positives and its own negatives; the bags' mean is calibrated on validation rows.
+
+    conditional: models of what positives are like, by name: the column of their class (below 0: unknown) and the number of classes. Positives are in every bag, so one model
+    of each is enough; where these are too few or of one class there is none.
+    """
     train_rows = dataset.bag(rows.where("split = 'train'"), F.col(label) == 1, F.col(key), bags)
     band = Band([LEARNERS[learner](train_rows.where(F.col("bag") == b), features, label, "weight", **params) for b in range(bags)])
     if calibrator:
         check = mean_of_bags(band, rows.where("split = 'validation'"), features)
         band.calibration = calibrate(check, calibrator, "p", label, "weight")
+    for name, (column, classes) in (conditional or {}).items():
+        if m := multiclass(rows.where("split = 'train'"), features, column, classes, label, "weight", **conditional_settings or {}):
+            band.conditional[name] = m
     return band
 
 
@@ -181,6 +186,15 @@ def predict(bands: dict[str, Band], rows: DataFrame, features: list[str]) -> Dat
     return out.select(*rows.columns, mean.alias("p"))
 
 
+def conditional(bands: dict[str, Band], rows: DataFrame, name: str, classes: int) -> DataFrame:
+    """rows with the array name: the mean over the bands that have such a model of its shares; zeros where none has."""
+    out, models = rows, [b.conditional[name] for b in bands.values() if name in b.conditional]
+    for k, m in enumerate(models):
+        out = m.scored(out, f"__d{k}")
+    each = [sum((F.col(f"__d{k}")[i] for k in range(len(models))), F.lit(0.0)) / max(1, len(models)) for i in range(classes)]
+    return out.select(*rows.columns, F.array(*each).alias(name))
+
+
 def shuffled(rows: DataFrame, column: str, key: str, seed: int, buckets: int = 1024) -> DataFrame:
     """rows with the column's values dealt anew among rows of the same bucket, so that no task sees all rows."""
     bucket = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(buckets))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import bins, geo, text, times
-from ..operators import dataset, events, labels
+from ..operators import areas, dataset, events, labels
 from ..sources import sinks, views
 from ..sources.tables import table
 from .registry import query
@@ -220,14 +220,35 @@ _edges = ", ".join(f"('{n}', {c}, {p!r}::DOUBLE, {r[i][0]!r}::DOUBLE, {r[i][1]!r
 i AS (SELECT event_id, name, cig, p FROM v_reports, e GROUP BY event_id, name, cig, p, lat, lon HAVING sum(((y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1)::INT) % 2 = 1)
 SELECT event_id, coalesce(max(cig), 0) AS cig, coalesce(max(p), 0.0::DOUBLE) AS p, count(name) AS areas FROM v_reports LEFT JOIN i USING (event_id) GROUP BY 1""", ["v_reports"])
 def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(n, c, p, min(x for x, _ in r), max(x for x, _ in r), min(y for _, y in r), max(y for _, y in r), list(r)) for n, c, p, r in AREAS]
-    areas = spark.createDataFrame(rows, "name string, cig int, p double, x0 double, x1 double, y0 double, y1 double, ring array<struct<x: double, y: double>>")
+    table_ = spark.createDataFrame([(n, c, p, [list(r)]) for n, c, p, r in AREAS], "name string, cig int, p double, rings array<array<struct<x: double, y: double>>>")
     r = views.reports(spark, sf_dir).select("event_id", "lat", "lon")
-    inside = F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1")) & geo.point_in_ring(F.col("lon"), F.col("lat"), F.col("ring"))
-    hit = r.join(F.broadcast(areas), inside, "left")  # a dozen areas: bounded by the literal above
+    hit = areas.within(r, areas.cover(table_, "name"), "name").select("event_id", "name").join(table_.drop("rings"), "name")
+    hit = r.select("event_id").join(hit, "event_id", "left")
     return hit.groupBy("event_id").agg(F.coalesce(F.max("cig"), F.lit(0)).alias("cig"), F.coalesce(F.max("p"), F.lit(0.0)).alias("p"), F.count("name").alias("areas"))
 
 
+#: Corners of an area made from an order, and of the hole that each third has, in radii from its centre.
+CORNERS = ((1.0, 0.0), (0.4, 0.7), (-0.5, 0.9), (-1.0, 0.1), (-0.3, -0.8), (0.6, -0.6))
+HOLE = ((0.25, 0.25), (-0.25, 0.25), (-0.25, -0.25), (0.25, -0.25))
+_sides = ", ".join(f"({h}, {r[i][0]!r}::DOUBLE, {r[i][1]!r}::DOUBLE, {r[(i + 1) % len(r)][0]!r}::DOUBLE, {r[(i + 1) % len(r)][1]!r}::DOUBLE)" for h, r in ((0, CORNERS), (1, HOLE)) for i in range(len(r)))
+
+
+@query(f""", o AS (SELECT o_orderkey, -120::DOUBLE + (o_custkey * 53 % 5000)::DOUBLE / 100::DOUBLE AS cx, 25::DOUBLE + (o_orderkey * 37 % 2400)::DOUBLE / 100::DOUBLE AS cy, 0.05::DOUBLE * (1 + o_orderkey % 7) * (CASE WHEN o_custkey % 50 = 0 THEN 20 ELSE 1 END) AS r FROM orders),
+near AS (SELECT event_id, lat, lon, o_orderkey, cx, cy, r FROM v_reports, o WHERE lon BETWEEN cx - r AND cx + r AND lat BETWEEN cy - r AND cy + r),
+i AS (SELECT event_id, o_orderkey FROM near, (VALUES {_sides}) s(hole, ax, ay, bx, b_y)
+  WHERE hole = 0 OR o_orderkey % 3 = 0
+  GROUP BY event_id, o_orderkey, lat, lon HAVING sum((((cy + ay * r) > lat) <> ((cy + b_y * r) > lat) AND lon < ((cx + bx * r) - (cx + ax * r)) * (lat - (cy + ay * r)) / ((cy + b_y * r) - (cy + ay * r)) + (cx + ax * r))::INT) % 2 = 1)
+SELECT event_id, count(o_orderkey) AS areas, coalesce(min(o_orderkey), -1) AS first_area, coalesce(sum(o_orderkey), 0)::BIGINT AS area_sum FROM v_reports LEFT JOIN i USING (event_id) GROUP BY 1""", ["v_reports"])
+def polygon_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports in areas of a table: one for each order, of very different sizes, each third with a hole."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.lit(-120.0) + F.pmod(F.col("o_custkey") * 53, F.lit(5000)) / F.lit(100.0)).alias("cx"), (F.lit(25.0) + F.pmod(F.col("o_orderkey") * 37, F.lit(2400)) / F.lit(100.0)).alias("cy"), (F.lit(0.05) * (1 + F.col("o_orderkey") % 7) * F.when(F.col("o_custkey") % 50 == 0, 20).otherwise(1)).alias("r"))
+    ring = lambda corners: F.array(*(F.struct((F.col("cx") + F.lit(x) * F.col("r")).alias("x"), (F.col("cy") + F.lit(y) * F.col("r")).alias("y")) for x, y in corners))
+    o = o.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.array(ring(CORNERS), ring(HOLE))).otherwise(F.array(ring(CORNERS))).alias("rings"))
+    r = views.reports(spark, sf_dir).select("event_id", "lat", "lon")
+    hit = r.select("event_id").join(areas.within(r, areas.cover(o, "o_orderkey"), "o_orderkey").select("event_id", "o_orderkey"), "event_id", "left")
+    return hit.groupBy("event_id").agg(F.count("o_orderkey").alias("areas"), F.coalesce(F.min("o_orderkey"), F.lit(-1)).alias("first_area"), F.coalesce(F.sum("o_orderkey"), F.lit(0)).alias("area_sum"))
+
+
 @query(f"SELECT event_id, cy AS iy, cx AS ix, round(x, 3) AS x, round(y, 3) AS y, round(lat, 6) AS lat, round(lon, 6) AS lon FROM {cell_sql('v_reports')}", ["v_reports"])
 def lcc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = views.reports(spark, sf_dir)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -93,6 +94,11 @@ def render(predictions: DataFrame, path: str, run: str = "run") -> None:
     sinks.overwrite(day.groupBy(run, *CELL).agg(F.max("category").alias("category")), f"{path}/combined", run)
 
 
+def classes_of(hazard: str) -> dict[str, int]:
+    """The numbers of classes of a hazard's intensity (dist) and, where it has one, of its peak intensity (pib)."""
+    return {"dist": len(C.INTENSITY_EDGES[hazard])} | ({"pib": len(C.PIB_EDGES[hazard]) + 1} if hazard in C.PIB_EDGES else {})
+
+
 def train(matrix: DataFrame, features: list[str], flag: str, bags: int = 1, pooled: bool = False, **params) -> dict[str, models.Band]:
     """A band's models for each lead band with training rows, or one for all."""
     rows = matrix.withColumn("band", F.lit("pooled") if pooled else times.lead_band(F.col("fxx")))
@@ -100,12 +106,57 @@ def train(matrix: DataFrame, features: list[str], flag: str, bags: int = 1, pool
     return {b: models.train_band(rows.where(F.col("band") == b), features, flag, bags, **params) for b in sorted(names)}
 
 
+def with_run(cells: DataFrame) -> DataFrame:
+    """cells with their run: as it is there, or what valid and fxx say, or null."""
+    if "run" in cells.columns:
+        return cells
+    return cells.withColumn("run", times.run_time(F.col("valid"), F.col("fxx")) if "valid" in cells.columns else F.lit(None).cast("timestamp"))
+
+
 def predict(bands: dict[str, models.Band], cells: DataFrame, features: list[str], hazard: str, cached: DataFrame | None = None, hours: list[int] | None = None) -> DataFrame:
-    """fxx, iy, ix, hazard, p; from cached if that holds all hours asked for, else computed anew."""
+    """From cached, if that holds all hours asked for, else computed anew: run, fxx, iy, ix, hazard, p, dist and pib (arrays of shares, zeros without such a model; pib null for a hazard that has none) of cells (run, or valid from which it
+    follows, or neither; fxx, iy, ix, features)."""
     if cached is not None and hours and products.covered(cached, hours):
         return cached.where(F.col("fxx").isin(hours) & (F.col("hazard") == hazard))
     rows = cells if not hours else cells.where(F.col("fxx").isin(hours))
-    return models.predict(bands, rows, features).select("fxx", *CELL, F.lit(hazard).alias("hazard"), "p")
+    out = models.predict(bands, with_run(rows), features)
+    sizes = classes_of(hazard)
+    for name, n in sizes.items():
+        out = models.conditional(bands, out, name, n)
+    pib = F.col("pib") if "pib" in sizes else F.lit(None).cast("array<double>")
+    return out.select("run", "fxx", *CELL, F.lit(hazard).alias("hazard"), "p", "dist", pib.alias("pib"))
+
+
+STORED_BY = ["hazard", "run"]
+
+
+def stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame | None:
+    """The predictions stored at path, with the types of like, or nothing."""
+    try:
+        return spark.read.schema(like.schema).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def lacking(cells: DataFrame, have: DataFrame | None, hazard: str) -> DataFrame:
+    """The cells of runs and lead times that the store has nothing of for the hazard."""
+    if have is None:
+        return cells
+    done = have.where(F.col("hazard") == hazard).select(F.col("run").alias("__run"), F.col("fxx").alias("__fxx")).distinct()
+    return cells.join(done, F.col("run").eqNullSafe(F.col("__run")) & (F.col("fxx") == F.col("__fxx")), "left_anti")
+
+
+def store(predictions: DataFrame, path: str) -> None:
+    """Puts predictions of one hazard into the store at path, partitioned by hazard and run. Other hazards, other runs, and lead times of the same runs that predictions don't have, stay."""
+    spark = predictions.sparkSession
+    if (old := stored(spark, path, predictions)) is not None:
+        new = predictions.select(F.col("hazard").alias("__h"), F.col("run").alias("__r"), F.col("fxx").alias("__f")).distinct()
+        same = (F.col("hazard") == F.col("__h")) & F.col("run").eqNullSafe(F.col("__r"))
+        kept = old.join(new.select("__h", "__r").distinct(), same, "left_semi").join(new, same & (F.col("fxx") == F.col("__f")), "left_anti")
+        predictions = predictions.unionByName(kept)
+    sinks.overwrite(predictions, path, STORED_BY)
 
 
 def smoothed(predictions: DataFrame) -> DataFrame:

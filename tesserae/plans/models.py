@@ -60,9 +60,9 @@ def partial_dependence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def intensity_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = training_rows(spark, sf_dir).withColumn("bin", (F.col("lines") % 3).cast("int")).withColumn("flag", F.lit(1))
-    m = models.multiclass(rows.where("split = 'train'"), FEATURES, "bin", 4, maxIter=5)
+    m = models.multiclass(rows.where("split = 'train'"), FEATURES, "bin", 4, rounds=5, leaves=8)
     test = rows.where("split = 'test'").select("key", *FEATURES)
-    out = test.withColumn("dist", F.array(*[F.lit(0.0)] * 4)) if m is None else m.scored(test, FEATURES)
+    out = test.withColumn("dist", F.array(*[F.lit(0.0)] * 4)) if m is None else m.scored(test)
     return out.select(F.col("key").alias("doc_id"), F.transform("dist", lambda v: F.round(v, 6)).alias("dist"))
 
 

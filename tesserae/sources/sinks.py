@@ -24,6 +24,11 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder, whatever file system it is on."""
+    _Folders(spark, path).remove(path)
+
+
 def append_parts(rows: DataFrame, path: str, by: str = "valid_date") -> None:
     """Appends to a dataset partitioned by a date column; a failed task leaves nothing behind."""
     rows.write.mode("append").partitionBy(by).parquet(path)

@@ -111,16 +111,18 @@ def test_band_is_the_calibrated_mean_of_its_bags(fitted):
     assert np.allclose(got, want, atol=1e-6)
 
 
-def test_classes_by_their_own_scores(fitted):
+def test_classes_by_softmax(fitted):
     rows, _ = fitted
     known = rows.withColumn("bin", (F.col("lines") % 3).cast("int")).withColumn("flag", F.lit(1))
-    m = models.multiclass(known.where("split = 'train'"), plans.FEATURES, "bin", 4, maxIter=2)
-    test = known.where("split = 'test'").select("key", *plans.FEATURES)
-    got = np.array(m.scored(test, plans.FEATURES).orderBy("key").toPandas()["dist"].tolist())
-    raw = np.zeros_like(got)
-    for k, one in m.models.items():
-        raw[:, k] = models.scored(one, test, plans.FEATURES).orderBy("key").toPandas()["p"]
-    assert np.allclose(got, raw / raw.sum(1, keepdims=True)) and np.allclose(got.sum(1), 1) and (got[:, 3] == 0).all()
+    m = models.multiclass(known.where("split = 'train'"), plans.FEATURES, "bin", 4, rounds=6, leaves=8, least_rows=4)
+    own = known.where("split = 'train'").toPandas()
+    got = m.shares_of(own[plans.FEATURES].to_numpy(float))
+    assert np.allclose(got.sum(1), 1) and (got[:, 3] == 0).all()
+    # Likelier than by the classes' shares alone, on the rows it was fitted on.
+    base = np.log(np.bincount(own["bin"], minlength=3)[own["bin"]] / len(own)).mean()
+    assert np.log(got[np.arange(len(own)), own["bin"]]).mean() > base + 0.05
+    assert models.multiclass(known.where("bin = 1"), plans.FEATURES, "bin", 4, rounds=2) is None
+    assert models.conditional({}, known.select("key"), "dist", 4).first().dist == [0.0] * 4
 
 
 def disc_mean(f, radius):

@@ -426,15 +426,37 @@ def test_commands_from_build_to_predict(spark, tmp_path):
     cli.main(["augment-data", "--matrix", at("matrix"), "--columns", at("extra")])
     assert spark.read.parquet(at("matrix")).where("extra = iy").count() == n
     cli.main(["augment-labels", "--matrix", at("matrix"), "--labels", at("labels")])
-    cli.main(["train", "--matrix", at("matrix"), "--features", "v,extra", "--models", at("models"), "--trees", "2", "--depth", "2", "--cap", "4000", "--val-cap", "4000"])
+    # Two hazards into one store, then their products, nothing touched between.
+    with_bins = spark.read.parquet(at("matrix")).withColumns({"bin": (F.col("iy") % 3).cast("int"), "pib": (F.col("ix") % 7 - 1).cast("int")})
+    with_bins.write.parquet(at("binned"))
+    common = ["--matrix", at("binned"), "--features", "v,extra", "--pooled", "--trees", "2", "--cap", "4000", "--val-cap", "4000", "--dist", "bin", "--leaves", "4"]
+    cli.main(["train", *common, "--hazard", "tor", "--models", at("models"), "--depth", "2", "--pib", "pib"])
+    cli.main(["train", *common, "--hazard", "hail", "--models", at("models-hail"), "--learner", "leafwise", "--l2", "3"])
     assert {x.name for x in spark.read.parquet(at("models/metrics")).collect()} == {"rows", "auc", "ap"}
-    grid_cells.withColumns({"fxx": F.lit(6), "extra": F.col("iy") * 1.0}).write.parquet(at("cells"))
+    n = grid_cells.count()
+    cells = grid_cells.withColumns({"run": F.to_timestamp(F.lit("2024-01-06 12:00:00")), "extra": F.col("iy") * 1.0}).withColumn("fxx", F.explode(F.array(F.lit(6), F.lit(7))))
+    cells.write.parquet(at("cells"))
+    cells.where("fxx = 7").withColumn("fxx", F.lit(8)).write.parquet(at("later"))
+    cells.where("fxx = 7").withColumn("run", F.col("run") + F.expr("INTERVAL 6 HOURS")).write.parquet(at("next"))
+    read = lambda: {(r.hazard, r.run.hour, r.fxx): r["count"] for r in spark.read.parquet(at("p")).groupBy("hazard", "run", "fxx").count().collect()}
     cli.main(["predict", "--models", at("models"), "--cells", at("cells"), "--out", at("p")])
+    cli.main(["predict", "--models", at("models-hail"), "--cells", at("cells"), "--out", at("p")])
+    want = {(h, 12, f): n for h in ("tor", "hail") for f in (6, 7)}
+    assert read() == want
+    before = {f.name for f in (tmp_path / "p").rglob("*.parquet")}
+    cli.main(["predict", "--models", at("models"), "--cells", at("cells"), "--out", at("p")])  # all there: nothing is written
+    assert {f.name for f in (tmp_path / "p").rglob("*.parquet")} == before
+    cli.main(["predict", "--models", at("models"), "--cells", at("later"), "--out", at("p")])  # fewer hours lose no others
+    cli.main(["predict", "--models", at("models"), "--cells", at("next"), "--out", at("p"), "--no-cache"])
+    want |= {("tor", 12, 8): n, ("tor", 18, 7): n}
+    assert read() == want
     p = spark.read.parquet(at("p"))
-    assert p.count() == grid_cells.count() and p.where("p IS NULL OR p < 0 OR p > 1 OR hazard <> 'tor'").count() == 0
-    p.withColumns({"run": F.lit("2024-01-01 00"), "dist": F.array(*[F.lit(0.2)] * 5)}).write.parquet(at("full"))
-    cli.main(["products", "--predictions", at("full"), "--out", at("products")])
-    assert spark.read.parquet(at("products/combined")).count() == grid_cells.count() and "modal_bin" in spark.read.parquet(at("products/hourly")).columns
+    assert p.where("p IS NULL OR p < 0 OR p > 1").count() == 0
+    sizes = {r.hazard: (r.d, r.b, r.s) for r in p.groupBy("hazard").agg(F.max(F.size("dist")).alias("d"), F.max(F.size("pib")).alias("b"), F.min(F.aggregate("dist", F.lit(0.0), lambda s, v: s + v)).alias("s")).collect()}
+    assert sizes["tor"][:2] == (5, 7) and sizes["hail"][:2] == (4, 7) and all(s == pytest.approx(1) for *_, s in sizes.values())
+    cli.main(["products", "--predictions", at("p"), "--out", at("products")])
+    assert spark.read.parquet(at("products/combined")).count() == 2 * n and "modal_bin" in spark.read.parquet(at("products/hourly")).columns
+    assert spark.read.parquet(at("products/hourly")).count() == 6 * n and spark.read.parquet(at("products/day")).count() == 3 * n
 
 
 def test_hindcast_and_fire_matrices(spark):
