@@ -31,8 +31,12 @@ IN_WORD[[32, *range(9, 14)]] = False
 #: Bytes of a word up to which words are hashed all at once.
 SHORT = 64
 ODD, PRIME = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
-#: Parts of the range of keys whose smallest key is a min-hash: few for finding leaders (one round each), more for comparing sketches.
-QUARTERS, SKETCH = 4, 16
+#: Parts of the range of keys whose smallest key is a min-hash: few for finding leaders (one round each, but for the last part), more for comparing sketches.
+QUARTERS, SKETCH, ROUNDS = 4, 16, 3
+#: Bits of a set's parity map: two maps differ in no more bits than the sets in elements.
+PARITY = 256
+#: Columns of a set's digest besides its id, size and hash.
+MINS, SKETCHES, MAPS = [f"m{k}" for k in range(ROUNDS)], ["s0", "s1"], [f"b{k}" for k in range(PARITY // 64)]
 #: Of a sketch, so many must agree before sets are compared: fewer are hardly ever those of similar sets, and missing some costs time alone.
 AGREE = 9
 #: Bits of the table that says which rows' sets are needed.
@@ -107,19 +111,24 @@ def _digests(words: int, schema: pa.Schema, id_col: str):
         for b in slices(batches):
             sets = batch_keys(b.column("text"), words)
             same = [xxhash.xxh3_128_digest(k.tobytes()) for k in sets]
-            least = [(_lows(k, QUARTERS) >> np.uint64(1)).astype(np.int64) for k in sets]
-            sketch = [((_lows(k, SKETCH) * ODD) >> np.uint64(56)).astype(np.int8) for k in sets]
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([len(k) for k in sets], pa.int32()), pa.array(same, pa.binary()), pa.array(least, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int8()))], schema=schema)
+            made = np.zeros((len(sets), ROUNDS + 2 + len(MAPS)), np.int64)
+            for row, k in zip(made, sets, strict=True):
+                row[:ROUNDS] = (_lows(k, QUARTERS)[:ROUNDS] >> np.uint64(1)).view(np.int64)
+                row[ROUNDS : ROUNDS + 2] = ((_lows(k, SKETCH) * ODD) >> np.uint64(56)).astype(np.uint8).view(np.int64)
+                row[ROUNDS + 2 :] = np.packbits((np.bincount((k & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([len(k) for k in sets], pa.int32()), pa.array(same, pa.binary()), *(pa.array(c) for c in made.T)], schema=schema)
 
     return run
 
 
 def set_digests(docs: DataFrame, id_col: str, words: int) -> DataFrame:
-    """id_col, n (distinct shingles), same (128 bits of the set), least (min-hashes), sketch (bytes of more of them) of each row of docs (id_col, text)."""
+    """id_col, n (distinct shingles), same (128 bits of the set), min-hashes, sketch and parity map of each row of docs (id_col, text)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    schema = pa.schema([(id_col, to_arrow_type(docs.schema[id_col].dataType)), ("n", pa.int32()), ("same", pa.binary()), ("least", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int8()))])
-    return spread(docs.select(id_col, "text")).mapInArrow(_digests(words, schema, id_col), f"`{id_col}` {dict(docs.dtypes)[id_col]}, n int, same binary, least array<long>, sketch array<byte>")
+    numbers = [*MINS, *SKETCHES, *MAPS]
+    schema = pa.schema([(id_col, to_arrow_type(docs.schema[id_col].dataType)), ("n", pa.int32()), ("same", pa.binary()), *((c, pa.int64()) for c in numbers)])
+    ddl = ", ".join([f"`{id_col}` {dict(docs.dtypes)[id_col]}", "n int", "same binary", *(f"{c} long" for c in numbers)])
+    return spread(docs.select(id_col, "text")).mapInArrow(_digests(words, schema, id_col), ddl)
 
 
 def _row_slot(id_col: str) -> Column:
@@ -159,20 +168,21 @@ def sets_of(docs: DataFrame, id_col: str, nodes: DataFrame, words: int) -> DataF
 def may_follow(nodes: DataFrame, percent: int) -> DataFrame:
     """leader, node, n_leader, n: whom a node may follow, by sizes and sketches alone; no leader follows.
 
-    One round for each min-hash: of the nodes with it, that with the most followers leads (then the smallest); those without followers whose sketch agrees leave. Nothing
-    depends on who is found here but how much is left to join.
+    One round for each min-hash: of the nodes with it, that with the most followers leads (then that with the most copies, then the smallest); those without followers whose sketch
+    agrees leave. Nothing depends on who is found here but how much is left to join.
     """
-    live, found = nodes.select("node", "n", "least", "sketch").withColumn("led", F.lit(0).cast("long")), None
-    for k in range(QUARTERS):
-        keyed = live.select("node", "n", "led", "sketch", F.col("least")[k].alias("m"))
-        lead = keyed.groupBy("m").agg(F.min(F.struct((-F.col("led")).alias("first"), "node", "n", "sketch")).alias("lead"), F.count("*").alias("together"))
-        lead = lead.where("together > 1").select("m", F.col("lead.node").alias("leader"), F.col("lead.n").alias("n_leader"), F.col("lead.sketch").alias("its"))
-        alike = "aggregate(zip_with(sketch, its, (x, y) -> CAST(x = y AS INT)), 0, (s, v) -> s + v)"
-        pairs = keyed.join(lead, "m").where(f"led = 0 AND node <> leader AND 100L * least(n, n_leader) >= {percent}L * greatest(n, n_leader) AND {alike} >= {AGREE}")
+    live, found = nodes.select("node", "n", "copies", *MINS, *SKETCHES).withColumn("led", F.lit(0).cast("long")), None
+    for m in MINS:
+        rank = F.struct((-F.col("led")).alias("led"), (-F.col("copies")).alias("copies"), "node", "n", *SKETCHES)
+        lead = live.groupBy(m).agg(F.min(rank).alias("l"), F.count("*").alias("together")).where("together > 1")
+        lead = lead.select(m, F.col("l.node").alias("leader"), F.col("l.n").alias("n_leader"), *(F.col(f"l.{c}").alias(f"its_{c}") for c in SKETCHES))
+        alike = " + ".join(f"CAST(((shiftrightunsigned({c} ^ its_{c}, {8 * i})) & 255L) = 0 AS INT)" for c in SKETCHES for i in range(8))
+        pairs = live.where("led = 0").select("node", "n", m, *SKETCHES).join(lead, m).where(f"node <> leader AND 100L * least(n, n_leader) >= {percent}L * greatest(n, n_leader) AND {alike} >= {AGREE}")
         pairs = materialize(pairs.select("leader", "node", "n_leader", "n"), "jaccard-may-follow")
         found = pairs if found is None else found.unionByName(pairs)
-        live = live.join(pairs.select("node"), "node", "left_anti").join(pairs.groupBy(F.col("leader").alias("node")).agg(F.count("*").alias("more")), "node", "left")
-        live = live.withColumn("led", F.col("led") + F.coalesce("more", F.lit(0))).drop("more")
+        if m != MINS[-1]:
+            live = live.join(pairs.select("node"), "node", "left_anti").join(pairs.groupBy(F.col("leader").alias("node")).agg(F.count("*").alias("more")), "node", "left")
+            live = materialize(live.withColumn("led", F.col("led") + F.coalesce("more", F.lit(0))).drop("more"), "jaccard-live")
     return found
 
 
@@ -214,7 +224,7 @@ def _shared(bits: Broadcast):
 
 
 def postings(docs: DataFrame, nodes: DataFrame, follow: DataFrame, words: int, percent: int) -> DataFrame:
-    """key, node, grp, n, pos, slack, own, often: the index. grp is the leader's node or the own one; own is false for what a follower adds.
+    """key, node, grp, n, pos, slack, own, often and the parity map: the index. grp is the leader's node or the own one; own is false for what a follower adds.
 
     Keys stand in one order for all sets, frequent ones last. slack is a leader's radius, the largest distance of a follower.
     """
@@ -222,13 +232,13 @@ def postings(docs: DataFrame, nodes: DataFrame, follow: DataFrame, words: int, p
     texts = lambda b: (k for piece in slices([b]) for k in batch_keys(piece.column("text"), words))
     frequent = broadcast(slot_bits(spread(docs.select("text")), texts, lambda n: n >= OFTEN + 4 * n.mean()))
     made = spread(docs.select("text")).mapInArrow(_prefixes(words, percent, frequent), "same binary, rare int, keys array<long>")
-    made = made.groupBy("same").agg(F.first("rare").alias("rare"), F.first("keys").alias("keys")).join(nodes.select("node", "n", "same"), "same").drop("same")
+    made = made.groupBy("same").agg(F.first("rare").alias("rare"), F.first("keys").alias("keys")).join(nodes.select("node", "n", "same", *MAPS), "same").drop("same")
     made = materialize(made.join(follow.select("node", "leader"), "node", "left"), "jaccard-prefixes")
     radius = follow.groupBy("leader").agg(F.max(F.expr(f"1D - (n_leader - size(minus)) / CAST(n + size(minus) AS DOUBLE) + {NEAR}D")).alias("slack")).withColumnRenamed("leader", "node")
-    lead = made.where("leader IS NULL").join(radius, "node", "left").select("node", F.col("node").alias("grp"), "n", "rare", F.coalesce("slack", F.lit(0.0)).alias("slack"), F.lit(True).alias("own"), F.posexplode("keys").alias("pos", "key"))
+    lead = made.where("leader IS NULL").join(radius, "node", "left").select("node", F.col("node").alias("grp"), "n", "rare", *MAPS, F.coalesce("slack", F.lit(0.0)).alias("slack"), F.lit(True).alias("own"), F.posexplode("keys").alias("pos", "key"))
     theirs = made.where("leader IS NULL").join(radius.select("node"), "node", "left_semi").select(F.col("node").alias("leader"), F.col("keys").alias("led"))
     added = made.where("leader IS NOT NULL").join(theirs, "leader").withColumn("key", F.explode(F.array_except("keys", "led")))
-    added = added.select("node", F.col("leader").alias("grp"), "n", "rare", F.lit(0.0).alias("slack"), F.lit(False).alias("own"), (F.array_position("keys", F.col("key")) - 1).cast("int").alias("pos"), "key")
+    added = added.select("node", F.col("leader").alias("grp"), "n", "rare", *MAPS, F.lit(0.0).alias("slack"), F.lit(False).alias("own"), (F.array_position("keys", F.col("key")) - 1).cast("int").alias("pos"), "key")
     index = lead.unionByName(added).withColumn("often", F.expr("pos >= rare")).drop("rare")
     # Most keys of prefixes are in one set alone: they meet nobody and are left out.
     shared = broadcast(slot_bits(index.select("key"), lambda b: iter([b.column("key").to_numpy().view(np.uint64)]), lambda n: n >= 2))
@@ -266,36 +276,45 @@ def _blocks(percent: int) -> tuple[str, str]:
 def candidates(index: DataFrame, percent: int) -> DataFrame:
     """a, b, n_a, n_b, slack: pairs of nodes of different groups that may have the similarity less both slacks; a is the smaller set."""
     stand, probe = _blocks(percent)
-    side = lambda blocks, x: index.select("key", F.explode(F.expr(blocks)).alias("block"), *(F.col(c).alias(f"{c}_{x}") for c in ("node", "grp", "n", "pos", "slack", "own")))
+    side = lambda blocks, x: index.select("key", F.explode(F.expr(blocks)).alias("block"), *(F.col(c).alias(f"{c}_{x}") for c in ("node", "grp", "n", "pos", "slack", "own", *MAPS)))
     t = f"({percent / 100!r}D - slack_a - slack_b)"
     need = _least_overlap(t, "n_a", "n_b")
     # The first common key has nothing common before it; of a follower's added keys, any may be the first that is seen.
     before = "CASE WHEN own_a AND own_b THEN 0 ELSE least(pos_a, pos_b) END"
     apart = f"(NOT (own_a AND own_b) OR pos_a + pos_b <= n_a + n_b - 2D * ({need}))"
+    # Sets differ in at least as many elements as their parity maps in bits.
+    differ = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in MAPS)
+    apart = f"{apart} AND {differ} <= n_a + n_b - 2D * ({need})"
     met = side(probe, "a").join(side(stand, "b"), ["key", "block"]).where(f"(n_a < n_b OR (n_a = n_b AND node_a < node_b)) AND grp_a <> grp_b AND n_a >= {t} * n_b - 1e-6D AND {before} + least(n_a - pos_a, n_b - pos_b) >= {need} AND {apart}")
     return met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.first("slack_a").alias("slack_a"), F.first("slack_b").alias("slack_b"))
 
 
 def derived(open_pairs: DataFrame, follow: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """u, v: those of open_pairs (a, b, n_a, n_b, slack_a, slack_b, both: their overlap) of which some members are linked. Followers' overlaps follow from their leaders' and the differences."""
-    empty = F.array().cast("array<long>")
-    links = f"100L * ({{x}}) >= {percent}L * ({{n}} - ({{x}}))"
-
-    def members(me: str, other: str, name: str) -> DataFrame:
-        """Of each pair, the leader or single itself and the followers that its partner's slack still allows, with their overlap with the partner."""
-        pairs = open_pairs.select("a", "b", "both", F.col(me).alias("leader"), F.col(other).alias("node"), F.col(f"n_{me}").alias("n_me"), F.col(f"n_{other}").alias("n_other"), F.col(f"slack_{other}").alias("slack"))
-        own = pairs.withColumnRenamed("n_me", "n").withColumns({"minus": empty, "plus": empty, "common": F.col("both").cast("int")})
-        led = pairs.drop("n_me").join(follow.select("leader", "n", "minus", "plus"), "leader").join(sets, "node")
-        led = led.withColumn("common", F.expr("CAST(both - size(array_intersect(minus, keys)) + size(array_intersect(plus, keys)) AS INT)")).drop("keys")
-        every = own.select("a", "b", "both", "n", "minus", "plus", "common", "n_other", "slack").unionByName(led.select("a", "b", "both", "n", "minus", "plus", "common", "n_other", "slack"))
-        every = every.where(f"common >= {_least_overlap(f'{percent / 100!r}D - slack', 'n', 'n_other')}")
-        return every.select("a", "b", "both", *(F.col(c).alias(f"{name}_{c}") for c in ("n", "minus", "plus", "common")))
+    """u, v: those of open_pairs (a, b, n_a, n_b, slack_a, slack_b, both: their overlap) of which some members are linked. Followers' overlaps follow from their leaders' and the differences.
 
-    y, z = members("a", "b", "y"), members("b", "a", "z").drop("both")
-    shared = "y_common + (z_common - both) + size(array_intersect(y_minus, z_minus)) - size(array_intersect(y_plus, z_minus)) - size(array_intersect(y_minus, z_plus)) + size(array_intersect(y_plus, z_plus))"
-    z = z.withColumnsRenamed({"a": "za", "b": "zb"})
-    hit = y.join(z, F.expr(f"a = za AND b = zb AND {links.format(x=shared, n='(y_n + z_n)')}"), "left_semi")
-    return hit.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    Members of a group are linked through their leader, so that one link between two groups is enough: no join here gives more than the members that a pair's other end
+    may still be linked to, or each pair once.
+    """
+    t = percent / 100
+    # The end with a group is a; if both have one, pairs come both ways below.
+    turned = open_pairs.select(*(F.col(x).alias(y) for x, y in (("b", "a"), ("a", "b"), ("n_b", "n_a"), ("n_a", "n_b"), ("slack_b", "slack_a"), ("slack_a", "slack_b"), ("both", "both"))))
+    ways = open_pairs.select(*turned.columns).unionByName(turned).where("slack_a > 0")
+    ways = ways.join(sets.withColumnRenamed("node", "b"), "b")
+    led = follow.select(F.col("leader").alias("a"), F.col("node").alias("y"), F.col("n").alias("n_y"), "minus", "plus")
+    common = "(both - size(array_intersect(minus, keys)) + size(array_intersect(plus, keys)))"
+    linked = f"100L * {common} >= {percent}L * (n_y + n_b - {common})"
+    one = ways.where("slack_b = 0").withColumnRenamed("a", "u").join(led.withColumnRenamed("a", "leader"), F.expr(f"u = leader AND {linked}"), "left_semi").select("u", F.col("b").alias("v"))
+    # Two groups: of each, the leader and the followers that the other's radius still allows.
+    two = ways.where("slack_b > 0").withColumnRenamed("a", "u")
+    near = two.join(led.withColumnRenamed("a", "leader"), F.expr(f"u = leader AND {common} >= {_least_overlap(f'{t!r}D - slack_b', 'n_y', 'n_b')}"))
+    near = near.select("u", "b", "both", F.col("n_y").alias("n"), "minus", "plus", F.expr(common).alias("common"))
+    empty = F.array().cast("array<long>")
+    near = near.unionByName(two.select("u", "b", "both", F.col("n_a").alias("n"), empty.alias("minus"), empty.alias("plus"), F.col("both").alias("common")))
+    y = near.where("u < b").select("u", "b", "both", *(F.col(c).alias(f"y_{c}") for c in ("n", "minus", "plus", "common")))
+    z = near.where("u > b").select(F.col("b").alias("zu"), F.col("u").alias("zb"), *(F.col(c).alias(f"z_{c}") for c in ("n", "minus", "plus", "common")))
+    shared = "(y_common + z_common - both + size(array_intersect(y_minus, z_minus)) - size(array_intersect(y_plus, z_minus)) - size(array_intersect(y_minus, z_plus)) + size(array_intersect(y_plus, z_plus)))"
+    hit = y.join(z, F.expr(f"u = zu AND b = zb AND 100L * {shared} >= {percent}L * (y_n + z_n - {shared})"), "left_semi")
+    return one.unionByName(hit.select("u", F.col("b").alias("v"))).distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", words: int = 3, percent: int = 90) -> DataFrame:
@@ -318,7 +337,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", words: int = 3,
 
 def _named(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """same, component_id of each set that isn't empty."""
-    nodes = rows.where("n > 0").groupBy("same").agg(F.first("n").alias("n"), F.min("id").alias("rep"), F.first("least").alias("least"), F.first("sketch").alias("sketch"))
+    nodes = rows.where("n > 0").groupBy("same").agg(F.first("n").alias("n"), F.min("id").alias("rep"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in (*MINS, *SKETCHES, *MAPS)))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
     # Smaller sets are linked to no other set than their own.
     large = nodes.where(f"{100 - percent}L * n >= {percent}L")

@@ -14,8 +14,8 @@ SIZE = SLOTS // PARTS
 
 
 def slot_of(keys: np.ndarray) -> np.ndarray:
-    """By the keys' high bits."""
-    return (keys >> np.uint64(37)).astype(np.uint32)
+    """By a product's high bits: keys that are all small are spread over all slots too."""
+    return ((keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(37)).astype(np.uint32)
 
 
 def bit_of(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:

@@ -186,6 +186,24 @@ def test_batch_keys_are_those_of_the_shingles():
             assert len(p & q) == len(np.intersect1d(a, b))
 
 
+def test_jaccard_links_that_only_followers_have(spark, monkeypatch):
+    """Chains over two followers of different leaders, and over one: found from the leaders' overlaps and the differences."""
+    found = []
+    plain = jaccard.derived
+    monkeypatch.setattr(jaccard, "derived", lambda *a: found.append(plain(*a)) or found[-1])
+    docs = []
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in range(400)]
+        change = lambda w, at, tag: w[:at] + [f"{tag}{k}" for k in range(12)] + w[at + 12 :]
+        y = change(base, 30, f"y{g}-")
+        z = change(y, 120, f"z{g}-") if g % 3 else change(change(y, 120, f"z{g}-"), 260, f"q{g}-")
+        far = change(z, 340, f"f{g}-")
+        texts = [base] * 3 + [y] + [z] + ([far] * 3 if g % 2 else [])
+        docs += [(len(docs) + k, " ".join(w)) for k, w in enumerate(texts)]
+    assert components_of(spark, docs) == plain_components(docs)
+    assert sum(f.count() for f in found) > 0
+
+
 def test_jaccard_one_large_group_stays_small(spark):
     """Near copies of one text: followers add nothing to the index but what is their own, so that pairs stay few."""
     rng = random.Random(4)
@@ -197,7 +215,7 @@ def test_jaccard_one_large_group_stays_small(spark):
         docs.append((d, " ".join(w)))
     df = spark.createDataFrame(docs, "id long, text string")
     rows = jaccard.set_digests(df, "id", 3)
-    nodes = rows.selectExpr("id AS node", "same", "n", "id AS rep", "least", "sketch")
+    nodes = rows.selectExpr("id AS node", "*", "id AS rep", "1L AS copies")
     follow = jaccard.followers(df, "id", nodes, 3, 90)
     assert follow.count() > 850
     assert jaccard.candidates(jaccard.postings(df, nodes, follow, 3, 90), 90).count() < 5000
