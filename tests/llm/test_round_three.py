@@ -190,18 +190,15 @@ def test_jaccard_links_that_only_followers_have(spark, monkeypatch):
     """Chains over two followers of different leaders, and over one: found from the leaders' overlaps and the differences."""
     found = []
     plain = jaccard.derived
-    monkeypatch.setattr(jaccard, "derived", lambda *a: found.append(plain(*a)) or found[-1])
+    monkeypatch.setattr(jaccard, "derived", lambda *a: found.append(plain(*a).count()) or plain(*a))
     docs = []
-    for g in range(12):
+    for g in range(60):  # what is cut off is seldom in a prefix, so that a follower adds nothing of its own
         base = [f"g{g}w{k}" for k in range(400)]
-        change = lambda w, at, tag: w[:at] + [f"{tag}{k}" for k in range(12)] + w[at + 12 :]
-        y = change(base, 30, f"y{g}-")
-        z = change(y, 120, f"z{g}-") if g % 3 else change(change(y, 120, f"z{g}-"), 260, f"q{g}-")
-        far = change(z, 340, f"f{g}-")
-        texts = [base] * 3 + [y] + [z] + ([far] * 3 if g % 2 else [])
+        y, far = base[:-22], [*base[22:], f"g{g}end"]
+        texts = [base] * 3 + [y, y[:-22]] + ([far] * 3 if g % 2 else [])
         docs += [(len(docs) + k, " ".join(w)) for k, w in enumerate(texts)]
     assert components_of(spark, docs) == plain_components(docs)
-    assert sum(f.count() for f in found) > 0
+    assert sum(found) > 0
 
 
 def test_jaccard_one_large_group_stays_small(spark):
