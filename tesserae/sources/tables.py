@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
-from datetime import datetime
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
 
 from ..functions import text
+from .feeds import PagedReader, PagedSource, date_literal, fetch, records, timestamp_literal, with_retry  # noqa: F401
 
 REPORT_DDL = "time timestamp_ntz, lat double, lon double, hazard string, magnitude double, ef int, source string, wind_mph double"
 TRACK_DDL = "time timestamp_ntz, slat double, slon double, elat double, elon double, ef int"
@@ -113,102 +108,3 @@ def class_fractions(raster: DataFrame, classes: dict[str, list[int]], block: int
     """For each named group of classes, its share of a block's cells."""
     iy, ix = (F.floor(F.col(c) / block).cast("int").alias(f"i{c}") for c in ("y", "x"))
     return raster.groupBy(iy, ix).agg(*(F.avg(F.when(F.col("value").isin(v), 1.0).otherwise(0.0)).alias(n) for n, v in classes.items()))
-
-
-# ---- Paged feeds as a Python data source: one partition a page, retried when a page fails for a passing reason. ----
-
-PAGE = 2000
-PASSING = ("timed out", "temporarily", "connection reset", "503", "429")
-
-
-class _Pages(InputPartition):
-    """Pages from offset on, every step-th; just one if last."""
-
-    def __init__(self, offset: int, step: int, last: bool):
-        super().__init__(offset)
-        self.offset, self.step, self.last = offset, step, last
-
-
-class PagedReader(DataSourceReader):
-    """Reads offset pages of a feed. Options: path (a file URL or path with '{offset}' and '{count}'), page (rows of a page), total, lanes, tries.
-
-    With total, a partition for each page. Without, each of so many lanes reads its share of the pages until one is short and doesn't say that
-    there is more. A page is a JSON list of records, or a GeoJSON object: its features' properties, the geometry as JSON text in
-    the column geometry, and exceededTransferLimit for more. A page that is missing, or longer than asked for, is an error.
-    """
-
-    def __init__(self, schema: StructType, options: dict):
-        self.schema, self.options = schema, options
-        self.page = int(options.get("page", PAGE))
-
-    def partitions(self) -> list[InputPartition]:
-        if "total" in self.options:
-            return [_Pages(k, self.page, True) for k in range(0, max(int(self.options["total"]), 1), self.page)]
-        lanes = int(self.options.get("lanes", "1"))
-        return [_Pages(k * self.page, lanes * self.page, False) for k in range(lanes)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        offset = partition.offset
-        while True:
-            where = self.options["path"].format(offset=offset, count=self.page)
-            rows, more = records(with_retry(lambda: fetch(where), int(self.options.get("tries", "5"))))  # noqa: B023
-            if len(rows) > self.page:
-                raise ValueError(f"{where} has {len(rows)} rows; {self.page} were asked for")
-            for r in rows:
-                yield tuple(r.get(f.name) for f in self.schema.fields)
-            if partition.last or not more and len(rows) < self.page:
-                return
-            offset += partition.step
-
-
-def records(page: list | dict) -> tuple[list[dict], bool]:
-    """The records of a JSON page, and whether it says that there are more."""
-    if isinstance(page, list):
-        return page, False
-    if "error" in page:
-        raise ValueError(f"the feed answers with an error: {page['error']}")
-    rows = [{**(f.get("properties") or {}), "geometry": json.dumps(f["geometry"]) if f.get("geometry") else None} for f in page["features"]]
-    return rows, bool(page.get("exceededTransferLimit") or (page.get("properties") or {}).get("exceededTransferLimit"))
-
-
-def fetch(url: str) -> list | dict:
-    """A JSON page."""
-    from urllib.request import urlopen
-
-    with urlopen(url if "://" in url else f"file://{url}", timeout=60) as f:
-        return json.load(f)
-
-
-def date_literal(day: str) -> str:
-    """A day as a remote filter takes it."""
-    return f"DATE '{day}'"
-
-
-def timestamp_literal(moment: datetime) -> str:
-    """A UTC time as a remote filter takes it."""
-    return f"TIMESTAMP '{moment:%Y-%m-%d %H:%M:%S}'"
-
-
-def with_retry(call: Callable[[], list], tries: int, wait: float = 1.5) -> list:
-    """call(), again after wait * 2 ** i seconds for failures that pass; others are raised at once."""
-    import time
-
-    for i in range(tries):
-        try:
-            return call()
-        except Exception as e:
-            if i == tries - 1 or not any(x in str(e).lower() for x in PASSING):
-                raise
-            time.sleep(wait * 2**i)
-    return []
-
-
-class PagedSource(DataSource):
-    """spark.dataSource.register(PagedSource); spark.read.format('paged').schema(...).option('path', ...).load()"""
-
-    @classmethod
-    def name(cls) -> str:
-        return "paged"
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return PagedReader(schema, self.options)
