@@ -7,9 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-#: Ranges of scores that are summed up apart.
-RANGES = 256
+from ..sources import sinks
 
 
 def dense_low_edges(n: int = 10, split: float = 0.1) -> list[float]:
@@ -65,25 +63,33 @@ def contingency(rows: DataFrame, thresholds: list[float], p: str = "p", y: str =
 
 
 def exact_auc(rows: DataFrame, p: str = "p", y: str = "y", w: str | None = None, keys: list[str] | None = None) -> DataFrame:
-    """keys, auc, ap: by cumulative sums over the distinct scores, so a tie counts half and equal scores are one step."""
+    """keys, auc, ap: by cumulative sums over the distinct scores, so a tie counts half and equal scores are one step.
+
+    rows are read once: the sums of the distinct scores are dealt to ranges of scores and written, and a score's place follows from the sums of
+    the ranges above its own and its place in its range. The result reads that table, which stays in the shared folder.
+    """
     keys = keys or []
     weight = F.lit(1.0) if w is None else F.col(w).cast("double")
-    steps = rows.groupBy(*keys, p).agg(F.sum(F.when(F.col(y) == 1, weight).otherwise(F.lit(0.0))).alias("pos"), F.sum(F.when(F.col(y) == 0, weight).otherwise(F.lit(0.0))).alias("neg"))
-    # Scores are summed up within ranges of about as many rows; the sums before a range are those of at most RANGES rows of a key.
-    cuts = rows.agg(F.percentile_approx(p, [k / RANGES for k in range(1, RANGES)], 10_000).alias("c")).first()["c"] or []
-    held = steps.withColumn("__r", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: F.col(p) >= c)) if cuts else F.lit(0))
-    up = Window.partitionBy(*keys, "__r").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    above = Window.partitionBy(*keys).orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, -1)
-    ranges = held.groupBy(*keys, "__r").agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
-    before = ranges.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__r").alias("__of"), F.coalesce(F.sum("__p").over(above), F.lit(0.0)).alias("__tp"), F.coalesce(F.sum("__n").over(above), F.lit(0.0)).alias("__fp"))
+    own = [f"__k{i}" for i in range(len(keys))]
+    steps = rows.groupBy(*(F.col(k).alias(o) for k, o in zip(keys, own, strict=True)), F.col(p).alias("__p")).agg(F.sum(F.when(F.col(y) == 1, weight).otherwise(F.lit(0.0))).alias("pos"), F.sum(F.when(F.col(y) == 0, weight).otherwise(F.lit(0.0))).alias("neg"))
+    ranged = steps.repartitionByRange(*own, F.desc("__p")).withColumn("__r", F.spark_partition_id())
+    path = sinks.shared_path(rows.sparkSession, "auc-steps")
+    ranged.write.parquet(path)
+    held = rows.sparkSession.read.schema(ranged.schema).parquet(path)
+    up = Window.partitionBy(*own, "__r").orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, 0)
+    # A row for each key and range: of one key's, all are below its own in number of ranges, which is the number of shuffle partitions.
+    ranges = held.groupBy(*own, "__r").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b")).groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("__r", "a", "b"))).alias("all"))
+    above = "aggregate(filter(all, v -> v.__r < x.__r), 0D, (s, v) -> s + v.{})"
+    sums = F.expr(f"transform(all, x -> named_struct('__r', x.__r, '__tp', {above.format('a')}, '__fp', {above.format('b')}))")
+    before = ranges.select(*(F.col(o).alias(f"{o}_") for o in own), F.explode(sums).alias("x")).select(*(f"{o}_" for o in own), F.col("x.__r").alias("__of"), "x.__tp", "x.__fp")
     same = F.col("__r") == F.col("__of")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    s = held.join(before, same).select(*keys, "pos", "neg", (F.col("__tp") + F.sum("pos").over(up)).alias("tp"), (F.col("__fp") + F.sum("neg").over(up)).alias("fp"))
+    for o in own:
+        same = same & F.col(o).eqNullSafe(F.col(f"{o}_"))
+    s = held.join(before, same).select(*own, "pos", "neg", (F.col("__tp") + F.sum("pos").over(up)).alias("tp"), (F.col("__fp") + F.sum("neg").over(up)).alias("fp"))
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
-    ap = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
-    totals = s.groupBy(*keys).agg(area.alias("a"), ap.alias("b"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return totals.select(*keys, (F.col("a") / (F.col("P") * F.col("N"))).alias("auc"), (F.col("b") / F.col("P")).alias("ap"))
+    ap = F.sum(F.when(F.col("tp") + F.col("fp") > 0, F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))))
+    totals = s.groupBy(*own).agg(area.alias("a"), ap.alias("b"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    return totals.select(*(F.col(o).alias(k) for o, k in zip(own, keys, strict=True)), (F.col("a") / (F.col("P") * F.col("N"))).alias("auc"), (F.col("b") / F.col("P")).alias("ap"))
 
 
 def capture(samples: DataFrame, levels: list[float], keys: list[str], p: str = "p") -> DataFrame:
