@@ -212,13 +212,17 @@ def _prefixes(words: int, percent: int, frequent: Broadcast):
     return run
 
 
-def _shared(bits: Broadcast):
-    """Entries of a row's keys that another row may have too."""
+def _shared(bits: Broadcast, schema: pa.Schema):
+    """Of each row's keys, with their positions, those that another row may have too; rows without one go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.get_field_index("key")
-            yield b.filter(pa.array(bit_of(bits.value, b.column(at).to_numpy().view(np.uint64))))
+            keys, pos = b.column("keys"), b.column("pos")
+            kept = bit_of(bits.value, keys.flatten().to_numpy().view(np.uint64))
+            ends = np.concatenate([[0], np.cumsum(kept)])[np.asarray(keys.offsets) - keys.offsets[0].as_py()].astype(np.int32)
+            lists = {n: pa.ListArray.from_arrays(pa.array(ends), c.flatten().filter(pa.array(kept))) for n, c in (("keys", keys), ("pos", pos))}
+            whole = pa.RecordBatch.from_arrays([lists.get(f.name, b.column(f.name)) for f in schema], names=schema.names)
+            yield whole.filter(pa.array(np.diff(ends) > 0))
 
     return run
 
@@ -231,18 +235,25 @@ def postings(docs: DataFrame, nodes: DataFrame, follow: DataFrame, words: int, p
     broadcast = docs.sparkSession.sparkContext.broadcast
     texts = lambda b: (k for piece in slices([b]) for k in batch_keys(piece.column("text"), words))
     frequent = broadcast(slot_bits(spread(docs.select("text")), texts, lambda n: n >= OFTEN + 4 * n.mean()))
-    made = spread(docs.select("text")).mapInArrow(_prefixes(words, percent, frequent), "same binary, rare int, keys array<long>")
-    made = made.groupBy("same").agg(F.first("rare").alias("rare"), F.first("keys").alias("keys")).join(nodes.select("node", "n", "same", *MAPS), "same").drop("same")
-    made = materialize(made.join(follow.select("node", "leader"), "node", "left"), "jaccard-prefixes")
+    # Who leads and who follows is joined to the nodes before their keys come, so that these are shuffled once.
     radius = follow.groupBy("leader").agg(F.max(F.expr(f"1D - (n_leader - size(minus)) / CAST(n + size(minus) AS DOUBLE) + {NEAR}D")).alias("slack")).withColumnRenamed("leader", "node")
-    lead = made.where("leader IS NULL").join(radius, "node", "left").select("node", F.col("node").alias("grp"), "n", "rare", *MAPS, F.coalesce("slack", F.lit(0.0)).alias("slack"), F.lit(True).alias("own"), F.posexplode("keys").alias("pos", "key"))
-    theirs = made.where("leader IS NULL").join(radius.select("node"), "node", "left_semi").select(F.col("node").alias("leader"), F.col("keys").alias("led"))
-    added = made.where("leader IS NOT NULL").join(theirs, "leader").withColumn("key", F.explode(F.array_except("keys", "led")))
-    added = added.select("node", F.col("leader").alias("grp"), "n", "rare", *MAPS, F.lit(0.0).alias("slack"), F.lit(False).alias("own"), (F.array_position("keys", F.col("key")) - 1).cast("int").alias("pos"), "key")
-    index = lead.unionByName(added).withColumn("often", F.expr("pos >= rare")).drop("rare")
+    roles = nodes.select("node", "n", "same", *MAPS).join(follow.select("node", "leader"), "node", "left").join(radius, "node", "left")
+    made = spread(docs.select("text")).mapInArrow(_prefixes(words, percent, frequent), "same binary, rare int, keys array<long>")
+    made = made.groupBy("same").agg(F.first("rare").alias("rare"), F.first("keys").alias("keys")).join(roles, "same").drop("same")
+    made = materialize(made, "jaccard-prefixes")
+    columns = ["node", "grp", "n", "rare", *MAPS, "slack", "own", "keys", "pos"]
+    lead = made.where("leader IS NULL").withColumns({"grp": F.col("node"), "slack": F.coalesce("slack", F.lit(0.0)), "own": F.lit(True), "pos": F.sequence(F.lit(0), F.size("keys") - 1)})
+    theirs = made.where("leader IS NULL AND slack IS NOT NULL").select(F.col("node").alias("leader"), F.col("keys").alias("led"))
+    added = made.where("leader IS NOT NULL").join(theirs, "leader").withColumns({"new": F.array_except("keys", "led"), "grp": F.col("leader"), "slack": F.lit(0.0), "own": F.lit(False)}).where("size(new) > 0")
+    added = added.withColumn("pos", F.expr("transform(new, k -> CAST(array_position(keys, k) - 1 AS INT))")).drop("keys").withColumnRenamed("new", "keys")
+    entries = materialize(lead.select(*columns).unionByName(added.select(*columns)), "jaccard-entries")
     # Most keys of prefixes are in one set alone: they meet nobody and are left out.
-    shared = broadcast(slot_bits(index.select("key"), lambda b: iter([b.column("key").to_numpy().view(np.uint64)]), lambda n: n >= 2))
-    return materialize(index.mapInArrow(_shared(shared), index.schema), "jaccard-index")
+    shared = broadcast(slot_bits(entries.select("keys"), lambda b: iter([b.column("keys").flatten().to_numpy().view(np.uint64)]), lambda n: n >= 2))
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kept = entries.mapInArrow(_shared(shared, to_arrow_schema(entries.schema)), entries.schema)
+    index = kept.select(*(c for c in columns if c not in ("keys", "pos")), F.explode(F.arrays_zip("keys", "pos")).alias("e")).select("*", F.col("e.keys").alias("key"), F.col("e.pos").alias("pos"))
+    return materialize(index.withColumn("often", F.expr("pos >= rare")).drop("rare", "e"), "jaccard-index")
 
 
 def _least_overlap(t: str, a: str, b: str) -> str:
@@ -262,14 +273,15 @@ def _blocks(percent: int) -> tuple[str, str]:
     width = max((1 - t) / PLACES, 1e-6)
     place = f"CAST(least(floor(pos / (n * {width!r}D)), {PLACES - 1}) AS INT)"
     free = "(own AND slack = 0D)"
-    stand = f"array(named_struct('band', {band}, 'place', {place}, 'free', {free}))"
+    number = lambda s, v, f: f"(({s}) * {2 * PLACES} + 2 * ({v}) + {f})"
+    stand = f"array({number(band, place, f'CAST({free} AS INT)')})"
     c = (1 - t) / (1 + t)  # share of both sizes that the positions of a first common key add up to at most; the partner is up to 1 / t times as large
     reach = [[v for v in range(PLACES) if v * width <= c + (c - u * width) * (1 if u * width <= c else t) + NEAR] for u in range(PLACES)]
     chosen = "CASE " + " ".join(f"WHEN {place} = {u} THEN array({', '.join(map(str, vs))})" for u, vs in enumerate(reach)) + " END"
     every = f"array({', '.join(map(str, range(PLACES)))})"
-    combos = f"concat(transform(CASE WHEN {free} THEN {chosen} ELSE {every} END, v -> named_struct('place', v, 'free', true)), transform({every}, v -> named_struct('place', v, 'free', false)))"
-    probe = f"flatten(transform(array({band}, {band} + 1), s -> transform({combos}, c -> named_struct('band', s, 'place', c.place, 'free', c.free))))"
-    whole = "array(named_struct('band', -1, 'place', 0, 'free', true))"
+    combos = f"concat(transform(CASE WHEN {free} THEN {chosen} ELSE {every} END, v -> 2 * v + 1), transform({every}, v -> 2 * v))"
+    probe = f"flatten(transform(array({band}, {band} + 1), s -> transform({combos}, c -> s * {2 * PLACES} + c)))"
+    whole = "array(-1)"
     return f"CASE WHEN often THEN {stand} ELSE {whole} END", f"CASE WHEN often THEN {probe} ELSE {whole} END"
 
 

@@ -23,6 +23,17 @@ def bit_of(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
 
 
+def _steps(slots: np.ndarray) -> bytes:
+    """Ascending slots as their steps: all low bytes, then all high bytes, which are mostly zero and shrink when they are sent."""
+    d = np.diff(slots, prepend=0)
+    return (d & 255).astype(np.uint8).tobytes() + (d >> 8).astype(np.uint8).tobytes()
+
+
+def _from_steps(blob: pa.Buffer) -> np.ndarray:
+    low, high = np.frombuffer(blob, np.uint8).reshape(2, -1).astype(np.int64)
+    return np.cumsum(low | high << 8)
+
+
 def _counts(arrays: Callable[[pa.RecordBatch], Iterator[np.ndarray]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -31,9 +42,10 @@ def _counts(arrays: Callable[[pa.RecordBatch], Iterator[np.ndarray]]):
             slots, counts = np.unique(np.concatenate(held), return_counts=True)
             cut = np.searchsorted(slots, np.arange(PARTS + 1, dtype=np.int64) * SIZE)
             full = [i for i in range(PARTS) if cut[i] < cut[i + 1]]
-            blob = lambda x: pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary())
+            blob = lambda f: pa.array([f(slice(cut[i], cut[i + 1])) for i in full], pa.binary())
             # 255 of one sending stand for all above: no rule asks for so many.
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), blob((slots % SIZE).astype(np.uint16)), blob(np.minimum(counts, 255).astype(np.uint8))], ["part", "slots", "counts"])
+            few = np.minimum(counts, 255).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), blob(lambda x: _steps(slots[x] % SIZE)), blob(lambda x: few[x].tobytes())], ["part", "slots", "counts"])
 
         for b in batches:
             for keys in arrays(b):
@@ -61,7 +73,7 @@ def _marked(rule: Callable[[np.ndarray], np.ndarray]):
                         yield found()
                     held = part
                     own[:] = 0
-                own[np.frombuffer(slots.as_buffer(), np.uint16)] += np.frombuffer(n.as_buffer(), np.uint8)
+                own[_from_steps(slots.as_buffer())] += np.frombuffer(n.as_buffer(), np.uint8)
         if held >= 0:
             yield found()
 
