@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -186,18 +186,36 @@ def write_gif(width: int, height: int, palette: np.ndarray, frames: list[Frame])
     return b"".join([*out, b"\x3b"])
 
 
-def read_gif(data: bytes) -> tuple[int, int, list[Frame]]:
-    """Width, height and frames; a file that breaks off or isn't a GIF is a GifError."""
-    try:
-        return _read(data)
-    except (IndexError, struct.error) as e:
-        raise GifError("the file breaks off") from e
+#: Pixels of a canvas or a frame from which a file is an error: its size is a claim of a few bytes, the memory for it isn't.
+MOST_PIXELS = 1 << 25
 
 
-def _read(data: bytes) -> tuple[int, int, list[Frame]]:
+def read_gif(data: bytes, most: int = MOST_PIXELS) -> tuple[int, int, list[Frame]]:
+    """Width, height and frames; a file that breaks off, isn't a GIF or has more than most pixels in an image is a GifError."""
+    width, height, frames = open_gif(data, most)
+    return width, height, list(frames)
+
+
+def open_gif(data: bytes, most: int = MOST_PIXELS) -> tuple[int, int, Iterator[Frame]]:
+    """As read_gif, but each frame is decoded when it is asked for."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise GifError("no GIF")
+    if len(data) < 13:
+        raise GifError("the file breaks off")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > most:
+        raise GifError(f"{width} x {height} are more than {most} pixels")
+
+    def frames() -> Iterator[Frame]:
+        try:
+            yield from _frames(data, flags, most)
+        except (IndexError, struct.error) as e:
+            raise GifError("the file breaks off") from e
+
+    return width, height, frames()
+
+
+def _frames(data: bytes, flags: int, most: int) -> Iterator[Frame]:
     at = 13
 
     def palette(flags: int) -> np.ndarray:
@@ -218,7 +236,6 @@ def _read(data: bytes) -> tuple[int, int, list[Frame]]:
         return b"".join(got)
 
     common = palette(flags) if flags & 0x80 else np.zeros((0, 3), np.uint8)
-    frames: list[Frame] = []
     delay, disposal, transparent = 0, 0, -1
     while data[at] != 0x3B:
         kind, at = data[at], at + 1
@@ -231,6 +248,8 @@ def _read(data: bytes) -> tuple[int, int, list[Frame]]:
         elif kind == 0x2C:
             x, y, w, h, bits = struct.unpack_from("<HHHHB", data, at)
             at += 9
+            if w * h > most:
+                raise GifError(f"a frame of {w} x {h} has more than {most} pixels")
             own = palette(bits) if bits & 0x80 else common
             depth, at = data[at], at + 1
             samples = lzw_decode(blocks(), depth, w * h)
@@ -240,15 +259,19 @@ def _read(data: bytes) -> tuple[int, int, list[Frame]]:
                 straight = np.empty_like(rows)
                 straight[order] = rows
                 samples = straight.tobytes()
-            frames.append(Frame(x, y, w, h, samples, own, delay, disposal, transparent))
+            yield Frame(x, y, w, h, samples, own, delay, disposal, transparent)
             delay, disposal, transparent = 0, 0, -1
         else:
             raise GifError(f"block {kind:#x}")
-    return width, height, frames
 
 
-def composed(width: int, height: int, frames: list[Frame]) -> Iterator[np.ndarray]:
-    """The canvas (height, width, 4: uint8) as each frame shows it; disposal 2 clears the frame's place, 3 brings back what was before."""
+def composed(width: int, height: int, frames: Iterable[Frame]) -> Iterator[np.ndarray]:
+    """The canvas as each frame shows it."""
+    return (canvas for _, canvas in played(width, height, frames))
+
+
+def played(width: int, height: int, frames: Iterable[Frame]) -> Iterator[tuple[Frame, np.ndarray]]:
+    """Each frame with the canvas (height, width, 4: uint8) as it shows it; disposal 2 clears the frame's place, 3 brings back what was before."""
     canvas = np.zeros((height, width, 4), np.uint8)
     for f in frames:
         before = canvas.copy() if f.disposal == 3 else None
@@ -262,7 +285,7 @@ def composed(width: int, height: int, frames: list[Frame]) -> Iterator[np.ndarra
             place[shown] = table[index[shown]]
         else:
             place[...] = table[index]
-        yield canvas
+        yield f, canvas
         if f.disposal == 2:
             place[...] = 0
         elif before is not None:
@@ -279,11 +302,11 @@ def colour_histogram(canvas: np.ndarray) -> list[int]:
 FRAMES_DDL = "frame int, start_ms long, delay_ms long, width int, height int, rgba binary, histogram array<long>, error string"
 
 
-def decode_column(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
+def decode_column(df: DataFrame, id_col: str, media_col: str, most: int = MOST_PIXELS) -> DataFrame:
     """A row for each frame of each GIF: id_col, frame (from 0), start_ms, delay_ms, width, height, rgba, histogram, error.
 
-    Null media gives no row; bytes that can't be read give one row with frame -1 and the error; a GIF without images
-    gives none. Repeated rows are decoded each. Frames stream out one by one, so a long GIF needs one canvas of memory.
+    Null media gives no row; bytes that can't be read, and images of more than most pixels, give one row with frame -1 and the error; a GIF without images gives
+    none. Repeated rows are decoded each. Frames are decoded one by one, once to see that all can be and once to be shown, so a long GIF needs one canvas and one frame of memory.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -292,12 +315,14 @@ def decode_column(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
 
     def rows(key: object, media: bytes) -> Iterator[tuple]:
         try:
-            width, height, frames = read_gif(media)
-        except GifError as e:
-            yield key, -1, None, None, None, None, None, None, str(e)
+            for _ in open_gif(media, most)[2]:  # a faulty file has no frames, and none is kept to find that out
+                pass
+        except Exception as e:  # a file's fault is its own, whatever it is
+            yield key, -1, None, None, None, None, None, None, str(e) or type(e).__name__
             return
         start = 0
-        for k, (f, canvas) in enumerate(zip(frames, composed(width, height, frames), strict=True)):
+        width, height, frames = open_gif(media, most)
+        for k, (f, canvas) in enumerate(played(width, height, frames)):
             yield key, k, start, f.delay_ms, width, height, canvas.tobytes(), colour_histogram(canvas), None
             start += f.delay_ms
 
@@ -329,7 +354,7 @@ def unpack(media: bytes) -> tuple[bytes, str]:
     """The payload again, from the palette's colours of the frames, and a feature: size, frames, time and the colour histogram of all frames as shown."""
     width, height, frames = read_gif(media)
     payload, total = [], np.zeros(BINS**3, np.int64)
-    for f, canvas in zip(frames, composed(width, height, frames), strict=True):
+    for f, canvas in played(width, height, frames):
         payload.append(canvas[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes())
         total += np.array(colour_histogram(canvas))
     greys = total.reshape(BINS, BINS, BINS)[tuple([np.arange(BINS)] * 3)]
@@ -340,7 +365,7 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Each text of docs (id_col, text) stored as a GIF and read back; the columns are those of STORED.
 
     A null text counts as empty and is stored as 64 zero samples; equal texts have equal values; repeated rows
-    are stored each; an empty table gives an empty one. Other columns are not read.
+    are stored each; an empty table gives an empty one. A text of any length is stored whole, in as many frames as it takes. Other columns are not read.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -62,11 +62,12 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     Reply order is that of (root_turn, turn): a message follows what it replies to. Null ids or turns take part in no
     link; a null text counts as empty; rows that repeat a turn are kept, and the links of all of them hold for each: the latest
     turn counts. Messages of any length are parsed whole; other columns are not read, so their names cannot clash.
-    An empty table gives an empty one.
+    An empty table gives an empty one. Ids of conversations that are no integers count as text; turns that are no integers are an error.
     """
     small_batches(messages.sparkSession)
-    ddl = "conv_id long, turn long, role string, clean string, own array<string>, quoted array<struct<level: int, hash: string>>"
-    rows = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    kind = "long" if dict(messages.dtypes)["conv_id"] in ("tinyint", "smallint", "int", "bigint") else "string"
+    ddl = f"conv_id {kind}, turn long, role string, clean string, own array<string>, quoted array<struct<level: int, hash: string>>"
+    rows = messages.select(F.col("conv_id").cast(kind), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     parsed = materialize(rows.mapInArrow(_parsed, ddl), "quotes-parsed")
     wanted = parsed.where(F.size("quoted") > 0).select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.level", "q.hash")
     # Partial sums find each passage's first turn, so that no message meets another but through its passage.

@@ -109,12 +109,14 @@ def shard_by_size(docs: DataFrame, id_col: str = "doc_id", shards: int = 8, rang
 
     size: UTF-8 bytes of the text plus 1 (null: 1). The rows' order is cut where the running size passes a shard's share, so a
     shard's size is within one row of its share; slot counts rows within the shard from 0. Copies lie
-    together, and only a group at a cut is split. A null id sorts first; equal rows keep any order among themselves,
-    which no column shows; an empty table gives an empty one. Other columns are not read.
+    together, and only a group at a cut is split. A null id sorts first, ids that are no integers by a hash of them as text; equal rows keep any order among themselves,
+    which no column shows; texts of any length count whole; an empty table gives an empty one. Other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long").alias("k1"))
-    slim = slim.select("*", F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))).alias("k2"), F.monotonically_increasing_id().alias("k3"))
+    whole = dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint")
+    number = F.col("id").cast("long") if whole else F.when(F.col("id").isNotNull(), F.xxhash64(F.col("id").cast("string")))
+    slim = slim.select("*", F.coalesce(number, F.lit(-(1 << 63))).alias("k2"), F.monotonically_increasing_id().alias("k3"))
     slim = materialize(slim, "shard-slim")
     n, mean = slim.agg(F.count("*"), F.avg("size")).first()
     rows = slim.withColumn("weight", F.col("size") / F.lit(mean or 1.0) + 1.0)

@@ -278,3 +278,56 @@ def test_chains_tell_texts_of_one_fingerprint_apart():
     assert gone == [(7, ["p"]), (5, ["p"]), (9, ["p"])]
     assert list(c.drain()) == [(1, b"a", 4, ["p", "p"]), (1, b"b", 3, ["p"])] and not c.links
     assert np.array_equal(audit._count(audit._vector(), (5, 3))[:, 5], [1, 1, 1])
+
+
+# Rows that earlier operators could not take
+
+
+def test_hostile_gifs_are_error_rows(spark):
+    import struct
+
+    from tesserae.llm import gif
+
+    grey = gif._grey()
+    good = gif.write_gif(4, 2, grey, [gif.Frame(0, 0, 4, 2, bytes(range(8)), grey, delay_ms=k) for k in (10, 20)])
+    claims = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0x80, 0, 0) + b"\0" * 6 + b"\x2c" + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + b"\x02\x02\x44\x01\0\x3b"
+    frame = b"GIF89a" + struct.pack("<HHBBB", 4, 4, 0x80, 0, 0) + b"\0" * 6 + b"\x2c" + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + b"\x02\x02\x44\x01\0\x3b"
+    second = good[:-1] + b"\x2c" + struct.pack("<HHHHB", 0, 0, 4, 2, 0) + b"\x08\x02\xff\xff\0\x3b"
+    rows = [(1, good), (2, claims), (3, frame), (4, second), (5, b"GIF89a"), (6, b"GIF89a\xff\xff"), (7, good[:40]), (8, None), (9, b"")]
+    rows += [(100 + k, good[:k] + bytes([good[k] ^ 0xFF]) + good[k + 1 :]) for k in range(0, len(good), 7)]
+    df = spark.createDataFrame(rows, "k int, m binary")
+    got = gif.decode_column(df, "k", "m", most=1 << 16).select("k", "frame", "error").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.k, []).append((r.frame, r.error))
+    assert by[1] == [(0, None), (1, None)] and 8 not in by
+    assert all(len(by[k]) == 1 and by[k][0][0] == -1 for k in (2, 3, 4, 5, 6, 7, 9)) and "pixels" in by[2][0][1] and "pixels" in by[3][0][1]
+
+
+def test_gif_features_against_a_plain_count():
+    from tesserae.llm import gif
+
+    for payload in (bytes(range(64)), b"\xff" * 128 + b"\0" * 64, bytes(k * 7 % 256 for k in range(64 * 900))):
+        back, feature = gif.unpack(gif.pack(payload))
+        counts = Counter(b >> 6 for b in payload)
+        rows = len(payload) // gif.WIDTH
+        frames = -(-rows // gif.ROWS)
+        assert back == payload
+        words = dict(x.split("=") for x in feature.split()[1:])
+        assert feature.split()[0] == f"{gif.WIDTH}x{min(rows, gif.ROWS)}" and words["frames"] == str(frames) and words["ms"] == str(100 * frames)
+        # The last frame leaves the lower part of the one before on the canvas.
+        shown = [bytes(payload)] if frames == 1 else [payload[k : k + gif.WIDTH * gif.ROWS] for k in range(0, len(payload), gif.WIDTH * gif.ROWS)]
+        if frames > 1:
+            shown[-1] = shown[-1] + shown[-2][len(shown[-1]) :]
+            counts = Counter(b >> 6 for part in shown for b in part)
+        assert [int(x) for x in words["grey"].split(",")] == [counts.get(k, 0) for k in range(4)]
+
+
+def test_text_ids_are_taken(spark):
+    from tesserae.llm import quotes, sharding
+
+    docs = spark.createDataFrame([(f"d{k}", "x" * (k % 9), 1) for k in range(300)] + [(None, "y" * 50_000, 1), ("d1", "x", 1)], "doc_id string, text string, range int")
+    got = sharding.shard_by_size(docs).toPandas()
+    assert len(got) == 302 and all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))
+    m = spark.createDataFrame([("c-1", 0, "u", "Where is the old red house?"), ("c-1", 1, "v", "> Where is the old red house?\nDown the road."), (None, 0, "u", "hi")], "conv_id string, turn int, role string, text string")
+    assert {(r.conv_id, r.turn): r.reply_to for r in quotes.link_quotes(m).collect()} == {("c-1", 0): None, ("c-1", 1): 0, (None, 0): None}
