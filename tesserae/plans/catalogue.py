@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import events, grids, models, outlooks, streams  # noqa: F401
+from . import events, fields, grids, models, outlooks, streams  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
