@@ -7,6 +7,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from . import constants as C
 from .functions import times
 from .operators import features, models
 from .plans import jobs
@@ -27,6 +28,11 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--resume", action="store_true")
     b.add_argument("--start", help="first valid hour, as YYYY-MM-DD[ HH:MM]")
     b.add_argument("--end", help="hour before which valid hours end")
+    b.add_argument("--members", type=int, default=6, help="runs of which the shares in --member-fields are counted")
+    b.add_argument("--member-fields", help="fields of all runs (run, fxx, iy, ix, refc, refd, uh03, uh25)")
+    b.add_argument("--static", help="static fields of the grid (iy, ix, ...)")
+    b.add_argument("--flush-days", type=int, default=7, help="days that are built and put into the matrix at once")
+    b.add_argument("--min-free-gb", type=float, default=0.0, help="stop before a flush if less disk is free")
     b.add_argument("--temporal", default="", help="features of which the hours before and after are added")
     a = sub.add_parser("augment-data", help="add columns to a matrix, in place unless --out is given")
     for n in ("matrix", "columns"):
@@ -78,16 +84,26 @@ def parser() -> argparse.ArgumentParser:
 
 
 def build_data(args: argparse.Namespace, read) -> None:
-    done = read(args.out).select("run", "fxx").distinct() if args.resume else None
+    done = read(args.out).select("run", "fxx").distinct() if args.resume and sinks.exists(read.spark, args.out) else None
     samples = jobs.plan_samples(read(args.reports), [int(x) for x in args.bands.split(",")], args.min_reports, done)
     for bound, op in ((args.start, ">="), (args.end, "<")):
         if bound:
             samples = samples.where(F.expr(f"valid {op} TIMESTAMP_NTZ '{bound}'"))
-    state = read(args.features)
-    rows = jobs.build_matrix(samples, state, read(args.labels), args.flags.split(","), args.neg_keep)
-    if args.temporal:
-        rows = jobs.with_temporal(rows, state, args.temporal.split(","))
-    sinks.append_parts(rows.withColumn("valid_date", F.to_date("valid")), args.out)
+    state, labels = read(args.features), read(args.labels)
+
+    def make(some):
+        rows = jobs.build_matrix(some, state, labels, args.flags.split(","), args.neg_keep)
+        if args.temporal:
+            rows = jobs.with_temporal(rows, state, args.temporal.split(","))
+        if args.member_fields:
+            rows = jobs.member_chances(rows, read(args.member_fields), C.EXCEEDANCE, args.members)
+        if args.static:
+            static = read(args.static)
+            rows = jobs.with_static(rows, static, [c for c in static.columns if c not in jobs.CELL])
+        return rows
+
+    if left := jobs.flush(samples, make, args.out, args.flush_days, args.min_free_gb):
+        raise SystemExit(f"{left} days are left: go on with --resume when there is room")
 
 
 def train(args: argparse.Namespace, read) -> None:
@@ -130,6 +146,7 @@ def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = session("tesserae")
     read = lambda path: tables.dataset(spark, path)
+    read.spark = spark
     keys = ["valid", "iy", "ix"]
     if args.job == "build-data":
         build_data(args, read)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import logging
+import time
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,6 +87,49 @@ def with_temporal(matrix: DataFrame, hours: DataFrame, values: list[str], keys:
     return out
 
 
+def member_chances(rows: DataFrame, fields: DataFrame, thresholds: dict[str, tuple[float, ...]], members: int = C.MEMBERS) -> DataFrame:
+    """rows (valid, fxx, run, iy, ix, ...) with prob_<field>_ge<threshold>: of the newest runs that a forecast of the sample's run could know of, the share whose field (fields: run, fxx, iy, ix, ...) reaches it.
+
+    Only the rows' own cells are looked up. A run without a row doesn't count, a missing value doesn't reach a threshold; without any run the share is null.
+    """
+    asked = rows.select("valid", "run").distinct()
+    runs = events.recent_runs(asked.select(F.col("valid").alias("t"), F.col("run").alias("as_of")), members).select(F.col("t").alias("valid"), F.col("as_of").alias("run"), F.col("run").alias("__run"), F.col("lag").alias("__lag"))
+    names = {f"prob_{f}_ge{t:g}": (f, t) for f, ts in thresholds.items() for t in ts if f in fields.columns}
+    own = fields.select(F.col("run").alias("__run"), F.col("fxx").alias("__lag"), *CELL, *dict.fromkeys(f for f, _ in names.values()))
+    keys = ["valid", "run", *CELL]
+    each = rows.select(*keys).distinct().join(runs, ["valid", "run"]).join(own, ["__run", "__lag", *CELL])
+    known = {f: F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")) for f, _ in names.values()}
+    shares = each.groupBy(*keys).agg(*(F.avg(F.coalesce(known[f] >= t, F.lit(False)).cast("double")).alias(n) for n, (f, t) in names.items()))
+    return rows.join(shares, keys, "left")
+
+
+def flush(samples: DataFrame, make: Callable[[DataFrame], DataFrame], path: str, days: int = 7, least_free_gb: float = 0.0, by: str = "valid_date") -> int:
+    """Builds the rows of samples (valid, ...) a few days at a time into the table at path, partitioned by day; gives the number of days that are left because the disk is full.
+
+    A day's rows change places by renaming, together with those that the table has of the day already, so a job that dies leaves whole days, and one that goes on
+    (samples without those done) repeats none. Progress and the time that is left are logged.
+    """
+    spark, log = samples.sparkSession, logging.getLogger(__name__)
+    # What is left to do may be told by the very table that changes here: the plan is written down first.
+    plan = sinks.shared_path(spark, "samples")
+    samples.write.parquet(plan)
+    samples = spark.read.schema(samples.schema).parquet(plan)
+    every = sorted(r[0] for r in samples.select(F.to_date("valid")).distinct().collect())  # days
+    began = time.monotonic()
+    for k in range(0, len(every), days):
+        if (free := sinks.free_gb(spark, path)) < least_free_gb:
+            log.warning("%.0f GB are free, less than %.0f: %d days are left", free, least_free_gb, len(every) - k)
+            return len(every) - k
+        some = every[k : k + days]
+        rows = make(samples.where(F.to_date("valid").isin(some))).withColumn(by, F.to_date("valid"))
+        if (old := stored(spark, path, rows)) is not None:
+            rows = rows.unionByName(old.where(F.col(by).isin(some)))
+        sinks.overwrite(rows.repartition(by, F.pmod(F.xxhash64("key"), F.lit(8))), path, by)
+        done = min(len(every), k + days)
+        log.info("%d of %d days, %.0f s left", done, len(every), (time.monotonic() - began) / done * (len(every) - done))
+    return 0
+
+
 def render(predictions: DataFrame, path: str, run: str = "run") -> None:
     """The products of runs as tables beside one another: hourly (with all that is derived), day maxima and the combined category."""
     sinks.overwrite(sinks.prediction_rows(predictions, run), f"{path}/hourly", run)

@@ -29,6 +29,16 @@ def remove(spark: SparkSession, path: str) -> None:
     _Folders(spark, path).remove(path)
 
 
+def free_gb(spark: SparkSession, path: str) -> float:
+    """Room in the file system that a path is on."""
+    return _Folders(spark, path).fs.getStatus().getRemaining() / 1e9
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folders = _Folders(spark, path)
+    return folders.fs.exists(folders.at(path))
+
+
 def append_parts(rows: DataFrame, path: str, by: str = "valid_date") -> None:
     """Appends to a dataset partitioned by a date column; a failed task leaves nothing behind."""
     rows.write.mode("append").partitionBy(by).parquet(path)
