@@ -111,23 +111,29 @@ def _digests(words: int, schema: pa.Schema, id_col: str):
         for b in slices(batches):
             sets = batch_keys(b.column("text"), words)
             same = [xxhash.xxh3_128_digest(k.tobytes()) for k in sets]
+            wide = [_parity(k, max(PARITY, 1 << max(0, len(k) - 1).bit_length())) for k in sets]
             made = np.zeros((len(sets), ROUNDS + 2 + len(MAPS)), np.int64)
             for row, k in zip(made, sets, strict=True):
                 row[:ROUNDS] = (_lows(k, QUARTERS)[:ROUNDS] >> np.uint64(1)).view(np.int64)
                 row[ROUNDS : ROUNDS + 2] = ((_lows(k, SKETCH) * ODD) >> np.uint64(56)).astype(np.uint8).view(np.int64)
-                row[ROUNDS + 2 :] = np.packbits((np.bincount((k & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([len(k) for k in sets], pa.int32()), pa.array(same, pa.binary()), *(pa.array(c) for c in made.T)], schema=schema)
+                row[ROUNDS + 2 :] = _parity(k, PARITY)
+            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([len(k) for k in sets], pa.int32()), pa.array(same, pa.binary()), *(pa.array(c) for c in made.T), pa.array(wide, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
+def _parity(keys: np.ndarray, bits: int) -> np.ndarray:
+    """A bit for each value of the keys' low bits: do an odd number of keys have it? As 64-bit numbers; a map of half the bits is the halves' exclusive or."""
+    return np.packbits((np.bincount((keys & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 def set_digests(docs: DataFrame, id_col: str, words: int) -> DataFrame:
-    """id_col, n (distinct shingles), same (128 bits of the set), min-hashes, sketch and parity map of each row of docs (id_col, text)."""
+    """id_col, n (distinct shingles), same (128 bits of the set), min-hashes, sketch, parity map and a wide one (about a bit for each element) of each row of docs (id_col, text)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     numbers = [*MINS, *SKETCHES, *MAPS]
-    schema = pa.schema([(id_col, to_arrow_type(docs.schema[id_col].dataType)), ("n", pa.int32()), ("same", pa.binary()), *((c, pa.int64()) for c in numbers)])
-    ddl = ", ".join([f"`{id_col}` {dict(docs.dtypes)[id_col]}", "n int", "same binary", *(f"{c} long" for c in numbers)])
+    schema = pa.schema([(id_col, to_arrow_type(docs.schema[id_col].dataType)), ("n", pa.int32()), ("same", pa.binary()), *((c, pa.int64()) for c in numbers), ("wide", pa.list_(pa.int64()))])
+    ddl = ", ".join([f"`{id_col}` {dict(docs.dtypes)[id_col]}", "n int", "same binary", *(f"{c} long" for c in numbers), "wide array<long>"])
     return spread(docs.select(id_col, "text")).mapInArrow(_digests(words, schema, id_col), ddl)
 
 
@@ -301,6 +307,17 @@ def candidates(index: DataFrame, percent: int) -> DataFrame:
     return met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.first("slack_a").alias("slack_a"), F.first("slack_b").alias("slack_b"))
 
 
+def compared(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (candidates) whose wide parity maps don't rule them out, so that few sets have to be fetched: maps differ in no more bits than the sets in elements."""
+    wide = nodes.select("node", "wide")
+    met = pairs.join(wide.withColumnsRenamed({"node": "a", "wide": "wide_a"}), "a").join(wide.withColumnsRenamed({"node": "b", "wide": "wide_b"}), "b")
+    m = "least(size(wide_a), size(wide_b))"
+    folded = lambda x: f"transform(sequence(0, {m} - 1), i -> aggregate(sequence(i, size({x}) - 1, {m}), 0L, (s, j) -> s ^ {x}[j]))"
+    differ = f"aggregate(zip_with({folded('wide_a')}, {folded('wide_b')}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
+    need = _least_overlap(f"{percent / 100!r}D - slack_a - slack_b", "n_a", "n_b")
+    return met.where(f"{differ} <= n_a + n_b - 2D * ({need})").drop("wide_a", "wide_b")
+
+
 def derived(open_pairs: DataFrame, follow: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """u, v: those of open_pairs (a, b, n_a, n_b, slack_a, slack_b, both: their overlap) of which some members are linked. Followers' overlaps follow from their leaders' and the differences.
 
@@ -349,13 +366,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", words: int = 3,
 
 def _named(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """same, component_id of each set that isn't empty."""
-    nodes = rows.where("n > 0").groupBy("same").agg(F.first("n").alias("n"), F.min("id").alias("rep"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in (*MINS, *SKETCHES, *MAPS)))
+    nodes = rows.where("n > 0").groupBy("same").agg(F.first("n").alias("n"), F.min("id").alias("rep"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in (*MINS, *SKETCHES, *MAPS, "wide")))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
     # Smaller sets are linked to no other set than their own.
     large = nodes.where(f"{100 - percent}L * n >= {percent}L")
     follow = followers(docs, "id", large, words, percent)
     index = postings(docs, large, follow, words, percent)
-    pairs = materialize(candidates(index, percent), "jaccard-pairs")
+    pairs = materialize(compared(materialize(candidates(index, percent), "jaccard-candidates"), large, percent), "jaccard-pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = sets_of(docs, "id", large.join(ends, "node", "left_semi"), words)
     one, other = sets.withColumnsRenamed({"node": "a", "keys": "keys_a"}), sets.withColumnsRenamed({"node": "b", "keys": "keys_b"})
