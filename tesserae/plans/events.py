@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions import bins, geo, text, times
+from ..functions import bins, geo, sql, text, times
 from ..operators import areas, dataset, events, labels
 from ..sources import sinks, views
 from ..sources.tables import table
@@ -326,3 +326,16 @@ def incident_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sample_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = events.busy_hours(views.reports(spark, sf_dir), 12).select(F.col("hour").cast("timestamp_ntz").alias("valid"))
     return dataset.sample_pairs(hours, [6, 18, 30, 42])
+
+
+@query(f"""SELECT event_id, {bin_sql()} AS bin, CASE isodow(time) WHEN 6 THEN 'validation' WHEN 7 THEN 'test' ELSE 'train' END AS split, round({distance_sql('a', 'b')}, 6) AS miles, k, round(35::DOUBLE + (lat - 35::DOUBLE) * k / 3, 6) AS lat_k
+FROM v_reports a, (SELECT 35::DOUBLE AS lat, -97.5::DOUBLE AS lon) b, (SELECT unnest([0, 1, 2, 3])::INT AS k)""".replace("(lat - 35", "(a.lat - 35"), ["v_reports"])
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library from SQL alone: scalars, and a table function for each row."""
+    sql.register(spark)
+    r = views.reports(spark, sf_dir).withColumn("time", F.col("time").cast("timestamp"))
+    return spark.sql(
+        """SELECT event_id, tess_intensity_bin(hazard, magnitude) AS bin, tess_split(time) AS split, round(tess_haversine(r.lat, r.lon, 35D, -97.5D), 6) AS miles, d.k, round(d.lat, 6) AS lat_k
+        FROM {r} r, LATERAL tess_densify(35D, -97.5D, r.lat, r.lon, 4) d""",
+        r=r,
+    )
