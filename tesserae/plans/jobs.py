@@ -130,13 +130,25 @@ def flush(samples: DataFrame, make: Callable[[DataFrame], DataFrame], path: str,
     return 0
 
 
+#: All hazards that predictions may have; fires have categories of their own.
+FIRE = "wildfire"
+PREDICTED = (*C.HAZARDS, FIRE)
+
+
+def day_categories(predictions: DataFrame, run: str = "run") -> DataFrame:
+    """run, hazard, iy, ix with the greatest probability, the greatest hourly cig and their category. A fire's cig counts only where its greatest probability reaches the lowest contour."""
+    best = products.with_cig(predictions, hazards=PREDICTED).groupBy(run, "hazard", *CELL).agg(F.max("p").alias("p"), F.max("cig").alias("cig"))
+    masked = F.when((F.col("hazard") == FIRE) & ~F.coalesce(F.col("p") >= C.PROB_LEVELS[FIRE][0], F.lit(False)), 0).otherwise(F.col("cig"))
+    return products.with_category(best.withColumn("cig", masked.cast("int")), hazards=PREDICTED)
+
+
 def render(predictions: DataFrame, path: str, run: str = "run") -> None:
-    """The products of runs as tables beside one another: hourly (with all that is derived), day maxima and the combined category."""
-    sinks.overwrite(sinks.prediction_rows(predictions, run), f"{path}/hourly", run)
-    best = products.with_cig(predictions).groupBy(run, "hazard", *CELL).agg(F.max("p").alias("p"), F.max("cig").alias("cig"))
-    day = products.with_category(best)
+    """The products of runs as tables beside one another: hourly (with all that is derived), day maxima, and the combined category of the storms."""
+    sinks.overwrite(sinks.prediction_rows(predictions, run, PREDICTED), f"{path}/hourly", run)
+    day = day_categories(predictions, run)
     sinks.overwrite(day, f"{path}/day", run)
-    sinks.overwrite(day.groupBy(run, *CELL).agg(F.max("category").alias("category")), f"{path}/combined", run)
+    storms = day.where(F.col("hazard") != FIRE)
+    sinks.overwrite(storms.groupBy(run, *CELL).agg(F.max("category").alias("category")), f"{path}/combined", run)
 
 
 def classes_of(hazard: str) -> dict[str, int]:

@@ -10,6 +10,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..functions import columns
 
 
@@ -154,14 +155,14 @@ def aligned(df: DataFrame, features: list[str]) -> DataFrame:
     return df.select(*(F.col(f) if f in df.columns else F.lit(float("nan")).alias(f) for f in features))
 
 
-def prediction_rows(predictions: DataFrame, run: str = "run") -> DataFrame:
+def prediction_rows(predictions: DataFrame, run: str = "run", hazards: tuple[str, ...] = C.HAZARDS) -> DataFrame:
     """Predictions (run, fxx, iy, ix, hazard, p, dist) with what is derived from them, ready to be partitioned by run: cig, category, modal bin.
 
     A run's rows are dealt to tasks by lead time, hazard and rows of the grid, so that none holds a whole run.
     """
     from ..operators import products
 
-    derived = products.with_category(products.with_cig(predictions)).withColumn("modal_bin", columns.modal_bin(F.col("dist")))
+    derived = products.with_category(products.with_cig(predictions, hazards=hazards), hazards=hazards).withColumn("modal_bin", columns.modal_bin(F.col("dist")))
     return derived.repartition(run, "fxx", "hazard", F.floor(F.col("iy") / 32)).sortWithinPartitions(run, "hazard", "fxx", "iy", "ix")
 
 

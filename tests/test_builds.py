@@ -83,3 +83,18 @@ def test_members_and_static_fields(spark, tables):
     hours = [x.hour for x in runs if x.hour != 11]
     want = sum(h % 5 != 0 and h * 3 + r.iy >= 30 for h in hours) / len(hours)
     assert r.prob_refc_ge30 == pytest.approx(want)
+
+
+def test_fire_categories_are_masked(spark, tmp_path):
+    run = dt.datetime(2024, 7, 1, 12)
+    tail = [0.0] * 5 + [1.0, 1.0]
+    rows = [(run, f, 0, ix, "wildfire", p, d) for ix, hours in enumerate([((0.01, tail), (0.015, tail)), ((0.01, tail), (0.03, [1.0] + [0.0] * 6)), ((0.4, [1.0] + [0.0] * 6), (0.6, tail))]) for f, (p, d) in enumerate(hours, 1)]
+    rows += [(run, 1, 0, 0, "tor", 0.3, [0.0, 0.0, 1.0, 0.0, 0.0])]
+    p = spark.createDataFrame(rows, "run timestamp, fxx int, iy int, ix int, hazard string, p double, dist array<double>")
+    jobs.render(p, str(tmp_path / "products"))
+    day = {(r.hazard, r.ix): (r.p, r.cig, r.category) for r in spark.read.parquet(str(tmp_path / "products" / "day")).collect()}
+    # Below the lowest contour the class doesn't count; above it the class may come from another hour.
+    assert day["wildfire", 0] == (0.015, 0, -1) and day["wildfire", 1] == (0.03, 3, 2) and day["wildfire", 2] == (0.6, 3, 3)
+    combined = spark.read.parquet(str(tmp_path / "products" / "combined")).collect()
+    assert [(r.ix, r.category) for r in combined] == [(0, day["tor", 0][2])]
+    assert spark.read.parquet(str(tmp_path / "products" / "hourly")).where("hazard = 'wildfire'").count() == 6
