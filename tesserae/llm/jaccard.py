@@ -163,12 +163,12 @@ def _needed(words: int, marks: Broadcast):
     return run
 
 
-def sets_of(docs: DataFrame, id_col: str, nodes: DataFrame, words: int) -> DataFrame:
-    """node, keys of nodes (node, rep, same): made again from the texts of the rows whose ids are marked, so that other texts stay where they are."""
+def sets_of(docs: DataFrame, id_col: str, nodes: DataFrame, words: int, *more: str) -> DataFrame:
+    """node, keys and more columns of nodes (node, rep, same): made again from the texts of the rows whose ids are marked, so that other texts stay where they are."""
     marks = docs.sparkSession.sparkContext.broadcast(_marks(nodes))
     made = spread(docs.select("text", _row_slot(id_col).alias("slot"))).mapInArrow(_needed(words, marks), "same binary, keys array<long>")
     one = made.groupBy("same").agg(F.first("keys").alias("keys"))
-    return materialize(one.join(nodes.select("node", "same"), "same").select("node", "keys"), "jaccard-sets")
+    return materialize(one.join(nodes.select("node", "same", *more), "same").select("node", "keys", *more), "jaccard-sets")
 
 
 def may_follow(nodes: DataFrame, percent: int) -> DataFrame:
@@ -195,9 +195,10 @@ def may_follow(nodes: DataFrame, percent: int) -> DataFrame:
 def followers(docs: DataFrame, id_col: str, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """leader, node, n_leader, n, minus, plus: sets whose similarity to the leader that they follow is proven. minus is what a follower lacks, plus what it has besides."""
     pairs = may_follow(nodes, percent)
-    needed = pairs.select(F.explode(F.array("leader", "node")).alias("node")).distinct()
-    sets = sets_of(docs, id_col, nodes.join(needed, "node", "left_semi"), words)
-    both = pairs.join(sets.withColumnRenamed("keys", "own"), "node").join(sets.withColumnsRenamed({"node": "leader", "keys": "its"}), "leader")
+    needed = pairs.select("node", F.lit(False).alias("leads")).unionByName(pairs.select(F.col("leader").alias("node")).distinct().withColumn("leads", F.lit(True)))
+    sets = sets_of(docs, id_col, nodes.join(needed, "node"), words, "leads")
+    own, its = sets.where("NOT leads").select("node", F.col("keys").alias("own")), sets.where("leads").select(F.col("node").alias("leader"), F.col("keys").alias("its"))
+    both = pairs.join(own, "node").join(its, "leader")
     apart = both.select("leader", "node", "n_leader", "n", F.array_except("its", "own").alias("minus"), F.array_except("own", "its").alias("plus"))
     return materialize(apart.where(f"100L * (n_leader - size(minus)) >= {percent}L * (n + size(minus))"), "jaccard-followers")
 
