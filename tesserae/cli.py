@@ -77,6 +77,11 @@ def parser() -> argparse.ArgumentParser:
     f.add_argument("--min-fires", type=int, default=1)
     f.add_argument("--neg-keep", type=float, default=0.02)
     f.add_argument("--fmax", type=int, default=24)
+    c = sub.add_parser("cluster", help="a table dealt into buckets by its keys, to be read as table:NAME and joined without a shuffle")
+    for n in ("input", "name", "out"):
+        c.add_argument(f"--{n}", required=True)
+    c.add_argument("--keys", default="valid,iy,ix")
+    c.add_argument("--buckets", type=int, default=200)
     st = sub.add_parser("build-static", help="terrain fields of the grid from elevations (iy, ix, elev)")
     for n in ("elevation", "out"):
         st.add_argument(f"--{n}", required=True)
@@ -154,6 +159,8 @@ def main(argv: list[str] | None = None) -> None:
         sinks.overwrite(sinks.augmented(read(args.matrix), read(args.columns), keys), args.out or args.matrix)
     elif args.job == "augment-labels":
         sinks.overwrite(sinks.relabelled(read(args.matrix), read(args.labels), keys), args.out or args.matrix)
+    elif args.job == "cluster":
+        sinks.clustered(read(args.input), args.name, args.out, args.keys.split(","), args.buckets)
     elif args.job == "train":
         train(args, read)
     elif args.job == "predict":

@@ -45,6 +45,17 @@ def append_parts(rows: DataFrame, path: str, by: str = "valid_date") -> None:
     rows.write.mode("append").partitionBy(by).parquet(path)
 
 
+def clustered(rows: DataFrame, name: str, path: str, keys: list[str], buckets: int) -> DataFrame:
+    """rows as the table name at path, dealt by hash of keys to so many buckets and sorted in each: tables of the same keys and buckets, joined or grouped by them, meet without a shuffle.
+
+    Each bucket is one file, whatever wrote it: rows are dealt out before they are written. The table is known to the session's catalogue; it is replaced, if it is there.
+    """
+    spark = rows.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    rows.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def not_done(samples: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Samples whose keys aren't among those done."""
     return samples.join(done.select(*keys).distinct(), keys, "left_anti")

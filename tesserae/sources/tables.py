@@ -18,8 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dataset(spark: SparkSession, path: str, where: Column | str | None = None, columns: list[str] | None = None) -> DataFrame:
-    """A parquet file or folder of parts; the filter and the columns reach the scan."""
-    df = spark.read.parquet(path)
+    """A parquet file or folder of parts, or a table of the catalogue as 'table:name'; the filter and the columns reach the scan."""
+    df = spark.table(path.removeprefix("table:")) if path.startswith("table:") else spark.read.parquet(path)
     if where is not None:
         df = df.where(where)
     return df.select(*columns) if columns else df
