@@ -308,12 +308,21 @@ class Index:
         return out
 
 
+def resolved(found: DataFrame) -> DataFrame:
+    """found (the columns of captures) with each revisit's payload_bytes as its response has them. A revisit whose response isn't among found, or has another payload, is an error when the result is read."""
+    held = found.where("record_type = 'response'").groupBy(F.col("page_id").alias("__page"), F.col("payload_digest").alias("__digest")).agg(F.max("payload_bytes").alias("__bytes"))
+    met = found.join(held, (F.col("refers_to") == F.col("__page")) & (F.col("payload_digest") == F.col("__digest")), "left")
+    lost = F.raise_error(F.format_string("revisit %s refers to %s, which is no response with the payload %s", F.col("page_id").cast("string"), F.col("refers_to").cast("string"), "payload_digest"))
+    size = F.when(F.col("record_type") == "revisit", F.coalesce("__bytes", lost)).otherwise(F.col("payload_bytes"))
+    return met.select("page_id", size.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+
+
 def archived_pages(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """Every page written to archives, and every capture of the pages' URLs looked up and read back; the columns of captures, the id as id_col."""
+    """Every page written to archives, and every capture of the pages' URLs looked up, read back and resolved; the columns of captures, the id as id_col."""
     with scratch(pages.sparkSession) as keep:
         archive = write_archive(pages, id_col)
-        keep(archive.directory)
-    return captures(archive, pages).withColumnRenamed("page_id", id_col)
+        found = keep(materialize(captures(archive, pages), "warc-found"))
+    return resolved(found).withColumnRenamed("page_id", id_col)
 
 
 #: DuckDB: what the records must say.

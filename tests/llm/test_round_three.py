@@ -331,3 +331,15 @@ def test_text_ids_are_taken(spark):
     assert len(got) == 302 and all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))
     m = spark.createDataFrame([("c-1", 0, "u", "Where is the old red house?"), ("c-1", 1, "v", "> Where is the old red house?\nDown the road."), (None, 0, "u", "hi")], "conv_id string, turn int, role string, text string")
     assert {(r.conv_id, r.turn): r.reply_to for r in quotes.link_quotes(m).collect()} == {("c-1", 0): None, ("c-1", 1): 0, (None, 0): None}
+
+
+def test_dangling_revisits_are_errors(spark):
+    from tesserae.llm import warc
+
+    shape = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    rows = [(1, 10, "a", "response", None), (1, 10, "a", "response", None), (2, 99, "a", "revisit", 1), (None, 99, "a", "revisit", 1), (3, 5, "b", "response", None)]
+    got = warc.resolved(spark.createDataFrame(rows, shape)).collect()
+    assert sorted((r.page_id or 0, r.payload_bytes) for r in got) == [(0, 10), (1, 10), (1, 10), (2, 10), (3, 5)]
+    for bad in ((4, 5, "b", "revisit", 9), (4, 5, "a", "revisit", 3)):
+        with pytest.raises(Exception, match="revisit 4 refers to"):
+            warc.resolved(spark.createDataFrame([*rows, bad], shape)).collect()
