@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import logging
 import time
 from collections.abc import Callable
@@ -25,6 +26,43 @@ def member_state(raw: DataFrame, mean: list[str], largest: list[str], block: int
     return grid.blocks(raw, aggs, block, C.NATIVE_NY, C.NATIVE_NX, ["run", "fxx"]).withColumnsRenamed({"by": "iy", "bx": "ix"})
 
 
+#: How long after its end a day's reports may still change.
+GRACE_HOURS = 12
+
+
+def stale_days(spark: SparkSession, path: str, days: list[dt.date], grace_hours: int = GRACE_HOURS) -> list[dt.date]:
+    """Those of days that the store at path was never filled with, or before they were final; in order."""
+    log = f"{path.rstrip('/')}.fetched"
+    if not sinks.exists(spark, log):
+        return sorted(set(days))
+    seen = spark.read.parquet(log).where(F.col("day").isin(days)).groupBy("day").agg(F.max("at").alias("at"))
+    end = F.date_add("day", 1).cast("timestamp")
+    final = {r.day for r in seen.where(times.is_final(end, F.col("at"), grace_hours)).select("day").collect()}  # of the days asked for
+    return sorted(set(days) - final)
+
+
+def refresh_reports(spark: SparkSession, path: str, days: list[dt.date], fetch: Callable[[list[dt.date]], list[DataFrame]], now: dt.datetime, grace_hours: int = GRACE_HOURS, unknown_wind: float | None = None, force: bool = False) -> list[dt.date]:
+    """Fills the report store at path, partitioned by day, for days; gives those that were fetched.
+
+    Only days that the store lacks, or had before they were final, are fetched (all, if force): fetch gives a table of reports (time, lat, lon, hazard, magnitude...) of those
+    days from each source, the first source's report of equal ones counts. A day is replaced as a whole, one that has no reports any more is emptied. The days are noted only when their
+    reports are in place, so a run that dies fetches them again. now is a UTC time without a zone.
+    """
+    wanted = sorted(set(days)) if force else stale_days(spark, path, days, grace_hours)
+    if not wanted:
+        return []
+    reports = events.merged(*fetch(wanted), unknown_wind=unknown_wind).withColumn("day", F.to_date("time")).where(F.col("day").isin(wanted))
+    sinks.overwrite(reports.repartition("day"), path, "day", [{"day": str(d)} for d in wanted])
+    noted = spark.createDataFrame([(d,) for d in wanted], "day date").withColumn("at", F.lit(now.isoformat(sep=" ")).cast("timestamp"))
+    noted.coalesce(1).write.mode("append").parquet(f"{path.rstrip('/')}.fetched")
+    return wanted
+
+
+def reports_of(spark: SparkSession, path: str, days: list[dt.date]) -> DataFrame:
+    """The stored reports of days; only their partitions are read."""
+    return spark.read.parquet(path).where(F.col("day").isin(days))
+
+
 def plan_samples(reports: DataFrame, leads: list[int], least_reports: int = 1, done: DataFrame | None = None) -> DataFrame:
     """valid, fxx, run of every busy hour and lead that isn't done yet."""
     hours = events.busy_hours(reports, least_reports).select(F.col("hour").cast("timestamp_ntz").alias("valid"))

@@ -98,3 +98,30 @@ def test_fire_categories_are_masked(spark, tmp_path):
     combined = spark.read.parquet(str(tmp_path / "products" / "combined")).collect()
     assert [(r.ix, r.category) for r in combined] == [(0, day["tor", 0][2])]
     assert spark.read.parquet(str(tmp_path / "products" / "hourly")).where("hazard = 'wildfire'").count() == 6
+
+
+def test_report_days_are_fetched_until_they_are_final(spark, tmp_path):
+    path, asked = str(tmp_path / "reports"), []
+    shape = "time timestamp, lat double, lon double, hazard string, magnitude double, source string"
+    day = lambda k: dt.date(2024, 5, k)
+    state = {"a": [], "b": []}
+
+    def fetch(days):
+        asked.append(days)
+        return [spark.createDataFrame([r for r in rows if r[0].date() in days], shape) for rows in (state["a"], state["b"])]
+
+    at = lambda k, h: dt.datetime(2024, 5, k, h)
+    state["a"] = [(at(1, 3), 35.0, -97.0, "hail", 1.0, "a"), (at(2, 5), 35.0, -97.0, "wind", -9.0, "a")]
+    state["b"] = [(at(1, 3), 35.0, -97.0, "hail", 2.0, "b"), (at(1, 4), 36.0, -97.0, "tor", 1.0, "b")]
+    run = lambda days, now, **k: jobs.refresh_reports(spark, path, days, fetch, now, unknown_wind=-9.0, **k)
+    rows = lambda: sorted((r.day, r.hazard, r.magnitude, r.source) for r in spark.read.parquet(path).collect())
+    assert run([day(1), day(2), day(3)], at(2, 13)) == [day(1), day(2), day(3)]
+    assert rows() == [(day(1), "hail", 1.0, "a"), (day(1), "tor", 1.0, "b"), (day(2), "wind", None, "a")]
+    # Day 1 was final when it was fetched; the others weren't, and one of them was empty.
+    state["a"] = [(at(1, 9), 35.0, -97.0, "hail", 9.0, "never asked for"), (at(3, 5), 35.0, -97.0, "hail", 3.0, "a")]
+    assert run([day(1), day(2), day(3)], at(3, 11)) == [day(2), day(3)]
+    assert rows() == [(day(1), "hail", 1.0, "a"), (day(1), "tor", 1.0, "b"), (day(3), "hail", 3.0, "a")]
+    assert run([day(1), day(2), day(3)], at(3, 12)) == [day(2), day(3)]  # just final for day 2
+    assert run([day(1), day(2), day(3)], at(9, 0)) == [day(3)] and run([day(1), day(2), day(3)], at(9, 1)) == []
+    assert run([day(1)], at(9, 2), force=True) == [day(1)] and asked[-1] == [day(1)]
+    assert jobs.reports_of(spark, path, [day(1)]).count() == 3 and not list((tmp_path / "reports").glob("day=2024-05-02*"))
