@@ -78,3 +78,10 @@ def ring_sample(ring: Column, most: int) -> Column:
     kept = F.filter(ring, lambda _, i: i % step == 0)
     mean = F.struct(*((F.aggregate(ring, F.lit(0.0), lambda s, p, c=c: s + p[c]) / F.size(ring)).alias(c) for c in ("x", "y")))
     return F.concat(kept, F.array(mean))
+
+
+def in_view(lat: Column, lon: Column, extent: tuple[float, float, float, float]) -> Column:
+    """Whether a place is in an extent (west, east, south, north, all included); one with west above east goes over the date line. Places that are unknown are in none."""
+    west, east, south, north = extent
+    across = lon.between(west, east) if west <= east else (lon >= west) | (lon <= east)
+    return F.coalesce(across & lat.between(south, north) & ~F.isnan(lat) & ~F.isnan(lon), F.lit(False))

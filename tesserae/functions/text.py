@@ -45,3 +45,24 @@ def any_time(text: Column) -> Column:
     shapes = [F.try_to_timestamp(clean, F.lit(f)) for f in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH", "yyyy-MM-dd")]
     millis = F.when(clean.rlike(r"^\d{11,14}$"), F.timestamp_millis(clean.try_cast("bigint")))
     return F.coalesce(*shapes, millis)
+
+
+def threshold_text(p: Column) -> Column:
+    """A probability as outlooks write their thresholds, with two decimals: 0.05."""
+    return F.format_string("%.2f", p.cast("double"))
+
+
+def at_threshold(text: Column, p: Column) -> Column:
+    """Whether an outlook's threshold says the probability: told as numbers, so that 0.3, 0.30 and .30 are the same; texts that are no number (SIGN) say none."""
+    return F.coalesce(F.round(text.try_cast("double"), 2) == F.round(p.cast("double"), 2), F.lit(False))
+
+
+def feature_name(*parts: Column | str, threshold: Column | None = None) -> Column:
+    """Parts joined by underscores, and the whole number of a threshold as _ge<n>: the names that generated features have."""
+    name = F.concat_ws("_", *(F.lit(p) if isinstance(p, str) else p for p in parts))
+    return name if threshold is None else F.concat(name, F.lit("_ge"), threshold.cast("int").cast("string"))
+
+
+def as_json(*columns: str) -> Column:
+    """Columns as one JSON object; nulls are left out, times are in ISO form."""
+    return F.to_json(F.struct(*columns))

@@ -77,3 +77,15 @@ def test_text_and_time(spark):
     assert one(spark, *day) == ["train", "validation", "test"]
     ring = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (4, 0), (4, 4), (0, 4))))
     assert one(spark, geo.point_in_ring(F.lit(1.0), F.lit(1.0), ring), geo.point_in_ring(F.lit(5.0), F.lit(1.0), ring)) == [True, False]
+
+
+def test_names_thresholds_and_views(spark):
+    rows = spark.createDataFrame([("0.05", 0.05), (".30", 0.3), ("SIGN", 0.1), (None, 0.1), ("0.15", 0.150001)], "t string, p double")
+    assert [r[0] for r in rows.select(text.at_threshold(F.col("t"), F.col("p"))).collect()] == [True, True, False, False, True]
+    assert one(spark, text.threshold_text(F.lit(0.3)), text.feature_name("prob", F.lit("refc"), threshold=F.lit(40.0)), text.feature_name("cape", "sb")) == ["0.30", "prob_refc_ge40", "cape_sb"]
+    j = spark.sql("SELECT 1 AS a, 'x' AS b, CAST(NULL AS INT) AS c").select(text.as_json("a", "b", "c").alias("j")).first().j
+    assert j == '{"a":1,"b":"x"}'
+    places = spark.createDataFrame([(35.0, -97.0), (35.0, -90.0), (50.0, -97.0), (None, -97.0), (0.0, 179.0), (0.0, -179.0), (float("nan"), 179.0)], "lat double, lon double")
+    inside = lambda e: [r[0] for r in places.select(geo.in_view(F.col("lat"), F.col("lon"), e)).collect()]
+    assert inside((-100.0, -95.0, 30.0, 40.0)) == [True, False, False, False, False, False, False]
+    assert inside((170.0, -170.0, -10.0, 10.0)) == [False, False, False, False, True, True, False]
