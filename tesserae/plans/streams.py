@@ -31,10 +31,11 @@ def stream_centred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 24 HOUR THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
-SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 24 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 24 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 12 HOUR FROM events)""")
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 24 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions that the watermark has closed, each appended once."""
-    s = streams.drain(streams.sessions(streams.event_stream(spark, sf_dir)), sinks.shared_path(spark, "sessions"), sinks.shared_path(spark, "stream-state"))
+    """All sessions, those that the watermark hasn't closed yet as they are so far."""
+    path = sinks.shared_path(spark, "sessions")
+    s = streams.drain(streams.sessions(streams.event_stream(spark, sf_dir)), path, sinks.shared_path(spark, "stream-state"), streams.whole_writer(path), "complete")
     return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 

@@ -1,7 +1,7 @@
 """Structured Streaming over reports: hourly counts, centred windows, sessions, deduplication, last versions; sinks that resume and replace.
 
 Results are tables in files: closed windows are appended by Spark's own file sink, windows and reports that still change
-are put into a table partitioned by day, of which a batch replaces just the days it touches.
+are put into a table partitioned by day, of which a batch replaces just the days it touches. Sessions, whose ends move, are replaced as a whole.
 """
 
 from __future__ import annotations
@@ -123,12 +123,17 @@ def upsert_writer(path: str, keys: list[str], version: str, by: str = "day", rea
     return write
 
 
-def drain(stream: DataFrame, path: str, state: str, write: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+def whole_writer(path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch in complete mode: the table at path is the last batch, so that a batch that is run again changes nothing. It changes place by renaming."""
+    return lambda batch, _: sinks.overwrite(batch, path)
+
+
+def drain(stream: DataFrame, path: str, state: str, write: Callable[[DataFrame, int], None] | None = None, mode: str = "update") -> DataFrame:
     """Runs a stream over all that is available now, from where its checkpoint (state) ended, and gives the table at path.
 
-    Without write, rows that are final are appended by the file sink; with it, rows that have changed go to write, batch by batch.
+    Without write, rows that are final are appended by the file sink; with it, rows that have changed (or all rows, if mode is complete) go to write, batch by batch.
     """
     out = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
-    q = out.outputMode("append").format("parquet").start(path) if write is None else out.outputMode("update").foreachBatch(write).start()
+    q = out.outputMode("append").format("parquet").start(path) if write is None else out.outputMode(mode).foreachBatch(write).start()
     q.awaitTermination()
     return stream.sparkSession.read.parquet(path)

@@ -8,9 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 from tesserae.operators import dataset
 from tesserae.plans import jobs
+from tesserae.plans.catalogue import QUERIES
 from tesserae.sources import sinks
 from tesserae.streaming import streams
 
+from .conftest import SF
+
 
 def test_kept_cells_are_as_if_drawn(spark):
     ny, nx, keep = 211, 359, 0.025
@@ -118,3 +121,19 @@ def test_nested_partitions_are_replaced_alone_and_put_back(spark, tmp_path):
     part.rename(str(part) + ".old")
     sinks.overwrite(rows(("hail", a, 0.5)), path, ["hazard", "run"])
     assert read() == [("hail", a, 0.5), ("tor", a, 0.1), ("tor", b, 0.9), ("wind", a, 0.3)]
+
+
+def test_sessions_that_are_still_open_are_there(spark, tmp_path):
+    source, path, state = (str(tmp_path / n) for n in ("in", "table", "state"))
+    hour = lambda h: T0 + dt.timedelta(hours=h)
+    read = lambda: sorted((r.user_id, r.start, r.end, r.n) for r in spark.read.parquet(path).collect())
+    shape = "user_id int, ts timestamp"
+    want = (
+        [(1, hour(0), hour(34), 2), (2, hour(100), hour(124), 1)],
+        [(1, hour(0), hour(34), 2), (2, hour(100), hour(134), 2), (3, hour(101), hour(125), 1)],
+    )
+    for rows, sessions in zip(([(1, hour(0)), (1, hour(10)), (2, hour(100))], [(2, hour(110)), (3, hour(101))]), want, strict=True):  # the second run goes on from the first one's checkpoint
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(source)
+        streams.drain(streams.sessions(spark.readStream.schema(shape).parquet(source)), path, state, streams.whole_writer(path), "complete")
+        assert read() == sessions
+    assert QUERIES["stream_session"](spark, SF).agg(F.sum("n")).first()[0] == spark.read.parquet(f"{SF}/events.parquet").count()
