@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import materialize, scratch, slices, spread
 from .components import components
 from .resample import words_of
-from .slots import bit_of, slot_bits
+from .slots import bit_of, power_for, slot_bits
 
 #: All but ASCII white space is in words.
 IN_WORD = np.ones(256, bool)
@@ -39,8 +39,10 @@ PARITY = 256
 MINS, SKETCHES, MAPS = [f"m{k}" for k in range(ROUNDS)], ["s0", "s1"], [f"b{k}" for k in range(PARITY // 64)]
 #: Of a sketch, so many must agree before sets are compared: fewer are hardly ever those of similar sets, and missing some costs time alone.
 AGREE = 9
-#: Bits of the table that says which rows' sets are needed.
-ROW_BITS = 27
+#: Bits for each row, and power of two of the bits at most, of the table that says which rows' sets are needed.
+ROW_BITS, MOST_ROW_BITS = 64, 27
+#: Slots for each key where keys are counted, and where those in one set alone are told.
+COUNTED, ALONE = 2, 8
 #: Positions of a frequent key's list are cut into so many blocks over the length of a prefix.
 PLACES = 4
 #: A key is frequent if it is in so many texts and four times what the average slot has.
@@ -137,15 +139,15 @@ def set_digests(docs: DataFrame, id_col: str, words: int) -> DataFrame:
     return spread(docs.select(id_col, "text")).mapInArrow(_digests(words, schema, id_col), ddl)
 
 
-def _row_slot(id_col: str) -> Column:
-    return F.expr(f"xxhash64(`{id_col}`) & {(1 << ROW_BITS) - 1}L")
+def _row_slot(id_col: str, power: int) -> Column:
+    return F.expr(f"xxhash64(`{id_col}`) & {(1 << power) - 1}L")
 
 
-def _marks(nodes: DataFrame) -> np.ndarray:
-    """A bit for each slot of ids, set for those of nodes (rep): a fixed 16 MB, whatever is needed."""
-    spot = _row_slot("rep")
+def _marks(nodes: DataFrame, power: int) -> np.ndarray:
+    """A bit for each of 2 ** power slots of ids, set for those of nodes (rep): 16 MB at most, whatever is needed."""
+    spot = _row_slot("rep", power)
     bits = nodes.select(F.bitmap_bucket_number(spot + 1).alias("b"), F.bitmap_bit_position(spot + 1).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits"))
-    out = np.zeros(1 << ROW_BITS >> 3, np.uint8)
+    out = np.zeros(1 << power >> 3, np.uint8)
     for r in bits.collect():
         out[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.bits, np.uint8)
     return out
@@ -165,8 +167,9 @@ def _needed(words: int, marks: Broadcast):
 
 def sets_of(docs: DataFrame, id_col: str, nodes: DataFrame, words: int, *more: str) -> DataFrame:
     """node, keys and more columns of nodes (node, rep, same): made again from the texts of the rows whose ids are marked, so that other texts stay where they are."""
-    marks = docs.sparkSession.sparkContext.broadcast(_marks(nodes))
-    made = spread(docs.select("text", _row_slot(id_col).alias("slot"))).mapInArrow(_needed(words, marks), "same binary, keys array<long>")
+    power = power_for(docs.count(), ROW_BITS, MOST_ROW_BITS)
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(nodes, power))
+    made = spread(docs.select("text", _row_slot(id_col, power).alias("slot"))).mapInArrow(_needed(words, marks), "same binary, keys array<long>")
     one = made.groupBy("same").agg(F.first("keys").alias("keys"))
     return materialize(one.join(nodes.select("node", "same", *more), "same").select("node", "keys", *more), "jaccard-sets")
 
@@ -241,7 +244,8 @@ def postings(docs: DataFrame, nodes: DataFrame, follow: DataFrame, words: int, p
     """
     broadcast = docs.sparkSession.sparkContext.broadcast
     texts = lambda b: (k for piece in slices([b]) for k in batch_keys(piece.column("text"), words))
-    frequent = broadcast(slot_bits(spread(docs.select("text")), texts, lambda n: n >= OFTEN + 4 * n.mean()))
+    shingles = nodes.agg(F.sum(F.col("n").cast("long") * F.col("copies"))).first()[0] or 0
+    frequent = broadcast(slot_bits(spread(docs.select("text")), texts, lambda n: n >= OFTEN + 4 * n.mean(), power_for(shingles, COUNTED)))
     # Who leads and who follows is joined to the nodes before their keys come, so that these are shuffled once.
     radius = follow.groupBy("leader").agg(F.max(F.expr(f"1D - (n_leader - size(minus)) / CAST(n + size(minus) AS DOUBLE) + {NEAR}D")).alias("slack")).withColumnRenamed("leader", "node")
     roles = nodes.select("node", "n", "same", *MAPS).join(follow.select("node", "leader"), "node", "left").join(radius, "node", "left")
@@ -255,7 +259,8 @@ def postings(docs: DataFrame, nodes: DataFrame, follow: DataFrame, words: int, p
     added = added.withColumn("pos", F.expr("transform(new, k -> CAST(array_position(keys, k) - 1 AS INT))")).drop("keys").withColumnRenamed("new", "keys")
     entries = materialize(lead.select(*columns).unionByName(added.select(*columns)), "jaccard-entries")
     # Most keys of prefixes are in one set alone: they meet nobody and are left out.
-    shared = broadcast(slot_bits(entries.select("keys"), lambda b: iter([b.column("keys").flatten().to_numpy().view(np.uint64)]), lambda n: n >= 2))
+    indexed = entries.agg(F.sum(F.size("keys"))).first()[0] or 0
+    shared = broadcast(slot_bits(entries.select("keys"), lambda b: iter([b.column("keys").flatten().to_numpy().view(np.uint64)]), lambda n: n >= 2, power_for(indexed, ALONE)))
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kept = entries.mapInArrow(_shared(shared, to_arrow_schema(entries.schema)), entries.schema)

@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from tesserae.llm import audit, jaccard, resample
+from tesserae.llm import audit, jaccard, resample, slots
 from tesserae.llm.queries import oracle_sql, queries
 
 from ..compare import same
@@ -343,3 +343,19 @@ def test_dangling_revisits_are_errors(spark):
     for bad in ((4, 5, "b", "revisit", 9), (4, 5, "a", "revisit", 3)):
         with pytest.raises(Exception, match="revisit 4 refers to"):
             warc.resolved(spark.createDataFrame([*rows, bad], shape)).collect()
+
+
+def test_jaccard_bit_sets_grow_with_the_table(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i // 3) * 50 + k}" for k in range(60)) + f" end{i % 3}") for i in range(90)], "doc_id long, text string")
+    sent, own = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value.nbytes) or own(self, value))
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()}
+    assert got == {i: i // 3 * 3 for i in range(90)}
+    assert len(sent) == 4 and max(sent) <= 1 << 16  # 16 MB each, whatever the table, before
+    assert slots.power_for(10**12, 8) == slots.MOST and slots.power_for(0, 8) == 16 and 1 << slots.power_for(10**6, 8) >= 8 * 10**6
+    for power in (16, 18, 27):
+        keys = np.arange(5000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        rows = spark.createDataFrame([(int(k),) for k in np.concatenate([keys, keys[:700]]).view(np.int64)], "key long")
+        bits = slots.slot_bits(rows, lambda b: iter([b.column("key").to_numpy().view(np.uint64)]), lambda n: n >= 2, power)
+        assert len(bits) == 1 << power >> 3 and slots.bit_of(bits, keys[:700]).all()
+        assert power < 27 or slots.bit_of(bits, keys[700:]).mean() < 0.01
