op12_jaccard_join: deal a large group's comparisons to several tasks

Symptom: when links of followers are derived, one task works on a large group long after the others have ended.
Evidence: on 0.51 GB that stage had 5 tasks, median 1.9 s and longest 9.9 s (17.1 s in all); one leader of 395 followers and 168 open pairs had 66,360 of 105,052 comparisons, and each comparison hashed the whole set of the pair's other end four times. On the hot-key input the stage took 6.9 s in its longest task, 35.6 s in all.
Fix: open pairs and followers of a leader meet in blocks of about 64 by 512, numbered by hash, and a comparison hashes the follower's short difference, after a bound on sizes alone.
Effect: at 0.6 GB of input CPU 1357 -> 1434 s, shuffle 1.29 -> 1.29 GB, spill 0.00 -> 0.00 GB, read 4.44 -> 4.44 GB, longest task 22 -> 18 s, most memory of a task 151 -> 151 MB; at 6 GB of input CPU 6716 -> 6973 s, shuffle 19.78 -> 19.82 GB, spill 0.00 -> 0.00 GB, read 45.33 -> 45.33 GB, longest task 43 -> 45 s, most memory of a task 202 -> 202 MB; with hot keys, at 0.6 GB of input CPU 1741 -> 1215 s, shuffle 1.41 -> 1.45 GB, spill 0.00 -> 0.00 GB, read 1.51 -> 1.51 GB, longest task 658 -> 15 s, most memory of a task 107 -> 107 MB.

@@ -48,6 +48,8 @@ PLACES = 4
 #: A key is frequent if it is in so many texts and four times what the average slot has.
 OFTEN = 8
 NEAR = 1e-9
+#: Of a leader, so many open pairs and followers meet in one block, on average.
+PAIRS_AT_ONCE, FOLLOWERS_AT_ONCE = 64, 512
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -324,24 +326,38 @@ def compared(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return met.where(f"{differ} <= n_a + n_b - 2D * ({need})").drop("wide_a", "wide_b")
 
 
+def _blocks_of_leaders(ways: DataFrame, led: DataFrame) -> DataFrame:
+    """leader, down, across: into how many parts a leader's open pairs and its followers are dealt. A row for each leader of both."""
+    pairs = ways.groupBy(F.col("a").alias("leader")).agg(F.ceil(F.count("*") / PAIRS_AT_ONCE).alias("down"))
+    return pairs.join(led.groupBy("leader").agg(F.ceil(F.count("*") / FOLLOWERS_AT_ONCE).alias("across")), "leader")
+
+
 def derived(open_pairs: DataFrame, follow: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """u, v: those of open_pairs (a, b, n_a, n_b, slack_a, slack_b, both: their overlap) of which some members are linked. Followers' overlaps follow from their leaders' and the differences.
 
     Members of a group are linked through their leader, so that one link between two groups is enough: no join here gives more than the members that a pair's other end
-    may still be linked to, or each pair once.
+    may still be linked to, or each pair once. A leader of many followers or pairs is dealt to several blocks, in which each pair meets each follower once.
     """
     t = percent / 100
     # The end with a group is a; if both have one, pairs come both ways below.
     turned = open_pairs.select(*(F.col(x).alias(y) for x, y in (("b", "a"), ("a", "b"), ("n_b", "n_a"), ("n_a", "n_b"), ("slack_b", "slack_a"), ("slack_a", "slack_b"), ("both", "both"))))
     ways = open_pairs.select(*turned.columns).unionByName(turned).where("slack_a > 0")
-    ways = ways.join(sets.withColumnRenamed("node", "b"), "b")
-    led = follow.select(F.col("leader").alias("a"), F.col("node").alias("y"), F.col("n").alias("n_y"), "minus", "plus")
-    common = "(both - size(array_intersect(minus, keys)) + size(array_intersect(plus, keys)))"
-    linked = f"100L * {common} >= {percent}L * (n_y + n_b - {common})"
-    one = ways.where("slack_b = 0").withColumnRenamed("a", "u").join(led.withColumnRenamed("a", "leader"), F.expr(f"u = leader AND {linked}"), "left_semi").select("u", F.col("b").alias("v"))
+    led = follow.select("leader", F.col("node").alias("y"), F.col("n").alias("n_y"), "minus", "plus")
+    cuts = materialize(_blocks_of_leaders(ways, led), "jaccard-blocks")
+    led = led.join(cuts, "leader").withColumn("block", F.explode(F.expr("transform(sequence(0L, down - 1), d -> pmod(xxhash64(y), across) * down + d)"))).drop("y", "down", "across")
+    # Both are written before arrays come to them: their sizes are known then, and no set is shuffled for a few pairs.
+    ways = materialize(ways.join(cuts.withColumnRenamed("leader", "a"), "a"), "jaccard-ways").join(sets.withColumnRenamed("node", "b"), "b").withColumnRenamed("a", "u")
+    block = F.explode(F.expr("transform(sequence(0L, across - 1), c -> c * down + pmod(xxhash64(b), down))"))
+    # Few of a set's keys are in a difference: the difference is what is hashed, and only where the most that it can add is enough.
+    common = "(both - size(array_intersect(keys, minus)) + size(array_intersect(keys, plus)))"
+    most = "(both + least(size(plus), n_b - both))"
+    at = "u = leader AND w.block = l.block"
+    linked = f"{100 + percent}L * {most} >= {percent}L * (n_y + n_b) AND {100 + percent}L * {common} >= {percent}L * (n_y + n_b)"
+    one = ways.where("slack_b = 0").withColumn("block", block).alias("w").join(led.alias("l"), F.expr(f"{at} AND {linked}"), "left_semi").select("u", F.col("b").alias("v"))
     # Two groups: of each, the leader and the followers that the other's radius still allows.
-    two = ways.where("slack_b > 0").withColumnRenamed("a", "u")
-    near = two.join(led.withColumnRenamed("a", "leader"), F.expr(f"u = leader AND {common} >= {_least_overlap(f'{t!r}D - slack_b', 'n_y', 'n_b')}"))
+    two = ways.where("slack_b > 0")
+    least = _least_overlap(f"{t!r}D - slack_b", "n_y", "n_b")
+    near = two.withColumn("block", block).alias("w").join(led.alias("l"), F.expr(f"{at} AND {most} >= {least} AND {common} >= {least}"))
     near = near.select("u", "b", "both", F.col("n_y").alias("n"), "minus", "plus", F.expr(common).alias("common"))
     empty = F.array().cast("array<long>")
     near = near.unionByName(two.select("u", "b", "both", F.col("n_a").alias("n"), empty.alias("minus"), empty.alias("plus"), F.col("both").alias("common")))

@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from tesserae.llm import audit, jaccard, resample, slots
+from tesserae.llm import audit, common, jaccard, resample, slots
 from tesserae.llm.queries import oracle_sql, queries
 
 from ..compare import same
@@ -201,6 +201,39 @@ def test_jaccard_links_that_only_followers_have(spark, monkeypatch):
     assert sum(found) > 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_links_of_large_groups_are_found_in_blocks(spark, monkeypatch, seed):
+    """A leader of many followers and open pairs is dealt to blocks, in which each pair meets each follower once; the links are those of all members."""
+    monkeypatch.setattr(jaccard, "PAIRS_AT_ONCE", 2)
+    monkeypatch.setattr(jaccard, "FOLLOWERS_AT_ONCE", 3)
+    rng = random.Random(seed)
+    alike = lambda p, q: len(p & q) / len(p | q)
+    groups, sets = defaultdict(list), {}
+    base = set(range(200))
+    for leader in range(14):  # those from 10 on have no followers
+        sets[leader] = set(rng.sample(sorted(base), 187)) | {1000 * leader + 1000 + k for k in range(2)}
+        for node in range(100 * leader + 100, 100 * leader + 100 + (0 if leader >= 10 else 20 if leader == 3 else 5)):
+            own = (sets[leader] - set(rng.sample(sorted(sets[leader]), rng.randint(0, 9)))) | set(rng.sample(sorted(base - sets[leader]), rng.randint(0, 9)))
+            if alike(own, sets[leader]) >= 0.9:
+                groups[leader].append((node, own))
+    slack = {g: max((1 - alike(y, sets[g]) for _, y in groups[g]), default=-jaccard.NEAR) + jaccard.NEAR for g in sets}
+    pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if alike(sets[a], sets[b]) < 0.9 and slack[a] + slack[b] > 0]
+    members = {g: [sets[g], *(y for _, y in groups[g])] for g in sets}
+    linked = {p for p in pairs if any(alike(y, z) >= 0.9 for y in members[p[0]] for z in members[p[1]])}
+    rows = [(a, b, len(sets[a]), len(sets[b]), slack[a], slack[b], len(sets[a] & sets[b])) for a, b in pairs]
+    follow = [(g, node, len(sets[g]), len(y), sorted(sets[g] - y), sorted(y - sets[g])) for g in groups for node, y in groups[g]]
+    with common.scratch(spark):
+        found = jaccard.derived(
+            spark.createDataFrame(rows, "a long, b long, n_a int, n_b int, slack_a double, slack_b double, both long"),
+            spark.createDataFrame(follow, "leader long, node long, n_leader int, n int, minus array<long>, plus array<long>"),
+            spark.createDataFrame([(g, sorted(k)) for g, k in sets.items()], "node long, keys array<long>"), 90)
+        got = {tuple(sorted(r)) for r in found.collect()}
+    assert got == linked and 0 < len(linked) < len(pairs)
+    assert any(a >= 10 or b >= 10 for a, b in linked) and any(a < 10 and b < 10 for a, b in linked)
+    cuts = jaccard._blocks_of_leaders(spark.createDataFrame([(3, k) for k in range(5)], "a long, b long"), spark.createDataFrame([(3, k) for k in range(20)] + [(4, 1)], "leader long, y long"))
+    assert [tuple(r) for r in cuts.collect()] == [(3, 3, 7)]
+
+
 def test_jaccard_one_large_group_stays_small(spark):
     """Near copies of one text: followers add nothing to the index but what is their own, so that pairs stay few."""
     rng = random.Random(4)
