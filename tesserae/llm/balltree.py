op9_ball_tree_topk: a leaf meets its queries together, only scores that count are sorted

Symptom: searching the shards takes most of the query's Python time, far more than the inner products themselves.
Evidence: on 51,282 vectors of 64 numbers, search() made 152,102 visits of a leaf by a few queries each, converted rows and queries to doubles at each visit, and sorted all scores of the leaf with the best so far; run alone in one process it took 27.5 s, building the trees 0.5 s.
Fix: leaves are visited by falling bound in steps (a query's best leaf, its next three, twelve and so on), a leaf with all queries that it is due for in that step; rows are converted once a search, and only queries with a score that reaches their kth are sorted. Products that don't fit doubles go leaf by leaf as before.
Effect: at 0.6 GB of input CPU 432 -> 297 s, shuffle 0.04 -> 0.04 GB, spill 0.00 -> 0.00 GB, read 0.18 -> 0.18 GB, longest task 5 -> 4 s, most memory of a task 67 -> 67 MB; at 6 GB of input CPU 6713 -> 1118 s, shuffle 0.64 -> 0.64 GB, spill 0.00 -> 0.00 GB, read 2.28 -> 2.28 GB, longest task 92 -> 7 s, most memory of a task 69 -> 69 MB; with hot keys, at 0.6 GB of input CPU 332 -> 320 s, shuffle 0.04 -> 0.04 GB, spill 0.00 -> 0.00 GB, read 0.16 -> 0.16 GB, longest task 5 -> 5 s, most memory of a task 67 -> 67 MB.

@@ -95,52 +95,62 @@ def reach(queries: np.ndarray, centre: np.ndarray, radius: np.ndarray) -> np.nda
 def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, kth: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query place, id, score) of the shard's rows that may be among each query's k best, but for the query's own id.
 
-    kth: scores that each query has k better or equal rows for already. Nodes whose bound is below are
-    left; the leaves that remain are visited by falling bound, each with all queries that it is next for.
+    kth: scores that each query has k better or equal rows for already. Nodes whose bound is below are left. Leaves are visited
+    by falling bound in steps: each query's best leaf, then its next three, twelve and so on; in a step, a leaf meets all queries that it is due for
+    at once. Only scores that reach the kth are sorted.
     """
     n = len(ids)
     kth = kth.copy()
+    none = np.iinfo(np.int64).max
     best_s = np.full((n, k), LOWEST, np.int64)
-    best_i = np.full((n, k), np.iinfo(np.int64).max, np.int64)
+    best_i = np.full((n, k), none, np.int64)
     as_double = queries.astype(np.float64)
-
-    def bounds(q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        return reach(as_double[q], tree.centre[nodes], tree.radius[nodes])
+    exact = int(np.abs(queries).max(initial=0)) * int(np.abs(tree.rows).max(initial=0)) * queries.shape[1] < EXACT
+    rows = tree.rows.astype(np.float64) if exact else tree.rows
 
     # Down the tree, level by level: pairs of query and node that the kth score leaves.
     level, leaves = [(0, np.arange(n))], []
     while level:
         deeper = []
         for node, q in level:
-            q = q[bounds(q, np.array([node]))[:, 0] >= kth[q]]
+            bound = reach(as_double[q], tree.centre[node : node + 1], tree.radius[node : node + 1])[:, 0]
+            left = bound >= kth[q]
+            q = q[left]
             if len(q) and tree.left[node] < 0:
-                leaves.append((node, q))
+                leaves.append((node, q, bound[left]))
             elif len(q):
                 deeper += [(tree.left[node], q), (tree.left[node] + 1, q)]
         level = deeper
     if not leaves:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pair_q = np.concatenate([q for _, q in leaves])
-    pair_leaf = np.concatenate([np.full(len(q), node) for node, q in leaves])
-    pair_bound = np.concatenate([bounds(q, np.array([node]))[:, 0] for node, q in leaves])
+    pair_q = np.concatenate([q for _, q, _ in leaves])
+    pair_leaf = np.concatenate([np.full(len(q), node) for node, q, _ in leaves])
+    pair_bound = np.concatenate([bound for _, _, bound in leaves])
     order = np.lexsort((-pair_bound, pair_q))
     pair_q, pair_leaf, pair_bound = pair_q[order], pair_leaf[order], pair_bound[order]
     turn = np.arange(len(pair_q)) - np.searchsorted(pair_q, pair_q, "left")
-    for t in range(int(turn.max()) + 1):
-        now = np.flatnonzero(turn == t)
-        now = now[pair_bound[now] >= kth[pair_q[now]]]
-        if not len(now):
-            break
-        for leaf in np.unique(pair_leaf[now]):
-            q = pair_q[now[pair_leaf[now] == leaf]]
-            a, b = tree.first[leaf], tree.end[leaf]
-            s = _products(queries[q], tree.rows[a:b])
-            i = np.broadcast_to(tree.ids[a:b], s.shape)
-            s = np.where(i == ids[q, None], LOWEST, s)
-            s, i = np.concatenate([best_s[q], s], 1), np.concatenate([best_i[q], np.where(s == LOWEST, np.iinfo(np.int64).max, i)], 1)
-            top = np.lexsort((i, -(s.astype(np.float64)) if np.abs(s[s != LOWEST]).max(initial=0) < 1 << 52 else _falling(s)), axis=1)[:, :k]
-            best_s[q], best_i[q] = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
-            kth[q] = np.maximum(kth[q], best_s[q, -1])
+    # Products that don't fit doubles are dear, and may be too large: leaf by leaf there.
+    step = np.ceil(np.log2(turn + 1) / 2).astype(np.int64) if exact else turn
+    order = np.lexsort((pair_leaf, step))
+    pair_q, pair_leaf, pair_bound, step = pair_q[order], pair_leaf[order], pair_bound[order], step[order]
+    starts = np.flatnonzero(np.diff(pair_leaf, prepend=-1) | np.diff(step, prepend=-1))
+    for at, end in zip(starts, np.append(starts[1:], len(pair_q)), strict=True):
+        q = pair_q[at:end]
+        q = q[pair_bound[at:end] >= kth[q]]
+        if not len(q):
+            continue
+        own = slice(tree.first[pair_leaf[at]], tree.end[pair_leaf[at]])
+        s = as_double[q] @ rows[own].T if exact else _products(queries[q], rows[own])
+        good = (s >= kth[q, None]) & (tree.ids[own] != ids[q, None])
+        hit = good.any(1)
+        if not hit.any():
+            continue
+        q, good = q[hit], good[hit]
+        s = np.where(good, s[hit].astype(np.int64), LOWEST)
+        s, i = np.concatenate([best_s[q], s], 1), np.concatenate([best_i[q], np.where(s == LOWEST, none, tree.ids[own])], 1)
+        top = np.lexsort((i, -(s.astype(np.float64)) if np.abs(s[s != LOWEST]).max(initial=0) < 1 << 52 else _falling(s)), axis=1)[:, :k]
+        best_s[q], best_i[q] = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
+        kth[q] = np.maximum(kth[q], best_s[q, -1])
     found = (best_s > LOWEST) & (best_s >= kth[:, None])
     q, j = np.nonzero(found)
     return q, best_i[q, j], best_s[q, j]

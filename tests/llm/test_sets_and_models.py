@@ -316,6 +316,26 @@ def test_tree_search_is_exact(scale):
         assert sorted(zip(-s[q == k], i[q == k], strict=True)) == best
 
 
+def test_leaves_meet_their_queries_together(monkeypatch):
+    """A leaf meets all queries that it is due for in a few steps, not each query at its own turn; the kth score given, ties, repeated ids and own ids keep their meaning."""
+    rng = np.random.default_rng(6)
+    rows = rng.integers(-9, 10, (2000, 6))
+    rows[500:560] = rows[3]
+    ids = np.arange(2000)
+    ids[700:720] = ids[5]
+    tree = balltree.build(ids, rows, 32)
+    leaves = sum(x < 0 for x in tree.left)
+    kept, calls = np.lexsort, []
+    monkeypatch.setattr(balltree.np, "lexsort", lambda *a, **b: calls.append(1) or kept(*a, **b))
+    scores = rows[:150] @ rows.T
+    kth = np.where(np.arange(150) % 3 == 0, np.sort(scores, 1)[:, -4], balltree.LOWEST)
+    q, i, s = balltree.search(tree, ids[:150], rows[:150], kth, 5)
+    for k in range(150):
+        best = sorted((-int(scores[k, j]), int(ids[j])) for j in range(2000) if ids[j] != ids[k] and scores[k, j] >= kth[k])[:5]
+        assert sorted(zip((-s[q == k]).tolist(), i[q == k].tolist(), strict=True)) == best
+    assert len(calls) < leaves * (2 + np.log2(leaves) / 2)
+
+
 def test_search_refuses_what_64_bits_cannot_hold(spark):
     assert balltree._products(np.array([[1 << 40, 3]]), np.array([[1 << 22, -1]])).tolist() == [[(1 << 62) - 3]]
     with pytest.raises(OverflowError):
