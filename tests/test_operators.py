@@ -1,15 +1,20 @@
+import functools
 import json
+import re
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tesserae import constants as C
 from tesserae.functions import soundings
 from tesserae.operators import dataset, events, grid, labels, models, physics, products, verify
+from tesserae.plans import events as events_plans
 from tesserae.sources import sinks, tables, views
 
 from .compare import same
+from .conftest import SF
 
 
 def dense(spark, field):
@@ -100,6 +105,23 @@ def test_stamping_stays_on_the_grid(spark):
     assert {r["size"] for r in fire.collect()} == {7.0}
 
 
+def test_tracks_are_told_apart_without_a_shuffle_of_their_cells(spark, tmp_path):
+    """Repeated rows, one id in many places and null ids, values and users: as a plain distinct count; only sums of cells are sent on."""
+    e = spark.read.parquet(f"{SF}/events.parquet").where("event_type = 'error'")
+    odd = [e, e.where("event_id % 3 = 0"), e.withColumn("event_id", F.lit(77).cast("long"))]
+    odd += [e.where("event_id % 5 = 1").withColumn(c, F.lit(None).cast(dict(e.dtypes)[c])) for c in ("event_id", "user_id", "value")]
+    functools.reduce(DataFrame.unionByName, odd).write.parquet(f"{tmp_path}/events.parquet")
+    got = events_plans.track_stamp(spark, str(tmp_path))
+    hits = labels.on_cells(labels.track_points(views.tracks(spark, str(tmp_path))))
+    want = hits.groupBy("iy", "ix").agg(F.count("*").alias("n"), F.max("ef").alias("ef"), F.countDistinct("event_id").alias("tracks"))
+    assert got.count() > 100 and got.dtypes == want.dtypes
+    same(got.toPandas(), want.toPandas())
+    sent = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", got._jdf.queryExecution().executedPlan().toString())
+    keys = {tuple(sorted(re.findall(r"(\w+)#", x))) for x in sent}
+    assert keys == {("cx", "cy", "event_id"), ("event_id",), ("ix", "iy")}
+    assert events_plans.track_stamp(spark, str(tmp_path)).where("n < tracks").isEmpty()
+
+
 def test_subsample_is_unbiased_and_bags_are_disjoint(spark):
     rows = spark.range(200_000).withColumn("y", (F.col("id") % 50 == 0).cast("int"))
     s = dataset.subsample(rows, F.col("y") == 1, F.col("id"), 0.1)
